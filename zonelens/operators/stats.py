@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelens.functions.names import round2
+from zonelens.session import cut_lineage
 
 
 def entropy_histogram(df: DataFrame, col: str = "entropy", key: str = "domain") -> DataFrame:
@@ -99,6 +100,10 @@ def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75),
     v = F.col(col)
     counted = (df.select(v.cast("double").alias("v")).filter(F.col("v").isNotNull())
                  .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
+    # The distinct-value table is read by three jobs (total, range bounds,
+    # positions): write it once to the shared checkpoint folder instead of
+    # recomputing the input lineage each time.
+    counted = cut_lineage(counted)
     ranged = (counted.repartitionByRange(parts, "v")
                      .withColumn("pid", F.spark_partition_id()))
     w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -198,6 +203,8 @@ def t_pvalue(t: float, df: float) -> float:
         return float("nan")
     if math.isinf(t):
         return 0.0
+    if t == 0:
+        return 1.0
     x = df / (df + t * t)
     a, b = df / 2.0, 0.5
     lbeta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)

@@ -20,6 +20,7 @@ from zonelens.functions import names as N
 from zonelens.functions import records as RF
 from zonelens.functions import txt as TF
 from zonelens.operators import querytypes as QT
+from zonelens.operators.entropy import text_entropy
 from zonelens.operators import rankings as R
 from zonelens.operators import records as REC
 from zonelens.operators import stats as S
@@ -257,7 +258,8 @@ def b11_entropy(spark, sf):
     ent=entropy_cte("documents", "doc_id", "text")))
 def b11_entropy_documents(spark, sf):
     docs = _fx(spark, sf).documents
-    return docs.select("doc_id", rnd(N.entropy("text"), 9).alias("entropy"))
+    ent = text_entropy(docs, "doc_id", "text")
+    return ent.select("doc_id", rnd("entropy", 9).alias("entropy"))
 
 
 @q("b12_entropy_ideal", oracle(

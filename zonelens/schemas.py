@@ -59,3 +59,13 @@ def observation_schema() -> StructType:
 
 def ddl_schema(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
+
+
+def pad_to_observation_schema(df):
+    """Add the observation fields a DataFrame lacks as typed nulls (its own
+    columns are kept as they are)."""
+    from pyspark.sql import functions as F
+    have = set(df.columns)
+    extra = [F.lit(None).cast(f.dataType).alias(f.name)
+             for f in observation_schema().fields if f.name not in have]
+    return df.select("*", *extra)
