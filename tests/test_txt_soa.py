@@ -38,13 +38,13 @@ def test_clean_and_labels_and_sensitive(spark):
     rows = df.select("rt", "t", TF.clean_txt("t").alias("c"), TF.record_labels("rt", "t").alias("l"),
                      TF.is_sensitive(TF.clean_txt("t")).alias("s")).collect()
     for r in rows:
-        assert r.c == M.clean_txt(r.t)
+        assert (r.c or "") == M.clean_txt(r.t)
         exp = ["dns"] + (["txt"] if r.rt == "TXT" else [])
         if r.rt == "TXT" and M.clean_txt(r.t):
             exp.append("correct_txt")
         assert r.l == exp
         words = ("login", "user", "password", "pswd", "private")
-        assert bool(r.s) == any(re.search(w, r.c, re.IGNORECASE) for w in words)
+        assert bool(r.s) == any(re.search(w, r.c or "", re.IGNORECASE) for w in words)
 
 
 def test_compat_none_counts_as_correct(spark):
