@@ -29,10 +29,11 @@ def txt_basic_long(basic: DataFrame, by=("day",)) -> DataFrame:
         "stack(3, 'dns', total, 'txt', txt, 'correct_txt', correct_txt) AS (label, n)"))
 
 
-def txt_rows(obs: DataFrame, compat: bool = False) -> DataFrame:
-    """TXT answers as (text, name) with the cleaned, non-empty text."""
+def txt_rows(obs: DataFrame, compat: bool = False, keep=("day",)) -> DataFrame:
+    """TXT answers as (text, name) with the cleaned, non-empty text
+    (plus the ``keep`` key columns that exist)."""
     return (obs.filter(F.col("response_type") == "TXT")
-               .select(*[c for c in ("day",) if c in obs.columns],
+               .select(*[c for c in keep if c in obs.columns],
                        clean_txt("txt_text", compat).alias("text"),
                        F.col("response_name").alias("name"))
                .filter(F.col("text") != ""))
@@ -40,7 +41,7 @@ def txt_rows(obs: DataFrame, compat: bool = False) -> DataFrame:
 
 def txt_label_counts(obs: DataFrame, by=("day",), compat: bool = False) -> DataFrame:
     """Per day, number of TXT texts carrying each taxonomy label."""
-    rows = txt_rows(obs, compat)
+    rows = txt_rows(obs, compat, keep=by)
     return (rows.select(*by, F.explode(txt_labels("text")).alias("label"))
                 .groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n")))
 
@@ -52,7 +53,7 @@ def sensitive_txt(obs: DataFrame, compat: bool = False) -> DataFrame:
 
 def unlabelled_count(obs: DataFrame, by=("day",), compat: bool = False) -> DataFrame:
     """Texts without any label: the native "other" bucket."""
-    rows = txt_rows(obs, compat)
+    rows = txt_rows(obs, compat, keep=by)
     return (rows.groupBy(*by)
                 .agg(F.count_if(F.size(txt_labels("text")) == 0).alias("n")))
 
