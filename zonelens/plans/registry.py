@@ -485,11 +485,12 @@ SELECT h.host, h.h AS norm,
                      WHERE rule LIKE '!%' AND (h.h = substr(rule, 2) OR h.h LIKE '%.' || substr(rule, 2)))) m)
   END AS registrable_domain
 FROM (SELECT host, lower(split_part(trim(regexp_replace(trim(host, ' '), '^\.+|\.+$', '', 'g'), ' '), ' ', 1)) AS h
-      FROM (SELECT DISTINCT host FROM hits UNION ALL SELECT host FROM extra_hosts)) h
+      FROM ({src})) h
 """
 
 
-@q("c3_registrable_domain", oracle(C3_SQL))
+@q("c3_registrable_domain", oracle(C3_SQL.replace(
+    "{src}", "SELECT DISTINCT host FROM hits UNION ALL SELECT host FROM extra_hosts")))
 def c3_registrable_domain(spark, sf):
     fx = _fx(spark, sf)
     hosts = fx.hits.select("host").distinct().unionByName(fx.extra_hosts)
@@ -792,7 +793,18 @@ def d16_point_biserial_documents(spark, sf):
     return _round_doubles(S.point_biserial(joined, "quality", "n_chars"))
 
 
-@q("d17_group_by_registrable")
+SHORT_LINE_SQL = ("CASE WHEN response_type IS NULL OR response_type = '' THEN 'Unknown response type' "
+                  "ELSE concat_ws(' ', coalesce(response_name, 'None'), response_type, coalesce(CASE response_type "
+                  "WHEN 'A' THEN ip4_address WHEN 'AAAA' THEN ip6_address WHEN 'CNAME' THEN cname_name "
+                  "ELSE response_name END, 'None')) END")
+
+
+@q("d17_group_by_registrable", oracle(
+    f"SELECT r.registrable_domain, {SHORT_LINE_SQL} AS line, count(*) AS n "
+    "FROM observations o JOIN reg r ON r.host = o.response_name "
+    "WHERE r.registrable_domain IS NOT NULL GROUP BY 1, 2",
+    reg=C3_SQL.replace("{src}", "SELECT DISTINCT response_name AS host FROM observations "
+                                "WHERE response_name IS NOT NULL")))
 def d17_group_by_registrable(spark, sf):
     fx = _fx(spark, sf)
     return SUF.group_by_registrable(fx.observations, fx.suffix_rules)
@@ -960,3 +972,59 @@ def j4_length_vs_rank(spark, sf):
     txt_rows=TXT_ROWS_SQL, lab=LABEL_COUNTS_SQL))
 def j7_txt_report(spark, sf):
     return J.txt_report(_fx(spark, sf).observations)
+
+
+@q("b26_round2", oracle(
+    "SELECT domain, round_even(round(entropy, 9) * 100, 0) / 100 AS entropy_rnd FROM j5", **ENTROPY_SQL))
+def b26_round2(spark, sf):
+    e = J.entropy_table(_fx(spark, sf).rankings).withColumn("entropy", rnd("entropy", 9))
+    return e.select("domain", N.round2("entropy").alias("entropy_rnd"))
+
+
+@q("b27_entropy_band", oracle(
+    "SELECT domain, round(entropy, 9) AS entropy FROM j5 WHERE round(entropy, 9) >= 3.2 "
+    "AND round(entropy, 9) < 3.5", **ENTROPY_SQL))
+def b27_entropy_band(spark, sf):
+    e = J.entropy_table(_fx(spark, sf).rankings).withColumn("entropy", rnd("entropy", 9))
+    return S.entropy_band(e, 3.2, 3.5, lo_closed=True)
+
+
+@q("f5_preview", oracle(
+    "SELECT domain, alexa_rank, rank, date FROM e1 ORDER BY date, rank LIMIT 10", e1=E1_SQL))
+def f5_preview(spark, sf):
+    top = R.top_n_per_day(_fx(spark, sf).rankings, 10, "blog")
+    return S.preview(top, 10, ["date", "rank"])
+
+
+@q("f6_full_sort", oracle("SELECT domain, round(entropy, 9) AS entropy FROM j5", **ENTROPY_SQL))
+def f6_full_sort(spark, sf):
+    e = J.entropy_table(_fx(spark, sf).rankings).withColumn("entropy", rnd("entropy", 9))
+    return e.orderBy("entropy", "domain")
+
+
+@q("f7_rows_at", oracle(
+    "SELECT day, domain, rank FROM rankings WHERE domain IN ('therat.example.net', "
+    "'m.ththth.example.net', 'ads-track.example.org', 'thering.example.com')"))
+def f7_rows_at(spark, sf):
+    return S.rows_at(_fx(spark, sf).rankings.select("day", "domain", "rank"), "domain",
+                     TRAJECTORY_DOMAINS)
+
+
+@q("j8_soa_report", _soa_sql(False))
+def j8_soa_report(spark, sf):
+    return J.soa_report(_fx(spark, sf).observations)
+
+
+@q("d19_txt_month_pivot", oracle(
+    "SELECT strftime(day, '%Y-%m') AS month, "
+    + ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE category = '{c}'), 0) AS BIGINT) AS \"{c}\""
+                for c in ("mail-security", "domain-identifiers", "keys", "signature-services",
+                          "alias", "i*m", "malt", "number_pipe_site"))
+    + " FROM (SELECT day, split_part(label, '.', 1) AS category, n FROM counts) GROUP BY 1",
+    **LABELS_ROLLUP))
+def d19_txt_month_pivot(spark, sf):
+    cats = ("mail-security", "domain-identifiers", "keys", "signature-services", "alias", "i*m",
+            "malt", "number_pipe_site")
+    counts = T.txt_label_counts(_fx(spark, sf).observations).withColumn("category", T.category_of("label"))
+    out = T.month_pivot(counts, cats, label_col="category")
+    return out.select("month", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in cats])
