@@ -150,12 +150,21 @@ def _pair(a: str, b: str):
 
 def correlation_matrix(df: DataFrame, cols: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Pearson r for every column pair (a < b in list order), long form
-    (``by``..., a, b, r).  A constant column gives null, not an error."""
+    (``by``..., a, b, r).  A constant column gives null, not an error.
+
+    Each row is unpivoted into one (a, b, x, y) row per pair and a single
+    small aggregate (``covar_pop`` / ``stddev_pop``) runs per (by, a, b):
+    a fixed fan-out of len(pairs), partial aggregation map-side, and three
+    compact generated aggregate functions instead of one aggregate with
+    3 x len(pairs) buffers (which exceeds the code-generation limits).
+    """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = [_pair(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    stack = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
-    return wide.select(*by, F.expr(f"stack({len(pairs)}, {stack}) AS (a, b, r)"))
+    arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
+                             F.col(f"`{a}`").cast("double").alias("x"),
+                             F.col(f"`{b}`").cast("double").alias("y")) for a, b in pairs])
+    long = df.select(*by, F.inline(arr))
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return long.groupBy(*by, "a", "b").agg(r.alias("r"))
 
 
 def point_biserial(df: DataFrame, flag: str, col: str) -> DataFrame:

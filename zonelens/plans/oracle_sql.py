@@ -136,7 +136,24 @@ def txt_labels_sql(text: str) -> str:
     return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
 
+def bigint_counts(sql: str) -> str:
+    """``count_if(x)`` -> ``count(*) FILTER (WHERE x)``: DuckDB's count_if is
+    a HUGEINT, Spark's a BIGINT."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "count(*) FILTER (WHERE " + sql[j + len(key):k - 1] + ")")
+        i = k
+
+
 def oracle(final: str, **ctes: str) -> str:
     """Fixture prefix + extra CTEs + the final SELECT."""
     extra = "".join(f",\n{name} AS ({body})" for name, body in ctes.items())
-    return duckdb_prefix() + extra + "\n" + final
+    return bigint_counts(duckdb_prefix() + extra + "\n" + final)
