@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zonelens.session import broadcast_if_small
+
 TABLES = ("region nation customer supplier part orders lineitem events "
           "documents embeddings pages benchmark labels conversations").split()
 
@@ -161,6 +163,11 @@ class Fixture:
             if name in VIEWS:
                 text, deps = VIEWS[name]
                 args = {d: self.table(d) for d in deps}
+                if name == "hits":
+                    # pages is the dimension side: broadcast it when its
+                    # projected size is under the threshold, so the events
+                    # side is never chosen as the build side by a stale estimate
+                    args["pages"] = broadcast_if_small(args["pages"].select("page_id", "url"))
                 if name == "observations":
                     text = text.replace("{ms}", MS_SPARK)
                 self._cache[name] = self.spark.sql(text, **args)

@@ -62,3 +62,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer's size estimate of a DataFrame (from file sizes and the
+    projected columns); no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Broadcast hint only behind a size check: below ``limit`` (default the
+    session's ``autoBroadcastJoinThreshold``) the side is broadcast, above it
+    the planner keeps a shuffle join."""
+    from pyspark.sql import functions as F
+    if limit is None:
+        limit = int(str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+                    .rstrip("b").rstrip("B") or 0)
+    return F.broadcast(df) if 0 < estimated_bytes(df) <= limit else df
