@@ -102,7 +102,8 @@ def top_n_per_day(rankings: DataFrame, n: int = 100, exclude: str | None = "goog
 
 
 def first_day_trajectories(top: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of every day for the top ``k`` domains of the earliest day.
+    """E2 (with G3): the rows of every day for the top ``k`` domains of the
+    earliest day, taken in rank order (distinct values in order of appearance).
 
     The earliest day is a scalar subquery (one value), the top k a
     ``TakeOrderedAndProject`` on that day, and the trajectories a semi join

@@ -16,6 +16,9 @@ from zonelens.schemas import DAY_FEATURE_COLUMNS
 # Columns correlated per day in the rank/record-count report.
 CORR_DAY_COLUMNS = ("DNSKEY", "DS", "RRSIG", "CAA", "NSEC", "SOA", "NS", "A", "AAAA",
                     "CNAME", "MX", "TXT", "SPF", "PTR", "alexa_rank")
+# Columns correlated over a month of joined features.
+CORR_MONTH_COLUMNS = ("alexa_rank", "SOA", "NS", "A", "AAAA", "CNAME", "MX", "SPF", "DS", "PTR",
+                      "DNSKEY")
 # Numeric name-feature columns correlated with the average rank.
 CORR_NAME_COLUMNS = ("length", "dot_count", "digit_ratio", "vowel_ratio", "entropy",
                      "ideal_entropy", "avg_ranking")

@@ -1028,3 +1028,14 @@ def d19_txt_month_pivot(spark, sf):
     counts = T.txt_label_counts(_fx(spark, sf).observations).withColumn("category", T.category_of("label"))
     out = T.month_pivot(counts, cats, label_col="category")
     return out.select("month", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in cats])
+
+
+@q("d15_correlation_month_features", oracle(
+    _corr_sql(list(J.CORR_MONTH_COLUMNS), "j1"),
+    obs_k=OBS_KEYED, obs_l=OBS_LINES, feats=FEATS_STRICT,
+    j1="SELECT r.domain, strftime(r.day, '%Y%m%d') AS date, r.rank AS alexa_rank, f.* EXCLUDE (domain, date) "
+       "FROM rankings r JOIN feats f ON f.domain = r.domain AND f.date = strftime(r.day, '%Y%m%d')"))
+def d15_correlation_month_features(spark, sf):
+    fx = _fx(spark, sf)
+    feats = J.month_features(fx.rankings, fx.observations)
+    return S.correlation_matrix(feats, list(J.CORR_MONTH_COLUMNS)).withColumn("r", rnd("r"))

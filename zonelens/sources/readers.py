@@ -1,7 +1,8 @@
 """Scans (A1-A7, A14-A16).
 
 All readers declare their schema (no inference pass over 100 TB) and stay
-DataFrames, so Catalyst prunes columns and pushes filters to the scan.
+DataFrames, so Catalyst prunes columns and pushes filters to the scan (B22:
+an operator that selects three fields reads three fields).
 """
 
 from __future__ import annotations
