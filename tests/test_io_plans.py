@@ -42,7 +42,7 @@ def test_read_rankings_tar_gz(spark, scratch):
         info = tarfile.TarInfo("top-1m.csv")
         info.size = len(body)
         tar.addfile(info, io.BytesIO(body))
-    path = os.path.join(scratch, "Alexa_2017-11-01.tar.gz")
+    path = os.path.join(scratch, "Rank_2017-11-01.tar.gz")
     with open(path, "wb") as f:
         f.write(buf.getvalue())
     rows = RD.read_rankings(spark, path).orderBy("rank").collect()

@@ -43,14 +43,21 @@ def compact_records(obs: DataFrame) -> DataFrame:
                          F.transform("_set", lambda x: x["line"]).alias("records")))
 
 
-def group_records(obs: DataFrame) -> DataFrame:
+def group_records(obs: DataFrame, nested: bool = True) -> DataFrame:
     """D3: (domain, date) -> distinct falsy-pruned observation objects
-    (timestamp dropped) with their multiplicity, sorted by the JSON text."""
+    (timestamp dropped) with their multiplicity.
+
+    ``nested=False`` returns the long form (domain, date, record, n) after a
+    single aggregation; ``nested=True`` adds one list per (domain, date),
+    sorted by the JSON text.
+    """
     keyed = with_keys(obs)
     payload_cols = [c for c in obs.columns if c != "timestamp"]
     obj = prune_falsy(obs.select(*payload_cols))
     per_obj = (keyed.select("domain", "date", obj.alias("record"))
                     .groupBy("domain", "date", "record").agg(F.count(F.lit(1)).alias("n")))
+    if not nested:
+        return per_obj
     return (per_obj.groupBy("domain", "date")
                    .agg(F.array_sort(F.collect_list(F.struct("record", "n"))).alias("records")))
 

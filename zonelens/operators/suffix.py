@@ -79,12 +79,15 @@ def registrable_domain(names: DataFrame, rules: DataFrame, col: str = "host",
 def group_by_registrable(obs: DataFrame, rules: DataFrame) -> DataFrame:
     """Display lines per registrable domain of ``response_name``.
 
-    Long form (registrable_domain, line, n): a hot domain stays spread over
-    tasks and duplicates are counted, never gathered into one list.
+    Long form (registrable_domain, line, n).  Observations are first counted
+    per (host, line), so the join with the resolved hosts sees distinct
+    pairs, not every answer; a hot domain stays spread over tasks and is
+    never gathered into one list.
     """
-    reg = registrable_domain(obs.select("response_name", "response_type", "ip4_address",
-                                        "ip6_address", "cname_name"),
-                             rules, col="response_name")
+    pre = (obs.filter(F.col("response_name").isNotNull())
+              .groupBy(F.col("response_name").alias("host"), short_line().alias("line"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    reg = registrable_domain(pre, rules, col="host")
     return (reg.filter(F.col("registrable_domain").isNotNull())
-               .groupBy("registrable_domain", short_line().alias("line"))
-               .agg(F.count(F.lit(1)).alias("n")))
+               .groupBy("registrable_domain", "line")
+               .agg(F.sum("n").alias("n")))

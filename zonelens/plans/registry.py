@@ -556,8 +556,7 @@ def d1_compact_records(spark, sf):
     "FROM obs_k) GROUP BY domain, date, record", obs_k=OBS_KEYED))
 def d3_group_records(spark, sf):
     obs = _fx(spark, sf).observations.drop("event_id", "day")
-    g = REC.group_records(obs)
-    return g.select("domain", "date", F.inline("records"))
+    return REC.group_records(obs, nested=False)
 
 
 D4_SQL = oracle(
