@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.functions.names import normalise_domain, relative_owner
 
 # Record types counted per record set, in output order.
 COUNTED_TYPES = ("SOA", "NS", "A", "AAAA", "CNAME", "MX", "TXT", "SPF", "PTR",
@@ -48,23 +47,51 @@ def _line(*parts) -> Column:
     return F.concat_ws(" ", *[text(p) for p in parts])
 
 
-def record_line(domain: Column | None = None) -> Column:
+def _text_sql(x: str) -> str:
+    return f"coalesce(CAST({x} AS STRING), 'None')"
+
+
+def _line_sql(*parts: str) -> str:
+    return "concat_ws(' ', " + ", ".join(_text_sql(p) for p in parts) + ")"
+
+
+def normalise_domain_sql(c: str) -> str:
+    """B1 as SQL text (strip one leading ``www.``, then one trailing dot)."""
+    x = f"(CASE WHEN startswith({c}, 'www.') THEN substr({c}, 5) ELSE {c} END)"
+    return f"(CASE WHEN endswith({x}, '.') THEN substr({x}, 1, char_length({x}) - 1) ELSE {x} END)"
+
+
+def relative_owner_sql(resp: str, domain: str) -> str:
+    """B3 as SQL text."""
+    r = f"replace({resp}, concat({domain}, '.'), '')"
+    r = f"(CASE WHEN endswith({r}, '.') THEN substr({r}, 1, char_length({r}) - 1) ELSE {r} END)"
+    return f"(CASE WHEN instr({resp}, {domain}) > 0 THEN (CASE WHEN {r} = '' THEN '@' ELSE {r} END) " \
+           f"ELSE {resp} END)"
+
+
+def record_line_sql(domain: str | None = None) -> str:
+    """B4 as one SQL expression (built once, parsed once by Spark)."""
+    domain = normalise_domain_sql("query_name") if domain is None else domain
+    resp, rtype = "response_name", "response_type"
+    owner = relative_owner_sql(resp, domain)
+    branches = [f"WHEN {rtype} = 'SOA' THEN {_line_sql(resp, rtype, *SOA_FIELDS)}"]
+    for rt, fields in LAYOUTS.items():
+        branches.append(f"WHEN {rtype} = '{rt}' THEN {_line_sql(owner, rtype, *fields)}")
+    rrsig = f"concat({_line_sql(owner, rtype, *RRSIG_HEAD)}, ' (', {_line_sql(*RRSIG_TAIL)}, ')')"
+    branches.append(f"WHEN {rtype} = 'RRSIG' THEN {rrsig}")
+    return (f"CASE WHEN {resp} IS NULL THEN NULL ELSE CASE " + " ".join(branches)
+            + f" ELSE {_line_sql(resp, rtype)} END END")
+
+
+def record_line(domain: str | None = None) -> Column:
     """One observation as a zone-file-like line; null when the answer
     has no ``response_name`` (artificial records such as NSHASH).
 
-    ``domain`` defaults to the normalised query name (B1).
+    ``domain`` is a column name or SQL expression; it defaults to the
+    normalised query name (B1).  The expression is generated as SQL text:
+    one parse instead of hundreds of Column calls.
     """
-    domain = normalise_domain("query_name") if domain is None else domain
-    resp = F.col("response_name")
-    rtype = F.col("response_type")
-    owner = relative_owner(resp, domain)
-    line = F.when(rtype == "SOA", _line(resp, rtype, *SOA_FIELDS))
-    for rt, fields in LAYOUTS.items():
-        line = line.when(rtype == rt, _line(owner, rtype, *fields))
-    rrsig = F.concat(_line(owner, rtype, *RRSIG_HEAD), F.lit(" ("),
-                     _line(*RRSIG_TAIL), F.lit(")"))
-    line = line.when(rtype == "RRSIG", rrsig).otherwise(_line(resp, rtype))
-    return F.when(resp.isNotNull(), line)
+    return F.expr(record_line_sql(domain))
 
 
 def line_type(line) -> Column:
@@ -100,28 +127,24 @@ def prune_null(df: DataFrame, drop: tuple[str, ...] = ()) -> Column:
     return F.to_json(F.struct(*[F.col(f"`{n}`") for n in df.columns if n not in drop]))
 
 
-def _type_is(t: str):
-    return lambda r: line_type(r) == t
-
-
-def type_counts(records, mode: str = "strict") -> list[Column]:
+def type_counts(records: str, mode: str = "strict") -> list[Column]:
     """Per-type record counts of a record set, in COUNTED_TYPES order.
 
     ``strict`` counts lines whose type token equals the type; ``text``
     counts `` T `` substrings of the ``;``-joined set, as the reference does
     (K7: a payload such as ``note A record`` also counts).
     """
-    records = F.col(records) if isinstance(records, str) else records
     out = []
     if mode == "strict":
         for t in COUNTED_TYPES:
-            out.append(F.size(F.filter(records, _type_is(t))).alias(t))
+            out.append(F.expr(f"size(filter(`{records}`, r -> "
+                              f"try_element_at(split(r, ' '), 2) = '{t}'))").alias(t))
     elif mode == "text":
-        joined = F.array_join(records, ";")
+        joined = f"array_join(`{records}`, ';')"
         for t in COUNTED_TYPES:
             pat = f" {t} "
-            n = (F.char_length(joined) - F.char_length(F.replace(joined, F.lit(pat), F.lit(""))))
-            out.append((n / len(pat)).cast("int").alias(t))
+            out.append(F.expr(f"CAST((char_length({joined}) - char_length(replace({joined}, '{pat}', ''))) "
+                              f"div {len(pat)} AS INT)").alias(t))
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return out

@@ -98,11 +98,17 @@ def record_labels(rtype="response_type", text="txt_text", compat: bool = False)
     return F.filter(arr, lambda x: x.isNotNull())
 
 
-def txt_labels(c) -> Column:
-    """All taxonomy labels of a cleaned text (may be empty)."""
-    c = F.col(c) if isinstance(c, str) else c
-    arr = F.array(*[F.when(c.rlike(label_regex(lbl)), F.lit(lbl)) for lbl in TXT_TAXONOMY])
-    return F.filter(arr, lambda x: x.isNotNull())
+def txt_labels_sql(c: str) -> str:
+    """B19 as one SQL expression over the text column ``c`` (raw-string
+    regex literals, so the patterns need no escaping)."""
+    items = ", ".join(f"CASE WHEN `{c}` RLIKE r'{label_regex(lbl)}' THEN '{lbl}' END"
+                      for lbl in TXT_TAXONOMY)
+    return f"filter(array({items}), x -> x IS NOT NULL)"
+
+
+def txt_labels(c: str) -> Column:
+    """All taxonomy labels of a cleaned text column (may be empty)."""
+    return F.expr(txt_labels_sql(c))
 
 
 def sensitive_regex() -> str:

@@ -34,7 +34,7 @@ def compact_records(obs: DataFrame) -> DataFrame:
 
     Groups whose answers all lack a response name keep an empty list.
     """
-    keyed = with_keys(obs).withColumn("line", record_line(F.col("domain")))
+    keyed = with_keys(obs).withColumn("line", record_line("domain"))
     entry = F.when(F.col("line").isNotNull(),
                    F.struct(line_type("line").alias("t"), F.col("line").alias("line")))
     return (keyed.groupBy("domain", "date")

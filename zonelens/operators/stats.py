@@ -159,10 +159,11 @@ def correlation_matrix(df: DataFrame, cols: list[str], by: tuple[str, ...] = ())
     3 x len(pairs) buffers (which exceeds the code-generation limits).
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                             F.col(f"`{a}`").cast("double").alias("x"),
-                             F.col(f"`{b}`").cast("double").alias("y")) for a, b in pairs])
-    long = df.select(*by, F.inline(arr))
+    # one SQL expression string: a single call to build, however many pairs
+    items = ", ".join(
+        f"named_struct('a', '{a}', 'b', '{b}', 'x', CAST(`{a}` AS DOUBLE), 'y', CAST(`{b}` AS DOUBLE))"
+        for a, b in pairs)
+    long = df.select(*by, F.expr(f"inline(array({items}))"))
     r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
     return long.groupBy(*by, "a", "b").agg(r.alias("r"))
 

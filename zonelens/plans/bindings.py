@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonelens.session import broadcast_if_small
+from zonelens.session import broadcast_if_small, ensure_parallel
 
 TABLES = ("region nation customer supplier part orders lineitem events "
           "documents embeddings pages benchmark labels conversations").split()
@@ -172,7 +172,8 @@ class Fixture:
                     text = text.replace("{ms}", MS_SPARK)
                 self._cache[name] = self.spark.sql(text, **args)
             else:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._cache[name] = ensure_parallel(
+                    self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         return self._cache[name]
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -79,3 +79,18 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
         limit = int(str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
                     .rstrip("b").rstrip("B") or 0)
     return F.broadcast(df) if 0 < estimated_bytes(df) <= limit else df
+
+
+def ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A small file with one Parquet row group is read by one task, and every
+    narrow operator after it (the per-row projections) then runs on one core.
+    The check is the scan's partition count (file listing only, no job);
+    large inputs already have at least one split per core and are returned
+    unchanged, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
