@@ -147,3 +147,15 @@ def test_entry_contract(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_filter_days_prunes_partitions(spark, scratch):
+    df = spark.range(100).select(
+        F.date_add(F.lit("2023-12-20").cast("date"), F.col("id").cast("int")).alias("day"), "id")
+    df.write.partitionBy("day").parquet(os.path.join(scratch, "p"))
+    r = spark.read.parquet(os.path.join(scratch, "p"))
+    out = RD.filter_days(r, ["202401", "20240215", "2023"])
+    assert "PartitionFilters: [" in _plan(out) and out.count() == 31 + 1 + 12
+    # yyyyMMdd text keys use prefixes
+    txt = spark.createDataFrame([("20240101",), ("20231231",), ("20240201",)], "day string")
+    assert sorted(x.day for x in RD.filter_days(txt, ["202401", "2023"]).collect()) == ["20231231", "20240101"]

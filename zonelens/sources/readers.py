@@ -97,17 +97,36 @@ def read_features(spark: SparkSession, paths, names, types: str = "int") -> Data
     return spark.read.schema(ddl).csv(paths, header=False)
 
 
+def _prefix_range(p: str):
+    """``YYYY[MM[DD]]`` -> [first day, first day after) as dates."""
+    import datetime as _dt
+    y = int(p[0:4])
+    if len(p) == 4:
+        return _dt.date(y, 1, 1), _dt.date(y + 1, 1, 1)
+    m = int(p[4:6])
+    if len(p) == 6:
+        return _dt.date(y, m, 1), (_dt.date(y + 1, 1, 1) if m == 12 else _dt.date(y, m + 1, 1))
+    d = _dt.date(y, m, int(p[6:8]))
+    return d, d + _dt.timedelta(days=1)
+
+
 def filter_days(df: DataFrame, prefixes, col: str = "day") -> DataFrame:
     """Keep days matching any ``YYYY[MM[DD]]`` prefix (K20: OR of all).
 
-    On a ``yyyyMMdd`` partition column this is partition pruning; on a DATE
-    it is a range predicate pushed to the scan.
+    On a DATE column each prefix becomes a range ``lo <= day < hi``, which
+    Parquet filter pushdown and partition pruning understand; on a
+    ``yyyyMMdd`` text partition column it is ``startswith`` (pruned too).
     """
     c = F.col(col)
-    key = F.date_format(c, "yyyyMMdd") if dict(df.dtypes).get(col) == "date" else c
+    is_date = dict(df.dtypes).get(col) == "date"
     cond = F.lit(False)
     for p in prefixes:
-        cond = cond | key.startswith(str(p))
+        p = str(p)
+        if is_date:
+            lo, hi = _prefix_range(p)
+            cond = cond | ((c >= F.lit(lo)) & (c < F.lit(hi)))
+        else:
+            cond = cond | c.startswith(p)
     return df.filter(cond)
 
 
