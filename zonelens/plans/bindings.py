@@ -167,7 +167,8 @@ class Fixture:
                     # pages is the dimension side: broadcast it when its
                     # projected size is under the threshold, so the events
                     # side is never chosen as the build side by a stale estimate
-                    args["pages"] = broadcast_if_small(args["pages"].select("page_id", "url"))
+                    pages = self.spark.read.parquet(f"{self.sf_dir}/pages.parquet")
+                    args["pages"] = broadcast_if_small(pages.select("page_id", "url"))
                 if name == "observations":
                     text = text.replace("{ms}", MS_SPARK)
                 self._cache[name] = self.spark.sql(text, **args)
