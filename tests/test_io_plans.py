@@ -159,3 +159,15 @@ def test_filter_days_prunes_partitions(spark, scratch):
     # yyyyMMdd text keys use prefixes
     txt = spark.createDataFrame([("20240101",), ("20231231",), ("20240201",)], "day string")
     assert sorted(x.day for x in RD.filter_days(txt, ["202401", "2023"]).collect()) == ["20231231", "20240101"]
+
+
+def test_bucketed_compaction_needs_no_shuffle(spark, fx):
+    obs = REC.with_keys(fx.observations).drop("event_id", "day")
+    SK.write_bucketed(obs, "zl_test_bucketed_obs", 4, ("domain",))
+    try:
+        out = REC.compact_records(spark.table("zl_test_bucketed_obs"))
+        assert "Exchange" not in _plan(out)
+        expected = {(r.domain, r.date): r.records for r in REC.compact_records(fx.observations).collect()}
+        assert {(r.domain, r.date): r.records for r in out.collect()} == expected
+    finally:
+        spark.sql("DROP TABLE IF EXISTS zl_test_bucketed_obs")

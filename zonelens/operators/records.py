@@ -32,9 +32,12 @@ def with_keys(obs: DataFrame) -> DataFrame:
 def compact_records(obs: DataFrame) -> DataFrame:
     """(domain, date) -> distinct record lines sorted by (type, line).
 
-    Groups whose answers all lack a response name keep an empty list.
+    Groups whose answers all lack a response name keep an empty list.  When
+    ``obs`` already carries ``domain``/``date`` (e.g. a table bucketed by
+    domain, D2) they are used as they are, so the grouping needs no shuffle.
     """
-    keyed = with_keys(obs).withColumn("line", record_line("domain"))
+    keyed = obs if {"domain", "date"} <= set(obs.columns) else with_keys(obs)
+    keyed = keyed.withColumn("line", record_line("domain"))
     entry = F.when(F.col("line").isNotNull(),
                    F.struct(line_type("line").alias("t"), F.col("line").alias("line")))
     return (keyed.groupBy("domain", "date")
