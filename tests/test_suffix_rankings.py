@@ -78,10 +78,13 @@ def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.integers(0, 50, 400), np.full(300, 7)]).astype(float)  # hot value
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    q = {r.p: r.value for r in S.exact_quantiles(df, "x", (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0),
-                                                 partitions=5).collect()}
-    for p, v in q.items():
-        assert math.isclose(v, float(np.quantile(vals, p)), abs_tol=1e-9), p
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
+    for limit in (0, 1_000_000):  # range-partitioned path, then the bounded percentile path
+        q = {r.p: r.value for r in S.exact_quantiles(df, "x", probs, partitions=5,
+                                                     small_limit=limit).collect()}
+        assert len(q) == len(probs)
+        for p, v in q.items():
+            assert math.isclose(v, float(np.quantile(vals, p)), abs_tol=1e-9), (limit, p)
 
 
 def test_correlation_constant_column_is_null(spark):

@@ -89,10 +89,16 @@ def removed_count(df: DataFrame, cond) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75),
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, small_limit: int = 1_000_000) -> DataFrame:
     """Exact linearly interpolated quantiles (pandas/``quantile_cont``),
     computed without gathering the column in one place.
 
+    Values are counted per distinct value first.  When the number of
+    distinct values is at most ``small_limit`` (checked, one cheap count of
+    the checkpointed table) a single weighted ``percentile`` aggregate is
+    exact and its buffer is bounded by that check; beyond it the distinct
+    values are range-partitioned and positions come from running counts.
+
     Returns one row per probability: (p, value).
     """
     spark = df.sparkSession
@@ -104,6 +110,11 @@ def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75),
     # positions): write it once to the shared checkpoint folder instead of
     # recomputing the input lineage each time.
     counted = cut_lineage(counted)
+    if small_limit and counted.count() <= small_limit:
+        ps = [float(p) for p in probs]
+        vals = counted.agg(F.percentile("v", F.array(*[F.lit(p) for p in ps]), F.col("c")).alias("q"))
+        return vals.select(F.inline(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"),
+                                                 F.col("q").alias("value"))))
     ranged = (counted.repartitionByRange(parts, "v")
                      .withColumn("pid", F.spark_partition_id()))
     w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
