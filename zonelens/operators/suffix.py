@@ -64,10 +64,14 @@ def registrable_domain(names: DataFrame, rules: DataFrame, col: str = "host",
                                                       & (F.col("_h") != "")).distinct())
     cand = distinct.select("_h", F.inline(_candidates(F.col("_h"))))
     matched = cand.join(rules.select(F.col("rule").alias("key")), "key")
-    best = matched.groupBy("_h").agg(F.max(F.struct("kind", "ps_len")).alias("b"))
+    # exception beats literal/wildcard, then the longest public suffix; a
+    # numeric score keeps the per-name maximum a hash aggregate (a DNS name
+    # has at most 127 labels)
+    score = F.col("kind") * 1000 + F.col("ps_len")
+    best = matched.groupBy("_h").agg(F.max(score).alias("b"))
     labels = F.split(F.col("_h"), "[.]")
     n = F.size(labels)
-    k = F.col("b.ps_len")
+    k = (F.col("b") % 1000).cast("int")
     reg = F.when(k < n, F.array_join(F.slice(labels, n - k, k + 1), "."))
     resolved = best.select("_h", reg.alias("_reg"))
     joined = (names.withColumn("_h", norm)
