@@ -26,6 +26,25 @@ def read_observations(spark: SparkSession, paths, corrupt_col: str = "_corrupt_r
                  .option("columnNameOfCorruptRecord", corrupt_col).json(paths))
 
 
+def read_observations_avro(spark: SparkSession, paths) -> DataFrame:
+    """A1/A13 source for the original Avro files.
+
+    Needs the ``spark-avro`` package on the classpath (not bundled with
+    PySpark); without it this raises a clear error instead of a class-not-
+    found trace.  The fixed schema is applied so downstream operators see
+    the same columns as from JSON.
+    """
+    try:
+        df = spark.read.format("avro").load(paths)
+    except Exception as exc:  # AnalysisException: data source not found
+        raise RuntimeError("Avro input needs the spark-avro package on the classpath "
+                           "(spark.jars.packages=org.apache.spark:spark-avro_2.13:<version>)") from exc
+    schema = ddl_schema(OBSERVATION_DDL)
+    have = set(df.columns)
+    return df.select(*[(F.col(f"`{f.name}`").cast(f.dataType) if f.name in have
+                        else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
 def check_required(df: DataFrame) -> DataFrame:
     """Rows violating the declared non-null header fields."""
     cond = F.lit(False)
