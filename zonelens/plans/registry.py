@@ -58,8 +58,16 @@ def rnd(c, digits: int = ROUND):
     return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
+_FIXTURES: dict[tuple[str, str], Fixture] = {}
+
+
 def _fx(spark, sf_dir) -> Fixture:
-    return Fixture(spark, sf_dir)
+    """One Fixture (lazy logical plans, no cached data) per application and
+    folder, so the adapter SQL is parsed and analysed once, not per query."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _FIXTURES:
+        _FIXTURES[key] = Fixture(spark, sf_dir)
+    return _FIXTURES[key]
 
 
 def _names(fx: Fixture) -> DataFrame:
