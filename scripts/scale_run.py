@@ -1,8 +1,8 @@
 """Replicated-scale run: events x K (``explode(sequence)``, ids shifted so
 every copy is a distinct event on the same hosts and days) through the
 fixture views, then D1 (compaction), J2 (rankings x record sets) and D7
-(TXT labels).  Prints rows, seconds and the number of shuffle exchanges of
-each final plan, to show the work grows linearly with one shuffle per
+(TXT labels).  Prints rows, seconds (full materialisation with the noop sink) and the
+number of shuffle exchanges of each final plan, to show the work grows linearly with one shuffle per
 aggregate/join side.
 
 Usage: python scripts/scale_run.py [sf_dir] [K ...]
@@ -38,16 +38,21 @@ def main():
         fx = Fixture(spark, sf_dir)
         ev = spark.read.parquet(f"{sf_dir}/events.parquet")
         span = ev.agg(F.max("event_id") + 1).first()[0]
-        rep = (ev.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        # spread the one-row-group source first, as a real multi-file input would be
+        rep = (ev.repartition(4 * spark.sparkContext.defaultParallelism)
+                 .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
                  .withColumn("event_id", F.col("event_id") + F.col("rep") * F.lit(span))
                  .drop("rep"))
         fx._cache["events"] = rep
         for name, df in (("d1_compact_records", REC.compact_records(fx.observations)),
                          ("j2_day_features", J.day_features(fx.rankings, fx.observations)),
                          ("d7_txt_label_counts", T.txt_label_counts(fx.observations))):
+            # noop sink: every column is computed (count() would let Catalyst
+            # prune the aggregated payload away)
             t0 = time.perf_counter()
-            n = df.count()
+            df.write.format("noop").mode("overwrite").save()
             dt = time.perf_counter() - t0
+            n = df.count()
             print(f"x{k} {name}: rows={n} sec={dt:.2f} exchanges={exchanges(df)}", flush=True)
     spark.stop()
 
