@@ -52,6 +52,11 @@ def q(name: str, sql: str | None = None):
     return deco
 
 
+def dround(x: str, digits: int = ROUND) -> str:
+    """DuckDB counterpart of ``rnd``: rounded, with -0.0 printed as 0.0."""
+    return f"(CASE WHEN round({x}, {digits}) = 0 THEN 0.0 ELSE round({x}, {digits}) END)"
+
+
 def rnd(c, digits: int = ROUND):
     """Round for the value hash; -0.0 is printed as 0.0 in both engines."""
     r = F.round(F.col(c) if isinstance(c, str) else c, digits)
@@ -568,11 +573,12 @@ def d3_group_records(spark, sf):
 
 
 D4_SQL = oracle(
-    "SELECT st.domain, st.n AS count, st.mn AS min_rank, st.mx AS max_rank, round(st.mean, 6) AS avg_rank, "
-    "round(CASE WHEN st.n > 1 THEN sqrt(c.m2 / (st.n - 1)) END, 6) AS stddev_rank, "
-    "round(CASE WHEN st.n > 1 THEN c.m2 / (st.n - 1) END, 6) AS variance_rank, "
-    "round(CASE WHEN c.m2 <> 0 THEN sqrt(st.n) * c.m3 / pow(c.m2, 1.5) END, 6) AS skewness_rank, "
-    "round(CASE WHEN c.m2 <> 0 THEN st.n * c.m4 / (c.m2 * c.m2) - 3 END, 6) AS kurtosis_rank "
+    "SELECT st.domain, st.n AS count, st.mn AS min_rank, st.mx AS max_rank, "
+    f"{dround('st.mean')} AS avg_rank, "
+    f"{dround('CASE WHEN st.n > 1 THEN sqrt(c.m2 / (st.n - 1)) END')} AS stddev_rank, "
+    f"{dround('CASE WHEN st.n > 1 THEN c.m2 / (st.n - 1) END')} AS variance_rank, "
+    f"{dround('CASE WHEN c.m2 <> 0 THEN sqrt(st.n) * c.m3 / pow(c.m2, 1.5) END')} AS skewness_rank, "
+    f"{dround('CASE WHEN c.m2 <> 0 THEN st.n * c.m4 / (c.m2 * c.m2) - 3 END')} AS kurtosis_rank "
     "FROM st JOIN c ON c.domain = st.domain",
     st=RANK_STATS,
     c="SELECT r.domain, sum((r.rank - s.mean) * (r.rank - s.mean)) AS m2, "
@@ -781,7 +787,7 @@ def j9_rank_record_correlation(spark, sf):
 
 
 @q("d16_point_biserial", oracle(
-    "SELECT round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t, n FROM "
+    f"SELECT {dround('r')} AS r, {dround('r * sqrt((n - 2) / (1 - r * r))')} AS t, n FROM "
     "(SELECT covar_pop(is_gtld, avg_ranking) / nullif(stddev_pop(is_gtld) * stddev_pop(avg_ranking), 0) AS r, "
     "count(*) AS n FROM j6)", **FEATURES_SQL))
 def d16_point_biserial(spark, sf):
@@ -790,7 +796,7 @@ def d16_point_biserial(spark, sf):
 
 
 @q("d16_point_biserial_documents", oracle(
-    "SELECT round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t, n FROM "
+    f"SELECT {dround('r')} AS r, {dround('r * sqrt((n - 2) / (1 - r * r))')} AS t, n FROM "
     "(SELECT covar_pop(l.quality, d.n_chars) / nullif(stddev_pop(l.quality) * stddev_pop(d.n_chars), 0) AS r, "
     "count(*) AS n FROM labels l JOIN documents d ON d.doc_id = l.doc_id "
     "WHERE l.quality IS NOT NULL AND d.n_chars IS NOT NULL)"))
