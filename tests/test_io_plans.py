@@ -181,3 +181,20 @@ def test_avro_source_is_gated(spark, scratch):
         assert "spark-avro" in str(exc)
     else:  # spark-avro present: an empty folder still yields the fixed schema
         pytest.skip("spark-avro is on the classpath")
+
+
+def _shuffles(df):
+    plan = _plan(df)
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_shuffle_budget_of_headline_operators(spark, fx):
+    from zonelens.operators import txt as T
+    from zonelens.plans import jobs as J
+    # aggregates: one hash exchange each; the join adds one for the rankings side
+    # (the record sets are already clustered by (domain, date) after their aggregate)
+    assert _shuffles(REC.compact_records(fx.observations)) == 1
+    assert _shuffles(T.txt_label_counts(fx.observations)) == 1
+    rankings = fx.rankings.select("day", "domain", "rank")
+    base = _shuffles(rankings)  # the fixture's own ranking window
+    assert _shuffles(J.month_features(fx.rankings, fx.observations)) == base + 2
