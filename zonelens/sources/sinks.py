@@ -45,9 +45,12 @@ def write_by_day(df: DataFrame, path: str, col: str = "date", fmt: str = "parque
                  mode: str = "overwrite") -> None:
     """One folder per day (``col=value``): replaces renaming part files.
 
-    Rows are clustered by the day first so each task writes few files.
+    Rows are clustered by the day with a ``rebalance`` hint so each task
+    writes few files; AQE splits a day that holds a large share of the rows
+    over several tasks (``optimizeSkewsInRebalancePartitions``) instead of
+    funnelling it through one writer.
     """
-    (df.repartition(col).write.mode(mode).partitionBy(col).format(fmt)
+    (df.hint("rebalance", col).write.mode(mode).partitionBy(col).format(fmt)
        .option("compression", "gzip" if fmt == "json" else "snappy").save(path))
 
 
