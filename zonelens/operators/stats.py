@@ -59,9 +59,11 @@ def bottom_above(df: DataFrame, col: str, lo: float, k: int = 20,
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str | None = None) -> DataFrame:
-    """repeatable sample of n rows: order by a seeded hash of the key."""
-    cols = [F.col(key)] if key else [F.col(f"`{c}`") for c in df.columns]
-    h = F.xxhash64(F.lit(seed), *cols)
+    """repeatable sample of n rows: the n smallest seeded hashes of the
+    key (``md5`` of ``seed:key``, so any engine can reproduce the sample).
+    A ``TakeOrderedAndProject``: each task keeps n rows."""
+    k = F.col(key).cast("string") if key else F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), k))
     return df.withColumn("_h", h).orderBy("_h", *([key] if key else [])).limit(n).drop("_h")
 
 
