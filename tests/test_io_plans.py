@@ -198,3 +198,32 @@ def test_shuffle_budget_of_headline_operators(spark, fx):
     rankings = fx.rankings.select("day", "domain", "rank")
     base = _shuffles(rankings)  # the fixture's own ranking window
     assert _shuffles(J.month_features(fx.rankings, fx.observations)) == base + 2
+
+
+def test_cli_jobs_on_files(spark, scratch):
+    from zonelens import cli
+    raw = os.path.join(scratch, "raw")
+    os.makedirs(raw)
+    rows = [{"query_type": "TXT", "query_name": "www.a.com.", "response_type": "TXT",
+             "response_name": "a.com.", "timestamp": 1509494400000 + i, "worker_id": 1,
+             "status_code": 0, "txt_text": "v=spf1 -all"} for i in range(3)]
+    rows.append({"query_type": "SOA", "query_name": "a.com.", "response_type": "SOA",
+                 "response_name": "a.com.", "timestamp": 1509494400000, "worker_id": 1,
+                 "status_code": 0, "soa_refresh": 86400, "soa_retry": 7200})
+    with gzip.open(os.path.join(raw, "p.json.gz"), "wt") as f:
+        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    ranks = os.path.join(scratch, "Rank_2017-11-01.csv")
+    with open(ranks, "w") as f:
+        f.write("1,a.com\n2,b.com\n")
+    out = cli.run(spark, ["compact", "--obs", raw, "--out", os.path.join(scratch, "c")])
+    assert out.first().records == ["a.com. SOA None None None 86400 7200 None None",
+                                   "@ TXT v=spf1 -all"]
+    feats = cli.run(spark, ["features", "--rankings", ranks, "--obs", raw, "--out", os.path.join(scratch, "f")])
+    r = feats.first()
+    assert (r.domain, r.alexa_rank, r.TXT, r.SOA) == ("a.com", 1, 1, 1)
+    txt = cli.run(spark, ["txt", "--obs", raw, "--day", "20171101", "--out", os.path.join(scratch, "t"),
+                          "--csv"])
+    got = {(x.section, x.label): x.n for x in txt.collect()}
+    assert got[("basic", "txt")] == 3 and got[("specific", "mail-security.spf")] == 3
+    soa = cli.run(spark, ["soa", "--obs", raw, "--out", os.path.join(scratch, "s")]).first()
+    assert soa.in_range_refresh == 1 and soa.in_range_retry == 1
