@@ -1,5 +1,5 @@
 """Parity of the Spark expressions with the plain-Python models on
-Hypothesis-generated rows (B3, B4, B6, B11, B19, B24, C3).  Each example is
+Hypothesis-generated rows (B3, B4, B5, B6, B11, B19, B24, B29, C3).  Each example is
 a batch of rows evaluated in one Spark job."""
 
 import math
@@ -133,3 +133,42 @@ def test_registrable_domain_parity(spark, hosts):
         assert r.registrable_domain == M.registrable(r.host, RULES), r.host
     assert len(got) == len(hosts)
     assert df.select(F.count("*")).first()[0] == len(hosts)
+
+
+falsy_row = st.tuples(maybe(st.sampled_from(["", "a", "xyz", "0"])), maybe(st.integers(-2, 2)),
+                      maybe(st.sampled_from([0, 7, 2 ** 40])), maybe(st.text(alphabet='ab"\\/', max_size=4)))
+
+
+@FAST
+@given(st.lists(falsy_row, min_size=30, max_size=60))
+def test_prune_falsy_parity(spark, rows):
+    import json
+    df = spark.createDataFrame(rows, "s string, i int, l bigint, t string")
+    got = [json.loads(r.j) for r in df.select(RF.prune_falsy(df).alias("j")).collect()]
+    for row, obj in zip(rows, got):
+        assert obj == {k: v for k, v in zip(("s", "i", "l", "t"), row) if v}
+
+
+def _short(r):
+    t, resp = r["response_type"], r["response_name"]
+    if not t:
+        return "Unknown response type"
+    payload = {"A": r.get("ip4_address"), "AAAA": r.get("ip6_address"),
+               "CNAME": r.get("cname_name")}.get(t, resp)
+    return "%s %s %s" % (resp, t, payload)
+
+
+short_row = st.fixed_dictionaries({
+    "response_type": st.sampled_from(["A", "AAAA", "CNAME", "NS", "", None]),
+    "response_name": maybe(name), "ip4_address": maybe(st.just("10.0.0.1")),
+    "ip6_address": maybe(st.just("2001:db8::1")), "cname_name": maybe(name)})
+
+
+@FAST
+@given(st.lists(short_row, min_size=30, max_size=60))
+def test_short_line_parity(spark, rows):
+    cols = ["response_type", "response_name", "ip4_address", "ip6_address", "cname_name"]
+    df = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows],
+                               ", ".join(f"{c} string" for c in cols))
+    got = [x.l for x in df.select(RF.short_line().alias("l")).collect()]
+    assert got == [_short(r) for r in rows]
