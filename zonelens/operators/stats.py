@@ -90,33 +90,44 @@ def removed_count(df: DataFrame, cond) -> DataFrame:
     return df.agg(F.count_if(cond).alias("removed"), F.count(F.lit(1)).alias("rows"))
 
 
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """(v, c): each distinct non-null value of ``col`` (as double) and how
+    often it occurs, written once to the shared checkpoint folder.  A hot
+    value collapses to one row; several later jobs read the small table
+    instead of recomputing the input lineage."""
+    counted = (df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+                 .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
+    return cut_lineage(counted)
+
+
 def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75),
                     partitions: int | None = None, small_limit: int = 1_000_000) -> DataFrame:
     """Exact linearly interpolated quantiles (pandas/``quantile_cont``),
     computed without gathering the column in one place.
 
-    Values are counted per distinct value first.  When the number of
-    distinct values is at most ``small_limit`` (checked, one cheap count of
-    the checkpointed table) a single weighted ``percentile`` aggregate is
-    exact and its buffer is bounded by that check; beyond it the distinct
-    values are range-partitioned and positions come from running counts.
+    Returns one row per probability: (p, value).  See ``quantiles_of_counts``.
+    """
+    return quantiles_of_counts(value_counts(df, col), probs, partitions, small_limit)
+
+
+def quantiles_of_counts(counted: DataFrame, probs=(0.25, 0.5, 0.75),
+                        partitions: int | None = None, small_limit: int = 1_000_000) -> DataFrame:
+    """Quantiles from a (v, c) value-count table.
 
-    Returns one row per probability: (p, value).
+    When there are at most ``small_limit`` distinct values (checked, one
+    cheap count of the checkpointed table) a single weighted ``percentile``
+    aggregate is exact and its buffer is bounded by that check; beyond it
+    the distinct values are range-partitioned and each value's global
+    position range comes from per-partition running counts plus a
+    one-row-per-partition offset table.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = F.col(col)
-    counted = (df.select(v.cast("double").alias("v")).filter(F.col("v").isNotNull())
-                 .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-    # The distinct-value table is read by three jobs (total, range bounds,
-    # positions): write it once to the shared checkpoint folder instead of
-    # recomputing the input lineage each time.
-    counted = cut_lineage(counted)
+    spark = counted.sparkSession
+    ps = [float(p) for p in probs]
     if small_limit and counted.count() <= small_limit:
-        ps = [float(p) for p in probs]
         vals = counted.agg(F.percentile("v", F.array(*[F.lit(p) for p in ps]), F.col("c")).alias("q"))
         return vals.select(F.inline(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"),
                                                  F.col("q").alias("value"))))
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (counted.repartitionByRange(parts, "v")
                      .withColumn("pid", F.spark_partition_id()))
     w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -130,10 +141,10 @@ def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75),
                 .select("v", (F.col("off") + F.col("cum") - F.col("c")).alias("start"),
                         (F.col("off") + F.col("cum") - 1).alias("end")))
     wanted = []
-    for p in probs:
-        h = F.lit(float(p)) * (n - 1)
+    for p in ps:
+        h = F.lit(p) * (n - 1)
         for side, k in ((0, F.floor(h)), (1, F.ceil(h))):
-            wanted.append(F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side"),
+            wanted.append(F.struct(F.lit(p).alias("p"), F.lit(side).alias("side"),
                                    k.cast("long").alias("k"), (h - F.floor(h)).alias("frac")))
     hit = (pos.select("v", "start", "end", F.explode(F.array(*wanted)).alias("t"))
               .filter((F.col("t.k") >= F.col("start")) & (F.col("t.k") <= F.col("end"))))
@@ -144,11 +155,21 @@ def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75),
 
 
 def describe_numeric(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, sample std, min, quartiles, max of one column."""
-    c = F.col(col)
-    base = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                  F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
-    q = exact_quantiles(df, col)
+    """Count, mean, sample std, min, quartiles, max of one column.
+
+    Everything is computed from the checkpointed value-count table, so the
+    input is read once: weighted sums for count/mean, a second small pass
+    for the centred sum of squares, the quartiles from the same table.
+    """
+    counted = value_counts(df, col)
+    v, c = F.col("v"), F.col("c")
+    n = F.sum(c)
+    mean = counted.agg((F.sum(v * c) / n).alias("m")).scalar()
+    base = counted.agg(
+        n.alias("count"), (F.sum(v * c) / n).alias("mean"),
+        F.sqrt(F.try_divide(F.sum(c * (v - mean) * (v - mean)), n - 1)).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles_of_counts(counted)
     quart = q.agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
                     for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
     qs = quart.select(F.struct("q25", "q50", "q75")).scalar()
