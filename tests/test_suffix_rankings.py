@@ -107,3 +107,16 @@ def test_sample_n_repeatable(spark):
     b = [r.k for r in S.sample_n(df, 10, seed=1, key="k").collect()]
     c = [r.k for r in S.sample_n(df, 10, seed=2, key="k").collect()]
     assert a == b and len(a) == 10 and a != c
+
+
+def test_describe_numeric_matches_pandas(spark):
+    import pandas as pd
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.normal(3.0, 0.7, 300), np.full(100, 2.5)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = S.describe_numeric(df, "x").first()
+    exp = pd.Series(vals).describe()
+    assert got["count"] == int(exp["count"])
+    for ours, theirs in (("mean", "mean"), ("std", "std"), ("min", "min"), ("q25", "25%"),
+                         ("q50", "50%"), ("q75", "75%"), ("max", "max")):
+        assert math.isclose(got[ours], float(exp[theirs]), rel_tol=1e-9, abs_tol=1e-12), ours
