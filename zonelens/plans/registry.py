@@ -175,10 +175,11 @@ def _json_field(name: str, kind: str) -> str:
     return f"CASE WHEN {name} <> 0 THEN '\"{name}\":' || CAST({name} AS VARCHAR) END"
 
 
-def _obs_payload_fields(spark_df: DataFrame | None = None):
-    # observation view columns (minus id, day and timestamp) with their kinds
-    from zonelens.plans.bindings import OBSERVATIONS_SQL
+def _obs_payload_fields():
+    """Observation view columns in view order, minus id, day and timestamp."""
     import re
+
+    from zonelens.plans.bindings import OBSERVATIONS_SQL
     cols = re.findall(r"AS (\w+)\s*(?:,|\n)", OBSERVATIONS_SQL)
     return [c for c in cols if c not in ("event_id", "day", "timestamp")]
 
