@@ -120,3 +120,16 @@ def test_describe_numeric_matches_pandas(spark):
     for ours, theirs in (("mean", "mean"), ("std", "std"), ("min", "min"), ("q25", "25%"),
                          ("q50", "50%"), ("q75", "75%"), ("max", "max")):
         assert math.isclose(got[ours], float(exp[theirs]), rel_tol=1e-9, abs_tol=1e-12), ours
+
+
+def test_point_biserial_report(spark):
+    rng = np.random.default_rng(5)
+    flag = rng.integers(0, 2, 200)
+    val = rng.normal(0, 1, 200) + 0.5 * flag
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(flag, val)], "f int, v double")
+    rep = S.point_biserial_report(df, "f", "v")
+    r = float(np.corrcoef(flag, val)[0, 1])
+    assert math.isclose(rep["r"], r, rel_tol=1e-9) and rep["n"] == 200
+    t = r * math.sqrt(198 / (1 - r * r))
+    assert math.isclose(rep["t"], t, rel_tol=1e-9)
+    assert 0.0 <= rep["p"] < 0.05  # a real effect of half a standard deviation

@@ -214,6 +214,19 @@ def point_biserial(df: DataFrame, flag: str, col: str) -> DataFrame:
     return out.select("r", t.alias("t"), "n")
 
 
+def point_biserial_report(df: DataFrame, flag: str, col: str) -> dict:
+    """D16 as the notebook reports it: r and its two-sided p-value.
+
+    The aggregate runs distributed; only its single result row reaches the
+    driver, where the p-value of Student's t with n-2 degrees of freedom is
+    evaluated.
+    """
+    row = point_biserial(df, flag, col).first()
+    r, t, n = row["r"], row["t"], row["n"]
+    p = t_pvalue(t, n - 2) if t is not None else float("nan")
+    return {"r": r, "t": t, "n": n, "p": p}
+
+
 def _betacf(a: float, b: float, x: float) -> float:
     """Continued fraction of the regularised incomplete beta (Lentz)."""
     tiny = 1e-300
