@@ -29,9 +29,10 @@ def test_streaming_daily_counts_match_batch(spark, scratch, fx):
                      checkpoint=os.path.join(scratch, "ck2"), available_now=True)
     q3 = daily.start(daily.daily_txt_labels(stream, "0 seconds"), "lab_test", sink="memory",
                      checkpoint=os.path.join(scratch, "ck3"), available_now=True)
-    q1.awaitTermination()
-    q2.awaitTermination()
-    q3.awaitTermination()
+    q4 = daily.start(daily.daily_txt_basic(stream, "0 seconds"), "basic_test", sink="memory",
+                     checkpoint=os.path.join(scratch, "ck4"), available_now=True)
+    for q in (q1, q2, q3, q4):
+        q.awaitTermination()
     batch = QT.query_type_counts(fx.observations)
     got = spark.sql("SELECT * FROM qt_test")
     # append mode emits a day once the watermark passes it: every day but the last
@@ -44,3 +45,6 @@ def test_streaming_daily_counts_match_batch(spark, scratch, fx):
     lab = T.txt_label_counts(fx.observations).filter(F.col("day") < last)
     assert {(str(r.day), r.label): r.n for r in lab.collect()} == \
         {(str(r.day), r.label): r.n for r in spark.sql("SELECT * FROM lab_test").collect()}
+    basic = T.txt_basic(fx.observations).filter(F.col("day") < last)
+    assert {str(r.day): (r.total, r.txt, r.correct_txt) for r in basic.collect()} == \
+        {str(r.day): (r.total, r.txt, r.correct_txt) for r in spark.sql("SELECT * FROM basic_test").collect()}
