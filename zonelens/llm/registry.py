@@ -4,9 +4,11 @@ from zonelens.llm import exact_dedup, mixing, url_filter, warc
 from zonelens.llm.decontaminate import op3_rare_seeds
 from zonelens.llm.html_extract import op7_tree_scoring
 from zonelens.llm.language_id import op2_ppm
+from zonelens.llm.suffix_dedup import op1_prefix_free_parsing
 from zonelens.llm.toxicity import op5_crf
 
 QUERIES = {
+    "op1_prefix_free_parsing": op1_prefix_free_parsing,
     "op2_ppm": op2_ppm,
     "op3_rare_seeds": op3_rare_seeds,
     "op4_water_filling": mixing.op4_water_filling,
