@@ -84,6 +84,20 @@ def with_ids(docs: DataFrame, ids: DataFrame, bounded: bool = False) -> DataFram
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi")
 
 
+def least_by_hash(rows: DataFrame, key: str, most) -> DataFrame:
+    """Of rows (key, doc_id): per key the ``most`` (a column or number) of least hash
+    of doc_id.  A cut at about three times the wanted share comes first, so that the
+    ranking of a key that most rows have is no longer than that of a rare one."""
+    from pyspark.sql import Window
+
+    most = most if isinstance(most, Column) else F.lit(most)
+    h = F.xxhash64("doc_id")
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__size"))
+    near = rows.join(sizes, key).where(F.pmod(h, F.lit(1_000_000)) * F.col("__size") <= most * 3_000_000)
+    w = Window.partitionBy(key).orderBy(F.pmod(h, F.lit(1_000_000)), h, "doc_id")
+    return near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n", "__size")
+
+
 def one_row_each(docs: DataFrame) -> DataFrame:
     """One row per doc_id: the longest text, then the least other columns."""
     from pyspark.sql import Window

@@ -27,10 +27,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import table, with_ids
+from zonelens.llm.common import least_by_hash, table, with_ids
 
 ORDER, PER_LANGUAGE, MOST_BYTES = 3, 300, 20_000
 #: Bytes of text that are scored at a time.
@@ -46,9 +46,7 @@ def has_letter(text: str) -> bool:
 def learning_sample(docs: DataFrame) -> DataFrame:
     """lang, text of the bounded sample of the learning fold."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (docs.where(F.col("lang").isNotNull() & (fold != 2)).select("doc_id", "lang")
-           .withColumn("n", F.row_number().over(w)).where(f"n <= {PER_LANGUAGE}").select("doc_id"))
+    ids = least_by_hash(docs.where(F.col("lang").isNotNull() & (fold != 2)).select("doc_id", "lang"), "lang", PER_LANGUAGE)
     return with_ids(docs.select("doc_id", "lang", "text"), ids, bounded=True).where(
         F.col("lang").isNotNull() & F.length("text").between(1, MOST_BYTES)).select("lang", "text")
 

@@ -4,6 +4,7 @@ from zonelens.llm import exact_dedup, mixing, url_filter, warc
 from zonelens.llm.decontaminate import op3_rare_seeds
 from zonelens.llm.html_extract import op7_tree_scoring
 from zonelens.llm.language_id import op2_ppm
+from zonelens.llm.ngram_join import op8_token_groups
 from zonelens.llm.suffix_dedup import op1_prefix_free_parsing
 from zonelens.llm.toxicity import op5_crf
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_crf": op5_crf,
     "op6_content_sort": exact_dedup.op6_content_sort,
     "op7_tree_scoring": op7_tree_scoring,
+    "op8_token_groups": op8_token_groups,
     "op9_warc_ranges": warc.op9_warc_ranges,
     "op10_url_trie": url_filter.op10_url_trie,
 }

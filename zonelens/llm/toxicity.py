@@ -30,10 +30,10 @@ are scored one by one; an empty table gives no rows; other columns are ignored.
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import table
+from zonelens.llm.common import least_by_hash, table
 from zonelens.llm.words import LETTERS, Words, mixed, pieces, stretch
 
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 8000, 20_000
@@ -272,9 +272,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     by_doc = labels.where((fold != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = by_doc.withColumn("n", F.row_number().over(w)).where(
-        F.col("n") <= F.when(F.col("toxic") == 1, MOST_TOXIC).otherwise(MOST_CLEAN)).select("doc_id", "toxic")
+    ids = least_by_hash(by_doc, "toxic", F.when(F.col("toxic") == 1, MOST_TOXIC).otherwise(MOST_CLEAN)).select("doc_id", "toxic")
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, MOST_CHARS))
     rows = sample.select("doc_id", "text", "toxic").collect()  # bounded: MOST_TOXIC + MOST_CLEAN texts
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))

@@ -84,8 +84,6 @@ class Words:
         self.data = lut[np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)]
         inside = np.zeros(len(self.data) + 1, np.int8)
         inside[1:] = self.data != 0
-        if lut is UNSPACED:
-            inside[self.base[1:]] = 0
         edges = np.flatnonzero(np.diff(inside))
         self.start, self.end = edges[0::2], edges[1::2]
         self.q = prefix_sums(self.data)
