@@ -93,7 +93,7 @@ def least_by_hash(rows: DataFrame, key: str, most) -> DataFrame:
     most = most if isinstance(most, Column) else F.lit(most)
     h = F.xxhash64("doc_id")
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__size"))
-    near = rows.join(sizes, key).where(F.pmod(h, F.lit(1_000_000)) * F.col("__size") <= most * 3_000_000)
+    near = rows.join(sizes, key).where(F.pmod(h, F.lit(1_000_000)) * F.col("__size") <= most.cast("long") * F.lit(3_000_000).cast("long"))
     w = Window.partitionBy(key).orderBy(F.pmod(h, F.lit(1_000_000)), h, "doc_id")
     return near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n", "__size")
 
