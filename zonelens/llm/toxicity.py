@@ -183,12 +183,37 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
+def without_copies(texts: list[str]) -> np.ndarray:
+    """Numbers of texts that share none of four minhashes of word triples with an
+    earlier one: words of a document with many near copies must not look frequent."""
+    taken: set[int] = set()
+    kept = []
+    for first, raws in pieces(texts):
+        w = Words(raws, LETTERS)
+        grams, at = w.grams(3)
+        doc = w.doc[at]
+        begin = np.searchsorted(doc, np.arange(len(raws)))
+        has = np.bincount(doc, minlength=len(raws)) > 0
+        least = np.zeros((4, len(raws)), np.uint64)
+        for i in range(4):
+            if has.any():
+                least[i][has] = np.minimum.reduceat(mixed(grams + np.uint64(2 * i + 1)), begin[has])
+        for j in range(len(raws)):
+            marks = [int(x) for x in least[:, j]] if has[j] else [hash(raws[j])]
+            if not taken.intersection(marks):
+                kept.append(first + j)
+            taken.update(marks)
+    return np.array(kept, np.int64)
+
+
 class Model:
     def __init__(self, texts: list[str], labels: np.ndarray) -> None:
         self.rate = None
         self.beta = None
         if not len(labels):
             return
+        kept = without_copies(texts)
+        texts, labels = [texts[i] for i in kept], labels[kept]
         toxic, n1, n0 = labels == 1, int((labels == 1).sum()), int((labels == 0).sum())
         per_piece, owners = [], []
         for first, raws in pieces(texts):
