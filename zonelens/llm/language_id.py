@@ -107,7 +107,7 @@ class Tables:
             rows += len(contexts)
         table_ = np.concatenate(parts)
         table_[:, 0, :] = 0  # the padding before a text costs nothing
-        self.cost, self.index, self.order = table_.reshape(-1, langs), index.astype(np.int32), order
+        self.cost, self.index, self.order = table_.reshape(len(table_) * 128, langs), index.astype(np.int32), order
 
     def lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code length in bits of each padded text, by language."""
