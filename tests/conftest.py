@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,6 +15,7 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from zonelens.session import get_session
     s = get_session(master="local[*]", shuffle_partitions=8, app_name="zonelens-tests")
+    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="zonelens-tests-"))
     yield s
     s.stop()
 

@@ -132,7 +132,7 @@ def test_suffix_join_is_equi(spark):
 
 def test_registered_queries_have_no_python_udfs(spark):
     for name in ("c2_j2_day_features", "d7_txt_label_counts", "j6_name_features",
-                 "c3_registrable_domain", "b11_entropy_documents", "e1_top_n_per_day"):
+                 "c3_registrable_domain", "e1_top_n_per_day"):
         plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "EvalPython" not in plan, name
         assert "CartesianProduct" not in plan, name
@@ -195,35 +195,117 @@ def test_shuffle_budget_of_headline_operators(spark, fx):
     # (the record sets are already clustered by (domain, date) after their aggregate)
     assert _shuffles(REC.compact_records(fx.observations)) == 1
     assert _shuffles(T.txt_label_counts(fx.observations)) == 1
+    assert _shuffles(T.txt_report_counts(fx.observations)) == 1
     rankings = fx.rankings.select("day", "domain", "rank")
     base = _shuffles(rankings)  # the fixture's own ranking window
-    assert _shuffles(J.month_features(fx.rankings, fx.observations)) == base + 2
+    # distinct lines, then counts per (domain, date); one exchange for the rankings side
+    plan = _plan(J.month_features(fx.rankings, fx.observations))
+    assert _shuffles(J.month_features(fx.rankings, fx.observations)) == base + 3
+    assert "ObjectHashAggregate" not in plan and "collect_" not in plan
+
+
+def test_document_entropy_needs_no_shuffle(spark):
+    from zonelens.operators.entropy import text_entropy
+    assert "Exchange" not in _plan(QUERIES["b11_entropy_documents"](spark, "/root/testdata/sf0.001"))
+    df = spark.createDataFrame([(1, "aa"), (1, "bb"), (2, "ab"), (3, ""), (4, None), (5, "é漢" * 4)], "k int, t string")
+    assert sorted(((r.k, r.entropy) for r in text_entropy(df, "k", "t").collect()), key=str) == [
+        (1, 0.0), (1, 0.0), (2, 1.0), (3, 0.0), (4, None), (5, 1.0)]
+
+
+def test_registered_plans_have_no_round_robin(spark):
+    import contextlib
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
+    try:
+        for name in QUERIES:
+            assert "RoundRobin" not in _plan(QUERIES[name](spark, "/root/testdata/sf0.001")), name
+    finally:
+        with contextlib.suppress(Exception):
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_reports_read_the_observations_once(spark):
+    for name in ("j7_txt_report", "d20_txt_shares_with_other", "d20_query_type_shares"):
+        plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert plan.split("== Physical Plan ==")[-1].count("events.parquet") <= 2, name  # tree line and details
+
+
+def test_rollup_keeps_rows_without_a_day(spark):
+    from zonelens.operators import txt as T
+    df = spark.createDataFrame([(None, "a.b", 2), ("2024-01-01", "a.b", 3)], "day string, label string, n int")
+    got = {(r.day, r.label, r.level): r.n for r in T.category_rollup(df).collect()}
+    assert got[(None, "a.b", 0)] == 2 and got[(None, None, 3)] == 2 and len(got) == 6
+
+
+def test_href_forms(spark):
+    html = ("<a HREF = '/th 1'>x</a><a href=/than>y</a><a data-href=\"/no\" href=\"/an?x=1\">z</a><a href='/th'>short</a>"
+            "<a href=\"/t.hx\">dot</a>")
+    df = spark.createDataFrame([(html,)], "html string")
+    assert [r.link for r in RD.extract_links(df, "/", ["th", "an"]).collect()] == ["/th 1", "/than", "/an?x=1"]
+    assert [r.link for r in RD.extract_links(df, "/t.").collect()] == ["/t.hx"]
+    assert RD.extract_links(spark.createDataFrame([(None,)], "html string"), "/").count() == 0
 
 
 def test_cli_jobs_on_files(spark, scratch):
     from zonelens import cli
-    raw = os.path.join(scratch, "raw")
+    raw = os.path.join(scratch, "raw", "20171101")
     os.makedirs(raw)
+    day = 1509494400000
     rows = [{"query_type": "TXT", "query_name": "www.a.com.", "response_type": "TXT",
-             "response_name": "a.com.", "timestamp": 1509494400000 + i, "worker_id": 1,
-             "status_code": 0, "txt_text": "v=spf1 -all"} for i in range(3)]
+             "response_name": "a.com.", "timestamp": day + i, "worker_id": 1,
+             "status_code": 0, "txt_text": "v=spf1 -all" if i else "my password"} for i in range(3)]
     rows.append({"query_type": "SOA", "query_name": "a.com.", "response_type": "SOA",
-                 "response_name": "a.com.", "timestamp": 1509494400000, "worker_id": 1,
+                 "response_name": "a.com.", "timestamp": day, "worker_id": 1,
                  "status_code": 0, "soa_refresh": 86400, "soa_retry": 7200})
+    rows.append({"query_type": "A", "query_name": "b.com.", "response_type": "A", "response_name": "b.com.",
+                 "timestamp": day + 86400_000, "worker_id": 1, "status_code": 0, "ip4_address": "1.2.3.4"})
     with gzip.open(os.path.join(raw, "p.json.gz"), "wt") as f:
-        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
-    ranks = os.path.join(scratch, "Rank_2017-11-01.csv")
-    with open(ranks, "w") as f:
-        f.write("1,a.com\n2,b.com\n")
-    out = cli.run(spark, ["compact", "--obs", raw, "--out", os.path.join(scratch, "c")])
-    assert out.first().records == ["a.com. SOA None None None 86400 7200 None None",
-                                   "@ TXT v=spf1 -all"]
-    feats = cli.run(spark, ["features", "--rankings", ranks, "--obs", raw, "--out", os.path.join(scratch, "f")])
-    r = feats.first()
-    assert (r.domain, r.alexa_rank, r.TXT, r.SOA) == ("a.com", 1, 1, 1)
-    txt = cli.run(spark, ["txt", "--obs", raw, "--day", "20171101", "--out", os.path.join(scratch, "t"),
-                          "--csv"])
-    got = {(x.section, x.label): x.n for x in txt.collect()}
-    assert got[("basic", "txt")] == 3 and got[("specific", "mail-security.spf")] == 3
-    soa = cli.run(spark, ["soa", "--obs", raw, "--out", os.path.join(scratch, "s")]).first()
-    assert soa.in_range_refresh == 1 and soa.in_range_retry == 1
+        f.write("\n".join(json.dumps(r) for r in rows) + "\n{broken\n")
+    for d, text in (("2017-11-01", "1,a.com\n2,b.com\nn/a,c.com\nno-comma\n"), ("2017-11-02", "1,b.com\n2,a.com\n")):
+        with open(os.path.join(scratch, f"Rank_{d}.csv"), "w") as f:
+            f.write(text)
+    ranks = os.path.join(scratch, "Rank_*.csv")
+    src = ["--obs", raw]
+    both = ["--rankings", ranks, *src]
+
+    def job(name, *args):
+        out = os.path.join(scratch, "out-" + name)
+        return out, cli.run(spark, [name, *args, "--out", out])
+
+    def rejected(out):
+        return {(r.source, r.reason): r.n for r in spark.read.json(out + ".rejected").collect() if r.n}
+
+    malformed = {("observations", "malformed line"): 1}
+    bad_ranks = {("rankings", "not two fields"): 1, ("rankings", "rank is no number"): 1}
+    out, got = job("compact", *src)
+    assert {r.domain: r.records for r in got.collect()}["b.com"] == ["@ A 1.2.3.4"] and rejected(out) == malformed
+    out, got = job("grouped", *src, "--day", "20171101")
+    assert [sum(x.n for x in r.records) for r in got.collect()] == [4]
+    out, got = job("convert", *src)
+    assert spark.read.json(out).count() == 5 and rejected(out) == malformed
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    out, got = job("features", *both, "--day", "20171101")
+    assert [(r.domain, r.date, r.alexa_rank, r.TXT, r.SOA) for r in spark.read.parquet(out).collect()] == [("a.com", "20171101", 1, 2, 1)]
+    assert rejected(out) == malformed | bad_ranks
+    plan = _plan(got)
+    assert f"GreaterThanOrEqual(timestamp,{day})" in plan and f"LessThan(timestamp,{day + 86400_000})" in plan
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    out, got = job("correlation", *both)
+    assert got.count() == 2 * 105
+    out, got = job("rank-stats", "--rankings", ranks)
+    stats = ["--stats", out]
+    assert {r.domain: r["count"] for r in got.collect()} == {"a.com": 2, "b.com": 2, "c.com": 0} and rejected(out) == bad_ranks
+    out, got = job("top", "--rankings", ranks, "--n", "1")
+    assert sorted((r.date, r.domain) for r in got.collect()) == [("20171101", "a.com"), ("20171102", "b.com")]
+    assert job("names", *stats)[1].count() == 2 and job("entropy", *stats)[1].count() == 3
+    assert [(r.length, r.len_count) for r in job("lengths", *stats)[1].collect()] == [(5, 3)]
+    assert sorted(map(tuple, job("length-rank", *stats)[1].collect())) == [(5, 1), (5, 1)]
+    assert job("random-names", *stats)[1].count() == 8
+    out, got = job("txt", *src, "--day", "20171101", "--csv")
+    counts = {(x.section, x.label): x.n for x in got.collect()}
+    assert counts[("basic", "txt")] == 3 and counts[("specific", "mail-security.spf")] == 2 and counts[("sensitive", "sensitive")] == 1
+    assert [r._c1 for r in spark.read.csv(out + ".sensitive").collect()] == ["my password"] and rejected(out) == malformed
+    soa = job("soa", *src)[1].collect()
+    assert {(r.in_range_refresh, r.in_range_retry) for r in soa} == {(1, 1), (0, 0)}
+    assert {r.query_type for r in job("qtypes", *src, "--day", "20171102")[1].collect()} == {"A"}
+    audit = {str(r.day): (r.files, r.complete) for r in job("audit", "--obs", os.path.dirname(raw), "--rankings", ranks, "--files", "1")[1].collect()}
+    assert audit == {"2017-11-01": (1, True), "2017-11-02": (0, False)}

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import models as M
@@ -68,23 +69,56 @@ def test_top_n_per_day_exactly_n(spark):
 
 
 def test_first_day_trajectories(spark):
-    rows = [("d1", "a", 1, 1), ("d1", "b", 2, 2), ("d2", "a", 3, 1), ("d2", "c", 1, 2), ("d3", "b", 9, 1)]
-    df = spark.createDataFrame(rows, "date string, domain string, alexa_rank int, rank int")
-    got = sorted((r.date, r.domain) for r in R.first_day_trajectories(df, 1).collect())
-    assert got == [("d1", "a"), ("d2", "a")]
+    rows = [("2024-01-01", "a", 1), ("2024-01-01", "b", 2), ("2024-01-02", "a", 3), ("2024-01-02", "c", 1),
+            ("2024-01-03", "b", 9), ("2024-01-01", "bad", None)]
+    df = spark.createDataFrame(rows, "day string, domain string, rank int").withColumn("day", F.to_date("day"))
+    got = sorted((r.date, r.domain, r.rank) for r in R.first_day_trajectories(df, 2, None, k=1).collect())
+    assert got == [("20240101", "a", 1), ("20240102", "a", 2)]
 
 
-def test_exact_quantiles_match_numpy(spark):
+def test_rejected_ranks_take_no_part(spark):
+    df = spark.createDataFrame([("2024-01-01", "bad.com", None), ("2024-01-01", "a.com", 5)], "day string, domain string, rank int") \
+              .withColumn("day", F.to_date("day"))
+    assert [(r.domain, r.rank) for r in R.top_n_per_day(df, 1).collect()] == [("a.com", 1)]
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_exact_quantiles_match_numpy(spark, reuse):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.integers(0, 50, 400), np.full(300, 7)]).astype(float)  # hot value
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double")
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
-    for limit in (0, 1_000_000):  # range-partitioned path, then the bounded percentile path
-        q = {r.p: r.value for r in S.exact_quantiles(df, "x", probs, partitions=5,
-                                                     small_limit=limit).collect()}
-        assert len(q) == len(probs)
-        for p, v in q.items():
-            assert math.isclose(v, float(np.quantile(vals, p)), abs_tol=1e-9), (limit, p)
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        q = {r.p: r.value for r in S.exact_quantiles(df, "x", probs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert len(q) == len(probs)
+    for p, v in q.items():
+        assert math.isclose(v, float(np.quantile(vals, p)), abs_tol=1e-9), p
+    none = S.exact_quantiles(df.filter("x IS NULL"), "x").collect()
+    assert [(r.p, r.value) for r in none] == [(0.25, None), (0.5, None), (0.75, None)]
+
+
+def test_exact_quantiles_of_millions_of_distinct_values(spark):
+    df = spark.range(3_000_000).select((F.pow(F.rand(7) * 2 - 1, 3) * 1e8 + F.col("id") * 1e-3).alias("x")).repartition(8)
+    probs = (0.001, 0.25, 0.5, 0.75, 0.9999)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        exact = df.agg(F.percentile("x", list(probs)).alias("q")).first()["q"]
+        got = S.exact_quantiles(df, "x", probs)
+        assert "Checkpoint" not in got._jdf.queryExecution().toString()
+        assert {r.p: r.value for r in got.collect()} == pytest.approx(dict(zip(probs, exact)), rel=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_correlation_is_pairwise_complete(spark):
+    rows = [(1.0, 2.0, None), (2.0, 4.0, 1.0), (3.0, 6.0, 5.0), (100.0, None, 2.0), (None, 1.0, 9.0), (7.0, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    exp = df.toPandas().corr()
+    got = {(r.a, r.b): r.r for r in S.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    assert got == {k: pytest.approx(exp.loc[k]) for k in (("a", "b"), ("a", "c"), ("b", "c"))}
 
 
 def test_correlation_constant_column_is_null(spark):
@@ -133,3 +167,14 @@ def test_point_biserial_report(spark):
     t = r * math.sqrt(198 / (1 - r * r))
     assert math.isclose(rep["t"], t, rel_tol=1e-9)
     assert 0.0 <= rep["p"] < 0.05  # a real effect of half a standard deviation
+
+
+def test_point_biserial_p_is_a_column_and_nulls_are_left_out(spark):
+    rows = [(0, 1.0), (0, 2.0), (0, 4.0), (1, 4.0), (1, 5.0), (None, 9.0), (1, None)]
+    r = S.point_biserial(spark.createDataFrame(rows, "f int, v double"), "f", "v").first()
+    full = [x for x in rows if None not in x]
+    rr = float(np.corrcoef(*zip(*full))[0, 1])
+    t = rr * math.sqrt(3 / (1 - rr * rr))
+    # Student's t with 3 degrees of freedom in closed form
+    p = 1 - 2 / math.pi * (math.atan(t / math.sqrt(3)) + t / math.sqrt(3) / (1 + t * t / 3))
+    assert (r["r"], r["t"], r["n"], r["p"]) == (pytest.approx(rr), pytest.approx(t), 5, pytest.approx(p))

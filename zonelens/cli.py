@@ -1,18 +1,32 @@
 """Batch jobs on real input files, one subcommand per reference job.
 
-    spark-submit zonelens/cli.py compact   --obs 'raw/2017-11-*/*.json.gz' --out compact/
-    spark-submit zonelens/cli.py features  --rankings 'ranks/*_2017-11-01.csv' --obs ... --out f/
-    spark-submit zonelens/cli.py rank-stats --rankings 'ranks/*' --out stats/
-    spark-submit zonelens/cli.py names     --stats stats/ --out names/ [--limit 100000]
-    spark-submit zonelens/cli.py entropy   --stats stats/ --out entropy/
-    spark-submit zonelens/cli.py top       --rankings 'ranks/*' --out top/ [--n 100 --exclude google]
-    spark-submit zonelens/cli.py txt       --obs ... --out txt/ [--day 20171101 ...]
-    spark-submit zonelens/cli.py soa       --obs ... --out soa/ [--day ...]
-    spark-submit zonelens/cli.py qtypes    --obs ... --out qtypes/ [--day ...]
-
-``--day`` (repeatable, ``yyyyMMdd``) selects days inside one job (the day is a
-grouping key) instead of one job per day.  Outputs are Parquet unless
-``--csv`` is given (headerless CSV, as the reference wrote).
+    spark-submit zonelens/cli.py compact      --obs 'raw/2017-11-*/*.json.gz' --out compact/
+    spark-submit zonelens/cli.py grouped      --obs ... --out grouped/
+    spark-submit zonelens/cli.py convert      --obs ... --out json/
+    spark-submit zonelens/cli.py features     --rankings 'ranks/*_2017-11-01.csv' --obs ... --out f/
+    spark-submit zonelens/cli.py correlation  --rankings ... --obs ... --out corr/ [--day ...]
+    spark-submit zonelens/cli.py rank-stats   --rankings 'ranks/*' --out stats/
+    spark-submit zonelens/cli.py top          --rankings 'ranks/*' --out top/ [--n 100 --exclude google]
+    spark-submit zonelens/cli.py names        --stats stats/ --out names/ [--limit 100000]
+    spark-submit zonelens/cli.py lengths      --stats stats/ --out lengths/
+    spark-submit zonelens/cli.py length-rank  --stats stats/ --out lr/ [--limit 1000]
+    spark-submit zonelens/cli.py entropy      --stats stats/ --out entropy/
+    spark-submit zonelens/cli.py random-names --stats stats/ --out bands/
+    spark-submit zonelens/cli.py txt          --obs ... --out txt/ [--day 20171101 ...]
+    spark-submit zonelens/cli.py soa          --obs ... --out soa/ [--day ...]
+    spark-submit zonelens/cli.py qtypes       --obs ... --out qtypes/ [--day ...]
+    spark-submit zonelens/cli.py audit        --obs raw/ --rankings 'ranks/*' --out audit/
+
+``--day`` (repeatable, ``yyyy[MM[dd]]``) selects days inside one job (the day is a
+grouping key) instead of one job per day: on observations as a range of the raw
+timestamp, which reaches the scan, and on rankings by the day of the file name.
+Outputs are Parquet unless ``--csv`` is given (headerless CSV, as the reference
+wrote); ``compact``, ``grouped`` and ``convert`` write gzip JSON lines.  ``txt`` writes
+the sensitive rows beside its counts (``<out>.sensitive``).
+
+Every job over raw input also writes what it had to leave out, by reason, to
+``<out>.rejected`` (malformed lines, missing required fields, ranks that are no
+numbers, ...): one more pass over that input.
 """
 
 from __future__ import annotations
@@ -31,33 +45,91 @@ from zonelens.functions.names import day_key  # noqa: E402
 from zonelens.operators import querytypes as QT  # noqa: E402
 from zonelens.operators import rankings as R  # noqa: E402
 from zonelens.operators import records as REC  # noqa: E402
-from zonelens.operators.soa import soa_ranges  # noqa: E402
 from zonelens.plans import jobs as J  # noqa: E402
 from zonelens.sources import readers as RD  # noqa: E402
 from zonelens.sources import sinks as SK  # noqa: E402
 
-
-def _observations(spark, args) -> DataFrame:
-    obs = RD.read_observations(spark, args.obs).filter(F.col("_corrupt_record").isNull()) \
-            .drop("_corrupt_record")
-    obs = obs.withColumn("day", F.to_date(day_key("timestamp"), "yyyyMMdd"))
-    if getattr(args, "day", None):
-        obs = RD.filter_days(obs, args.day)
-    return obs
-
-
-def _write(df: DataFrame, args) -> None:
-    if args.csv:
-        SK.write_csv(df, args.out, compression="gzip")
+JOBS = ("compact", "grouped", "convert", "features", "correlation", "rank-stats", "top", "names", "lengths",
+        "length-rank", "entropy", "random-names", "txt", "soa", "qtypes", "audit")
+
+
+class Inputs:
+    """The inputs of one job, read when first used, and their reject counts."""
+
+    def __init__(self, spark: SparkSession, args) -> None:
+        self.spark, self.args, self.rejects = spark, args, []
+
+    def raw_observations(self) -> DataFrame:
+        raw = RD.read_observations(self.spark, self.args.obs)
+        self.rejects.append(RD.rejected_observations(raw))
+        obs = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        return RD.filter_timestamps(obs, self.args.day) if self.args.day else obs
+
+    def observations(self) -> DataFrame:
+        return self.raw_observations().withColumn("day", F.to_date(day_key("timestamp"), "yyyyMMdd"))
+
+    def rankings(self) -> DataFrame:
+        lines = RD.read_rank_lines(self.spark, self.args.rankings)
+        self.rejects.append(RD.rejected_rank_lines(lines))
+        ranks = RD.parse_rank_lines(lines)
+        return RD.filter_days(ranks, self.args.day) if self.args.day else ranks
+
+    def stats(self) -> DataFrame:
+        return self.spark.read.parquet(self.args.stats)
+
+
+def audit(inputs: Inputs) -> DataFrame:
+    """Per day of the rankings, the observation files found for it (the day is
+    the eight digits of the folder name)."""
+    files = RD.list_files(inputs.spark, inputs.args.obs[0]).select(
+        F.try_to_date(F.regexp_extract("path", r"/(\d{8})/[^/]*$", 1), "yyyyMMdd").alias("day"), F.col("path").alias("file_name"))
+    return RD.audit_days(inputs.rankings().select("day"), files, inputs.args.files)
+
+
+def result(job: str, x: Inputs) -> DataFrame:
+    a = x.args
+    if job == "compact":
+        return REC.compact_records(x.observations())
+    if job == "grouped":
+        return REC.group_records(x.raw_observations())
+    if job == "features":
+        return J.day_features(x.rankings(), x.observations())
+    if job == "correlation":
+        return J.rank_record_correlation(x.rankings(), x.observations())
+    if job == "rank-stats":
+        return R.rank_stats(x.rankings())
+    if job == "top":
+        return R.top_n_per_day(x.rankings(), a.n, a.exclude)
+    if job == "names":
+        return R.name_features(x.stats(), a.limit or 100_000)
+    if job == "lengths":
+        return R.length_histogram(x.stats())
+    if job == "length-rank":
+        return R.length_vs_rank(x.stats(), a.limit or 1000)
+    if job == "entropy":
+        return R.domain_entropy(x.stats())
+    if job == "random-names":
+        return J.random_name_bands(R.domain_entropy(x.stats()))
+    if job == "txt":
+        return J.txt_report(x.observations())
+    if job == "soa":
+        return J.soa_report(x.observations())
+    if job == "qtypes":
+        return QT.query_type_counts(x.observations())
+    return audit(x)
+
+
+def _write(df: DataFrame, path: str, csv: bool) -> None:
+    if csv:
+        SK.write_csv(df, path, compression="gzip")
     else:
-        df.write.mode("overwrite").parquet(args.out)
+        df.write.mode("overwrite").parquet(path)
 
 
 def run(spark: SparkSession, argv: list[str]) -> DataFrame:
     p = argparse.ArgumentParser(prog="zonelens")
     sub = p.add_subparsers(dest="cmd", required=True)
-    for name in ("compact", "features", "rank-stats", "names", "entropy", "top", "txt", "soa",
-                 "qtypes"):
+    for name in JOBS:
         s = sub.add_parser(name)
         s.add_argument("--out", required=True)
         s.add_argument("--csv", action="store_true")
@@ -65,34 +137,31 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
         s.add_argument("--rankings", nargs="*")
         s.add_argument("--stats")
         s.add_argument("--day", action="append")
-        s.add_argument("--limit", type=int, default=100_000)
+        s.add_argument("--limit", type=int)
         s.add_argument("--n", type=int, default=100)
         s.add_argument("--exclude", default="google")
+        s.add_argument("--files", type=int, default=11)
     args = p.parse_args(argv)
-
-    if args.cmd == "compact":
-        out = REC.compact_records(_observations(spark, args))
-        if args.csv:
-            raise SystemExit("compact writes gzip JSON lines; drop --csv")
-        SK.write_records(out, args.out)
-        return out
-    if args.cmd == "features":
-        out = J.day_features(RD.read_rankings(spark, args.rankings), _observations(spark, args))
-    elif args.cmd == "rank-stats":
-        out = R.rank_stats(RD.read_rankings(spark, args.rankings))
-    elif args.cmd == "names":
-        out = R.name_features(spark.read.parquet(args.stats), args.limit)
-    elif args.cmd == "entropy":
-        out = R.domain_entropy(spark.read.parquet(args.stats))
-    elif args.cmd == "top":
-        out = R.top_n_per_day(RD.read_rankings(spark, args.rankings), args.n, args.exclude)
-    elif args.cmd == "txt":
-        out = J.txt_report(_observations(spark, args))
-    elif args.cmd == "soa":
-        out = soa_ranges(_observations(spark, args))
+    if args.csv and args.cmd in ("compact", "grouped", "convert"):
+        raise SystemExit(f"{args.cmd} writes gzip JSON lines; drop --csv")
+    inputs = Inputs(spark, args)
+    out_path = args.out.rstrip("/")
+    if args.cmd == "convert":
+        out = inputs.raw_observations()
+        SK.convert_raw(out, out_path)
     else:
-        out = QT.query_type_counts(_observations(spark, args))
-    _write(out, args)
+        out = result(args.cmd, inputs)
+        if args.cmd in ("compact", "grouped"):
+            SK.write_records(out, out_path)
+        else:
+            _write(out, out_path, args.csv)
+        if args.cmd == "txt":
+            _write(J.txt_sensitive(inputs.observations()), f"{out_path}.sensitive", args.csv)
+    if inputs.rejects:
+        table = inputs.rejects[0]
+        for more in {id(x): x for x in inputs.rejects[1:] if args.cmd != "txt"}.values():
+            table = table.unionByName(more)
+        table.write.mode("overwrite").json(f"{out_path}.rejected")
     return out
 
 

@@ -91,8 +91,10 @@ def name_features(stats: DataFrame, limit: int = 100_000, compat: bool = False)
 def top_n_per_day(rankings: DataFrame, n: int = 100, exclude: str | None = "google",
                   day_col: str = "day") -> DataFrame:
     """Per day drop names containing ``exclude``, keep the first ``n`` by
-    rank and renumber them 1..n (K13: exactly n; the reference yields n+1)."""
-    kept = rankings if exclude is None else rankings.filter(N.without_keyword("domain", exclude))
+    rank and renumber them 1..n (K13: exactly n; the reference yields n+1).
+    Rejected (null) ranks take no part; ``rejected_input`` counts them."""
+    kept = rankings.filter(F.col("rank").isNotNull())
+    kept = kept if exclude is None else kept.filter(N.without_keyword("domain", exclude))
     w = Window.partitionBy(day_col).orderBy(F.col("rank"), F.col("domain"))
     return (kept.withColumn("new_rank", F.row_number().over(w))
                 .filter(F.col("new_rank") <= n)
@@ -101,18 +103,21 @@ def top_n_per_day(rankings: DataFrame, n: int = 100, exclude: str | None = "goog
                         F.date_format(day_col, "yyyyMMdd").alias("date")))
 
 
-def first_day_trajectories(top: DataFrame, k: int = 5) -> DataFrame:
-    """E2 (with G3): the rows of every day for the top ``k`` domains of the
-    earliest day, taken in rank order (distinct values in order of appearance).
+def first_day_trajectories(rankings: DataFrame, n: int = 100, exclude: str | None = "google",
+                           k: int = 5, day_col: str = "day") -> DataFrame:
+    """E2 (with G3): the top-list rows of every day for the first ``k`` domains of
+    the earliest day, in rank order (distinct values in order of appearance).
 
-    The earliest day is a scalar subquery (one value), the top k a
-    ``TakeOrderedAndProject`` on that day, and the trajectories a semi join
-    against those k names.
+    The earliest day is a scalar over the rankings themselves, so it restricts the
+    scan before any window, and the k leaders are a ``TakeOrderedAndProject`` on that
+    one day; the windowed top list is computed once and semi-joined with them.
     """
-    first = top.select(F.min("date")).scalar()
-    leaders = (top.filter(F.col("date") == first)
-                  .orderBy("rank", "domain").limit(k).select("domain"))
-    return top.join(leaders, "domain", "left_semi")
+    ranked = rankings.filter(F.col("rank").isNotNull())
+    ranked = ranked if exclude is None else ranked.filter(N.without_keyword("domain", exclude))
+    first = ranked.select(F.min(day_col)).scalar()
+    leaders = (ranked.filter(F.col(day_col) == first)
+                     .orderBy("rank", "domain").limit(min(k, n)).select("domain"))
+    return top_n_per_day(rankings, n, exclude, day_col).join(leaders, "domain", "left_semi")
 
 
 def trajectory(top: DataFrame, domains: list[str]) -> DataFrame:

@@ -3,10 +3,11 @@ rankings-records join (C1/C2, B24/B25).
 
 Scale notes
 -----------
-* ``compact_records`` is one ``groupBy(domain, date)`` with ``collect_set``:
-  partial aggregation removes duplicate lines map-side, so what crosses the
-  shuffle per key is bounded by the distinct records of one zone on one day,
-  not by how often it was measured.  One Exchange, no Python.
+* ``record_lines`` / ``record_counts`` are the forms that jobs use: distinct
+  lines and counts, no arrays, so no zone is gathered in one row.
+* ``compact_records`` (the export form and the ``text`` count mode) is one
+  ``groupBy(domain, date)`` with ``collect_set``: the list of a zone is one row,
+  as the output format asks; duplicates are removed map-side.
 * ``group_records`` keeps duplicates as a multiplicity ``n`` instead of
   repeating objects: a domain measured millions of times a day still yields
   one entry per distinct pruned object.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonelens.functions.names import day_key, normalise_domain
-from zonelens.functions.records import line_type, prune_falsy, record_line, type_counts
+from zonelens.functions.records import COUNTED_TYPES, line_type, prune_falsy, record_line, type_counts
 
 
 def with_keys(obs: DataFrame) -> DataFrame:
@@ -46,6 +47,30 @@ def compact_records(obs: DataFrame) -> DataFrame:
                          F.transform("_set", lambda x: x["line"]).alias("records")))
 
 
+def record_lines(obs: DataFrame) -> DataFrame:
+    """D1 in long form: (domain, date, type, line), each distinct line once.
+
+    Nothing is gathered per zone: a zone with any number of lines spreads over
+    tasks.  Groups whose answers all lack a response name keep one row with a
+    null line.
+    """
+    keyed = obs if {"domain", "date"} <= set(obs.columns) else with_keys(obs)
+    return (keyed.select("domain", "date", record_line("domain").alias("line")).distinct()
+                 .select("domain", "date", line_type("line").alias("type"), "line"))
+
+
+def record_counts(obs: DataFrame) -> DataFrame:
+    """B24 (strict) without arrays: total and per-type counts of distinct lines.
+
+    Distinct lines first, then one row of counts per (domain, date): the second
+    shuffle carries partial counts only, so the lines of a hot zone never meet.
+    """
+    lines = record_lines(obs)
+    return lines.groupBy("domain", "date").agg(
+        F.count("line").cast("int").alias("records_count"),
+        *[F.count_if(F.col("type") == t).cast("int").alias(t) for t in COUNTED_TYPES])
+
+
 def group_records(obs: DataFrame, nested: bool = True) -> DataFrame:
     """D3: (domain, date) -> distinct falsy-pruned observation objects
     (timestamp dropped) with their multiplicity.
@@ -73,8 +98,11 @@ def record_features(records: DataFrame, mode: str = "strict") -> DataFrame:
 
 def join_rank_records(rankings: DataFrame, records: DataFrame,
                       on=("domain", "date")) -> DataFrame:
-    """Inner equi-join of rankings with record features."""
-    return rankings.join(records, list(on), "inner")
+    """Inner equi-join of rankings with record features.  Rejected
+    (null) ranks take no part; ``rejected_input`` counts them."""
+    ranks = [c for c in ("rank", "alexa_rank") if c in rankings.columns]
+    kept = rankings.dropna(subset=ranks) if ranks else rankings
+    return kept.join(records, list(on), "inner")
 
 
 def rankings_by_date(rankings: DataFrame) -> DataFrame:

@@ -2,27 +2,21 @@
 
 Scale notes
 -----------
-* correlation matrices are one global aggregate holding every pair's
-  ``covar_pop``/``stddev_pop`` buffers (algebraic, partial aggregation), then
-  ``stack`` to long form: one scan, 105 numbers come back for 15 columns.
-* exact quartiles never gather a column in one task: values are first
-  counted per distinct value (a hot value collapses to one row), the
-  distinct values are range-partitioned, and each partition's running
-  count plus the totals of the partitions before it (a tiny table, one row
-  per partition) locates the rows at the wanted positions.
+* correlation matrices unpivot each row into one small row per pair and run one
+  aggregate (``covar_pop`` / ``stddev_pop``) per pair, with partial sums map-side.
+* exact quartiles never gather a column in one task: positions are bracketed by
+  approximate percentiles and picked among the distinct values inside.
 * heads (``top_k``/``bottom_above``) are ``TakeOrderedAndProject``: each task
   keeps k rows, the driver merges k x tasks rows.
 """
 
-from __future__ import annotations
-
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelens.functions.names import round2
-from zonelens.session import cut_lineage
 
 
 def entropy_histogram(df: DataFrame, col: str = "entropy", key: str = "domain") -> DataFrame:
@@ -90,141 +84,115 @@ def removed_count(df: DataFrame, cond) -> DataFrame:
     return df.agg(F.count_if(cond).alias("removed"), F.count(F.lit(1)).alias("rows"))
 
 
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """(v, c): each distinct non-null value of ``col`` (as double) and how
-    often it occurs, written once to the shared checkpoint folder.  A hot
-    value collapses to one row; several later jobs read the small table
-    instead of recomputing the input lineage."""
-    counted = (df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-                 .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-    return cut_lineage(counted)
-
-
-def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75),
-                    partitions: int | None = None, small_limit: int = 1_000_000) -> DataFrame:
-    """Exact linearly interpolated quantiles (pandas/``quantile_cont``),
-    computed without gathering the column in one place.
-
-    Returns one row per probability: (p, value).  See ``quantiles_of_counts``.
-    """
-    return quantiles_of_counts(value_counts(df, col), probs, partitions, small_limit)
+#: Share of the rows on either side of a wanted position that its bracket
+#: covers, and the rank error 1 / ACCURACY of the bracket's ends.
+HALF_WIDTH, ACCURACY = 0.0005, 10_000
 
 
-def quantiles_of_counts(counted: DataFrame, probs=(0.25, 0.5, 0.75),
-                        partitions: int | None = None, small_limit: int = 1_000_000) -> DataFrame:
-    """Quantiles from a (v, c) value-count table.
+def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
+    """Exact linearly interpolated quantiles (pandas, ``quantile_cont``): one row
+    (p, value) per probability; value is null for a column without values.
 
-    When there are at most ``small_limit`` distinct values (checked, one
-    cheap count of the checkpointed table) a single weighted ``percentile``
-    aggregate is exact and its buffer is bounded by that check; beyond it
-    the distinct values are range-partitioned and each value's global
-    position range comes from per-partition running counts plus a
-    one-row-per-partition offset table.
+    One aggregate brackets each wanted position by two approximate percentiles that
+    lie further from it than their guaranteed error, and counts the values; its one
+    row of plain numbers is part of the plan that is returned.  That plan counts the
+    values below each bracket, counts each distinct value inside (about a thousandth
+    of the rows), and picks the wanted positions from the running counts.  Nothing
+    depends on how rows are laid out in partitions.
     """
-    spark = counted.sparkSession
+    v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     ps = [float(p) for p in probs]
-    if small_limit and counted.count() <= small_limit:
-        vals = counted.agg(F.percentile("v", F.array(*[F.lit(p) for p in ps]), F.col("c")).alias("q"))
-        return vals.select(F.inline(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"),
-                                                 F.col("q").alias("value"))))
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (counted.repartitionByRange(parts, "v")
-                     .withColumn("pid", F.spark_partition_id()))
-    w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("cum", F.sum("c").over(w))
-    totals = local.groupBy("pid").agg(F.max("cum").alias("t"))
-    wt = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("off", F.coalesce(F.sum("t").over(wt), F.lit(0)))
-    n = counted.agg(F.sum("c").alias("n")).scalar()
-    # each distinct value covers global 0-based positions [start, end]
-    pos = (local.join(F.broadcast(offsets.select("pid", "off")), "pid")
-                .select("v", (F.col("off") + F.col("cum") - F.col("c")).alias("start"),
-                        (F.col("off") + F.col("cum") - 1).alias("end")))
+    around = [min(1.0, max(0.0, p + d)) for p in ps for d in (-HALF_WIDTH, HALF_WIDTH)]
+    row = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                F.percentile_approx("v", around, ACCURACY).alias("edges")).first()
+    spark, n = df.sparkSession, row["n"]
+    if not n:
+        return spark.createDataFrame([(p, None) for p in ps], "p double, value double")
     wanted = []
-    for p in ps:
-        h = F.lit(p) * (n - 1)
-        for side, k in ((0, F.floor(h)), (1, F.ceil(h))):
-            wanted.append(F.struct(F.lit(p).alias("p"), F.lit(side).alias("side"),
-                                   k.cast("long").alias("k"), (h - F.floor(h)).alias("frac")))
-    hit = (pos.select("v", "start", "end", F.explode(F.array(*wanted)).alias("t"))
-              .filter((F.col("t.k") >= F.col("start")) & (F.col("t.k") <= F.col("end"))))
-    picked = hit.groupBy(F.col("t.p").alias("p"), F.col("t.frac").alias("frac")).agg(
-        F.max(F.when(F.col("t.side") == 0, F.col("v"))).alias("lo_v"),
-        F.max(F.when(F.col("t.side") == 1, F.col("v"))).alias("hi_v"))
-    return picked.select("p", (F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac")).alias("value"))
+    for i, p in enumerate(ps):
+        h = p * (n - 1)
+        lo = row["lo"] if around[2 * i] == 0.0 else row["edges"][2 * i]
+        hi = row["hi"] if around[2 * i + 1] == 1.0 else row["edges"][2 * i + 1]
+        wanted.append((p, lo, hi, math.floor(h), math.ceil(h), h - math.floor(h)))
+    brackets = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("p", "lo", "hi", "k0", "k1", "frac"), w)])
+                         for w in wanted])
+    inside = (v.select("v", F.explode(F.filter(brackets, lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))).alias("b"))
+               .groupBy(F.col("b.p").alias("p"), F.col("b.k0").alias("k0"), F.col("b.k1").alias("k1"),
+                        F.col("b.frac").alias("frac"), "v").agg(F.count(F.lit(1)).alias("c")))
+    below = v.agg(*[F.count_if(F.col("v") < w[1]).alias(f"b{i}") for i, w in enumerate(wanted)]).select(F.explode(
+        F.array(*[F.struct(F.lit(w[0]).alias("p"), F.col(f"b{i}").alias("below")) for i, w in enumerate(wanted)])).alias("x"))
+    upto = F.sum("c").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = inside.withColumn("cum", upto).join(below.select("x.p", "x.below"), "p")
+    # a value covers the 0-based positions [start, end]
+    start, end = F.col("below") + F.col("cum") - F.col("c"), F.col("below") + F.col("cum") - 1
+    at = lambda k: F.max(F.when((F.col(k) >= start) & (F.col(k) <= end), F.col("v")))
+    picked = placed.groupBy("p", "frac").agg(at("k0").alias("v0"), at("k1").alias("v1"))
+    return picked.select("p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value"))
 
 
 def describe_numeric(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max of one column.
 
-    Everything is computed from the checkpointed value-count table, so the
-    input is read once: weighted sums for count/mean, a second small pass
-    for the centred sum of squares, the quartiles from the same table.
+    The moments are one ordinary aggregate; the quartiles come from
+    ``exact_quantiles`` as one more row, joined to it.
     """
-    counted = value_counts(df, col)
-    v, c = F.col("v"), F.col("c")
-    n = F.sum(c)
-    mean = counted.agg((F.sum(v * c) / n).alias("m")).scalar()
-    base = counted.agg(
-        n.alias("count"), (F.sum(v * c) / n).alias("mean"),
-        F.sqrt(F.try_divide(F.sum(c * (v - mean) * (v - mean)), n - 1)).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    q = quantiles_of_counts(counted)
-    quart = q.agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
-                    for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    c = F.col(col).cast("double")
+    base = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                  F.min(c).alias("min"), F.max(c).alias("max"))
+    quart = exact_quantiles(df, col).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
+                                           for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
     qs = quart.select(F.struct("q25", "q50", "q75")).scalar()
     return base.select("count", "mean", "std", "min", qs["q25"].alias("q25"),
                        qs["q50"].alias("q50"), qs["q75"].alias("q75"), "max")
 
 
-def _pair(a: str, b: str):
-    ca, cb = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-    return F.try_divide(F.covar_pop(ca, cb), F.stddev_pop(ca) * F.stddev_pop(cb))
-
-
 def correlation_matrix(df: DataFrame, cols: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Pearson r for every column pair (a < b in list order), long form
-    (``by``..., a, b, r).  A constant column gives null, not an error.
-
-    Each row is unpivoted into one (a, b, x, y) row per pair and a single
-    small aggregate (``covar_pop`` / ``stddev_pop``) runs per (by, a, b):
-    a fixed fan-out of len(pairs), partial aggregation map-side, and three
-    compact generated aggregate functions instead of one aggregate with
-    3 x len(pairs) buffers (which exceeds the code-generation limits).
+    (``by``..., a, b, r).  Rows where either value is null do not count for that
+    pair; a constant column gives null, not an error.
+
+    Each row is unpivoted into one (pair number, x, y) row per pair, and a single
+    small aggregate runs per (by, pair): a fixed fan-out of len(pairs), partial
+    aggregation map-side, and three compact generated aggregate functions instead
+    of one aggregate with 3 x len(pairs) buffers (which exceeds the
+    code-generation limits).  The names come back after the aggregate.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     # one SQL expression string: a single call to build, however many pairs
-    items = ", ".join(
-        f"named_struct('a', '{a}', 'b', '{b}', 'x', CAST(`{a}` AS DOUBLE), 'y', CAST(`{b}` AS DOUBLE))"
-        for a, b in pairs)
-    long = df.select(*by, F.expr(f"inline(array({items}))"))
+    items = ", ".join(f"named_struct('i', {i}, 'x', CAST(`{a}` AS DOUBLE), 'y', CAST(`{b}` AS DOUBLE))"
+                      for i, (a, b) in enumerate(pairs))
+    long = df.select(*by, F.expr(f"inline(array({items}))")).filter("x IS NOT NULL AND y IS NOT NULL")
     r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    return long.groupBy(*by, "a", "b").agg(r.alias("r"))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    return (long.groupBy(*by, "i").agg(r.alias("r"))
+                .select(*by, F.get(names, F.col("i")).alias("pair"), "r").select(*by, "pair.a", "pair.b", "r"))
 
 
-def point_biserial(df: DataFrame, flag: str, col: str) -> DataFrame:
-    """Correlation of a 0/1 flag with a value, its t statistic and n.
+def _p_values():
+    @F.pandas_udf("double")
+    def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([t_pvalue(x, m - 2) if x == x and x is not None else None for x, m in zip(t, n)], dtype="float64")
+
+    return p_value
 
-    The two-sided p-value comes from ``t_pvalue`` on the one result row.
+
+def point_biserial(df: DataFrame, flag: str, col: str) -> DataFrame:
+    """Correlation of a 0/1 flag with a value over the rows that have both,
+    its t statistic, the number of these rows, and the two-sided p-value of
+    Student's t with n - 2 degrees of freedom (evaluated on the one result row).
     """
-    n = F.count(F.when(F.col(flag).isNotNull() & F.col(col).isNotNull(), F.lit(1)))
-    r = _pair(flag, col)
-    out = df.agg(r.alias("r"), n.alias("n"))
+    x, y = F.col(flag).cast("double"), F.col(col).cast("double")
+    both = df.select(x.alias("x"), y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    out = both.agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
-    return out.select("r", t.alias("t"), "n")
+    return out.select("r", t.alias("t"), "n").withColumn("p", _p_values()("t", "n"))
 
 
 def point_biserial_report(df: DataFrame, flag: str, col: str) -> dict:
-    """D16 as the notebook reports it: r and its two-sided p-value.
-
-    The aggregate runs distributed; only its single result row reaches the
-    driver, where the p-value of Student's t with n-2 degrees of freedom is
-    evaluated.
-    """
-    row = point_biserial(df, flag, col).first()
-    r, t, n = row["r"], row["t"], row["n"]
-    p = t_pvalue(t, n - 2) if t is not None else float("nan")
-    return {"r": r, "t": t, "n": n, "p": p}
+    """D16 as the notebook reports it, as a dict of the one result row."""
+    row = point_biserial(df, flag, col).first().asDict()
+    return row | {"p": float("nan") if row["p"] is None else row["p"]}
 
 
 def _betacf(a: float, b: float, x: float) -> float:

@@ -1,8 +1,9 @@
 """TXT report operators.
 
 The reference scans the day three times (basic counters, labels, sensitive
-rows); here counters and label counts are each one pass with conditional
-aggregates, and ``day`` is a grouping key so many days run as one job (A7).
+rows); here the counts of the report are one pass (``txt_report_counts``), the
+sensitive rows a second output, and ``day`` is a grouping key so many days run as
+one job (A7).
 """
 
 from __future__ import annotations
@@ -51,6 +52,70 @@ def sensitive_txt(obs: DataFrame, compat: bool = False) -> DataFrame:
     return txt_rows(obs, compat).filter(is_sensitive("text"))
 
 
+def txt_report_counts(obs: DataFrame, compat: bool = False, by=("day",)) -> DataFrame:
+    """J7 in one scan and one aggregate: per day (section, label, n).
+
+    Every answer is exploded into the pairs it counts for.  Pairs that may count
+    zero in a day (the basic counters) carry a flag that is summed.
+    """
+    rt, text = F.col("response_type"), F.col("_text")
+    obs = obs.select(*by, "response_type", "txt_text", clean_txt("txt_text", compat).alias("_text"))
+    is_row = F.coalesce((rt == "TXT") & (text != ""), F.lit(False))
+    pair = lambda section, label, n: F.struct(F.lit(section).alias("section"), label.alias("label"), n.cast("long").alias("n"))
+    one = F.lit(1)
+    basic = [pair("basic", F.lit(name), F.coalesce(cond, F.lit(False)).cast("int")) for name, cond in (
+        ("dns", F.lit(True)), ("txt", rt == "TXT"), ("correct_txt", is_correct_txt(rt, "txt_text", compat)))]
+    specific = F.when(is_row, F.transform(txt_labels("_text"), lambda x: pair("specific", x, one)))
+    sensitive = F.when(is_row & is_sensitive("_text"), F.array(pair("sensitive", F.lit("sensitive"), one)))
+    none = F.array().cast("array<struct<section:string,label:string,n:bigint>>")
+    pairs = F.concat(F.array(*basic), F.coalesce(specific, none), F.coalesce(sensitive, none))
+    return (obs.select(*by, F.explode(pairs).alias("x")).groupBy(*by, F.col("x.section").alias("section"), F.col("x.label").alias("label"))
+               .agg(F.sum("x.n").alias("n")))
+
+
+def txt_shares(obs: DataFrame, name=None, within: str | None = None, compat: bool = False) -> DataFrame:
+    """D20 for TXT labels in one scan: label counts, the texts without a label as
+    ``other``, and shares of all texts.
+
+    ``name`` maps a label to what is reported (default: its category); ``within``
+    keeps the labels of one category and takes their texts as the total.  With
+    ``compat`` the other bucket is the total minus the sum of labels (K12).
+    """
+    name = name or category_of
+    labels = txt_labels("text")
+    if within is not None:
+        labels = F.filter(labels, lambda x: category_of(x) == within)
+    texts = txt_rows(obs, keep=()).select(labels.alias("labels"))
+    if within is not None:
+        texts = texts.filter(F.size("labels") > 0)
+    marks = F.concat(F.array(F.lit("\u0000total")), F.transform("labels", name),
+                     F.when(F.size("labels") == 0, F.array(F.lit("other"))).otherwise(F.array().cast("array<string>")))
+    counts = texts.select(F.explode(marks).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return _with_shares(counts, within is None, compat)
+
+
+def value_shares(df: DataFrame, col: str, values) -> DataFrame:
+    """D20 for a column in one scan: rows per listed value, all others as ``other``."""
+    marks = F.array(F.lit("\u0000total"), F.when(F.col(col).isin(list(values)), F.col(col)).otherwise("other"))
+    counts = df.select(F.explode(marks).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return _with_shares(counts, True, False)
+
+
+def _with_shares(counts: DataFrame, other: bool, compat: bool) -> DataFrame:
+    """Shares of the total that is counted under its own mark.  The counts are one
+    row per label; they become one row of arrays and are unpacked again."""
+    is_total = F.col("label") == "\u0000total"
+    row = counts.agg(
+        F.coalesce(F.max(F.when(is_total, F.col("n"))), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(~is_total & (F.col("label") != "other"), F.col("n"))), F.lit(0)).alias("labelled"),
+        F.coalesce(F.max(F.when(F.col("label") == "other", F.col("n"))), F.lit(0)).alias("other"),
+        F.collect_list(F.when(~is_total & (F.col("label") != "other"), F.struct("label", "n"))).alias("rows"))
+    rest = F.array(F.struct(F.lit("other").alias("label"),
+                            (F.col("total") - F.col("labelled") if compat else F.col("other")).cast("long").alias("n")))
+    rows = F.concat("rows", rest) if other else F.col("rows")
+    return row.select("total", F.inline(rows)).select("label", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
 def unlabelled_count(obs: DataFrame, by=("day",), compat: bool = False) -> DataFrame:
     """Texts without any label: the native "other" bucket."""
     rows = txt_rows(obs, compat, keep=by)
@@ -72,7 +137,7 @@ def category_rollup(counts: DataFrame, by=("day",)) -> DataFrame:
     c = counts.withColumn("category", category_of("label"))
     return (c.rollup(*by, "category", "label")
              .agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
-             .filter(F.col(by[0]).isNotNull() if by else F.lit(True)))
+             .filter(F.col("level") <= 3))
 
 
 def month_pivot(counts: DataFrame, values, label_col: str = "label",

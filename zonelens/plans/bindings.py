@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonelens.session import broadcast_if_small, ensure_parallel
+from zonelens.session import ship_package
 
 TABLES = ("region nation customer supplier part orders lineitem events "
           "documents embeddings pages benchmark labels conversations").split()
@@ -115,7 +115,19 @@ UNION ALL
 SELECT DISTINCT 'Rank_' || CAST(day AS STRING) || '.csv.gz' AS file_name,
        'no comma here' AS line
 FROM {rankings}
+UNION ALL
+SELECT DISTINCT 'Rank_' || CAST(day AS STRING) || '.csv.gz' AS file_name,
+       'n/a,bad-rank.example.com' AS line
+FROM {rankings}
+"""
+
+# Many more names than the hosts of pages: every word of documents as a label.
+DOC_NAMES_SQL = """
+SELECT DISTINCT word || '.' || lang || '.example.com' AS domain
+FROM (SELECT {words} AS word, lang FROM {documents}) w
 """
+WORDS_SPARK = "explode(regexp_extract_all(lower(text), '[a-z][a-z][a-z]+', 0))"
+WORDS_DUCKDB = "unnest(regexp_extract_all(lower(text), '[a-z][a-z][a-z]+'))"
 
 DAY_FILES_SQL = """
 SELECT DISTINCT day, 'part-' || CAST(event_id % 11 AS STRING) AS file_name FROM {hits}
@@ -144,6 +156,7 @@ VIEWS = {
     "observations": (OBSERVATIONS_SQL, ("hits",)),
     "rank_lines": (RANK_LINES_SQL, ("rankings",)),
     "day_files": (DAY_FILES_SQL, ("hits",)),
+    "doc_names": (DOC_NAMES_SQL, ("documents",)),
     "suffix_rules": (SUFFIX_RULES_SQL, ()),
     "extra_hosts": (EXTRA_HOSTS_SQL, ()),
 }
@@ -157,24 +170,20 @@ class Fixture:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
+        ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
             if name in VIEWS:
                 text, deps = VIEWS[name]
                 args = {d: self.table(d) for d in deps}
-                if name == "hits":
-                    # pages is the dimension side: broadcast it when its
-                    # projected size is under the threshold, so the events
-                    # side is never chosen as the build side by a stale estimate
-                    pages = self.spark.read.parquet(f"{self.sf_dir}/pages.parquet")
-                    args["pages"] = broadcast_if_small(pages.select("page_id", "url"))
                 if name == "observations":
                     text = text.replace("{ms}", MS_SPARK)
+                if name == "doc_names":
+                    text = text.replace("{words}", WORDS_SPARK)
                 self._cache[name] = self.spark.sql(text, **args)
             else:
-                self._cache[name] = ensure_parallel(
-                    self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -187,8 +196,8 @@ def duckdb_prefix() -> str:
     """``WITH`` clause defining every adapter view for the DuckDB oracle."""
     parts = []
     for name, (text, _deps) in VIEWS.items():
-        body = text.replace("{ms}", MS_DUCKDB)
-        for dep in ("events", "pages", "hits", "rankings"):
+        body = text.replace("{ms}", MS_DUCKDB).replace("{words}", WORDS_DUCKDB)
+        for dep in ("events", "pages", "documents", "hits", "rankings"):
             body = body.replace("{%s}" % dep, dep)
         parts.append(f"{name} AS ({body})")
     return "WITH " + ",\n".join(parts) + "\n"

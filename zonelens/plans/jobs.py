@@ -25,8 +25,12 @@ CORR_NAME_COLUMNS = ("length", "dot_count", "digit_ratio", "vowel_ratio", "entro
 
 
 def month_features(rankings: DataFrame, obs: DataFrame, mode: str = "strict") -> DataFrame:
-    """Rankings joined with record-set features on (domain, date)."""
-    feats = REC.record_features(REC.compact_records(obs), mode)
+    """Rankings joined with record-set features on (domain, date).
+
+    ``strict`` counts need no record sets; ``text`` counts (K7) read the joined
+    text of each set, as the reference does.
+    """
+    feats = REC.record_counts(obs) if mode == "strict" else REC.record_features(REC.compact_records(obs), mode)
     return REC.join_rank_records(REC.rankings_by_date(rankings), feats, ("domain", "date"))
 
 
@@ -62,16 +66,16 @@ def name_feature_table(rankings: DataFrame, limit: int = 100_000) -> DataFrame:
 
 def txt_report(obs: DataFrame, compat: bool = False) -> DataFrame:
     """Per day basic counters, label counts and sensitive-row count in
-    one long table (section, label, n)."""
-    basic = T.txt_basic_long(T.txt_basic(obs, compat=compat)).select(
-        "day", F.lit("basic").alias("section"), "label", "n")
-    specific = T.txt_label_counts(obs, compat=compat).select(
-        "day", F.lit("specific").alias("section"), "label", "n")
-    sensitive = (T.sensitive_txt(obs, compat).groupBy("day")
-                  .agg(F.count(F.lit(1)).alias("n"))
-                  .select("day", F.lit("sensitive").alias("section"),
-                          F.lit("sensitive").alias("label"), "n"))
-    return basic.unionByName(specific).unionByName(sensitive)
+    one long table (section, label, n), in one pass: each answer yields its
+    (section, label) pairs and the pairs are counted per day.  The counters of a
+    day are 0 where it has no such answer; labels without texts have no row.
+    ``txt_sensitive`` gives the sensitive rows themselves."""
+    return T.txt_report_counts(obs, compat)
+
+
+def txt_sensitive(obs: DataFrame, compat: bool = False) -> DataFrame:
+    """J7's second output: the sensitive rows (day, text, name)."""
+    return T.sensitive_txt(obs, compat)
 
 
 def soa_report(obs: DataFrame, compat: bool = False) -> DataFrame:

@@ -37,7 +37,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 ROUND = 6
-JANUARY_2024 = [_dt.date(2024, 1, d) for d in range(1, 32)]
+# The days that the day-wise queries select.
+SOME_DAYS = [_dt.date(2024, 1, d) for d in (3, 4, 5, 11, 17, 30)]
+SOME_DAYS_SQL = ", ".join(f"DATE '{d}'" for d in SOME_DAYS)
 # Domains whose trajectories are drawn.
 TRAJECTORY_DOMAINS = ["therat.example.net", "m.ththth.example.net", "ads-track.example.org",
                       "thering.example.com"]
@@ -76,12 +78,14 @@ def _fx(spark, sf_dir) -> Fixture:
 
 
 def _names(fx: Fixture) -> DataFrame:
-    """Distinct ranked domains plus the literal edge-case hosts."""
-    return (fx.rankings.select("domain").distinct()
+    """Distinct ranked domains, names from the words of documents, and the
+    literal edge-case hosts."""
+    return (fx.rankings.select("domain").distinct().unionByName(fx.doc_names)
               .unionByName(fx.extra_hosts.select(F.col("host").alias("domain"))))
 
 
-NAMES_SQL = "SELECT DISTINCT domain FROM rankings UNION ALL SELECT host AS domain FROM extra_hosts"
+NAMES_SQL = ("SELECT DISTINCT domain FROM rankings UNION ALL SELECT domain FROM doc_names "
+             "UNION ALL SELECT host AS domain FROM extra_hosts")
 
 
 # --------------------------------------------------------------- A: sources
@@ -105,18 +109,19 @@ def a3_day_from_file_name(spark, sf):
 
 @q("a6_filter_days", oracle(
     "SELECT day, domain, rank FROM rankings "
-    "WHERE strftime(day, '%Y%m%d') LIKE '2024%' OR strftime(day, '%Y%m%d') LIKE '202401%'"))
+    "WHERE strftime(day, '%Y%m%d') LIKE '20240103%' OR strftime(day, '%Y%m%d') LIKE '20240117%' "
+    "OR strftime(day, '%Y%m%d') LIKE '2023%'"))
 def a6_filter_days(spark, sf):
     fx = _fx(spark, sf)
-    return RD.filter_days(fx.rankings, ["2024", "202401"]).select("day", "domain", "rank")
+    return RD.filter_days(fx.rankings, ["20240103", "20240117", "2023"]).select("day", "domain", "rank")
 
 
 @q("a7_run_days", oracle(
     "SELECT day, count(*) AS total, count_if(response_type = 'TXT') AS txt "
-    "FROM observations WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY day"))
+    f"FROM observations WHERE day IN ({SOME_DAYS_SQL}) GROUP BY day"))
 def a7_run_days(spark, sf):
     obs = _fx(spark, sf).observations
-    return RD.run_days(obs, [d.strftime("%Y%m%d") for d in JANUARY_2024],
+    return RD.run_days(obs, [d.strftime("%Y%m%d") for d in SOME_DAYS],
                        lambda df: T.txt_basic(df).select("day", "total", "txt"))
 
 
@@ -136,8 +141,22 @@ def c4_missing_days(spark, sf):
     return RD.missing_days(fx.hits.select("day"), fx.day_files)
 
 
+@q("k6_rejected_rank_lines", oracle(
+    "SELECT 'rankings' AS source, reason, n FROM (SELECT "
+    "count_if(len(line) - len(replace(line, ',', '')) <> 1) AS \"not two fields\", "
+    "count_if(len(line) - len(replace(line, ',', '')) = 1 AND length(split_part(line, ',', 1)) <= 100 "
+    "AND TRY_CAST(split_part(line, ',', 1) AS INTEGER) IS NULL) AS \"rank is no number\", "
+    "count_if(len(line) - len(replace(line, ',', '')) = 1 AND NOT regexp_matches(file_name, "
+    "'_[0-9]{4}-[0-9]{2}-[0-9]{2}[^_]*$')) AS \"no day in the file name\" "
+    "FROM rank_lines) UNPIVOT (n FOR reason IN (\"not two fields\", \"rank is no number\", \"no day in the file name\"))"))
+def k6_rejected_rank_lines(spark, sf):
+    return RD.rejected_rank_lines(_fx(spark, sf).rank_lines)
+
+
 @q("a15_extract_links", oracle(
-    "SELECT unnest(regexp_extract_all(html, 'href=[''\"]?(/(?:th|an)[^''\" >]+)', 1)) AS link FROM pages"))
+    "SELECT link FROM (SELECT CASE WHEN rest[1] IN ('\"', '''') THEN split_part(substr(rest, 2), rest[1], 1) "
+    "ELSE regexp_extract(rest, '^[^ >]*') END AS link FROM (SELECT unnest(string_split(html, 'href=')[2:]) AS rest FROM pages)) "
+    "WHERE (starts_with(link, '/th') OR starts_with(link, '/an')) AND length(link) > 3"))
 def a15_extract_links(spark, sf):
     return RD.extract_links(_fx(spark, sf).pages, "/", ["th", "an"])
 
@@ -260,7 +279,7 @@ def b10_length_per_count(spark, sf):
 
 @q("b11_entropy", oracle(
     "SELECT p.domain, round(e.entropy, 9) AS entropy FROM parts p JOIN ent e ON e.k = p.domain",
-    names="SELECT DISTINCT domain FROM rankings UNION SELECT host FROM extra_hosts",
+    names=NAMES_SQL.replace("UNION ALL", "UNION"),
     parts=NAME_PARTS.format(src="names"), ent=entropy_cte("parts", "domain", "rest")))
 def b11_entropy(spark, sf):
     names = _names(_fx(spark, sf)).distinct()
@@ -294,11 +313,11 @@ def b13_is_gtld(spark, sf):
 
 
 @q("b14_rank_below", oracle(
-    "SELECT domain, CAST(trunc(mean) AS INTEGER) AS avg_ranking FROM st WHERE trunc(mean) < 1000",
+    "SELECT domain, CAST(trunc(mean) AS INTEGER) AS avg_ranking FROM st WHERE trunc(mean) < 30",
     st=RANK_STATS))
 def b14_rank_below(spark, sf):
     stats = R.rank_stats(_fx(spark, sf).rankings)
-    return R.rank_below(stats, 1000).select("domain", "avg_ranking")
+    return R.rank_below(stats, 30).select("domain", "avg_ranking")
 
 
 @q("b15_exclude_idn", oracle(
@@ -407,7 +426,7 @@ SETS_SQL = ("SELECT domain, date, coalesce(list(line ORDER BY split_part(line, '
 @q("b24_type_counts_strict", oracle(
     "SELECT * FROM feats", obs_k=OBS_KEYED, obs_l=OBS_LINES, feats=FEATS_STRICT))
 def b24_type_counts_strict(spark, sf):
-    return REC.record_features(REC.compact_records(_fx(spark, sf).observations), "strict")
+    return REC.record_counts(_fx(spark, sf).observations)
 
 
 @q("b24_type_counts_text", oracle(
@@ -519,9 +538,8 @@ def c3_registrable_domain(spark, sf):
     obs_k=OBS_KEYED, obs_l=OBS_LINES, sets=SETS_SQL))
 def c1_join_rank_records(spark, sf):
     fx = _fx(spark, sf)
-    sets = REC.compact_records(fx.observations).select(
-        "domain", "date", F.size("records").alias("records_count"))
-    return REC.join_rank_records(REC.rankings_by_date(fx.rankings), sets)
+    counts = REC.record_counts(fx.observations).select("domain", "date", "records_count")
+    return REC.join_rank_records(REC.rankings_by_date(fx.rankings), counts)
 
 
 J1_SQL = oracle(
@@ -536,10 +554,13 @@ def j1_month_features(spark, sf):
     return J.month_features(fx.rankings, fx.observations)
 
 
-@q("c2_j2_day_features", J1_SQL)
+@q("c2_j2_day_features", oracle(
+    "SELECT r.domain, strftime(r.day, '%Y%m%d') AS date, r.rank AS alexa_rank, f.* EXCLUDE (domain, date) "
+    "FROM rankings r JOIN feats f ON f.domain = r.domain AND f.date = strftime(r.day, '%Y%m%d') "
+    f"WHERE r.day IN ({SOME_DAYS_SQL})", obs_k=OBS_KEYED, obs_l=OBS_LINES, feats=FEATS_STRICT))
 def c2_j2_day_features(spark, sf):
     fx = _fx(spark, sf)
-    return J.day_features(fx.rankings, fx.observations, days=JANUARY_2024)
+    return J.day_features(fx.rankings, fx.observations, days=SOME_DAYS)
 
 
 @q("j1_month_features_text", oracle(
@@ -565,6 +586,26 @@ def d1_compact_records(spark, sf):
                        F.array_join("records", ";").alias("records"))
 
 
+@q("d1_record_lines", oracle(
+    "SELECT DISTINCT domain, date, CASE WHEN line IS NOT NULL THEN split_part(line, ' ', 2) END AS type, line FROM obs_l",
+    obs_k=OBS_KEYED, obs_l=OBS_LINES))
+def d1_record_lines(spark, sf):
+    return REC.record_lines(_fx(spark, sf).observations)
+
+
+D3_LIST_SQL = ("SELECT domain, date, to_json(list({'record': record, 'n': n} ORDER BY record)) AS records FROM g "
+               "GROUP BY domain, date")
+
+
+@q("d3_group_records_nested", oracle(
+    D3_LIST_SQL, obs_k=OBS_KEYED,
+    g=f"SELECT domain, date, record, count(*) AS n FROM (SELECT domain, date, {_prune_sql()} AS record FROM obs_k) "
+      "GROUP BY domain, date, record"))
+def d3_group_records_nested(spark, sf):
+    obs = _fx(spark, sf).observations.drop("event_id", "day")
+    return REC.group_records(obs).select("domain", "date", F.to_json("records").alias("records"))
+
+
 @q("d3_group_records", oracle(
     f"SELECT domain, date, record, count(*) AS n FROM (SELECT domain, date, {_prune_sql()} AS record "
     "FROM obs_k) GROUP BY domain, date, record", obs_k=OBS_KEYED))
@@ -662,12 +703,9 @@ def d9_query_type_counts(spark, sf):
 
 
 @q("d10_row_multiplicity", oracle(
-    "SELECT query_type, response_type, day, worker_id, status_code, count(*) AS count "
-    "FROM observations GROUP BY ALL"))
+    "SELECT * EXCLUDE (event_id, timestamp), count(*) AS count FROM observations GROUP BY ALL"))
 def d10_row_multiplicity(spark, sf):
-    obs = _fx(spark, sf).observations
-    return QT.row_multiplicity(obs.select("query_type", "response_type", "day", "worker_id",
-                                          "status_code"))
+    return QT.row_multiplicity(_fx(spark, sf).observations.drop("event_id", "timestamp"))
 
 
 @q("d11_day_count_histogram", oracle(
@@ -752,24 +790,39 @@ FEATURES_SQL = dict(
 @q("j6_name_features", oracle(
     "SELECT domain, length, dot_count, round(digit_ratio, 6) AS digit_ratio, "
     "round(vowel_ratio, 6) AS vowel_ratio, round(entropy, 6) AS entropy, "
-    "round(ideal_entropy, 6) AS ideal_entropy, is_gtld, avg_ranking FROM j6", **FEATURES_SQL))
+    "round(ideal_entropy, 6) AS ideal_entropy, is_gtld, avg_ranking FROM j6 WHERE avg_ranking < 50", **FEATURES_SQL))
 def j6_name_features(spark, sf):
-    return _round_doubles(J.name_feature_table(_fx(spark, sf).rankings))
+    return _round_doubles(J.name_feature_table(_fx(spark, sf).rankings, 50))
 
 
 def _corr_sql(cols, src, by=None):
+    """Pairwise r from the least-squares slopes both ways: sign(b_yx) * sqrt(b_yx * b_xy)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     sel = []
     for a, b in pairs:
-        r = (f"covar_pop(\"{a}\", \"{b}\") / nullif(stddev_pop(\"{a}\") * stddev_pop(\"{b}\"), 0)")
+        x, y = f'CAST("{a}" AS DOUBLE)', f'CAST("{b}" AS DOUBLE)'
+        fit = f"regr_sxy({y}, {x}) / sqrt(nullif(regr_sxx({y}, {x}) * regr_syy({y}, {x}), 0))"
         key = f"{by}, " if by else ""
         grp = f" GROUP BY {by}" if by else ""
-        rr = f"round({r}, 6)"
-        sel.append(f"SELECT {key}'{a}' AS a, '{b}' AS b, CASE WHEN {rr} = 0 THEN 0.0 ELSE {rr} END AS r "
-                   f"FROM {src}{grp}")
+        sel.append(f"SELECT {key}'{a}' AS a, '{b}' AS b, {dround(fit)} AS r FROM {src}{grp}")
     return " UNION ALL ".join(sel)
 
 
+NULLABLE_COLUMNS = ("n_chars", "words", "lang_size", "doc_id")
+NULLABLE_SQL = ("SELECT CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS n_chars, "
+                "CASE WHEN doc_id % 7 <> 3 THEN len(string_split(text, ' ')) END AS words, "
+                "CASE WHEN lang <> 'en' THEN length(text) END AS lang_size, doc_id FROM documents")
+
+
+@q("d15_correlation_nulls", oracle(_corr_sql(NULLABLE_COLUMNS, "nullable"), nullable=NULLABLE_SQL))
+def d15_correlation_nulls(spark, sf):
+    d = _fx(spark, sf).documents.select(
+        F.expr("CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS n_chars"),
+        F.expr("CASE WHEN doc_id % 7 <> 3 THEN size(split(text, ' ')) END AS words"),
+        F.expr("CASE WHEN lang <> 'en' THEN char_length(text) END AS lang_size"), "doc_id")
+    return S.correlation_matrix(d, list(NULLABLE_COLUMNS)).withColumn("r", rnd("r"))
+
+
 @q("d15_correlation_names", oracle(_corr_sql(list(J.CORR_NAME_COLUMNS), "j6"), **FEATURES_SQL))
 def d15_correlation_names(spark, sf):
     feats = J.name_feature_table(_fx(spark, sf).rankings)
@@ -787,24 +840,33 @@ def j9_rank_record_correlation(spark, sf):
     return J.rank_record_correlation(fx.rankings, fx.observations).withColumn("r", rnd("r"))
 
 
-@q("d16_point_biserial", oracle(
-    f"SELECT {dround('r')} AS r, {dround('r * sqrt((n - 2) / (1 - r * r))')} AS t, n FROM "
-    "(SELECT covar_pop(is_gtld, avg_ranking) / nullif(stddev_pop(is_gtld) * stddev_pop(avg_ranking), 0) AS r, "
-    "count(*) AS n FROM j6)", **FEATURES_SQL))
+def _biserial_sql(flag, col, src):
+    """r, t and n from the means of the two groups (rows with both values)."""
+    return (f"SELECT {dround('r')} AS r, {dround('r * sqrt((n - 2) / (1 - r * r))')} AS t, n FROM (SELECT n, "
+            "(m1 - m0) / nullif(s, 0) * sqrt(n1 * n0 / (n * n)) AS r FROM (SELECT count(*) AS n, "
+            f"CAST(count(*) FILTER (WHERE {flag} = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE {flag} = 0) AS DOUBLE) AS n0, "
+            f"avg({col}) FILTER (WHERE {flag} = 1) AS m1, avg({col}) FILTER (WHERE {flag} = 0) AS m0, stddev_pop({col}) AS s "
+            f"FROM {src} WHERE {flag} IS NOT NULL AND {col} IS NOT NULL))")
+
+
+@q("d16_point_biserial", oracle(_biserial_sql("is_gtld", "avg_ranking", "flagged"), **FEATURES_SQL,
+    flagged="SELECT CASE WHEN length > 20 THEN 1 ELSE 0 END AS is_gtld, CASE WHEN dot_count < 3 THEN avg_ranking END AS avg_ranking FROM j6"))
 def d16_point_biserial(spark, sf):
-    feats = J.name_feature_table(_fx(spark, sf).rankings)
-    return _round_doubles(S.point_biserial(feats, "is_gtld", "avg_ranking"))
+    feats = J.name_feature_table(_fx(spark, sf).rankings).select(
+        F.expr("CASE WHEN length > 20 THEN 1 ELSE 0 END AS is_gtld"), F.expr("CASE WHEN dot_count < 3 THEN avg_ranking END AS avg_ranking"))
+    return _round_doubles(S.point_biserial(feats, "is_gtld", "avg_ranking").drop("p"))
+
+
+LABELLED_SQL = ("SELECT CASE WHEN d.doc_id % 11 <> 2 THEN l.quality END AS quality, "
+                "CASE WHEN d.doc_id % 6 <> 1 THEN d.n_chars END AS n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
 
 
-@q("d16_point_biserial_documents", oracle(
-    f"SELECT {dround('r')} AS r, {dround('r * sqrt((n - 2) / (1 - r * r))')} AS t, n FROM "
-    "(SELECT covar_pop(l.quality, d.n_chars) / nullif(stddev_pop(l.quality) * stddev_pop(d.n_chars), 0) AS r, "
-    "count(*) AS n FROM labels l JOIN documents d ON d.doc_id = l.doc_id "
-    "WHERE l.quality IS NOT NULL AND d.n_chars IS NOT NULL)"))
+@q("d16_point_biserial_documents", oracle(_biserial_sql("quality", "n_chars", "labelled"), labelled=LABELLED_SQL))
 def d16_point_biserial_documents(spark, sf):
     fx = _fx(spark, sf)
-    joined = fx.labels.join(fx.documents.select("doc_id", "n_chars"), "doc_id")
-    return _round_doubles(S.point_biserial(joined, "quality", "n_chars"))
+    joined = fx.labels.join(fx.documents.select("doc_id", "n_chars"), "doc_id").select(
+        F.expr("CASE WHEN doc_id % 11 <> 2 THEN quality END AS quality"), F.expr("CASE WHEN doc_id % 6 <> 1 THEN n_chars END AS n_chars"))
+    return _round_doubles(S.point_biserial(joined, "quality", "n_chars").drop("p"))
 
 
 SHORT_LINE_SQL = ("CASE WHEN response_type IS NULL OR response_type = '' THEN 'Unknown response type' "
@@ -853,11 +915,17 @@ def d19_month_pivot(spark, sf):
     "UNION ALL SELECT 'other', count(*) FROM txt_rows WHERE len(" + txt_labels_sql("text") + ") = 0)",
     txt_rows=TXT_ROWS_SQL, lab=LABEL_COUNTS_SQL))
 def d20_txt_shares_with_other(spark, sf):
-    obs = _fx(spark, sf).observations
-    counts = T.txt_label_counts(obs, by=()).withColumn("label", T.category_of("label"))
-    total = T.txt_rows(obs).agg(F.count(F.lit(1)).alias("total"))
-    other = T.unlabelled_count(obs, by=())
-    out = T.shares_with_other(counts, total, other=other)
+    return T.txt_shares(_fx(spark, sf).observations).withColumn("share", rnd("share"))
+
+
+@q("d20_txt_shares_within", oracle(
+    "SELECT label, count(*) AS n, round(count(*) / (SELECT count(DISTINCT k) FROM l), 6) AS share FROM l GROUP BY label",
+    txt_rows=TXT_ROWS_SQL,
+    numbered="SELECT row_number() OVER () AS k, text FROM txt_rows",
+    l="SELECT k, label FROM (SELECT k, unnest(" + txt_labels_sql("text") + ") AS label FROM numbered) "
+      "WHERE split_part(label, '.', 1) = 'domain-identifiers'"))
+def d20_txt_shares_within(spark, sf):
+    out = T.txt_shares(_fx(spark, sf).observations, name=lambda x: x, within="domain-identifiers")
     return out.withColumn("share", rnd("share"))
 
 
@@ -867,11 +935,7 @@ def d20_txt_shares_with_other(spark, sf):
     "UNION ALL SELECT 'other', (SELECT count(*) FROM txt_rows) - (SELECT count(*) FROM lab))",
     txt_rows=TXT_ROWS_SQL, lab=LABEL_COUNTS_SQL))
 def d20_txt_shares_compat(spark, sf):
-    obs = _fx(spark, sf).observations
-    counts = T.txt_label_counts(obs, by=()).withColumn("label", T.category_of("label"))
-    total = T.txt_rows(obs).agg(F.count(F.lit(1)).alias("total"))
-    out = T.shares_with_other(counts, total, compat=True)
-    return out.withColumn("share", rnd("share"))
+    return T.txt_shares(_fx(spark, sf).observations, compat=True).withColumn("share", rnd("share"))
 
 
 @q("d20_query_type_shares", oracle(
@@ -882,11 +946,7 @@ def d20_txt_shares_compat(spark, sf):
     "WHERE query_type NOT IN ('SOA', 'MX', 'A', 'CNAME', 'NS', 'TXT'))"))
 def d20_query_type_shares(spark, sf):
     obs = _fx(spark, sf).observations
-    kept = F.col("query_type").isin(list(QT.PLOTTED_QUERY_TYPES))
-    counts = obs.filter(kept).groupBy(F.col("query_type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    other = obs.filter(~kept).agg(F.count(F.lit(1)).alias("n"))
-    total = obs.agg(F.count(F.lit(1)).alias("total"))
-    return T.shares_with_other(counts, total, other=other).withColumn("share", rnd("share"))
+    return T.value_shares(obs, "query_type", QT.PLOTTED_QUERY_TYPES).withColumn("share", rnd("share"))
 
 
 @q("d21_max_share", oracle(
@@ -918,8 +978,7 @@ def e1_top_n_per_day(spark, sf):
     "SELECT * FROM e1 WHERE domain IN (SELECT domain FROM e1 WHERE date = (SELECT min(date) FROM e1) "
     "ORDER BY rank, domain LIMIT 5)", e1=E1_SQL))
 def e2_first_day_trajectories(spark, sf):
-    top = R.top_n_per_day(_fx(spark, sf).rankings, 10, "blog")
-    return R.first_day_trajectories(top, 5)
+    return R.first_day_trajectories(_fx(spark, sf).rankings, 10, "blog", 5)
 
 
 # ------------------------------------------------------- F: sorts and heads
@@ -972,9 +1031,9 @@ def j3_join_preview(spark, sf):
 # ------------------------------------------------------------------ J: jobs
 @q("j4_length_vs_rank", oracle(
     "SELECT CAST(length(domain) AS INTEGER) AS domain_len, CAST(trunc(mean) AS INTEGER) AS avg_ranking "
-    "FROM st WHERE trunc(mean) < 1000", st=RANK_STATS))
+    "FROM st WHERE trunc(mean) < 20", st=RANK_STATS))
 def j4_length_vs_rank(spark, sf):
-    return J.length_vs_rank(_fx(spark, sf).rankings, 1000)
+    return J.length_vs_rank(_fx(spark, sf).rankings, 20)
 
 
 @q("j7_txt_report", oracle(
@@ -1026,9 +1085,24 @@ def f7_rows_at(spark, sf):
                      TRAJECTORY_DOMAINS)
 
 
-@q("j8_soa_report", _soa_sql(False))
+@q("j7_sensitive_rows", oracle(
+    "SELECT day, text, name FROM txt_rows WHERE regexp_matches(lower(text), 'login|user|password|pswd|private')",
+    txt_rows=TXT_ROWS_SQL))
+def j7_sensitive_rows(spark, sf):
+    return J.txt_sensitive(_fx(spark, sf).observations)
+
+
+@q("j8_soa_report", _soa_sql(False).replace("FROM observations GROUP BY day",
+                                            f"FROM observations WHERE day IN ({SOME_DAYS_SQL}) GROUP BY day"))
 def j8_soa_report(spark, sf):
-    return J.soa_report(_fx(spark, sf).observations)
+    return RD.run_days(_fx(spark, sf).observations, [d.strftime("%Y%m%d") for d in SOME_DAYS], J.soa_report)
+
+
+@q("j9_some_days", oracle(_corr_sql(list(J.CORR_DAY_COLUMNS), "j2", by="date"), **J2_FEATS | {
+    "j2": J2_FEATS["j2"] + f" WHERE r.day IN ({SOME_DAYS_SQL})"}))
+def j9_some_days(spark, sf):
+    fx = _fx(spark, sf)
+    return J.rank_record_correlation(fx.rankings, fx.observations, SOME_DAYS).withColumn("r", rnd("r"))
 
 
 @q("d19_txt_month_pivot", oracle(

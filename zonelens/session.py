@@ -2,16 +2,17 @@
 
 The library never builds its own cluster config for production use: the
 caller owns the session.  ``get_session`` is for tests, scripts and the
-bench; ``checkpoint_dir`` reads the shared folder the cluster names and only
-falls back to a scratch folder when nothing is configured (local runs).
+bench; ``checkpoint_dir`` reads the shared folder the cluster names.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -37,63 +38,35 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; a scratch folder is
-    set only where it is unset (tests and local scripts).
+    Raises where nothing is configured: a folder on one machine would lose the
+    checkpoint with that machine.  Tests call ``setCheckpointDir`` themselves.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="zonelens-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # core confs may be read-only at runtime
-            pass
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
-    return current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of a DataFrame (from file sizes and the
-    projected columns); no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast hint only behind a size check: below ``limit`` (default the
-    session's ``autoBroadcastJoinThreshold``) the side is broadcast, above it
-    the planner keeps a shuffle join."""
-    from pyspark.sql import functions as F
-    if limit is None:
-        limit = int(str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
-                    .rstrip("b").rstrip("B") or 0)
-    return F.broadcast(df) if 0 < estimated_bytes(df) <= limit else df
-
-
-def ensure_parallel(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores.
-
-    A small file with one Parquet row group is read by one task, and every
-    narrow operator after it (the per-row projections) then runs on one core.
-    The check is the scan's partition count (file listing only, no job);
-    large inputs already have at least one split per core and are returned
-    unchanged, so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives Python workers this package, unless they find it by themselves (as
+    with ``--py-files``, PYTHONPATH or the working folder)."""
+    root = Path(__file__).resolve().parents[1]
+    known = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    context = spark.sparkContext
+    if any(Path(p).resolve() == root for p in known) or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    path = Path(tempfile.mkdtemp(prefix="py-files-")) / "zonelens.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(path, "w") as z:
+        for f in (root / "zonelens").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(path))

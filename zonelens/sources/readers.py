@@ -72,7 +72,7 @@ def parse_rank_lines(lines: DataFrame, line_col: str = "line",
                      file_col: str = "file_name") -> DataFrame:
     """A2 core: keep lines with exactly two comma fields -> (day, rank, domain).
 
-    ``rank`` is null for a non-numeric rank text; ``rejected_ranks`` counts them.
+    ``rank`` is null for a non-numeric rank text; ``rejected_rank_lines`` counts them.
     """
     fields = F.split(F.col(line_col), ",")
     return (lines.filter(F.size(fields) == 2)
@@ -81,18 +81,42 @@ def parse_rank_lines(lines: DataFrame, line_col: str = "line",
                          F.try_element_at(fields, F.lit(2)).alias("domain")))
 
 
-def read_rankings(spark: SparkSession, paths) -> DataFrame:
-    """A2: daily ranking lists (plain, gzip or tar.gz text); day from the
-    file name via the ``_metadata`` column, no whole-file reads."""
+def read_rank_lines(spark: SparkSession, paths) -> DataFrame:
+    """The lines of daily ranking lists (plain, gzip or tar.gz text) with their
+    file name (``_metadata`` column, no whole-file reads)."""
     raw = spark.read.text(paths).select(
         F.col("value").alias("line"), F.col("_metadata.file_name").alias("file_name"))
     # a tar.gz member may hold several lines glued by whitespace
-    lines = raw.select("file_name", F.explode(F.split(F.trim(F.col("line")), r"\s+")).alias("line"))
-    return parse_rank_lines(lines)
+    return raw.select("file_name", F.explode(F.split(F.trim(F.col("line")), r"\s+")).alias("line"))
+
+
+def read_rankings(spark: SparkSession, paths) -> DataFrame:
+    """A2: daily ranking lists, parsed; the day comes from the file name."""
+    return parse_rank_lines(read_rank_lines(spark, paths))
+
+
+def _reasons(df: DataFrame, source: str, counts: dict[str, Column]) -> DataFrame:
+    """(source, reason, n) from one aggregate of conditional counts."""
+    wide = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()])
+    return wide.select(F.explode(F.array(*[
+        F.struct(F.lit(source).alias("source"), F.lit(k).alias("reason"), F.col(k).alias("n")) for k in counts])).alias("x")).select("x.*")
+
+
+def rejected_rank_lines(lines: DataFrame, line_col: str = "line", file_col: str = "file_name") -> DataFrame:
+    """K6: how many ranking lines no job can use, by reason."""
+    fields = F.split(F.col(line_col), ",")
+    two = F.size(fields) == 2
+    return _reasons(lines, "rankings", {
+        "not two fields": ~two,
+        "rank is no number": two & parse_rank(F.try_element_at(fields, F.lit(1))).isNull(),
+        "no day in the file name": two & day_from_file_name(file_col).isNull()})
 
 
-def rejected_ranks(rankings: DataFrame) -> DataFrame:
-    return rankings.agg(F.count_if(F.col("rank").isNull()).alias("rejected"))
+def rejected_observations(obs: DataFrame, corrupt_col: str = "_corrupt_record") -> DataFrame:
+    """K6: how many observations are malformed or lack a required field."""
+    bad = F.col(corrupt_col).isNotNull()
+    return _reasons(obs, "observations", {"malformed line": bad, **{
+        f"{c} is missing": ~bad & F.col(c).isNull() for c in REQUIRED_FIELDS}})
 
 
 def read_rank_aggregate(spark: SparkSession, paths, fmt: str = "csv") -> DataFrame:
@@ -149,6 +173,18 @@ def filter_days(df: DataFrame, prefixes, col: str = "day") -> DataFrame:
     return df.filter(cond)
 
 
+def filter_timestamps(df: DataFrame, prefixes, col: str = "timestamp") -> DataFrame:
+    """A6 on raw observations: days as ranges of the epoch-millis column, so the
+    filter reaches the scan (no text is made of the timestamp)."""
+    import datetime as _dt
+    cond = F.lit(False)
+    for p in prefixes:
+        lo, hi = (int(_dt.datetime(d.year, d.month, d.day, tzinfo=_dt.timezone.utc).timestamp() * 1000)
+                  for d in _prefix_range(str(p)))
+        cond = cond | ((F.col(col) >= lo) & (F.col(col) < hi))
+    return df.filter(cond)
+
+
 def run_days(df: DataFrame, days, op, col: str = "day"):
     """One job over many days: ``day IN (...)``, then ``op`` with the day
     as a grouping key.  Days are validated as ``yyyyMMdd``."""
@@ -182,11 +218,20 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.json.gz") -> DataF
                  .select("path", "length", "modificationTime"))
 
 
+#: An ``href`` attribute, in any case, with blanks around ``=``, quoted or bare.
+HREF = r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+
+
 def extract_links(pages: DataFrame, prefix: str, alternatives=None,
                   html_col: str = "html") -> DataFrame:
-    """``href`` values of index pages starting with ``prefix`` followed
-    by one of ``alternatives`` (or any character)."""
-    alt = "(?:" + "|".join(alternatives) + ")" if alternatives else "."
-    pattern = r"""href=['"]?(""" + prefix + alt + r"""[^'" >]+)"""
-    links = F.regexp_extract_all(F.col(html_col), F.lit(pattern), 1)
-    return pages.select(F.explode(links).alias("link"))
+    """Links of index pages: the value of every ``href`` that starts with
+    ``prefix`` followed by one of ``alternatives`` (or by anything) and at least
+    one more character.  Prefix and alternatives are literal text."""
+    found = pages.select(F.explode(F.regexp_extract_all(F.col(html_col), F.lit(HREF), 1)).alias("raw"))
+    link = F.trim(F.when(F.substring("raw", 1, 1).isin('"', "'"), F.expr("substring(raw, 2, char_length(raw) - 2)"))
+                  .otherwise(F.col("raw")))
+    keep = F.lit(False)
+    for a in alternatives or [""]:
+        start = prefix + a
+        keep = keep | (F.startswith(F.col("link"), F.lit(start)) & (F.char_length("link") > len(start) + (not a)))
+    return found.select(link.alias("link")).filter(keep)

@@ -1,5 +1,5 @@
-"""Sinks (A8-A13).  All writes are distributed; the only single-file sink
-(A10) refuses to run on anything that is not already bounded."""
+"""Sinks (A8-A13).  All writes are distributed but the single-file sink (A10),
+which is for results that are small by construction."""
 
 from __future__ import annotations
 
@@ -23,17 +23,14 @@ def write_csv(df: DataFrame, path: str, compression: str | None = None,
     w.csv(path)
 
 
-def write_single(df: DataFrame, path: str, fmt: str = "csv", max_rows: int = 10_000_000,
-                 mode: str = "overwrite") -> None:
-    """A10: one output file for a small result (after an aggregate/limit).
+def write_single(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
+    """A10: one output file, for a result the caller knows to be small (after an
+    aggregate or a limit).
 
-    The row bound is checked first: ``coalesce(1)`` funnels everything
-    through one task, which is only acceptable for bounded results.
+    ``repartition(1)`` moves only the finished rows into one task; what computes
+    them keeps its own parallelism.
     """
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows is too many for a single-file sink (max {max_rows})")
-    df.coalesce(1).write.mode(mode).format(fmt).option("header", "false").save(path)
+    df.repartition(1).write.mode(mode).format(fmt).option("header", "false").save(path)
 
 
 def write_counters(df: DataFrame, path: str, mode: str = "overwrite") -> None:
