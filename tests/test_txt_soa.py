@@ -73,3 +73,22 @@ def test_category_rollup_levels(fx):
     per_day = roll.filter(F.col("level") == 3).select("day", "n").collect()
     tot = {r.day: r.n for r in counts.groupBy("day").agg(F.sum("n").alias("n")).collect()}
     assert {r.day: r.n for r in per_day} == tot
+
+
+def test_both_taxonomies_agree_on_every_label(spark):
+    """The Spark patterns and the DuckDB patterns label the fixture's texts alike,
+    and the fixture has a text for each label."""
+    import duckdb
+
+    from zonelens.functions.txt import TXT_TAXONOMY
+    from zonelens.plans.bindings import Fixture
+    from zonelens.plans.oracle_sql import txt_labels_sql
+    texts = sorted({r.t for r in Fixture(spark, "/root/testdata/sf0.01").observations.select(
+        TF.clean_txt("txt_text").alias("t")).filter("t <> ''").collect()} | {"", "v=spf", "xmalt", "k=RSA", "\nMS=1", "MS\nx", "9|\n"})
+    got = {r.t: set(r.l) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", TF.txt_labels("t").alias("l")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x(t VARCHAR)")
+    con.executemany("INSERT INTO x VALUES (?)", [(t,) for t in texts])
+    assert got == {t: set(l) for t, l in con.execute(f"SELECT t, {txt_labels_sql('t')} FROM x").fetchall()}
+    assert set().union(*got.values()) == set(TXT_TAXONOMY)

@@ -31,7 +31,9 @@ MS_DUCKDB = "epoch_us(ts) // 1000"
 HITS_SQL = """
 SELECT e.event_id, e.user_id, e.value, e.ts, CAST(e.ts AS DATE) AS day,
        regexp_extract(p.url, '^https?://([^/?#:]+)', 1) AS host
-FROM (SELECT ev.event_id, ev.user_id, ev.value, ev.ts,
+FROM (SELECT ev.event_id, ev.user_id, ev.value,
+             ev.ts + CASE WHEN ev.user_id % 5 = 0 THEN INTERVAL '31' DAY WHEN ev.user_id % 7 = 0 THEN INTERVAL '60' DAY
+                          ELSE INTERVAL '0' DAY END AS ts,
              ev.event_id % (SELECT COUNT(*) FROM {pages}) AS pid
       FROM {events} ev) e
 JOIN {pages} p ON p.page_id = e.pid
@@ -67,12 +69,25 @@ SELECT event_id, day,
   CASE WHEN event_id % 17 = 5 THEN 'mx.' || host || '.' END AS mx_address,
   CASE WHEN event_id % 17 = 1 THEN 'ns' || CAST(user_id % 4 AS STRING) || '.' || host || '.' END AS ns_address,
   CASE WHEN event_id % 17 IN (6, 15) THEN
-    CASE user_id % 13 WHEN 0 THEN '"v=spf1 include:' || host || ' -all"'
+    CASE user_id % 44 WHEN 0 THEN '"v=spf1 include:' || host || ' -all"'
       WHEN 1 THEN 'MS=ms' || CAST(user_id AS STRING)
       WHEN 2 THEN 'google-site-verification=' || host WHEN 3 THEN '""' WHEN 4 THEN NULL
       WHEN 5 THEN 'private Login ' || host WHEN 6 THEN 'ALIAS for ' || host WHEN 7 THEN md5(host)
       WHEN 8 THEN 'v=dkim1; k=rsa' WHEN 9 THEN '4|' || host WHEN 10 THEN 'note A record here'
-      WHEN 11 THEN '  ' ELSE 'spf2.0/pra ' || host END END AS txt_text,
+      WHEN 11 THEN '  ' WHEN 12 THEN 'INCLUDE:' || host WHEN 13 THEN 'v=DMARC1; p=none'
+      WHEN 14 THEN '_amazonses:' || host WHEN 15 THEN 'yandex-verification: 1'
+      WHEN 16 THEN 'mailru-domain: ' || host WHEN 17 THEN 'zoho-verification=1'
+      WHEN 18 THEN 'adobe-idp-site-verification=1' WHEN 19 THEN 'Sendinblue-code:1'
+      WHEN 20 THEN 'loaderio=1' WHEN 21 THEN 'atlassian-domain-verification=1'
+      WHEN 22 THEN 'citrix-verification=1' WHEN 23 THEN 'facebook-domain-verification=1'
+      WHEN 24 THEN 'pardot_1' WHEN 25 THEN 'status-page-domain-verification=1' WHEN 26 THEN 'ppe-1'
+      WHEN 27 THEN 'firebase=1' WHEN 28 THEN 'dropbox-domain-verification=1'
+      WHEN 29 THEN repeat('Ab1+', 21) || 'Zz==' WHEN 30 THEN repeat('Ab1+', 10) || 'xyz='
+      WHEN 31 THEN md5(host) || md5(host) WHEN 32 THEN md5(host) || substr(md5(host), 1, 8)
+      WHEN 33 THEN '01234567-89ab-cdef-0123-456789abcdef' WHEN 34 THEN '123456789-1234567'
+      WHEN 35 THEN 'k=rsa; p=1' WHEN 36 THEN 'abcdefghijklmnopqrstuvwxyz' WHEN 37 THEN 'docusign=1'
+      WHEN 38 THEN '_globalsign-domain-verification=1' WHEN 39 THEN 'i=123&m=x' WHEN 40 THEN 'MAlt 1'
+      WHEN 41 THEN 'my PASSWORD or pswd' WHEN 42 THEN 'a User of ' || host ELSE 'spf2.0/pra ' || host END END AS txt_text,
   CASE WHEN event_id % 17 = 7 THEN 'v=spf1 -all' END AS spf_text,
   CASE WHEN event_id % 17 = 8 THEN 'ptr.' || host || '.' END AS ptr_name,
   CASE WHEN event_id % 17 = 9 THEN CAST(256 + user_id % 2 AS INT) END AS dnskey_flags,

@@ -88,7 +88,8 @@ FROM {src} s
 
 TXT_CLEAN = r"""regexp_replace(replace(txt_text, '"', ''), '^\s+|\s+$', '', 'g')"""
 
-# The TXT taxonomy again, written as RE2 patterns for DuckDB.
+# The TXT taxonomy again, written as RE2 patterns for DuckDB.  They
+# differ in spelling because RE2 searches: a trailing ".*" would say nothing.
 TXT_RE2 = [
     ("mail-security.spf", r"^((?i:\\?v=spf[123]?)|(?i:include:)|spf1|spf2\.0)"),
     ("mail-security.dkim", r"^(?i:v=DKIM1)"),

@@ -375,10 +375,14 @@ def b20_sensitive_txt(spark, sf):
 
 
 @q("b20_sensitive_documents", oracle(
-    "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'login|user|password|pswd|private')"))
+    "SELECT doc_id FROM (SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN text || ' Log' || 'In' WHEN 4 THEN 'PassWord ' || text "
+    "WHEN 7 THEN 'pass word ' || text ELSE text END AS t FROM documents) "
+    "WHERE regexp_matches(lower(t), 'login|user|password|pswd|private')"))
 def b20_sensitive_documents(spark, sf):
-    docs = _fx(spark, sf).documents
-    return docs.filter(TF.is_sensitive("text")).select("doc_id")
+    docs = _fx(spark, sf).documents.select("doc_id", F.expr(
+        "CASE doc_id % 9 WHEN 1 THEN text || ' LogIn' WHEN 4 THEN 'PassWord ' || text "
+        "WHEN 7 THEN 'pass word ' || text ELSE text END AS t"))
+    return docs.filter(TF.is_sensitive("t")).select("doc_id")
 
 
 @q("b21_txt_rows", oracle(
