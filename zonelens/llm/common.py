@@ -2,52 +2,35 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonelens.session import ship_package
+
 #: The white space that every contract names: [\x20\x09-\x0D].
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Gives Python workers this package, unless they find it by themselves (as
-    with ``--py-files``, PYTHONPATH or the working folder)."""
-    root = Path(__file__).resolve().parents[2]
-    known = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
-    context = spark.sparkContext
-    if any(Path(p).resolve() == root for p in known) or context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    path = Path(tempfile.mkdtemp(prefix="py-files-")) / "zonelens.zip"  # the driver serves it to the executors
-    with zipfile.ZipFile(path, "w") as z:
-        for f in (root / "zonelens").rglob("*.py"):
-            z.write(f, f.relative_to(root))
-    context.addPyFile(str(path))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    It is read from the session; a session without one (tests) must have had
-    ``setCheckpointDir`` called."""
+    Where it is unset, a local session (one process, as in tests) gets a folder of its
+    own; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -69,6 +52,13 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def slices(batches, rows: int = 500):
+    """The rows of Arrow batches, some hundred at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def without_spaces(text: Column) -> Column:
     for c in SPACES:
         text = F.replace(text, F.lit(c))
@@ -87,13 +77,14 @@ def with_ids(docs: DataFrame, ids: DataFrame, bounded: bool = False) -> DataFram
 def least_by_hash(rows: DataFrame, key: str, most) -> DataFrame:
     """Of rows (key, doc_id): per key the ``most`` (a column or number) of least hash
     of doc_id.  A cut at about three times the wanted share comes first, so that the
-    ranking of a key that most rows have is no longer than that of a rare one."""
+    ranking of a key that most rows have is no longer than that of a rare one.  Keys are
+    the classes of a model that holds all of them, so their sizes are broadcast."""
     from pyspark.sql import Window
 
     most = most if isinstance(most, Column) else F.lit(most)
     h = F.xxhash64("doc_id")
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__size"))
-    near = rows.join(sizes, key).where(F.pmod(h, F.lit(1_000_000)) * F.col("__size") <= most.cast("long") * F.lit(3_000_000).cast("long"))
+    near = rows.join(F.broadcast(sizes), key).where(F.pmod(h, F.lit(1_000_000)) * F.col("__size") <= most.cast("long") * F.lit(3_000_000).cast("long"))
     w = Window.partitionBy(key).orderBy(F.pmod(h, F.lit(1_000_000)), h, "doc_id")
     return near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n", "__size")
 

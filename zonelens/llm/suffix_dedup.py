@@ -26,8 +26,8 @@ strings, dealt out by the string.  The texts are shuffled once, by document, and
 use that one exchange.  Level 1 is written to the shared folder, so a lost executor
 does not repeat the parse.
 
-Equality in level 1 is that of independent 64-bit hashes of trigger and phrase; level 2
-compares bytes.
+Equality in level 1 is that of independent hashes of trigger (64 bits) and phrase (54
+bits); level 2 compares bytes.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` keep all bytes; a
 null doc_id comes last; rows that share a doc_id are ordered by a hash of their text,
@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import buckets, fresh_folder, table
+from zonelens.llm.common import buckets, fresh_folder, slices, table
 from zonelens.llm.phrases import Fingerprints, phrases
 from zonelens.llm.words import pieces
 
@@ -49,8 +49,9 @@ LENGTH, GRAIN = 100, 36
 #: Phrases with one trigger that level 2 compares in one group.
 HOT = 200
 #: Phrases that a map task holds at a time; bytes of a text that are parsed at a time.
-HELD, SEGMENT = 1_000_000, 4 << 20
+HELD, SEGMENT = 300_000, 1 << 20
 LAST = (1 << 63) - 1
+MOST_RUN = 200
 START_BITS = 40  # `at` is the document's sub-number, then the byte where a string starts
 
 
@@ -96,10 +97,21 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 ONE, SEVERAL, BY_PHRASE, REPEATED = 0, 1, 2, 3
 
 
+def pack(v, n, kind):
+    """Phrase hash (54 bits), number of strings and kind in one integer."""
+    return (v & ~np.int64(0x3FF)) | (n.astype(np.int64) << 2) | kind
+
+
+def unpack(mark):
+    return mark & ~np.int64(0x3FF), (mark >> 2) & 0xFF, mark & 3
+
+
 def settle_locally(k, v, doc, at, n):
-    """What one task knows about its phrases: route, trigger, phrase, doc, at, n, kind."""
+    """What one task knows about its phrases: trigger, mark, doc, at, in reading order."""
+    v = v & ~np.int64(0x3FF)
     o = np.lexsort((at, doc, v, k))
-    k, v, doc, at, n = k[o], v[o], doc[o], at[o], n[o]
+    kk, doc_, at_ = k, doc, at
+    k, v, doc, at = k[o], v[o], doc[o], at[o]
     first_k, first_v = _groups(k), _groups(k, v)
     of_v = np.maximum.accumulate(np.where(first_v, np.arange(len(k)), 0))
     again = ~first_v & ((doc != doc[of_v]) | (at != at[of_v]))
@@ -113,16 +125,20 @@ def settle_locally(k, v, doc, at, n):
     kind[heads] = BY_PHRASE
     several = np.bincount(group[heads], minlength=len(lead)) > 1 if len(heads) else np.zeros(0, bool)
     kind[lead] = np.where(several[group[lead]], SEVERAL, ONE)
-    keep = kind >= 0
-    route = np.where(kind == BY_PHRASE, k ^ v, np.where(kind == REPEATED, doc ^ at, k))
-    return [x[keep] for x in (route, k, v, doc, at, n.astype(np.int32), kind)]
+    back = np.empty(len(o), np.int8)
+    back[o] = kind
+    keep = back >= 0
+    original = np.empty(len(o), np.int64)
+    original[o] = v
+    return [kk[keep], pack(original, n, np.maximum(back, 0))[keep], doc_[keep], at_[keep]]
 
 
-def settle_triggers(k, v, doc, at, n, kind):
+def settle_triggers(k, mark, doc, at):
     """One partition of the parse: (repeated?, trigger, doc, at, n) of the phrases that
-    are repeated as a whole and of those that level 2 must look into."""
+    are repeated as a whole and of those that level 2 must look into; by document."""
+    v, n, kind = unpack(mark)
     done = kind == REPEATED
-    out = [(np.ones(done.sum(), bool), k[done], doc[done], at[done], n[done])]
+    out = [(np.ones(done.sum(), bool), np.zeros(done.sum(), np.int64), doc[done], at[done], n[done])]
     for mine in (kind == BY_PHRASE, (kind == ONE) | (kind == SEVERAL)):
         kk, vv, dd, aa, nn, several = k[mine], v[mine], doc[mine], at[mine], n[mine], kind[mine] == SEVERAL
         o = np.lexsort((aa, dd, vv, kk))
@@ -137,8 +153,10 @@ def settle_triggers(k, v, doc, at, n, kind):
             open_ = (np.bincount(group, weights=first_v, minlength=size) > 1) | (
                 np.bincount(group, weights=several, minlength=size) > 0)
         for what, flag in ((again, True), (first_v & open_[group] if size else first_v, False)):
-            out.append((np.full(what.sum(), flag), kk[what], dd[what], aa[what], nn[what]))
-    return [np.concatenate(x) for x in zip(*out)]
+            out.append((np.full(what.sum(), flag), np.zeros(what.sum(), np.int64) if flag else kk[what], dd[what], aa[what], nn[what]))
+    repeated, k, doc, at, n = (np.concatenate(x) for x in zip(*out))
+    o = np.lexsort((at, doc, repeated))
+    return [repeated[o], k[o], doc[o], at[o], n[o].astype(np.int32)]
 
 
 def _columns(batches, names):
@@ -160,11 +178,11 @@ def _emit(arrays, names, most: int = 200_000):
 
 
 def _parse(batches):
-    names = ["route", "k", "v", "doc", "at", "n", "kind"]
+    names = ["k", "mark", "doc", "at"]
     held, size = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         docs, subs = (batch.column(c).to_numpy() for c in (0, 1))
-        for first, raws in pieces(batch.column(2).to_pylist()):
+        for first, raws in pieces(batch.column(2).to_pylist(), 1 << 19):
             number, start, n, k, v = parse_texts(raws)
             at = (subs[first + number].astype(np.int64) << START_BITS) | start
             held.append((k, v, docs[first + number], at, n))
@@ -177,7 +195,7 @@ def _parse(batches):
 
 
 def _settle(batches):
-    cols = _columns(batches, ["k", "v", "doc", "at", "n", "kind"])
+    cols = _columns(batches, ["k", "mark", "doc", "at"])
     if cols is not None:
         yield from _emit(settle_triggers(*cols), ["repeated", "k", "doc", "at", "n"])
 
@@ -193,7 +211,7 @@ def _strings(batches):
             pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
 
     rows, held = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for doc, text, todo in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "todo"))):
             raw = text.encode("utf-8", "replace")
             for item in todo:
@@ -240,8 +258,8 @@ def repeated_strings(doc, at, n, phrase: list[bytes]):
     new = np.ones(len(o), bool)
     close = np.flatnonzero((mark[1:] == mark[:-1]) & (head[1:] == head[:-1])) + 1
     span = np.arange(LENGTH)
-    for i in range(0, len(close), 100_000):
-        c = close[i:i + 100_000]
+    for i in range(0, len(close), 20_000):
+        c = close[i:i + 20_000]
         same = (data[left[c][:, None] + span] == data[left[c - 1][:, None] + span]).all(1)
         new[c[same]] = False
     lead = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0)) if len(o) else np.zeros(0, np.int64)
@@ -251,9 +269,10 @@ def repeated_strings(doc, at, n, phrase: list[bytes]):
     d, where = d[o], where[o]
     begin = np.ones(len(d), bool)
     begin[1:] = (d[1:] != d[:-1]) | (where[1:] - where[:-1] > 1)
+    begin[::MOST_RUN] = True  # a run's length is kept in one byte
     begin = np.flatnonzero(begin)
     runs = where[np.append(begin[1:], len(d)) - 1] - where[begin] + 1 if len(d) else np.zeros(0, np.int64)
-    return d[begin], where[begin], runs
+    return d[begin], where[begin], runs.astype(np.int32)
 
 
 def _compare(batches):
@@ -269,12 +288,12 @@ def _compare(batches):
     texts = whole.column("phrase").to_pylist()
     o = np.argsort(route, kind="stable")
     edges = np.flatnonzero(_groups(route[o]))
-    # whole groups, about a million strings at a time
+    # whole groups, some hundred thousand strings at a time
     upto = np.append(edges[1:], len(o))
     size, begin = 0, 0
     for i, e in enumerate(upto):
         size += int(n[o[edges[i]:e]].sum())
-        if size >= 1_000_000 or i == len(upto) - 1:
+        if size >= 300_000 or i == len(upto) - 1:
             pick = o[begin:e]
             d, w, r = repeated_strings(doc[pick], at[pick], n[pick].astype(np.int64), [texts[x] for x in pick])
             yield from _emit([d, w, r], ["doc", "at", "n"])
@@ -284,37 +303,35 @@ def _compare(batches):
 def _remove(batches):
     import pyarrow as pa
 
-    mask_bits = (1 << START_BITS) - 1
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
-        for first in range(0, batch.num_rows, 500):
-            part = batch.slice(first, 500)
-            sizes, removed, spans, kept = [], [], [], []
-            for text, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist()):
-                raw = text.encode("utf-8", "replace")
-                sizes.append(len(raw))
-                if not runs:
-                    removed.append(0)
-                    spans.append([])
-                    kept.append(raw)
-                    continue
-                s = np.array([r["at"] & mask_bits for r in runs], np.int64)
-                e = s + np.array([r["n"] for r in runs], np.int64) + LENGTH - 1
-                o = np.argsort(s, kind="stable")
-                s, e = s[o], np.maximum.accumulate(e[o])
-                begin = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
-                s, e = s[begin], e[np.append(begin[1:], len(e)) - 1]
-                at, left = 0, []
-                for x, y in zip(s.tolist(), e.tolist()):
-                    left.append(raw[at:x])
-                    at = y
-                left.append(raw[at:])
-                kept.append(b"".join(left))
-                removed.append(len(raw) - len(kept[-1]))
-                spans.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist())])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kinds),
-                 pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+    for part in slices(batches):
+        sizes, removed, spans, kept = [], [], [], []
+        for text, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist()):
+            raw = text.encode("utf-8", "replace")
+            sizes.append(len(raw))
+            if not runs:
+                removed.append(0)
+                spans.append([])
+                kept.append(raw)
+                continue
+            runs = np.array(runs, np.int64)
+            s = runs >> 8
+            e = s + (runs & 0xFF) + LENGTH - 1
+            o = np.argsort(s, kind="stable")
+            s, e = s[o], np.maximum.accumulate(e[o])
+            begin = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
+            s, e = s[begin], e[np.append(begin[1:], len(e)) - 1]
+            at, left = 0, []
+            for x, y in zip(s.tolist(), e.tolist()):
+                left.append(raw[at:x])
+                at = y
+            left.append(raw[at:])
+            kept.append(b"".join(left))
+            removed.append(len(raw) - len(kept[-1]))
+            spans.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist())])
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kinds),
+             pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -335,10 +352,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = buckets(spark)
     texts = _numbered(docs)
-    parsed = texts.select("doc", "sub", "text").mapInArrow(
-        _parse, "route long, k long, v long, doc long, at long, n int, kind byte")
+    parsed = texts.select("doc", "sub", "text").mapInArrow(_parse, "k long, mark long, doc long, at long")
+    kind = F.col("mark").bitwiseAND(3)
+    route = (F.when(kind == BY_PHRASE, F.xxhash64("k", F.shiftright("mark", 10)))
+             .when(kind == REPEATED, F.xxhash64("doc", "at")).otherwise(F.col("k")))
     folder = fresh_folder(spark, "parse")
-    parsed.repartition(parts, "route").mapInArrow(_settle, "repeated boolean, k long, doc long, at long, n int").write.parquet(folder)
+    parsed.repartition(parts, route).mapInArrow(_settle, "repeated boolean, k long, doc long, at long, n int").write.parquet(folder)
     settled = spark.read.parquet(folder)
     open_ = settled.where("NOT repeated").select("k", "doc", "at", "n")
     hot = open_.groupBy("k").count().where(F.col("count") > HOT).select("k", F.lit(True).alias("hot"))
@@ -346,13 +365,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     todo = (open_.join(hot, "k", "left").select("doc", sub, F.struct(
         "k", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("todo"))
         .groupBy("doc", "sub").agg(F.collect_list("todo").alias("todo")))
-    dealt = texts.repartition(parts, "doc", "sub")
-    strings = (dealt.select("doc_id", "doc", "sub", "text").join(todo, ["doc", "sub"]).select("doc", "text", "todo")
-               .mapInArrow(_strings, "route long, doc long, at long, n int, phrase binary"))
-    edges = strings.repartition(parts, "route").mapInArrow(_compare, "doc long, at long, n long")
-    runs = (settled.where("repeated").select("doc", "at", F.col("n").cast("long").alias("n")).unionByName(edges)
-            .select("doc", sub, F.struct("at", "n").alias("run")).groupBy("doc", "sub").agg(F.collect_list("run").alias("runs")))
-    return (dealt.select("doc_id", "doc", "sub", "text").join(runs, ["doc", "sub"], "left").select("doc_id", "text", "runs")
+    # both joins take the same columns and keys, so that one exchange of the texts serves both
+    dealt = texts.select("doc_id", "doc", "sub", "text")
+    strings = (dealt.join(todo, ["doc", "sub"]).select("doc_id", "doc", "text", "todo").mapInArrow(_strings, "route long, doc long, at long, n int, phrase binary"))
+    edges = strings.repartition(parts, "route").mapInArrow(_compare, "doc long, at long, n int")
+    run = F.shiftleft(F.col("at").bitwiseAND((1 << START_BITS) - 1), 8).bitwiseOR(F.col("n").cast("long")).alias("run")
+    runs = (settled.where("repeated").select("doc", "at", "n").unionByName(edges)
+            .select("doc", sub, run).groupBy("doc", "sub").agg(F.collect_list("run").alias("runs")))
+    return (dealt.join(runs, ["doc", "sub"], "left").select("doc_id", "text", "runs")
             .mapInArrow(_remove, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, "
                                  "spans array<struct<start:bigint,end:bigint>>, kept binary"))
 
