@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from zonelens.llm.common import least_by_hash, table
 from zonelens.llm.words import LETTERS, Words, mixed, pieces, stretch
 
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 8000, 20_000
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3500, 20_000
 FEATURE_G2 = 8.0
 LANE, ROUNDS, RATE = 64, 60, 0.3
 #: Toxic and clean documents on which the CRF itself is fitted.
@@ -236,7 +236,7 @@ class Model:
         ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
         use = (g2 > FEATURE_G2) & (a + b >= 3) & ((ratio > 2) | (ratio < 0.5)) & (keys != 0)
         chance = 2 * np.log(max(2, np.count_nonzero(a + b >= 3)))
-        marker = (g2 > chance) & (ratio > 10) & (keys != 0)
+        marker = (g2 > chance) & (ratio > 4) & (keys != 0)
         self.table = FeatureTable(keys[use | marker])
         is_marker = np.concatenate([[False], marker[use | marker]])
         chosen = np.zeros(len(labels), bool)
