@@ -1,10 +1,11 @@
-"""Connected components of a link table, by alternating star contraction.
+"""Connected components of a link table.
 
-Each round links every node's larger neighbours to its smallest neighbour and then the
-smaller ones likewise; after a number of rounds that grows with the logarithm of the
-longest chain, every node points at the smallest node of its component.  Each round is
-two aggregations joined back to the links and is checkpointed in the shared folder; only a sum and a
-count come to the driver."""
+Nodes point at smaller nodes.  Each round keeps every node's smallest link, turns its
+other links into links between those neighbours, and lets every node point at what its
+parent points at.  Chains halve each round, and the rounds end when every node has one
+link, to a node that has none: the smallest of its component.  Each round is an
+aggregation and joins on the links, checkpointed in the shared folder; only two counts
+come to the driver."""
 
 from __future__ import annotations
 
@@ -14,26 +15,19 @@ from pyspark.sql import functions as F
 from zonelens.llm.common import cut
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    """u, v and m, the smallest node among u and its neighbours."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return edges.join(least, "u")
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of links (a, b); nodes without links are
     left out.  Links may repeat and go either way."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _smallest(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                    .unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        new = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if new == state:
+        tree = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        up = tree.select(F.col("u").alias("m"), F.col("m").alias("above"))
+        jumped = tree.join(up, "m", "left").select("u", F.coalesce("above", "m").alias("v"), F.col("above").isNotNull().alias("moved"))
+        several = tree.where("most > m").select("u", "m")
+        others = edges.join(several, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
+        state = cut(jumped.unionByName(others))
+        edges = state.select("u", "v")
+        if state.where("moved").isEmpty():
             break
-        state = new
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -11,27 +11,30 @@ union could hold a partner are opened.
 2. Token-group matrix, sparse: sets are ordered by token hash, tokens common to many
    sets last.  Two linked sets share one of their first |s| - ceil(0.8 |s|) + 1 tokens,
    so only these are dealt out by token, and tokens of a single set are dropped at once.
-3. Groups: every set names the set with the least id that it shares most of these
-   tokens with, and is compared with it.  What links forms first components; a component
-   is stored in groups of at most ``GROUP`` members.
+3. Groups: every set names a leader, the set with the least id of most of its rows; sets
+   with one leader form a group (parts of about ``GROUP`` members).  Sets whose bound (see 4)
+   allows a link to their leader form first components.
 4. A matrix row lists the groups that hold its token.  Each set queries the groups of
    other components in its rows (the smaller component queries the larger), after a
    length and position filter.  The bound on the overlap of query and group is taken on
    the group's union, kept as token counts by hash bucket (element-wise maximum of the
    members' counts): sum of minima, never below the true overlap.  Groups that reach
    ceil(0.8 |query|) are opened, members are bounded in the same way, and what is left is
-   compared exactly, token by token.
-5. First and new links give the components.
+   compared exactly, token by token, as are sets and leaders.
+5. The links give components.  Where sets of one first component did not link, step 4 is
+   repeated between their components within it.
 
 No link is lost: all bounds are upper bounds, and sets that are not compared are in one
 component already.  No group is compared all with all, and copies are never expanded.
 
-Scale.  Step 2 shuffles about a fifth of the tokens, the only large shuffle of tokens;
-texts are shuffled once, to fetch the sets that have a candidate.  Common tokens (more
-than ``COMMON`` sets) are found while the sets are first read; at most ``MOST_COMMON``
-of them are broadcast (8 bytes each).  The order is only a matter of speed: should a list
-of another token still exceed ``LONG`` sets, its token joins the common ones and step 2
-is run again.
+Scale.  Step 2 shuffles about a fifth of the tokens, the only large shuffle of tokens.
+The tokens of sets that have a candidate are fetched from their texts once: the list of
+these sets is broadcast up to ``MOST_WANTED`` (counted first), and joined by a shuffle
+beyond.  Common tokens (more
+than ``COMMON`` sets, counted by tasks that see at least ``REPORT`` of them) are found while
+the sets are first read; at most ``MOST_COMMON`` of them are broadcast (8 bytes each).  The
+order is only a matter of speed: should the row of another token still exceed ``LONG``
+sets, its token joins the common ones and step 2 is run again (``PASSES`` times at most).
 
 Defined results: null text, and text without words, has the empty set, links with nothing
 and is its own component; fewer than ``SHINGLE`` words make one shingle of the whole
@@ -46,14 +49,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import buckets, cut, fresh_folder, one_row_each, table, with_ids
+from zonelens.llm.common import buckets, cut, fresh_folder, one_row_each, slices, table, with_ids
 from zonelens.llm.components import components
 from zonelens.llm.words import STEP, Words, mixed, pieces
 
 SHINGLE, PERCENT = 5, 80
-COMMON, MOST_COMMON, LONG, GROUP = 100, 1_000_000, 2000, 256
-#: Tokens that a map task holds at a time.
-HELD = 4_000_000
+COMMON, MOST_COMMON, LONG, GROUP = 12, 1_000_000, 2000, 256
+#: Ids of sets to fetch (16 bytes each) that are broadcast to the texts.
+MOST_WANTED = 1_000_000
+#: Tokens that a map task holds at a time, and how many of its sets must share a token
+#: that it reports.  Passes over the matrix in which common tokens are still added.
+HELD, REPORT, PASSES = 1_500_000, 3, 3
 
 
 def shingle_sets(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +136,9 @@ def may_link(n1, p1, n2, p2):
 
 def _sets(batches, columns):
     """(other columns of the rows, tokens, bounds, ids) of pieces of whole texts."""
-    for batch in batches:
+    for batch in slices(batches, 2000):
         others = [batch.column(c) for c in columns]
-        for first, raws in pieces(batch.column("text").to_pylist()):
+        for first, raws in pieces(batch.column("text").to_pylist(), 1 << 19):
             grams, bounds = shingle_sets(raws)
             yield [c.slice(first, len(raws)) for c in others], grams, bounds, set_ids(grams, bounds)
 
@@ -159,18 +165,15 @@ def _read(batches):
     seen, tokens, held = [], [], 0
 
     def shared(kind):
-        sid, first = np.unique(np.concatenate(seen), return_index=True) if seen else (np.zeros(0, np.int64),) * 2
-        size = np.concatenate([np.diff(b) for _, b in tokens]) if tokens else np.zeros(0, np.int64)
+        _, first = np.unique(np.concatenate(seen), return_index=True)
+        size = np.concatenate([np.diff(b) for _, b in tokens])
         keep = np.zeros(len(size), bool)
-        keep[first] = True
-        firsts = []
-        at = 0
-        for g, b in tokens:
-            owner, tok, _ = _first_tokens(g, b, np.zeros(0, np.uint64))
-            firsts.append(tok[keep[at + owner]])
-            at += len(b) - 1
-        tok, count = np.unique(np.concatenate(firsts) if firsts else np.zeros(0, np.uint64), return_counts=True)
-        tok, count = tok[count > 1].view(np.int64), count[count > 1]
+        keep[first] = True  # each set once
+        tok = np.concatenate([g for g, _ in tokens])[np.repeat(keep, size)]
+        tok.sort()
+        edge = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, np.int64)
+        count = np.diff(np.append(edge, len(tok)))
+        tok, count = tok[edge][count >= REPORT].view(np.int64), count[count >= REPORT]
         return pa.RecordBatch.from_arrays([pa.nulls(len(tok), kind), pa.nulls(len(tok), pa.int64()), pa.nulls(len(tok), pa.int32()),
                                            pa.nulls(len(tok), pa.binary()), pa.array(tok), pa.array(count, pa.int64())], names)
 
@@ -204,7 +207,7 @@ def _deal(common):
                 if s and s not in seen:
                     seen.add(s)
                     new[i] = True
-            if len(seen) > HELD:
+            if len(seen) > HELD // 4:
                 seen.clear()
             owner, tok, place = _first_tokens(grams, bounds, common.value)
             mine = new[owner]
@@ -311,16 +314,43 @@ def _exact(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame | None, tokens: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: bound first (if sketches are given), then exactly."""
-    side = lambda df, p, cols: df.select(F.col("sid").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    if sketches is not None:
-        pairs = (pairs.join(side(sketches, "a", ["n", "counts"]), "a").join(side(sketches, "b", ["n", "counts"]), "b")
-                 .mapInArrow(_bounded, "a long, b long"))
-    return (pairs.join(side(tokens, "a", ["tokens"]), "a").join(side(tokens, "b", ["tokens"]), "b")
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    folder = fresh_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def _side(sets: DataFrame, p: str, columns: list[str]) -> DataFrame:
+    return sets.select(F.col("sid").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in columns])
+
+
+def _linked(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, token by token."""
+    return (pairs.join(_side(tokens, "a", ["tokens"]), "a").join(_side(tokens, "b", ["tokens"]), "b")
             .mapInArrow(_exact, "a long, b long"))
 
 
+def _placed(sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """sid, grp, comp, size of the component of every set (sid, grp)."""
+    placed = (sets.join(comp.withColumnRenamed("node", "sid"), "sid", "left")
+              .select("sid", "grp", F.coalesce("component", "sid").alias("comp")))
+    sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    return cut(placed.join(sizes, "comp").select("sid", "comp", "size", "grp"))
+
+
+def _candidates(rows: DataFrame, placed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of different components that share a row, as far as the bounds on the
+    groups' unions and then on their members allow."""
+    asked = (rows.join(placed, "sid").repartition(buckets(rows.sparkSession), "token")
+             .mapInArrow(_queries, "q long, grp long").distinct())
+    known = sketches.select("sid", "n", "counts").join(placed, "sid")
+    groups = (known.groupBy("grp").agg(F.collect_list(F.struct("sid", "n", "counts", "comp", "size")).alias("members"))
+              .mapInArrow(_store, "grp long, tokens_union binary, counts binary, facts binary"))
+    queries = known.select(F.col("sid").alias("q"), F.col("n").alias("q_n"), F.col("counts").alias("q_counts"),
+                           F.col("comp").alias("q_comp"), F.col("size").alias("q_size"))
+    return asked.join(queries, "q").join(groups, "grp").mapInArrow(_open, "a long, b long")
+
+
 def _queries(batches):
     """Per matrix row: which sets query which groups of other components."""
     import pyarrow as pa
@@ -366,109 +396,112 @@ def _queries(batches):
 
 
 def _store(batches):
-    """Groups as the matrix stores them: members' sizes and counts, and their union."""
+    """Groups as the matrix stores them: the union of the members' tokens, their own
+    counts, and their ids, sizes, components and components' sizes."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for grp, members in zip(batch.column("grp").to_pylist(), batch.column("members").to_pylist()):
             m = min(len(x["counts"]) for x in members)
-            full = [np.frombuffer(x["counts"], np.uint8) for x in members]
-            counts = np.stack([np.minimum(fold(c, m), 255).astype(np.uint8) for c in full])
-            rows.append((grp, counts.max(0).tobytes(), counts.tobytes(),
-                         np.array([x["sid"] for x in members], np.int64).tobytes(),
-                         np.array([x["n"] for x in members], np.int64).tobytes()))
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            counts = np.stack([np.minimum(fold(np.frombuffer(x["counts"], np.uint8), m), 255).astype(np.uint8) for x in members])
+            facts = np.array([[x[c] for x in members] for c in ("sid", "n", "comp", "size")], np.int64)
+            rows.append((grp, counts.max(0).tobytes(), counts.tobytes(), facts.tobytes()))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds],
-                                         ["grp", "tokens_union", "counts", "sids", "sizes"])
+                                         ["grp", "tokens_union", "counts", "facts"])
 
 
 def _open(batches):
     """Groups whose union could hold a partner of the query are opened: its members
-    whose own bound is enough, too."""
+    of later components (see ``_queries``) whose own bound is enough, too."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches):
         a, b = [], []
-        for q, n, mine, union, counts, sids, sizes in zip(*(batch.column(c).to_pylist() for c in (
-                "q", "q_n", "q_counts", "tokens_union", "counts", "sids", "sizes"))):
+        for q, n, comp, size, mine, union, counts, facts in zip(*(batch.column(c).to_pylist() for c in (
+                "q", "q_n", "q_comp", "q_size", "q_counts", "tokens_union", "counts", "facts"))):
             x, u = np.frombuffer(mine, np.uint8), np.frombuffer(union, np.uint8)
             if overlap_bound(x, u) < -(-PERCENT * n // 100):
                 continue
-            sid, size = np.frombuffer(sids, np.int64), np.frombuffer(sizes, np.int64)
-            fits = np.flatnonzero((100 * np.minimum(size, n) >= PERCENT * np.maximum(size, n)) & (sid != q))
+            sids, sizes, comps, comp_sizes = np.frombuffer(facts, np.int64).reshape(4, -1)
+            fits = np.flatnonzero((100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n))
+                                  & ((comp_sizes > size) | (comp_sizes == size) & (comps > comp)))
             if not len(fits):
                 continue
-            found = fits[overlap_bound(x, np.frombuffer(counts, np.uint8).reshape(len(sid), -1)[fits]) >= enough(size[fits], n)]
+            found = fits[overlap_bound(x, np.frombuffer(counts, np.uint8).reshape(len(sids), -1)[fits]) >= enough(sizes[fits], n)]
             a.extend([q] * len(found))
-            b.extend(sid[found].tolist())
+            b.extend(sids[found].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _matrix(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """Rows of the token-group matrix that hold several sets, written once."""
     spark, parts = docs.sparkSession, buckets(docs.sparkSession)
-    while True:
-        folder = fresh_folder(spark, "matrix")
-        (docs.select("text").mapInArrow(_deal(spark.sparkContext.broadcast(common)), "token long, sid long, n int, place int")
-         .repartition(parts, "token").mapInArrow(_rows_of, "token long, sid long, n int, place int, leader long").write.parquet(folder))
-        rows = spark.read.parquet(folder)
+    for left in reversed(range(PASSES)):
+        rows = _stored(docs.select("text").mapInArrow(_deal(spark.sparkContext.broadcast(common)), "token long, sid long, n int, place int")
+                       .repartition(parts, "token").mapInArrow(_rows_of, "token long, sid long, n int, place int, leader long"), "matrix")
+        if not left:
+            return rows
         long = rows.groupBy("token").count().where(F.col("count") > LONG).orderBy(F.desc("count")).limit(MOST_COMMON).collect()
         more = np.union1d(common, np.array([r["token"] for r in long], np.int64).view(np.uint64))
-        if len(more) == len(common) or len(more) > 2 * MOST_COMMON:
+        if len(more) == len(common):
             return rows
         common = more
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row."""
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    folder = fresh_folder(spark, "sets")
-    docs.select("doc_id", "text").mapInArrow(
-        _read, f"doc_id {kind}, sid long, n int, counts binary, token long, sets long").write.parquet(folder)
-    read = spark.read.parquet(folder)
+    read = _stored(docs.select("doc_id", "text").mapInArrow(
+        _read, f"doc_id {kind}, sid long, n int, counts binary, token long, sets long"), "sets")
     base = read.where("token IS NULL").select("doc_id", "sid", F.col("n").cast("long").alias("n"), "counts")
     often = (read.where("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") > COMMON)
              .orderBy(F.desc("sets"), "token").limit(MOST_COMMON).collect())  # bounded: MOST_COMMON hashes
     rows = _matrix(docs, np.sort(np.array([r["token"] for r in often], np.int64).view(np.uint64)))
 
-    # sets that have a candidate: one document of each gives its tokens, once
-    need = rows.select("sid").distinct()
     firsts = base.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    sketches = firsts.join(need, "sid").select("sid", "first_id", "n", "counts")
-    sketch_folder = fresh_folder(spark, "sketches")
-    sketches.write.parquet(sketch_folder)
-    sketches = spark.read.parquet(sketch_folder)
-    wanted = sketches.select(F.col("first_id").alias("w_id"), "sid")
-    token_folder = fresh_folder(spark, "tokens")
-    (docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("sid", "text")
-     .mapInArrow(_fetch, "sid long, tokens binary").dropDuplicates(["sid"]).write.parquet(token_folder))
-    tokens = spark.read.parquet(token_folder)
-
-    # first components: each set and the leader of most of its rows
-    choice = (rows.where("leader IS NOT NULL").groupBy("sid", "leader").count()
-              .groupBy("sid").agg(F.max(F.struct("count", "leader")).alias("best")))
-    first_links = cut(_linked(choice.select(F.col("sid").alias("a"), F.col("best.leader").alias("b")), sketches, tokens))
-    comp = components(first_links)
-    placed = (sketches.select("sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left")
-              .select("sid", F.coalesce("component", "sid").alias("comp")))
-    sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    placed = cut(placed.join(sizes, "comp").select(
-        "sid", "comp", "size", F.xxhash64("comp", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / GROUP))).alias("grp")))
+    sketches = _stored(firsts.join(rows.select("sid").distinct(), "sid").select("sid", "first_id", "n", "counts"), "sketches")
 
-    # the rest: queries against the groups of other components
-    asked = (rows.select("token", "sid", "n", "place").join(placed, "sid").repartition(buckets(spark), "token")
-             .mapInArrow(_queries, "q long, grp long").distinct())
-    groups = (sketches.select("sid", "n", "counts").join(placed.select("sid", "grp"), "sid")
-              .groupBy("grp").agg(F.collect_list(F.struct("sid", "n", "counts")).alias("members"))
-              .mapInArrow(_store, "grp long, tokens_union binary, counts binary, sids binary, sizes binary"))
-    candidates = (asked.join(sketches.select(F.col("sid").alias("q"), F.col("n").alias("q_n"), F.col("counts").alias("q_counts")), "q")
-                  .join(groups, "grp").mapInArrow(_open, "a long, b long"))
-    links = first_links.unionByName(_linked(candidates, None, tokens))
-    final = components(links)
-
-    joined = base.select("doc_id", "sid", "n").join(final.withColumnRenamed("node", "sid"), "sid", "left")
+    # groups of similar sets: a set and those that share most with it
+    choice = (rows.where("leader IS NOT NULL").groupBy("sid", "leader").count()
+              .groupBy("sid").agg(F.max(F.struct("count", "leader")).alias("best")).select("sid", F.col("best.leader").alias("leader")))
+    homes = sketches.select("sid").join(choice, "sid", "left").withColumn("home", F.coalesce("leader", "sid"))
+    parts = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    grouped = cut(homes.join(parts, "home").select("sid", "leader", F.xxhash64("home", F.pmod(F.xxhash64("sid"), F.col("parts"))).alias("grp")))
+    # each set and its leader, as far as the bound allows
+    led = cut(grouped.where("leader IS NOT NULL").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
+              .join(_side(sketches, "a", ["n", "counts"]), "a").join(_side(sketches, "b", ["n", "counts"]), "b")
+              .mapInArrow(_bounded, "a long, b long"))
+    similar = _placed(grouped.select("sid", "grp"), components(led))
+    asked = cut(_candidates(rows.select("token", "sid", "n", "place"), similar, sketches).unionByName(led).distinct())
+
+    # the tokens of all sets that are compared, fetched once from one document each
+    need = asked.select(F.col("a").alias("sid")).unionByName(asked.select(F.col("b").alias("sid"))).distinct()
+    wanted = cut(sketches.select(F.col("first_id").alias("w_id"), "sid").join(need, "sid"))
+    if wanted.count() <= MOST_WANTED:  # else the texts are dealt out by doc_id
+        wanted = F.broadcast(wanted)
+    tokens = _stored(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("sid", "text")
+                     .mapInArrow(_fetch, "sid long, tokens binary").dropDuplicates(["sid"]), "tokens")
+    links = cut(_linked(asked, tokens))
+
+    # where the bound had joined sets that do not link: the same within that component
+    linked = _placed(grouped.select("sid", "grp"), components(links))
+    inner = linked.join(similar.select("sid", F.col("comp").alias("outer")), "sid")
+    split = inner.select("outer", "comp").distinct().groupBy("outer").count().where("count > 1").select("outer")
+    within = cut(inner.join(split, "outer", "left_semi"))
+    again = (rows.select("token", "sid", "n", "place").join(within.select("sid", "outer"), "sid")
+             .select(F.xxhash64("token", "outer").alias("token"), "sid", "n", "place"))
+    more = _linked(_candidates(again, within.drop("outer"), sketches).distinct(), tokens)
+    # what they join are whole components
+    comp_of = linked.select("sid", "comp")
+    joins = (more.join(comp_of.select(F.col("sid").alias("a"), F.col("comp").alias("a_comp")), "a")
+             .join(comp_of.select(F.col("sid").alias("b"), F.col("comp").alias("b_comp")), "b")
+             .select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    merged = components(joins).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
+    final = comp_of.join(merged, "comp", "left").select("sid", F.coalesce("whole", "comp").alias("component"))
+
+    joined = base.select("doc_id", "sid", "n").join(final, "sid", "left")
     joined = cut(joined.select("doc_id", "n", "sid", F.when(F.col("n") > 0, F.coalesce("component", "sid")).alias("cls")))
     ids = joined.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("component_id"))
     return joined.join(ids, "cls", "left").select(
