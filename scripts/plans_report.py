@@ -30,11 +30,7 @@ def main():
     spark = get_session(shuffle_partitions=16)
     out = ["# Physical plans of the headline queries", "",
            f"`explain(\"formatted\")` after execution (AQE final plans) at `{sf_dir}`, `local[8]`.",
-           "Generated by `scripts/plans_report.py`.",
-           "",
-           "The `Exchange` right above a small fact-table scan (`events`, `documents`) is the",
-           "round-robin spread of a one-row-group file over the cores (`session.ensure_parallel`);",
-           "inputs with at least one split per core are read without it.", ""]
+           "Generated by `scripts/plans_report.py`.", ""]
     for name in HEADLINE:
         df = QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()

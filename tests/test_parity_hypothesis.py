@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import models as M
 from zonelens.functions import records as RF
 from zonelens.functions import txt as TF
-from zonelens.functions.names import entropy, relative_owner
+from zonelens.functions.names import entropy, normalise_domain, relative_owner
 from zonelens.operators import suffix as SUF
 from zonelens.schemas import pad_to_observation_schema
 from zonelens.sources.readers import parse_rank
@@ -57,7 +57,7 @@ COLS = [c.split()[0] for c in ROW_DDL.split(", ")]
 def test_record_line_parity(spark, rows):
     df = pad_to_observation_schema(
         spark.createDataFrame([tuple(r[c] for c in COLS) for r in rows], ROW_DDL))
-    got = [r.l for r in df.select(RF.record_line().alias("l")).collect()]
+    got = [r.l for r in df.withColumn("domain", normalise_domain("query_name")).select(RF.record_line().alias("l")).collect()]
     for r, line in zip(rows, got):
         assert line == M.record_line(r, M.normalise_domain(r["query_name"]))
 

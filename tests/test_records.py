@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import models as M
 from zonelens.functions import records as RF
+from zonelens.functions.names import normalise_domain
 from zonelens.operators import records as REC
 from zonelens.plans import jobs as J
 from zonelens.schemas import pad_to_observation_schema
@@ -14,7 +15,7 @@ def _obs_rows(fx):
 
 
 def test_record_line_matches_model(fx):
-    got = {r.event_id: r.line for r in fx.observations.select(
+    got = {r.event_id: r.line for r in fx.observations.withColumn("domain", normalise_domain("query_name")).select(
         "event_id", RF.record_line().alias("line")).collect()}
     for r in _obs_rows(fx):
         assert got[r["event_id"]] == M.record_line(r, M.normalise_domain(r["query_name"]))
@@ -27,7 +28,7 @@ def test_record_line_none_payload_and_other(spark):
         "query_name string, response_type string, response_name string, mx_preference int, "
         "mx_address string")
     df = pad_to_observation_schema(df)
-    got = [r.l for r in df.select(RF.record_line().alias("l")).collect()]
+    got = [r.l for r in df.withColumn("domain", normalise_domain("query_name")).select(RF.record_line().alias("l")).collect()]
     assert got == ["@ MX None mx.a.com.", "a.com. NSHASH", None]
 
 

@@ -55,12 +55,6 @@ def _line_sql(*parts: str) -> str:
     return "concat_ws(' ', " + ", ".join(_text_sql(p) for p in parts) + ")"
 
 
-def normalise_domain_sql(c: str) -> str:
-    """B1 as SQL text (strip one leading ``www.``, then one trailing dot)."""
-    x = f"(CASE WHEN startswith({c}, 'www.') THEN substr({c}, 5) ELSE {c} END)"
-    return f"(CASE WHEN endswith({x}, '.') THEN substr({x}, 1, char_length({x}) - 1) ELSE {x} END)"
-
-
 def relative_owner_sql(resp: str, domain: str) -> str:
     """B3 as SQL text."""
     r = f"replace({resp}, concat({domain}, '.'), '')"
@@ -69,9 +63,8 @@ def relative_owner_sql(resp: str, domain: str) -> str:
            f"ELSE {resp} END)"
 
 
-def record_line_sql(domain: str | None = None) -> str:
+def record_line_sql(domain: str = "domain") -> str:
     """B4 as one SQL expression (built once, parsed once by Spark)."""
-    domain = normalise_domain_sql("query_name") if domain is None else domain
     resp, rtype = "response_name", "response_type"
     owner = relative_owner_sql(resp, domain)
     branches = [f"WHEN {rtype} = 'SOA' THEN {_line_sql(resp, rtype, *SOA_FIELDS)}"]
@@ -83,13 +76,14 @@ def record_line_sql(domain: str | None = None) -> str:
             + f" ELSE {_line_sql(resp, rtype)} END END")
 
 
-def record_line(domain: str | None = None) -> Column:
+def record_line(domain: str = "domain") -> Column:
     """One observation as a zone-file-like line; null when the answer
     has no ``response_name`` (artificial records such as NSHASH).
 
-    ``domain`` is a column name or SQL expression; it defaults to the
-    normalised query name (B1).  The expression is generated as SQL text:
-    one parse instead of hundreds of Column calls.
+    ``domain`` names the column with the normalised query name (B1); it stays
+    a column, because the expression reads it in every branch and would outgrow
+    code generation otherwise.  The expression is generated as SQL text: one
+    parse instead of hundreds of Column calls.
     """
     return F.expr(record_line_sql(domain))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonelens.session import ship_package
+from zonelens.session import prepare_workers
 
 TABLES = ("region nation customer supplier part orders lineitem events "
           "documents embeddings pages benchmark labels conversations").split()
@@ -185,7 +185,7 @@ class Fixture:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
-        ship_package(spark)
+        prepare_workers(spark)
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:

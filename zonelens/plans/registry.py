@@ -184,8 +184,8 @@ def b3_relative_owner(spark, sf):
 
 @q("b4_record_line", oracle("SELECT event_id, line FROM obs_l", obs_k=OBS_KEYED, obs_l=OBS_LINES))
 def b4_record_line(spark, sf):
-    obs = _fx(spark, sf).observations
-    return obs.select("event_id", RF.record_line().alias("line"))
+    keyed = REC.with_keys(_fx(spark, sf).observations)
+    return keyed.select("event_id", RF.record_line("domain").alias("line"))
 
 
 def _json_field(name: str, kind: str) -> str:

@@ -53,12 +53,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole
+#: texts and pages go through these batches, on both sides of the worker's pipe.
+BATCH_ROWS = 2000
+
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Gives Python workers this package, unless they find it by themselves (as
-    with ``--py-files``, PYTHONPATH or the working folder)."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that go to Python workers, and gives the workers this
+    package unless they find it by themselves (as with ``--py-files``, PYTHONPATH or
+    the working folder)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[1]
     known = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
     context = spark.sparkContext

@@ -79,6 +79,4 @@ def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = No
     w = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).queryName(name)
     if available_now:
         w = w.trigger(availableNow=True)
-    if sink == "memory":
-        return w.format("memory").start()
     return w.format(sink).start(path)
