@@ -21,8 +21,8 @@ shuffled:
 Scale.  Hot passages: a map task keeps the first of each phrase and settles the rest
 itself; of several phrases with one trigger, only the task's first goes to the trigger's
 partition, the others go by phrase, so a trigger never gathers more than a row per task.
-In level 2, the phrases of a trigger with more than ``HOT`` phrases are cut into single
-strings, dealt out by the string.  The texts are shuffled once, by document, and both joins with them
+In level 2, the phrases of a trigger with more than ``HOT`` phrases are compared within
+each task first, and only strings that a task has not seen are dealt out, by the string.  The texts are shuffled once, by document, and both joins with them
 use that one exchange.  Level 1 is written to the shared folder, so a lost executor
 does not repeat the parse.
 
@@ -44,10 +44,11 @@ from pyspark.sql import functions as F
 from zonelens.llm.common import buckets, fresh_folder, slices, table
 from zonelens.llm.phrases import Fingerprints, phrases
 from zonelens.llm.words import pieces
+from zonelens.session import prepare_workers
 
 LENGTH, GRAIN = 100, 36
-#: Phrases with one trigger that level 2 compares in one group.
-HOT = 200
+#: Phrases with one trigger that level 2 compares in one group (under a megabyte).
+HOT = 5000
 #: Phrases that a map task holds at a time; bytes of a text that are parsed at a time.
 HELD, SEGMENT = 300_000, 1 << 20
 LAST = (1 << 63) - 1
@@ -200,44 +201,9 @@ def _settle(batches):
         yield from _emit(settle_triggers(*cols), ["repeated", "k", "doc", "at", "n"])
 
 
-def _strings(batches):
-    """Level 2, map side: the bytes of open phrases, by trigger; of hot triggers by string."""
-    import pyarrow as pa
-
-    names = ["route", "doc", "at", "n", "phrase"]
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
-            pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
-
-    rows, held = [], 0
-    for batch in slices(batches):
-        for doc, text, todo in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "todo"))):
-            raw = text.encode("utf-8", "replace")
-            for item in todo:
-                k, at, n, hot = item["k"], item["at"], item["n"], item["hot"]
-                s = at & ((1 << START_BITS) - 1)
-                if not hot:
-                    rows.append((k, doc, at, n, raw[s:s + n - 1 + LENGTH]))
-                    held += 200
-                    continue
-                part = np.frombuffer(raw[s:s + n - 1 + LENGTH], np.uint8)
-                left = np.arange(n)
-                for j, route in enumerate(Fingerprints(part).first(left, left + LENGTH).view(np.int64).tolist()):
-                    rows.append((route, doc, at + j, 1, raw[s + j:s + j + LENGTH]))
-                held += 200 * n
-                if held > 8 << 20:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-            if held > 8 << 20:
-                yield batch_of(rows)
-                rows, held = [], 0
-    if rows:
-        yield batch_of(rows)
-
-
-def repeated_strings(doc, at, n, phrase: list[bytes]):
-    """Of the strings of these phrases: doc, at, n of the runs that occurred before.
+def sorted_strings(doc, at, n, phrase: list[bytes]):
+    """The strings of these phrases in content order: the bytes, and of each string where
+    it lies in them, doc, at, and whether it occurred before.
 
     Strings are sorted by their first bytes and a fingerprint of all; neighbours with
     equal fingerprints are compared byte by byte."""
@@ -246,15 +212,13 @@ def repeated_strings(doc, at, n, phrase: list[bytes]):
     data = np.frombuffer(b"".join(phrase), np.uint8)
     row = np.repeat(np.arange(len(n)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    left = base[row] + j
-    fp = Fingerprints(data)
+    left, where, d = base[row] + j, at[row] + j, doc[row]
     head = np.zeros(len(row), np.uint64)
     for i in range(8):
         head = (head << np.uint64(8)) | data[left + i]
-    mark = fp.first(left, left + LENGTH)
-    where, d = at[row] + j, doc[row]
+    mark = Fingerprints(data).first(left, left + LENGTH)
     o = np.lexsort((where, d, mark, head))
-    left, where, d, row, mark, head = left[o], where[o], d[o], row[o], mark[o], head[o]
+    left, where, d, mark, head = left[o], where[o], d[o], mark[o], head[o]
     new = np.ones(len(o), bool)
     close = np.flatnonzero((mark[1:] == mark[:-1]) & (head[1:] == head[:-1])) + 1
     span = np.arange(LENGTH)
@@ -263,8 +227,11 @@ def repeated_strings(doc, at, n, phrase: list[bytes]):
         same = (data[left[c][:, None] + span] == data[left[c - 1][:, None] + span]).all(1)
         new[c[same]] = False
     lead = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0)) if len(o) else np.zeros(0, np.int64)
-    again = (d != d[lead]) | (where != where[lead])
-    d, where = d[again], where[again]
+    return data, left, d, where, (d != d[lead]) | (where != where[lead])
+
+
+def runs_of(d, where):
+    """Neighbouring strings as doc, first at, number."""
     o = np.lexsort((where, d))
     d, where = d[o], where[o]
     begin = np.ones(len(d), bool)
@@ -275,14 +242,76 @@ def repeated_strings(doc, at, n, phrase: list[bytes]):
     return d[begin], where[begin], runs.astype(np.int32)
 
 
+def repeated_strings(doc, at, n, phrase: list[bytes]):
+    """Of the strings of these phrases: doc, at, n of the runs that occurred before."""
+    _, _, d, where, again = sorted_strings(doc, at, n, phrase)
+    return runs_of(d[again], where[again])
+
+
+def _strings(batches):
+    """Level 2, map side: the bytes of open phrases, by trigger.  Those of hot triggers
+    are settled within the task, and only the strings that it sees first go on, by
+    string; the others are sent to the documents as repeated (no phrase)."""
+    import pyarrow as pa
+
+    names = ["route", "doc", "at", "n", "phrase"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    cold, hot, held, strings = [], [], 0, 0
+
+    def of_hot():
+        doc, at, n, phrase = zip(*hot)
+        data, left, d, where, again = sorted_strings(*(np.array(x, np.int64) for x in (doc, at, n)), list(phrase))
+        first = np.flatnonzero(~again)
+        for i in range(0, len(first), 50_000):
+            f = first[i:i + 50_000]
+            block = np.ascontiguousarray(data[left[f][:, None] + np.arange(LENGTH)])
+            route = Fingerprints(block.ravel()).first(np.arange(len(f)) * LENGTH, np.arange(1, len(f) + 1) * LENGTH).view(np.int64)
+            text = pa.Array.from_buffers(pa.binary(LENGTH), len(f), [None, pa.py_buffer(block)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(d[f]), pa.array(where[f]),
+                                              pa.array(np.ones(len(f), np.int32)), text], names)
+        d, where, runs = runs_of(d[again], where[again])
+        for i in range(0, len(d), 200_000):
+            k = slice(i, i + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(d[k] ^ where[k]), pa.array(d[k]), pa.array(where[k]), pa.array(runs[k]),
+                                              pa.nulls(len(d[k]), pa.binary())], names)
+
+    for batch in slices(batches):
+        for doc, text, todo in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "todo"))):
+            raw = text.encode("utf-8", "replace")
+            for item in todo:
+                at, n = item["at"], item["n"]
+                s = at & ((1 << START_BITS) - 1)
+                if item["hot"]:
+                    hot.append((doc, at, n, raw[s:s + n - 1 + LENGTH]))
+                    strings += n
+                else:
+                    cold.append((item["k"], doc, at, n, raw[s:s + n - 1 + LENGTH]))
+                    held += 200
+        if held > 8 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cold), kinds)], names)
+            cold, held = [], 0
+        if strings > 300_000:
+            yield from of_hot()
+            hot, strings = [], 0
+    if cold:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cold), kinds)], names)
+    if hot:
+        yield from of_hot()
+
+
 def _compare(batches):
     """Level 2, reduce side."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     whole = pa.Table.from_batches(got)
+    done = whole.filter(pc.is_null(whole.column("phrase")))
+    if done.num_rows:
+        yield from _emit([done.column(c).combine_chunks().to_numpy() for c in ("doc", "at", "n")], ["doc", "at", "n"])
+    whole = whole.filter(pc.is_valid(whole.column("phrase")))
     col = lambda c: whole.column(c).combine_chunks().to_numpy(zero_copy_only=False)
     route, doc, at, n = (col(c) for c in ("route", "doc", "at", "n"))
     texts = whole.column("phrase").to_pylist()
@@ -350,6 +379,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed bytes, maximal), kept (bytes)."""
     spark = docs.sparkSession
+    prepare_workers(spark)
     parts = buckets(spark)
     texts = _numbered(docs)
     parsed = texts.select("doc", "sub", "text").mapInArrow(_parse, "k long, mark long, doc long, at long")
