@@ -1,7 +1,6 @@
 """Operators 1, 6 and 8 against brute force."""
 
 import hashlib
-import random
 import re
 
 import numpy as np

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelens.session import ship_package
+from zonelens.session import prepare_workers
 
 #: The white space that every contract names: [\x20\x09-\x0D].
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,13 +65,28 @@ def without_spaces(text: Column) -> Column:
     return text
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, bounded: bool = False) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null equals null) is in ``ids``;
-    same columns.  ``bounded``: the number of ids has a fixed limit, so they are
-    broadcast and the texts stay where they are."""
-    ids = ids.select(F.col("doc_id").alias("__kept"))
-    ids = F.broadcast(ids) if bounded else ids
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi")
+#: Ids that are broadcast to the rows; longer lists are joined by a shuffle.
+MOST_IDS = 1_000_000
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, a list of fixed length: it is
+    broadcast, and the texts stay where they are."""
+    return docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null equals null) is not in ``ids``; same
+    columns.  The ids are counted first: up to ``MOST_IDS`` are broadcast."""
+    ids = cut(ids.select(F.col("doc_id").alias("__id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_anti")
+
+
+def keep_decided(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """One row of ``docs`` per doc_id that a row of ``decided`` (doc_id, kept) keeps."""
+    none = decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept")
+    return one_row_each(without_ids(docs, none))
 
 
 def least_by_hash(rows: DataFrame, key: str, most) -> DataFrame:
@@ -90,9 +105,12 @@ def least_by_hash(rows: DataFrame, key: str, most) -> DataFrame:
 
 
 def one_row_each(docs: DataFrame) -> DataFrame:
-    """One row per doc_id: the longest text, then the least other columns."""
+    """One row per doc_id: the longest text, then the least hash of all columns.  Where
+    no doc_id repeats, which the ids alone show, the rows are left as they are."""
     from pyspark.sql import Window
 
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs
     rest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     w = Window.partitionBy("doc_id").orderBy(F.char_length("text").desc_nulls_last(), rest)
     return docs.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

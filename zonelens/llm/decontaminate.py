@@ -30,8 +30,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import table
+from zonelens.llm.common import table, without_ids
 from zonelens.llm.words import LETTERS, Words, pieces
+from zonelens.session import prepare_workers
 
 SEED, SLACK, LEAST, SURE = 3, 10, 0.5, 8
 BLOCK_WORDS = 1_000_000
@@ -217,6 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = (f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, matched_words int, item_words int, "
               "first_word int, end_word int")
     spark, found = docs.sparkSession, None
+    prepare_workers(spark)
     for items in _blocks(benchmark):
         items.choose(gram_frequency(docs, items))
         shared = spark.sparkContext.broadcast(items)
@@ -238,8 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a test item."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__leak"]), "left_anti")
+    return without_ids(docs, find_leaks(docs, benchmark))
 
 
 def op3_rare_seeds(spark, sf_dir):

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import cut, one_row_each, table, with_ids, without_spaces
+from zonelens.llm.common import cut, keep_decided, table, without_spaces
 
 #: Copies of one content that one part of a salted group holds, and the most
 #: contents that are salted (the bound of the broadcast).
@@ -75,7 +75,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that another row's content repeats."""
-    return one_row_each(with_ids(docs, exact_groups(docs).where("kept")))
+    return keep_decided(docs, exact_groups(docs))
 
 
 def op6_content_sort(spark, sf_dir):

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonelens.llm.common import table
+from zonelens.session import prepare_workers
 
 # Kinds of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,6 +255,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             texts = [extract(h if isinstance(h, str) else None) for h in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
+    prepare_workers(pages.sparkSession)
     kinds = dict(pages.dtypes)
     return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInPandas(
         run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonelens.llm.common import least_by_hash, table, with_ids
+from zonelens.session import prepare_workers
 
 ORDER, PER_LANGUAGE, MOST_BYTES = 3, 300, 20_000
 #: Bytes of text that are scored at a time.
@@ -47,7 +48,7 @@ def learning_sample(docs: DataFrame) -> DataFrame:
     """lang, text of the bounded sample of the learning fold."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     ids = least_by_hash(docs.where(F.col("lang").isNotNull() & (fold != 2)).select("doc_id", "lang"), "lang", PER_LANGUAGE)
-    return with_ids(docs.select("doc_id", "lang", "text"), ids, bounded=True).where(
+    return with_ids(docs.select("doc_id", "lang", "text"), ids).where(
         F.col("lang").isNotNull() & F.length("text").between(1, MOST_BYTES)).select("lang", "text")
 
 
@@ -193,6 +194,7 @@ def language_of(docs: DataFrame):
 
     import pandas as pd
 
+    prepare_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs) | {"id": uuid.uuid4().hex})
 
     @F.pandas_udf("lang_pred string, score double, bits_per_byte double")

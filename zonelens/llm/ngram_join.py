@@ -49,9 +49,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import buckets, cut, fresh_folder, one_row_each, slices, table, with_ids
+from zonelens.llm.common import buckets, cut, fresh_folder, keep_decided, slices, table
 from zonelens.llm.components import components
 from zonelens.llm.words import STEP, Words, mixed, pieces
+from zonelens.session import prepare_workers
 
 SHINGLE, PERCENT = 5, 80
 COMMON, MOST_COMMON, LONG, GROUP = 12, 1_000_000, 2000, 256
@@ -452,6 +453,7 @@ def _matrix(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row."""
+    prepare_workers(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     read = _stored(docs.select("doc_id", "text").mapInArrow(
         _read, f"doc_id {kind}, sid long, n int, counts binary, token long, sets long"), "sets")
@@ -511,8 +513,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document (least doc_id) of each component."""
-    found = near_duplicates(docs)
-    return one_row_each(with_ids(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()))
+    return keep_decided(docs, near_duplicates(docs).select(
+        "doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def op8_token_groups(spark, sf_dir):

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from zonelens.llm.common import least_by_hash, table
 from zonelens.llm.words import LETTERS, Words, mixed, pieces, stretch
+from zonelens.session import prepare_workers
 
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3500, 20_000
 FEATURE_G2 = 8.0
@@ -306,6 +307,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def tag_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (characters): one row per row."""
+    prepare_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def score(batches: Iterator) -> Iterator:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonelens.llm.common import table
+from zonelens.session import prepare_workers
 
 #: (verdict, host, path): the rules of the production query.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -103,6 +104,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES)
     rules = list(rules)
     if len(rules) > MOST_RULES:
         raise ValueError(f"{len(rules)} rules are too many for one broadcast; filter in passes of {MOST_RULES}")
+    prepare_workers(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(rules)
 
     def walk(batches):

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonelens.llm.common import buckets, cut, fresh_folder, table
+from zonelens.session import prepare_workers
 
 REVISIT_FROM = 100
 #: Bytes of a file after which a task begins the next, of a byte range, and of one read.
@@ -118,6 +119,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["path", "size"]).astype({"path": object, "size": "int64"}),
                                          schema=pa.schema([("path", pa.string()), ("size", pa.int64())]), preserve_index=False)
 
+    prepare_workers(pages.sparkSession)
     return cut(with_revisits(pages).mapInArrow(write, "path string, size long"))
 
 
