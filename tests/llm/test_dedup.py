@@ -197,8 +197,9 @@ def test_bounds_never_lie_below_the_overlap():
 
 
 def test_components_of_chains_and_stars(spark, rng):
-    n = 200
+    n = 500
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(5, 5), (150, 149), (149, 150)]
+    edges += [(rng.randrange(200, 500), rng.randrange(200, 500)) for _ in range(200)]
     rng.shuffle(edges)
     parent = list(range(n))
 
