@@ -45,8 +45,17 @@ def day_features(rankings: DataFrame, obs: DataFrame, days=None, mode: str = "st
 
 
 def join_preview(rankings: DataFrame, obs: DataFrame, n: int = 10) -> DataFrame:
-    """First rows of the join under a total order."""
-    return S.preview(month_features(rankings, obs), n, ["domain", "date"])
+    """First rows of the join under a total order.
+
+    The first n keys of the join are found on keys alone (a semi join and a
+    ``TakeOrderedAndProject``); records are counted for these keys only.
+    """
+    on = ["domain", "date"]
+    keyed = REC.with_keys(obs)
+    first = (REC.rankings_by_date(rankings).dropna(subset=["alexa_rank"])
+                .join(keyed.select(*on).distinct(), on, "left_semi").orderBy(*on).limit(n))
+    counts = REC.record_counts(keyed.join(first.select(*on), on, "left_semi"))
+    return S.preview(first.join(counts, on), n, on)
 
 
 def length_vs_rank(rankings: DataFrame, limit: int = 1000) -> DataFrame:
