@@ -55,12 +55,12 @@ from zonelens.llm.words import STEP, Words, mixed, pieces
 from zonelens.session import prepare_workers
 
 SHINGLE, PERCENT = 5, 80
-COMMON, MOST_COMMON, LONG, GROUP = 12, 1_000_000, 2000, 256
+COMMON, MOST_COMMON, LONG, GROUP = 12, 1_000_000, 1000, 64
 #: Ids of sets to fetch (16 bytes each) that are broadcast to the texts.
 MOST_WANTED = 1_000_000
 #: Tokens that a map task holds at a time, and how many of its sets must share a token
 #: that it reports.  Passes over the matrix in which common tokens are still added.
-HELD, REPORT, PASSES = 1_500_000, 3, 3
+HELD, REPORT, PASSES = 1_000_000, 3, 3
 
 
 def shingle_sets(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
