@@ -35,7 +35,7 @@ from zonelens.session import prepare_workers
 
 ORDER, PER_LANGUAGE, MOST_BYTES = 3, 300, 20_000
 #: Bytes of text that are scored at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 UND = "und"
 _LETTERLIKE = re.compile(r"[^\W\d_]+")
 

@@ -61,7 +61,7 @@ UNSPACED[0] = 255  # a zero byte is part of a word
 LETTERS = _fold(((_byte >= 48) & (_byte <= 57)) | ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122)) | (_byte >= 128))
 
 
-def pieces(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def pieces(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts of about ``most`` bytes: first index and the UTF-8 texts."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
