@@ -25,7 +25,7 @@ from zonelens.plans.registry import QUERIES  # noqa: E402
 from zonelens.session import get_session  # noqa: E402
 
 HEADLINE = [
-    "c2_j2_day_features",       # flagship: rankings x compacted record sets, per-type counts
+    "c2_j2_all_day_features",   # flagship: rankings x compacted record sets, per-type counts
     "d1_compact_records",       # record compaction, one shuffle
     "d3_group_records",         # raw grouping with multiplicities
     "d4_rank_stats",            # rank moments per domain

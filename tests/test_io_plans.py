@@ -309,3 +309,12 @@ def test_cli_jobs_on_files(spark, scratch):
     assert {r.query_type for r in job("qtypes", *src, "--day", "20171102")[1].collect()} == {"A"}
     audit = {str(r.day): (r.files, r.complete) for r in job("audit", "--obs", os.path.dirname(raw), "--rankings", ranks, "--files", "1")[1].collect()}
     assert audit == {"2017-11-01": (1, True), "2017-11-02": (0, False)}
+
+
+def test_entry_and_soa_report_cover_every_day(spark, fx):
+    got = entry.entry(spark).groupBy("date").count().collect()
+    joined = QUERIES["j1_month_features"](spark, "/root/testdata/sf0.001").groupBy("date").count().collect()
+    assert len(got) > 6 and sorted(map(tuple, got)) == sorted(map(tuple, joined))
+    days = {r[0] for r in fx.observations.select("day").distinct().collect()}
+    report = QUERIES["j8_all_days_soa_report"](spark, "/root/testdata/sf0.001").collect()
+    assert len(report) == len(days) > 6 and {r["day"] for r in report} == days

@@ -567,6 +567,13 @@ def c2_j2_day_features(spark, sf):
     return J.day_features(fx.rankings, fx.observations, days=SOME_DAYS)
 
 
+@q("c2_j2_all_day_features", J1_SQL)
+def c2_j2_all_day_features(spark, sf):
+    """J2 over every day of the input: ``date`` is the key, no day is selected."""
+    fx = _fx(spark, sf)
+    return J.day_features(fx.rankings, fx.observations)
+
+
 @q("j1_month_features_text", oracle(
     "SELECT r.domain, strftime(r.day, '%Y%m%d') AS date, r.rank AS alexa_rank, "
     "CAST(len(records) AS INTEGER) AS records_count, "
@@ -1102,6 +1109,12 @@ def j8_soa_report(spark, sf):
     return RD.run_days(_fx(spark, sf).observations, [d.strftime("%Y%m%d") for d in SOME_DAYS], J.soa_report)
 
 
+@q("j8_all_days_soa_report", _soa_sql(False))
+def j8_all_days_soa_report(spark, sf):
+    """J8 over every day of the input."""
+    return J.soa_report(_fx(spark, sf).observations)
+
+
 @q("j9_some_days", oracle(_corr_sql(list(J.CORR_DAY_COLUMNS), "j2", by="date"), **J2_FEATS | {
     "j2": J2_FEATS["j2"] + f" WHERE r.day IN ({SOME_DAYS_SQL})"}))
 def j9_some_days(spark, sf):
