@@ -7,8 +7,9 @@ target, taken (words).
 
 Every stage accepts nulls in any column, empty and very long texts, repeated rows, empty
 tables and further columns, with the results that its operator defines: documents
-without a letter (null and empty texts too) leave in the first stage, and rows that
-repeat a doc_id are one document from the exact stage on.
+without a letter (null and empty texts too) leave in the first stage.  Every row is
+decided by itself, whatever its doc_id: rows that share a doc_id, or have none, are
+documents of their own, and only rows equal in doc_id and text are one.
 """
 
 from __future__ import annotations

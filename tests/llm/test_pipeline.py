@@ -53,3 +53,21 @@ def test_queries_equal_their_sql(spark, name):
         if got[c].dtype.kind == "f" or exp[c].dtype.kind == "f":
             got[c], exp[c] = got[c].astype(float), exp[c].astype(float)
     assert text(got) == text(exp)
+
+
+@pytest.mark.parametrize("stage", ["exact", "near"])
+def test_copies_are_decided_row_by_row(spark, make_docs, stage):
+    texts = [" ".join(f"{w}{i}" for i in range(9)) for w in ("alpha", "beta", "gamma")]
+    long = texts[2] + " and some words more"
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (0, long), (1, long), (1, texts[2]), (1, texts[2]), (2, texts[1])]
+    got = dict(corpus_pipeline.STAGES)[stage](spark, make_docs(rows, ("kept",)), SF)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted(
+        [("None", texts[0]), ("2", texts[1]), ("0", long), ("1", texts[2])])
+
+
+def test_leaks_leave_row_by_row(spark, make_docs):
+    item = max((r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    clean = "nothing that any test item holds"
+    rows = [(None, item), (None, clean), (1, item), (1, clean), (2, clean)]
+    got = dict(corpus_pipeline.STAGES)["decontaminate"](spark, make_docs(rows), SF)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("1", clean), ("2", clean), ("None", clean)]

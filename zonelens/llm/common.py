@@ -65,7 +65,7 @@ def without_spaces(text: Column) -> Column:
     return text
 
 
-#: Ids that are broadcast to the rows; longer lists are joined by a shuffle.
+#: Names of rows that are broadcast to the rows; longer lists are joined by a shuffle.
 MOST_IDS = 1_000_000
 
 
@@ -75,18 +75,40 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null equals null) is not in ``ids``; same
-    columns.  The ids are counted first: up to ``MOST_IDS`` are broadcast."""
-    ids = cut(ids.select(F.col("doc_id").alias("__id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_anti")
+#: The column that names a row by its content.
+ROW = "__row"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``ROW``: two 64-bit hashes of doc_id and text.  Only rows equal in
+    both have the same; nulls are values like others."""
+    hashes = [F.hex(F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")) for seed in (1, 2)]
+    return docs.withColumn(ROW, F.concat_ws("-", *hashes))
+
+
+def _listed(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` that are in the list ``rows`` or not; the list is counted
+    first: up to ``MOST_IDS`` are broadcast."""
+    rows = F.broadcast(rows) if rows.count() <= MOST_IDS else rows
+    return docs.join(rows, ROW, how)
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with ``ROW``) that are not in ``rows``."""
+    return _listed(docs, cut(rows.select(ROW).distinct()), "left_anti").drop(ROW)
 
 
 def keep_decided(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """One row of ``docs`` per doc_id that a row of ``decided`` (doc_id, kept) keeps."""
-    none = decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept")
-    return one_row_each(without_ids(docs, none))
+    """The rows of ``docs`` that ``decided`` (``ROW``, kept) keeps, decided row by row;
+    of rows equal in doc_id and text, one."""
+    rows = cut(decided.groupBy(ROW).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1"))
+    keyed = _listed(with_row(docs), rows.where("NOT kept").select(ROW), "left_anti")
+    again = rows.where("kept").select(ROW)
+    if again.isEmpty():
+        return keyed.drop(ROW)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    one = _listed(keyed, again, "left_semi").groupBy(ROW).agg(F.min_by(F.struct(*every), F.xxhash64(*every)).alias("one"))
+    return _listed(keyed, again, "left_anti").drop(ROW).unionByName(one.select("one.*"))
 
 
 def least_by_hash(rows: DataFrame, key: str, most) -> DataFrame:
@@ -102,15 +124,3 @@ def least_by_hash(rows: DataFrame, key: str, most) -> DataFrame:
     near = rows.join(F.broadcast(sizes), key).where(F.pmod(h, F.lit(1_000_000)) * F.col("__size") <= most.cast("long") * F.lit(3_000_000).cast("long"))
     w = Window.partitionBy(key).orderBy(F.pmod(h, F.lit(1_000_000)), h, "doc_id")
     return near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n", "__size")
-
-
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """One row per doc_id: the longest text, then the least hash of all columns.  Where
-    no doc_id repeats, which the ids alone show, the rows are left as they are."""
-    from pyspark.sql import Window
-
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs
-    rest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    w = Window.partitionBy("doc_id").orderBy(F.char_length("text").desc_nulls_last(), rest)
-    return docs.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import table, without_ids
+from zonelens.llm.common import ROW, table, with_row, without_rows
 from zonelens.llm.words import LETTERS, Words, pieces
 from zonelens.session import prepare_workers
 
@@ -239,8 +239,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a test item."""
-    return without_ids(docs, find_leaks(docs, benchmark))
+    """``docs`` without the rows that hold a test item."""
+    keyed = with_row(docs)
+    leaks = find_leaks(keyed.select(F.col(ROW).alias("doc_id"), "text"), benchmark)
+    return without_rows(keyed, leaks.select(F.col("doc_id").alias(ROW)))
 
 
 def op3_rare_seeds(spark, sf_dir):

@@ -26,18 +26,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import cut, keep_decided, table, without_spaces
+from zonelens.llm.common import ROW, cut, keep_decided, table, with_row, without_spaces
 
 #: Copies of one content that one part of a salted group holds, and the most
 #: contents that are salted (the bound of the broadcast).
 SPLIT, MOST_SPLIT = 1000, 1000
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row."""
+def exact_groups(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, and the columns ``also`` of
+    ``docs``: one row per row."""
     raw = F.coalesce(F.col("text"), F.lit(""))
-    keyed = (docs.select("doc_id", raw.alias("text"), without_spaces(raw).alias("norm"))
-             .select("doc_id", "norm", F.char_length("text").cast("long").alias("chars"),
+    keyed = (docs.select("doc_id", *also, raw.alias("text"), without_spaces(raw).alias("norm"))
+             .select("doc_id", *also, "norm", F.char_length("text").cast("long").alias("chars"),
                      F.substring("norm", 1, 32).alias("head"), F.octet_length("norm").alias("size"),
                      F.xxhash64("norm").alias("h")))
     hot = (keyed.groupBy("h", "size").count().where(F.col("count") > SPLIT)
@@ -48,13 +49,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
                   F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.coalesce("parts", F.lit(1))).cast("int"))))
     ranged = salted.repartitionByRange("head", "size", "h", "salt")
     w = (Window.partitionBy("head", "size", "h", "salt", "norm")
-         .orderBy(F.desc("chars"), F.asc_nulls_last("doc_id")))
+         .orderBy(F.desc("chars"), F.asc_nulls_last("doc_id"), *also))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = cut(ranged.select(
-        "doc_id", "salt", "chars", F.col("parts").isNotNull().alias("split"), "norm",
+        "doc_id", *also, "salt", "chars", F.col("parts").isNotNull().alias("split"), "norm",
         F.first("doc_id").over(w).alias("first_id"), F.row_number().over(w).alias("place"),
         F.count(F.lit(1)).over(whole).alias("n"))
-        .select("doc_id", "salt", "chars", "split", "first_id", "place", "n",
+        .select("doc_id", *also, "salt", "chars", "split", "first_id", "place", "n",
                 F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"),
                 F.when(F.col("split") & (F.col("place") == 1), F.col("norm")).alias("norm")))
     part = Window.partitionBy("norm")
@@ -66,7 +67,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     joined = rows.drop("norm").join(
         parts, (rows["sha"] == parts["part_sha"]) & (rows["salt"] == parts["part_salt"]), "left")
     return joined.select(
-        "doc_id",
+        "doc_id", *also,
         F.when(F.col("split"), F.col("part_keep")).otherwise(F.col("first_id")).alias("keep_id"),
         F.when(F.col("split"), F.col("part_n")).otherwise(F.col("n")).cast("long").alias("group_size"),
         ((F.col("place") == 1) & (~F.col("split") | (F.col("salt") == F.col("best_salt")))).alias("kept"),
@@ -75,7 +76,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that another row's content repeats."""
-    return keep_decided(docs, exact_groups(docs))
+    return keep_decided(docs, exact_groups(with_row(docs), (ROW,)))
 
 
 def op6_content_sort(spark, sf_dir):

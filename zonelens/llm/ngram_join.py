@@ -49,7 +49,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import buckets, cut, fresh_folder, keep_decided, slices, table
+from zonelens.llm.common import ROW, buckets, cut, fresh_folder, keep_decided, slices, table, with_row
 from zonelens.llm.components import components
 from zonelens.llm.words import STEP, Words, mixed, pieces
 from zonelens.session import prepare_workers
@@ -158,11 +158,12 @@ def _first_tokens(grams, bounds, common: np.ndarray):
     return owner[mine], grams[mine], place[mine]
 
 
-def _read(batches):
-    """Rows of the documents (token null), and of tokens that several sets share."""
+def _read(batches, also=()):
+    """Rows of the documents (token null; with their columns ``also``), and of tokens
+    that several sets share."""
     import pyarrow as pa
 
-    names = ["doc_id", "sid", "n", "counts", "token", "sets"]
+    names = ["doc_id", "sid", "n", "counts", "token", "sets", *also]
     seen, tokens, held = [], [], 0
 
     def shared(kind):
@@ -176,15 +177,16 @@ def _read(batches):
         count = np.diff(np.append(edge, len(tok)))
         tok, count = tok[edge][count >= REPORT].view(np.int64), count[count >= REPORT]
         return pa.RecordBatch.from_arrays([pa.nulls(len(tok), kind), pa.nulls(len(tok), pa.int64()), pa.nulls(len(tok), pa.int32()),
-                                           pa.nulls(len(tok), pa.binary()), pa.array(tok), pa.array(count, pa.int64())], names)
+                                           pa.nulls(len(tok), pa.binary()), pa.array(tok), pa.array(count, pa.int64()),
+                                           *[pa.nulls(len(tok), pa.string()) for _ in also]], names)
 
     kind = pa.int64()
-    for (ids,), grams, bounds, sids in _sets(batches, ["doc_id"]):
+    for (ids, *others), grams, bounds, sids in _sets(batches, ["doc_id", *also]):
         kind = ids.type
         m = len(sids)
         counts = [sketch(grams[a:b]).tobytes() if b > a else None for a, b in zip(bounds, bounds[1:])]
         yield pa.RecordBatch.from_arrays([ids, pa.array(sids), pa.array(np.diff(bounds), pa.int32()), pa.array(counts, pa.binary()),
-                                          pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+                                          pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *others], names)
         seen.append(sids)
         tokens.append((grams, bounds))
         held += len(grams)
@@ -451,13 +453,15 @@ def _matrix(docs: DataFrame, common: np.ndarray) -> DataFrame:
         common = more
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row."""
+def _classes(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the text columns ``also`` of ``docs``, n (shingles), sid, cls (component;
+    null for empty sets): one row per row."""
     prepare_workers(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    read = _stored(docs.select("doc_id", "text").mapInArrow(
-        _read, f"doc_id {kind}, sid long, n int, counts binary, token long, sets long"), "sets")
-    base = read.where("token IS NULL").select("doc_id", "sid", F.col("n").cast("long").alias("n"), "counts")
+    read = _stored(docs.select("doc_id", *also, "text").mapInArrow(
+        lambda batches: _read(batches, also), ", ".join([f"doc_id {kind}, sid long, n int, counts binary, token long, sets long",
+                                                         *[f"{c} string" for c in also]])), "sets")
+    base = read.where("token IS NULL").select("doc_id", *also, "sid", F.col("n").cast("long").alias("n"), "counts")
     often = (read.where("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") > COMMON)
              .orderBy(F.desc("sets"), "token").limit(MOST_COMMON).collect())  # bounded: MOST_COMMON hashes
     rows = _matrix(docs, np.sort(np.array([r["token"] for r in often], np.int64).view(np.uint64)))
@@ -503,8 +507,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     merged = components(joins).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
     final = comp_of.join(merged, "comp", "left").select("sid", F.coalesce("whole", "comp").alias("component"))
 
-    joined = base.select("doc_id", "sid", "n").join(final, "sid", "left")
-    joined = cut(joined.select("doc_id", "n", "sid", F.when(F.col("n") > 0, F.coalesce("component", "sid")).alias("cls")))
+    joined = base.select("doc_id", *also, "sid", "n").join(final, "sid", "left")
+    return cut(joined.select("doc_id", *also, "n", "sid", F.when(F.col("n") > 0, F.coalesce("component", "sid")).alias("cls")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row."""
+    joined = _classes(docs)
     ids = joined.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("component_id"))
     return joined.join(ids, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -512,9 +521,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document (least doc_id) of each component."""
-    return keep_decided(docs, near_duplicates(docs).select(
-        "doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    """``docs`` with one row of each component (least doc_id, null last, then least
+    ``ROW``) and the rows without words; of rows equal in doc_id and text, one."""
+    rows = _classes(with_row(docs), (ROW,))
+    best = (rows.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best"))
+            .select("cls", F.col(f"best.{ROW}").alias("best")))
+    return keep_decided(docs, rows.join(best, "cls", "left").select(ROW, F.coalesce(F.col(ROW) == F.col("best"), F.lit(True)).alias("kept")))
 
 
 def op8_token_groups(spark, sf_dir):
