@@ -213,3 +213,14 @@ def test_words_and_grams():
     g, at = w.grams(3)
     assert at.tolist() == [0, 3, 6] and g[0] == g[2] != g[1]
     assert Words(raws, LETTERS).count.tolist() == [3, 0, 3, 3]
+
+
+def test_crf_learns_from_the_whole_sample(rng):
+    plain = [f"plain{i}" for i in range(300)]
+    words = lambda: [rng.choice(plain) for _ in range(30)]
+    texts = [" ".join([*words(), "idiot" if i < 650 else "scum"]) for i in range(750)] + [" ".join(words()) for _ in range(750)]
+    model = toxicity.Model(texts, np.array([1] * 750 + [0] * 750))
+    text = " ".join([*plain[:20], "scum", *plain[20:30]])
+    scores, spans = model.score([text.encode(), " ".join(plain[:30]).encode()])
+    assert scores[0] >= 0.5 > scores[1]
+    assert [text[a:b] for a, b in spans[0]] == ["scum"]

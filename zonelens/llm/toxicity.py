@@ -11,7 +11,7 @@ counts as toxic if one of its features is a marker, that is, far more frequent i
 than in clean training documents (a likelihood ratio that chance gives to less than one
 of all features seen).  All other tokens
 are labelled clean.  The CRF's feature and transition weights and the logistic
-function are then fitted on these.
+function are then fitted on these, over every document of the sample.
 
 Training is on a bounded sample: of the learning fold, ``MOST_TOXIC`` toxic and
 ``MOST_CLEAN`` clean labelled documents with the least hash of doc_id, those of at
@@ -40,8 +40,6 @@ from zonelens.session import prepare_workers
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3500, 20_000
 FEATURE_G2 = 8.0
 LANE, ROUNDS, RATE = 64, 60, 0.3
-#: Toxic and clean documents on which the CRF itself is fitted.
-CRF_DOCS = 600
 
 
 def features(w: Words) -> np.ndarray:
@@ -128,33 +126,39 @@ def marginals(emit: np.ndarray, first: np.ndarray, move: np.ndarray, begin: np.n
     return f1 * b1 / (f0 * b0 + f1 * b1), (f0, f1, b0, b1)
 
 
-def fit_crf(numbers: np.ndarray, first: np.ndarray, tags: np.ndarray, n_features: int):
+def fit_crf(parts: list, n_features: int):
     """Feature weights (0: bias), transitions and first-state weights by gradient
-    ascent (Adam) on the penalised log-likelihood of the tags."""
+    ascent (Adam) on the penalised log-likelihood of the tags.  Each part holds whole
+    documents (feature numbers of the tokens, is it a document's first, tags); gradients
+    are summed over the parts, so memory for a round is that of one part."""
     w, move = np.zeros(n_features + 1), np.zeros((2, 2))
-    at, tok = np.nonzero(numbers)
-    feat = numbers[at, tok]
-    inner = ~first
-    pairs = np.zeros((2, 2))
-    np.add.at(pairs, (tags[:-1][inner[1:]], tags[1:][inner[1:]]), 1)
-    seen = np.bincount(feat, weights=tags[tok].astype(float), minlength=n_features + 1)
-    seen[0] = tags.sum()
+    pairs, seen, held = np.zeros((2, 2)), np.zeros(n_features + 1), []
+    for numbers, first, tags in parts:
+        at, tok = np.nonzero(numbers)
+        feat = numbers[at, tok]
+        inner = ~first
+        np.add.at(pairs, (tags[:-1][inner[1:]], tags[1:][inner[1:]]), 1)
+        seen += np.bincount(feat, weights=tags[tok].astype(float), minlength=n_features + 1)
+        seen[0] += tags.sum()
+        held.append((feat.astype(np.int32), tok.astype(np.int32), first))
     begin = np.array([0.5, 0.5])
     m = [np.zeros_like(w), np.zeros_like(move)]
     v = [np.zeros_like(w), np.zeros_like(move)]
     for r in range(1, ROUNDS + 1):
-        emit = w[0] + np.bincount(tok, weights=w[feat], minlength=len(tags))
         t = np.exp(move)
-        p, (f0, f1, b0, b1) = marginals(emit, first, t, begin)
-        gain = np.bincount(feat, weights=p[tok], minlength=n_features + 1)
-        gain[0] = p.sum()
-        g = seen - gain - 0.05 * w
-        k = inner[1:]
-        e = np.exp(np.clip(emit, -40, 40))[1:][k]
-        x = [f0[:-1][k] * t[0, 0] * b0[1:][k], f0[:-1][k] * t[0, 1] * e * b1[1:][k],
-             f1[:-1][k] * t[1, 0] * b0[1:][k], f1[:-1][k] * t[1, 1] * e * b1[1:][k]]
-        z = x[0] + x[1] + x[2] + x[3]
-        gm = pairs - np.array([(y / z).sum() for y in x]).reshape(2, 2) - 0.05 * move
+        g, gm = seen - 0.05 * w, pairs - 0.05 * move
+        for feat, tok, first in held:
+            emit = w[0] + np.bincount(tok, weights=w[feat], minlength=len(first))
+            p, (f0, f1, b0, b1) = marginals(emit, first, t, begin)
+            gain = np.bincount(feat, weights=p[tok], minlength=n_features + 1)
+            gain[0] = p.sum()
+            g -= gain
+            k = ~first[1:]
+            e = np.exp(np.clip(emit, -40, 40))[1:][k]
+            x = [f0[:-1][k] * t[0, 0] * b0[1:][k], f0[:-1][k] * t[0, 1] * e * b1[1:][k],
+                 f1[:-1][k] * t[1, 0] * b0[1:][k], f1[:-1][k] * t[1, 1] * e * b1[1:][k]]
+            z = x[0] + x[1] + x[2] + x[3]
+            gm -= np.array([(y / z).sum() for y in x]).reshape(2, 2)
         for i, (param, grad) in enumerate(((w, g), (move, gm))):
             m[i] = 0.9 * m[i] + 0.1 * grad
             v[i] = 0.99 * v[i] + 0.01 * grad * grad
@@ -240,22 +244,16 @@ class Model:
         marker = (g2 > chance) & (ratio > 4) & (keys != 0)
         self.table = FeatureTable(keys[use | marker])
         is_marker = np.concatenate([[False], marker[use | marker]])
-        chosen = np.zeros(len(labels), bool)
-        for kind in (toxic, ~toxic):
-            chosen[np.flatnonzero(kind)[:CRF_DOCS]] = True
-        numbers, firsts, tags = [], [], []
+        parts = []
         for first, doc, f in per_piece:
-            take = chosen[doc + first] if len(doc) else np.zeros(0, bool)
-            num = np.stack([self.table.numbers(row) for row in f])[:, take]
-            d = (doc + first)[take]
-            numbers.append(num)
-            firsts.append(np.concatenate([[True], d[1:] != d[:-1]]) if len(d) else np.zeros(0, bool))
-            tags.append(is_marker[num].any(0) & toxic[d])
-        numbers, firsts, tags = np.concatenate(numbers, 1), np.concatenate(firsts), np.concatenate(tags).astype(np.int64)
+            if len(doc):
+                num = np.stack([self.table.numbers(row) for row in f])
+                tags = (is_marker[num].any(0) & toxic[doc + first]).astype(np.int64)
+                parts.append((num, np.concatenate([[True], doc[1:] != doc[:-1]]), tags))
         self.rate = n1 / (n1 + n0)
-        if not len(tags) or not tags.any():
+        if not any(tags.any() for _, _, tags in parts):
             return
-        self.w, self.move, self.begin = fit_crf(numbers, firsts, tags, len(self.table.keys))
+        self.w, self.move, self.begin = fit_crf(parts, len(self.table.keys))
         x = np.concatenate([document_features(self._tokens(doc, f)[0], doc, int(doc.max()) + 1 if len(doc) else 0)
                             for _, doc, f in per_piece])
         order = np.concatenate([np.arange(int(doc.max()) + 1 if len(doc) else 0) + first for first, doc, _ in per_piece])
