@@ -178,3 +178,12 @@ def test_point_biserial_p_is_a_column_and_nulls_are_left_out(spark):
     # Student's t with 3 degrees of freedom in closed form
     p = 1 - 2 / math.pi * (math.atan(t / math.sqrt(3)) + t / math.sqrt(3) / (1 + t * t / 3))
     assert (r["r"], r["t"], r["n"], r["p"]) == (pytest.approx(rr), pytest.approx(t), 5, pytest.approx(p))
+
+
+def test_exact_quantiles_of_few_distinct_values(spark):
+    probs = (0.01, 0.25, 0.5, 0.75, 0.99)
+    for n in (*range(1, 51), 58, 59, 499, 998, 10_000, 10_001):
+        vals = np.random.default_rng(n).permutation(n) ** 2 / 7.0
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+        got = {r.p: r.value for r in S.exact_quantiles(df, "x", probs).collect()}
+        assert got == pytest.approx(dict(zip(probs, np.quantile(vals, probs))), rel=1e-12), n

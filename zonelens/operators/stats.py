@@ -87,6 +87,9 @@ def removed_count(df: DataFrame, cond) -> DataFrame:
 #: Share of the rows on either side of a wanted position that its bracket
 #: covers, and the rank error 1 / ACCURACY of the bracket's ends.
 HALF_WIDTH, ACCURACY = 0.0005, 10_000
+#: Columns of at most so many values are bracketed by their ends: beyond it, HALF_WIDTH
+#: holds two whole positions and the rank error of the bracket's ends.
+FEW = 10_000
 
 
 def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
@@ -94,8 +97,8 @@ def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> DataFra
     (p, value) per probability; value is null for a column without values.
 
     One aggregate brackets each wanted position by two approximate percentiles that
-    lie further from it than their guaranteed error, and counts the values; its one
-    row of plain numbers is part of the plan that is returned.  That plan counts the
+    lie further from it than their guaranteed error (by the ends of a column of at most
+    ``FEW`` values), and counts the values; its one row of plain numbers is part of the plan that is returned.  That plan counts the
     values below each bracket, counts each distinct value inside (about a thousandth
     of the rows), and picks the wanted positions from the running counts.  Nothing
     depends on how rows are laid out in partitions.
@@ -111,8 +114,8 @@ def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> DataFra
     wanted = []
     for i, p in enumerate(ps):
         h = p * (n - 1)
-        lo = row["lo"] if around[2 * i] == 0.0 else row["edges"][2 * i]
-        hi = row["hi"] if around[2 * i + 1] == 1.0 else row["edges"][2 * i + 1]
+        lo = row["lo"] if n <= FEW or around[2 * i] == 0.0 else row["edges"][2 * i]
+        hi = row["hi"] if n <= FEW or around[2 * i + 1] == 1.0 else row["edges"][2 * i + 1]
         wanted.append((p, lo, hi, math.floor(h), math.ceil(h), h - math.floor(h)))
     brackets = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("p", "lo", "hi", "k0", "k1", "frac"), w)])
                          for w in wanted])
