@@ -6,16 +6,16 @@ documents, overlaps count, and everything is judged on the input.
 
 Method.  Rolling-hash triggers cut every text into overlapping phrases (see
 ``phrases.py``): each phrase stands for the strings that elect one trigger, and equal
-strings sit at equal offsets from equal triggers.  So the corpus order of all strings
-follows from two sorted levels, and only the parse, about one row per 30 bytes, is ever
+strings sit at equal offsets from equal triggers.  So all strings are decided on
+two levels, grouped by hash in place of the two suffix arrays, and only the parse, about one row per 30 bytes, is ever
 shuffled:
 
-1. Parse order: phrases sorted by trigger, phrase and position.  A phrase that occurred
+1. Parse: phrases grouped by the hashes of trigger and phrase, by position within.  A phrase that occurred
    before is repeated as a whole.  A phrase whose trigger no other phrase has cannot hold
    a repeated string.  What is left are the dictionary phrases whose trigger has several
    surroundings: the edges of repeats.
-2. Dictionary order: the suffixes of these phrases that are whole strings are sorted
-   by content; equal neighbours are compared byte by byte, and all but the earliest are
+2. Dictionary: the suffixes of these phrases that are whole strings are sorted by their
+   first 8 bytes and a 64-bit fingerprint; neighbours that agree in both are compared byte by byte, and all but the earliest are
    repeated.
 
 Scale.  Hot passages: a map task keeps the first of each phrase and settles the rest
@@ -202,7 +202,7 @@ def _settle(batches):
 
 
 def sorted_strings(doc, at, n, phrase: list[bytes]):
-    """The strings of these phrases in content order: the bytes, and of each string where
+    """The strings of these phrases, equal ones side by side: the bytes, and of each string where
     it lies in them, doc, at, and whether it occurred before.
 
     Strings are sorted by their first bytes and a fingerprint of all; neighbours with
