@@ -47,6 +47,33 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read from there."""
+    folder = fresh_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` and ``position`` (long): their place from 0 in the order of the columns
+    ``order``, nulls first.  Rows are split by range and sorted within the parts, and
+    only the parts' sizes come to the driver, so no task sees more than a part; rows
+    equal in ``order`` are split too.  Written once to the shared folder: a place does
+    not change when a task is repeated."""
+    spark = rows.sparkSession
+    keys = [*(F.col(c).asc_nulls_first() for c in order), F.col("__row")]
+    within = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(buckets(spark), *keys).sortWithinPartitions(*keys)
+    placed = stored(within.drop("__row").withColumn("__at", F.monotonically_increasing_id()), name)
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    starts, total = [], 0
+    for part_no, n in sizes:
+        starts.append((part_no, total))
+        total += n
+    begins = F.broadcast(spark.createDataFrame(starts, "__part long, __start long"))  # a row per part
+    return placed.join(begins, part == F.col("__part")).withColumn("position", F.col("__start") + place).drop("__at", "__part", "__start")
+
+
 def buckets(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

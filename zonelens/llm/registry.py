@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their DuckDB oracles."""
 
-from zonelens.llm import exact_dedup, mixing, url_filter, warc
+from zonelens.llm import exact_dedup, merkle, mixing, url_filter, warc
 from zonelens.llm.decontaminate import op3_rare_seeds
 from zonelens.llm.html_extract import op7_tree_scoring
 from zonelens.llm.language_id import op2_ppm
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_token_groups": op8_token_groups,
     "op9_warc_ranges": warc.op9_warc_ranges,
     "op10_url_trie": url_filter.op10_url_trie,
+    "op11_merkle_climb": merkle.op11_merkle_climb,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op6_content_sort": exact_dedup.OP6_SQL,
     "op9_warc_ranges": warc.OP9_SQL,
     "op10_url_trie": url_filter.OP10_SQL,
+    "op11_merkle_climb": merkle.OP11_SQL,
 }
