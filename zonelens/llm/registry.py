@@ -6,6 +6,7 @@ from zonelens.llm.html_extract import op7_tree_scoring
 from zonelens.llm.language_id import op2_ppm
 from zonelens.llm.ngram_join import op8_token_groups
 from zonelens.llm.suffix_dedup import op1_prefix_free_parsing
+from zonelens.llm.token_files import op12_perfect_hash
 from zonelens.llm.toxicity import op5_crf
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op9_warc_ranges": warc.op9_warc_ranges,
     "op10_url_trie": url_filter.op10_url_trie,
     "op11_merkle_climb": merkle.op11_merkle_climb,
+    "op12_perfect_hash": op12_perfect_hash,
 }
 
 ORACLES = {
