@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their DuckDB oracles."""
 
-from zonelens.llm import exact_dedup, merkle, mixing, url_filter, warc
+from zonelens.llm import collocations, exact_dedup, merkle, mixing, url_filter, warc
 from zonelens.llm.decontaminate import op3_rare_seeds
 from zonelens.llm.html_extract import op7_tree_scoring
 from zonelens.llm.language_id import op2_ppm
@@ -22,6 +22,7 @@ QUERIES = {
     "op10_url_trie": url_filter.op10_url_trie,
     "op11_merkle_climb": merkle.op11_merkle_climb,
     "op12_perfect_hash": op12_perfect_hash,
+    "op13_branch_and_bound": collocations.op13_branch_and_bound,
 }
 
 ORACLES = {
@@ -30,4 +31,5 @@ ORACLES = {
     "op9_warc_ranges": warc.OP9_SQL,
     "op10_url_trie": url_filter.OP10_SQL,
     "op11_merkle_climb": merkle.OP11_SQL,
+    "op13_branch_and_bound": collocations.OP13_SQL,
 }
