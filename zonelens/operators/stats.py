@@ -2,10 +2,10 @@
 
 Scale notes
 -----------
-* correlation matrices unpivot each row into one small row per pair and run one
-  aggregate (``covar_pop`` / ``stddev_pop``) per pair, with partial sums map-side.
-* exact quartiles never gather a column in one task: positions are bracketed by
-  approximate percentiles and picked among the distinct values inside.
+* correlation matrices take co-moments per null pattern, in blocks of half the
+  columns, with partial sums map-side.
+* exact quartiles never gather a column in one task: places are selected by counting
+  leading bits (``order.radix_select``).
 * heads (``top_k``/``bottom_above``) are ``TakeOrderedAndProject``: each task
   keeps k rows, the driver merges k x tasks rows.
 """
@@ -13,10 +13,11 @@ Scale notes
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonelens.functions.names import round2
+from zonelens.operators.order import radix_select, stored
 
 
 def entropy_histogram(df: DataFrame, col: str = "entropy", key: str = "domain") -> DataFrame:
@@ -84,69 +85,43 @@ def removed_count(df: DataFrame, cond) -> DataFrame:
     return df.agg(F.count_if(cond).alias("removed"), F.count(F.lit(1)).alias("rows"))
 
 
-#: Share of the rows on either side of a wanted position that its bracket
-#: covers, and the rank error 1 / ACCURACY of the bracket's ends.
-HALF_WIDTH, ACCURACY = 0.0005, 10_000
-#: Columns of at most so many values are bracketed by their ends: beyond it, HALF_WIDTH
-#: holds two whole positions and the rank error of the bracket's ends.
-FEW = 10_000
-
-
 def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Exact linearly interpolated quantiles (pandas, ``quantile_cont``): one row
     (p, value) per probability; value is null for a column without values.
 
-    One aggregate brackets each wanted position by two approximate percentiles that
-    lie further from it than their guaranteed error (by the ends of a column of at most
-    ``FEW`` values), and counts the values; its one row of plain numbers is part of the plan that is returned.  That plan counts the
-    values below each bracket, counts each distinct value inside (about a thousandth
-    of the rows), and picks the wanted positions from the running counts.  Nothing
-    depends on how rows are laid out in partitions.
-    """
-    v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    ps = [float(p) for p in probs]
-    around = [min(1.0, max(0.0, p + d)) for p in ps for d in (-HALF_WIDTH, HALF_WIDTH)]
-    row = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                F.percentile_approx("v", around, ACCURACY).alias("edges")).first()
-    spark, n = df.sparkSession, row["n"]
-    if not n:
-        return spark.createDataFrame([(p, None) for p in ps], "p double, value double")
-    wanted = []
-    for i, p in enumerate(ps):
-        h = p * (n - 1)
-        lo = row["lo"] if n <= FEW or around[2 * i] == 0.0 else row["edges"][2 * i]
-        hi = row["hi"] if n <= FEW or around[2 * i + 1] == 1.0 else row["edges"][2 * i + 1]
-        wanted.append((p, lo, hi, math.floor(h), math.ceil(h), h - math.floor(h)))
-    brackets = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("p", "lo", "hi", "k0", "k1", "frac"), w)])
-                         for w in wanted])
-    inside = (v.select("v", F.explode(F.filter(brackets, lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))).alias("b"))
-               .groupBy(F.col("b.p").alias("p"), F.col("b.k0").alias("k0"), F.col("b.k1").alias("k1"),
-                        F.col("b.frac").alias("frac"), "v").agg(F.count(F.lit(1)).alias("c")))
-    below = v.agg(*[F.count_if(F.col("v") < w[1]).alias(f"b{i}") for i, w in enumerate(wanted)]).select(F.explode(
-        F.array(*[F.struct(F.lit(w[0]).alias("p"), F.col(f"b{i}").alias("below")) for i, w in enumerate(wanted)])).alias("x"))
-    upto = F.sum("c").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = inside.withColumn("cum", upto).join(below.select("x.p", "x.below"), "p")
-    # a value covers the 0-based positions [start, end]
-    start, end = F.col("below") + F.col("cum") - F.col("c"), F.col("below") + F.col("cum") - 1
-    at = lambda k: F.max(F.when((F.col(k) >= start) & (F.col(k) <= end), F.col("v")))
-    picked = placed.groupBy("p", "frac").agg(at("k0").alias("v0"), at("k1").alias("v1"))
-    return picked.select("p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value"))
+    The column alone is written to the shared folder, 8 bytes a value, and
+    ``order.radix_select`` finds the wanted places in it: at most four passes of a
+    grouped count, the same at every size.  The result is one row of plain numbers per
+    probability."""
+    v = stored(df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL"), "quantiles")
+    return _quantile_rows(v, probs)
+
+
+def _quantile_rows(values: DataFrame, probs) -> DataFrame:
+    n, ends = radix_select(values, probs)
+    rows = []
+    for p, at in zip(probs, ends):
+        frac = p * (n - 1) - math.floor(p * (n - 1)) if n else 0.0
+        rows.append((float(p), None if at is None else at[0] if at[0] == at[1] else at[0] + (at[1] - at[0]) * frac))
+    return values.sparkSession.createDataFrame(rows, "p double, value double")
 
 
 def describe_numeric(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max of one column.
 
-    The moments are one ordinary aggregate; the quartiles come from
-    ``exact_quantiles`` as one more row, joined to it.
-    """
-    c = F.col(col).cast("double")
-    base = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                  F.min(c).alias("min"), F.max(c).alias("max"))
-    quart = exact_quantiles(df, col).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
-                                           for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    qs = quart.select(F.struct("q25", "q50", "q75")).scalar()
-    return base.select("count", "mean", "std", "min", qs["q25"].alias("q25"),
-                       qs["q50"].alias("q50"), qs["q75"].alias("q75"), "max")
+    The column is computed once and written alone; the moments are one ordinary
+    aggregate over it, the quartiles numbers from ``radix_select``."""
+    v = stored(df.select(F.col(col).cast("double").alias("v")), "describe")
+    _, ends = radix_select(v, (0.25, 0.5, 0.75))
+    c = F.col("v")
+    n = F.count(c)
+    quart = []
+    for p, at, name in zip((0.25, 0.5, 0.75), ends, ("q25", "q50", "q75")):
+        lo, hi = at or (None, None)
+        h = F.lit(p) * (n - 1)
+        value = F.lit(lo).cast("double") + (F.lit(hi).cast("double") - F.lit(lo).cast("double")) * (h - F.floor(h))
+        quart.append((F.lit(lo).cast("double") if lo == hi else value).alias(name))
+    return v.agg(n.alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *quart, F.max(c).alias("max"))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -154,21 +129,41 @@ def correlation_matrix(df: DataFrame, cols: list[str], by: tuple[str, ...] = ())
     (``by``..., a, b, r).  Rows where either value is null do not count for that
     pair; a constant column gives null, not an error.
 
-    Each row is unpivoted into one (pair number, x, y) row per pair, and a single
-    small aggregate runs per (by, pair): a fixed fan-out of len(pairs), partial
-    aggregation map-side, and three compact generated aggregate functions instead
-    of one aggregate with 3 x len(pairs) buffers (which exceeds the
-    code-generation limits).  The names come back after the aggregate.
-    """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    # one SQL expression string: a single call to build, however many pairs
-    items = ", ".join(f"named_struct('i', {i}, 'x', CAST(`{a}` AS DOUBLE), 'y', CAST(`{b}` AS DOUBLE))"
-                      for i, (a, b) in enumerate(pairs))
-    long = df.select(*by, F.expr(f"inline(array({items}))")).filter("x IS NOT NULL AND y IS NOT NULL")
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return (long.groupBy(*by, "i").agg(r.alias("r"))
-                .select(*by, F.get(names, F.col("i")).alias("pair"), "r").select(*by, "pair.a", "pair.b", "r"))
+    Rows are grouped by which of the columns are null, so that one count, mean and variance
+    per column serve all pairs of a group.  Each row becomes one small row per column with
+    the next half of the columns beside it (in a circle, so every pair is met once), and one
+    aggregate with partial sums map-side takes the co-moments of a block: k rows of k / 2
+    pairs instead of a row per pair.  What comes out has a row per (by, pattern, column);
+    patterns are put together by their means, without sums of squares that cancel."""
+    k, half = len(cols), len(cols) // 2
+    pairs = {(i, j): n for n, (i, j) in enumerate((i, j) for i in range(k) for j in range(i + 1, k))}
+    ends = {}  # pair number -> (column, distance)
+    for i in range(k):
+        for d in range(1, half + 1):
+            ends.setdefault(pairs[min(i, (i + d) % k), max(i, (i + d) % k)], (i, d))
+    pattern = " + ".join(f"CASE WHEN `{c}` IS NULL THEN {1 << i}L ELSE 0L END" for i, c in enumerate(cols))
+    value = lambda i: f"CAST(`{cols[i % k]}` AS DOUBLE)"
+    # one SQL expression string: a single call to build, however many columns
+    items = ", ".join(f"named_struct('i', {i}, 'x', {value(i)}" + "".join(f", 'y{d}', {value(i + d)}" for d in range(1, half + 1)) + ")"
+                      for i in range(k))
+    blocks = (df.select(*by, F.expr(pattern).alias("__nulls"), F.expr(f"array({items})").alias("__b"))
+                .select(*by, "__nulls", F.inline("__b")).where("x IS NOT NULL")
+                .groupBy(*by, "__nulls", "i").agg(
+                    F.count(F.lit(1)).cast("double").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"),
+                    F.array(*[F.covar_pop("x", f"y{d}") for d in range(1, half + 1)]).alias("c")))
+    columns = blocks.groupBy(*by, "__nulls").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("n", "m", "v", "c")))).alias("of"))
+    each = ", ".join(f"named_struct('p', {p}, 'i', {i}, 'j', {(i + d) % k}, 'd', {d - 1})" for p, (i, d) in ends.items())
+    both = columns.select(*by, F.inline(F.expr(
+        f"transform(array({each}), q -> named_struct('p', q.p, 'x', of[q.i], 'y', of[q.j], 'c', of[q.i].c[q.d]))"))).where("x IS NOT NULL AND y IS NOT NULL")
+    parts = both.groupBy(*by, "p").agg(F.collect_list(F.struct(
+        F.col("x.n").alias("n"), F.col("x.m").alias("mx"), F.col("y.m").alias("my"), F.col("x.v").alias("vx"), F.col("y.v").alias("vy"), "c")).alias("g"),
+        F.sum("x.n").alias("n"), F.sum(F.col("x.n") * F.col("x.m")).alias("sx"), F.sum(F.col("x.n") * F.col("y.m")).alias("sy"))
+    total = lambda e: F.expr(f"aggregate(g, 0D, (s, t) -> s + t.n * ({e}))")
+    r = F.try_divide(total("t.c + (t.mx - sx / n) * (t.my - sy / n)"),
+                     F.sqrt(total("t.vx + (t.mx - sx / n) * (t.mx - sx / n)")) * F.sqrt(total("t.vy + (t.my - sy / n) * (t.my - sy / n)")))
+    names = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b")) for i, j in pairs])
+    found = parts.select(*by, "p", r.alias("r"))
+    return found.select(*by, F.get(names, F.col("p")).alias("pair"), "r").select(*by, "pair.a", "pair.b", "r")
 
 
 def _p_values():

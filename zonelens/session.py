@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,6 +54,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate or round-trip files, below the shared folder.
+
+    Where no shared folder is set, a session in one process (``local[...]``, as in
+    tests) gets one of its own; on a cluster that is an error."""
+    try:
+        top = checkpoint_dir(spark)
+    except RuntimeError:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise
+        top = tempfile.mkdtemp(prefix="zonelens-")
+        spark.sparkContext.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 #: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole
 #: texts and pages go through these batches, on both sides of the worker's pipe.
 BATCH_ROWS = 2000
