@@ -39,6 +39,13 @@ def test_words_alone_give_the_ids_of_the_text(text):
     assert got.tolist() == ids_of(text)
 
 
+def test_every_latin_letter_alone_and_in_words():
+    encoder = tf.Encoder(SPEC, 2)
+    letters = [chr(c) for c in range(0x21, 0x300)]
+    text = " ".join([*letters, *(f"a{c}" for c in letters), *(f"{c}É{c}," for c in letters), *(f"x{c}Y.'" for c in letters)])
+    assert encoder.plain and np.frombuffer(encoder.payload(text), "<u2").tolist() == ids_of(text)
+
+
 def test_special_strings_and_long_words():
     encoder = tf.Encoder(SPEC, 2)
     for text in ("a<|endoftext|>b <|startoftext|> <|endoftext|", "x" * 5000 + " " + "ab1" * 900, "don't you've 'S 't", ""):

@@ -4,7 +4,9 @@
 worker asks the tokenizers library for each white-space separated word and remembers the
 ids of words of up to ``WORD_BYTES``: none of the tokenizer's rules reaches across ASCII
 white space (composition, lower-casing and splitting are tested to agree with the whole
-text), and a corpus repeats its words.  Special tokens are not added; the end id is.
+text), and a corpus repeats its words.  Under the rules ``SPLITTING`` and ``NORMALISING``
+words of Latin letters go to the library's model straight away.  Special tokens are not
+added; the end id is.
 
 **Files.**  Texts are range-partitioned and sorted by key (then text), so files in the
 order of their partitions are the corpus in ascending order.  A shard is two files:
@@ -31,10 +33,14 @@ read from each by itself; an empty table writes no shard and gives no rows; furt
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,8 +54,13 @@ from zonelens.session import prepare_workers
 #: Bytes of a shard after which a task begins the next, and of one read.
 SHARD_BYTES, READ_BYTES = 1 << 30, 4 << 20
 BUCKET_KEYS = 50_000
-#: Words that a worker remembers, and their length.
-WORDS, WORD_BYTES = 400_000, 48
+#: Words that a worker remembers (twice as many at most), and their length.
+WORDS, WORD_BYTES = 750_000, 48
+#: Rules under which a word of Latin letters, lower-cased, is for the model
+#: as it is, and ASCII punctuation after it is a word of its own.
+SPLITTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISING = ["NFC", "Replace", "Lowercase"]
+LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,;:!?]*)")
 #: Bits of a level per key that is still open.
 SPREAD = 2
 LEVELS = 200
@@ -62,12 +73,20 @@ class Encoder:
 
     def __init__(self, spec: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id)
-        self.end = np.array([end_id], self.dtype).tobytes()
+        self.code = {"<u2": "H", "<u4": "I"}[self.dtype]
+        self.end = self._packed([end_id])
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        rules = json.loads(spec)
+        self.plain = ([x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])] == NORMALISING
+                      and [(x["type"], x.get("pattern", {}).get("Regex")) for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+                      == [("Split", SPLITTING), ("ByteLevel", None)])
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}  # how the model spells them
 
     @classmethod
     def of(cls, spec: str, end_id: int) -> Encoder:
@@ -78,17 +97,49 @@ class Encoder:
             cls._made[key] = cls(spec, end_id)
         return cls._made[key]
 
+    def _packed(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words not remembered."""
+        out, rest, old, known, tokenize = {}, [], self.old, self.known, self.tokenizer.model.tokenize
+        for w in words:
+            if w in old:
+                out[w] = old[w]
+                continue
+            text = w.decode()
+            m = LETTERS.fullmatch(text) if self.plain and len(w) <= WORD_BYTES else None
+            if m is None:
+                rest.append(text)
+                continue
+            head, tail = m[1].lower(), m[2]
+            name = w if head == text else head.encode()
+            ids = known.get(name) or old.get(name)
+            if ids is None:
+                ids = known[name] = self._packed([t.id for t in tokenize(head if len(name) == len(head) else head.translate(self.spelled))])
+            if tail:
+                marks = known.get(tail.encode())
+                if marks is None:
+                    marks = known[tail.encode()] = self._packed(self.tokenizer.encode(tail, add_special_tokens=False).ids)
+                ids += marks
+            out[w] = ids
+        if rest:
+            found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            out.update((t.encode(), self._packed(x.ids)) for t, x in zip(rest, found))
+        return out
+
     def payload(self, text: str) -> bytes:
         words = text.encode().split()  # at ASCII white space only
         parts = list(map(self.known.get, words))
         if None in parts:
-            new = list({w for w, p in zip(words, parts) if p is None})
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            here = {w: np.array(x.ids, self.dtype).tobytes() for w, x in zip(new, found)}
+            here = self._new({w for w, p in zip(words, parts) if p is None})
             parts = [here[w] if p is None else p for w, p in zip(words, parts)]
-            if len(self.known) + len(here) > WORDS:
-                self.known.clear()
             self.known.update((w, p) for w, p in here.items() if len(w) <= WORD_BYTES)
+            if len(self.known) > WORDS:  # words not met since the last time go
+                self.old, self.known = self.known, {}
         parts.append(self.end)
         return b"".join(parts)
 
