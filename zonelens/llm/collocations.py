@@ -50,7 +50,7 @@ LEAST, MOST_WORDS, TOP = 100, 5, 2000
 #: Piece ends: [.,;:!?\x0A-\x0D]; words have none of them and no blank or tab.
 ENDS = r"[.,;:!?\n\x0b\x0c\r]+"
 #: Words of a block, of blocks counted together in a task, and rows of a batch of counts.
-BLOCK_WORDS, COUNT_WORDS, BATCH = 1 << 20, 1 << 22, 200_000
+BLOCK_WORDS, COUNT_WORDS, BATCH = 1 << 18, 1 << 21, 100_000
 #: Of a language's frequent words, the share expanded up to each round.
 SHARES = (1 / 16, 1 / 4, 1)
 #: Bits per surviving prefix, and of the whole array.
@@ -112,7 +112,22 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 def _recoded(blocks: DataFrame, vocabulary: DataFrame, width: str) -> DataFrame:
     """lang and ids (numbers of the vocabulary, -1 for the end of a phrase) of each block."""
-    of = blocks.select("block", "lang", F.posexplode("words").alias("local", "word"))
+    bits = _bits(vocabulary.select(F.xxhash64("word").alias("h")))
+
+    def listed(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in slices(batches, 1):
+            words = batch["words"][0].values
+            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+            local = np.flatnonzero(_set(h, bits))
+            for a in range(0, len(local), BATCH):
+                here = pa.array(local[a:a + BATCH].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch["block"][0], len(here)), pa.repeat(batch["lang"][0], len(here)), here, words.take(here)],
+                                                 names=["block", "lang", "local", "word"])
+
+    of = blocks.select("block", "lang", "words").mapInArrow(listed, "block string, lang string, local int, word string")
     known = of.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(
         F.collect_list(F.struct("local", "id")).alias("known"))  # the words of one block
 
@@ -140,32 +155,41 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _in_bits(columns: list[np.ndarray], bits: np.ndarray) -> np.ndarray:
-    h = _hash(columns) & np.uint64(64 * len(bits) - 1)
+def _set(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    h = h & np.uint64(64 * len(bits) - 1)
     return bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1) == 1
 
 
-def _bit_array(phrases: DataFrame) -> np.ndarray:
-    """Bits of the hashes of ``phrases`` (w, all of one length)."""
-    count = phrases.count()
+def _in_bits(columns: list[np.ndarray], bits: np.ndarray) -> np.ndarray:
+    return _set(_hash(columns), bits)
+
+
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """The bit array of ``hashes`` (h long), put together by Spark."""
+    count = hashes.count()
     size = LEAST_BITS
     while size < min(MOST_BITS, BITS * count):
         size *= 2
+    spot = F.col("h").bitwiseAND(size - 1)
+    rows = hashes.groupBy(F.shiftright(spot, 6).alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _bit_array(phrases: DataFrame) -> np.ndarray:
+    """Bits of the hashes of ``phrases`` (w, all of one length)."""
 
-    def spots(batches):
+    def hashed(batches):
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
                 w = batch["w"].flatten().to_numpy().reshape(batch.num_rows, -1)
-                h = _hash(list(w.T)) & np.uint64(size - 1)
-                yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(6)).astype(np.int64)),
-                                                  pa.array((np.uint64(1) << (h & np.uint64(63))).view(np.int64))], names=["at", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(_hash(list(w.T)).view(np.int64))], names=["h"])
 
-    rows = phrases.select("w").mapInArrow(spots, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(size // 64, np.uint64)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return out
+    return _bits(phrases.select("w").mapInArrow(hashed, "h long"))
 
 
 def _grouped(x: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
@@ -305,7 +329,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     blocks = blocks_of(docs)
     counted = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(
         F.sum("x.counts").alias("f")).where(F.col("f") >= least).withColumn("falling", -F.col("f"))
-    vocabulary = numbered(counted, "phrase-words", "lang", "falling", "word").select("lang", "word", "f", F.col("position").alias("id"))
+    vocabulary = numbered(counted, "lang", "falling", "word", name="phrase-words").select("lang", "word", "f", F.col("position").alias("id"))
     sizes = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     langs = stored(vocabulary.groupBy("lang").agg(F.min("id").alias("first"), F.max("id").alias("last")).join(sizes, "lang"), "phrase-langs")
     classes = vocabulary.groupBy("lang", F.floor(F.log2("f") * 4).alias("c")).agg(
@@ -326,13 +350,13 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
         share = shares[min(turn, len(shares) - 1)]
         ranges = {x.lang: (*x.grow(share), x.end) for x in open_.values()}
         here = corpus.where(F.col("lang").isin(list(ranges)))
-        bits = None
+        bits: dict[int, np.ndarray] = {}
         for length in range(2, most_words + 1):
             new = stored(_count(here, width, [length], _Extensions(ranges, bits)).where(F.col("f") >= least), f"phrases-{length}")
             found[length].append(new)
             if new.isEmpty() or length == most_words:
                 break
-            bits = _bit_array(reduce(DataFrame.unionByName, found[length]))
+            bits[length] = _bit_array(reduce(DataFrame.unionByName, found[length]))
         settled = _settle(open_, found, single, langs, vocabulary, here, width, ranges, most_words, top)
         if settled is not None:
             results.append(settled)
@@ -343,18 +367,21 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
 
 class _Extensions:
     """Chooses the places where a phrase may be frequent: its first word is new in the
-    frontier, its prefix has survived, and so has its suffix if that was expanded."""
+    frontier, its prefix has survived, and so have its suffixes that begin with a word
+    that is expanded (``bits`` by length)."""
 
-    def __init__(self, ranges, bits) -> None:
-        self.ranges, self.bits = ranges, bits
+    def __init__(self, ranges, bits: dict) -> None:
+        self.ranges, self.bits = ranges, dict(bits)
 
     def __call__(self, lang, x, at, length):
         low, high, _ = self.ranges[lang]
         at = at[(x[at] >= low) & (x[at] < high)]
-        if self.bits is None:
+        if length == 2:
             return at
-        at = at[_in_bits([x[at + k] for k in range(length - 1)], self.bits)]
-        return at[(x[at + 1] < low) | _in_bits([x[at + 1 + k] for k in range(length - 1)], self.bits)]
+        at = at[_in_bits([x[at + k] for k in range(length - 1)], self.bits[length - 1])]
+        for skip in range(1, length - 1):
+            at = at[(x[at + skip] < low) | _in_bits([x[at + k] for k in range(skip, length)], self.bits[length - skip])]
+        return at
 
 
 class _Listed:
