@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -66,7 +67,37 @@ def work_folder(spark: SparkSession, name: str) -> str:
             raise
         top = tempfile.mkdtemp(prefix="zonelens-")
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    work_folders(spark).append(folder)
+    return folder
+
+
+_made: dict[str, list[str]] = {}
+
+
+def work_folders(spark: SparkSession) -> list[str]:
+    """The work folders that this application has made and not removed, oldest first."""
+    return _made.setdefault(spark.sparkContext.applicationId, [])
+
+
+def remove_work(spark: SparkSession, folders) -> None:
+    """Removes work folders that this application has made (others are left alone)."""
+    made, context = work_folders(spark), spark.sparkContext
+    for folder in [f for f in folders if f in made]:
+        made.remove(folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end what was made within it, but for the folders put into the list
+    that it gives: what is returned must read from these alone."""
+    before, keep = set(work_folders(spark)), []
+    try:
+        yield keep
+    finally:
+        remove_work(spark, [f for f in work_folders(spark) if f not in before and f not in keep])
 
 
 #: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole
