@@ -214,3 +214,29 @@ def test_components_of_chains_and_stars(spark, rng):
     linked = {x for e in edges for x in e if e[0] != e[1]}
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in linked}
+
+
+def test_near_copies_without_ids_and_with_few(make_docs, rng):
+    """Null and repeated ids: sets are found by their content, whatever the ids."""
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=60)
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join(base[:-1])]
+    by_place = {r[0]: r[2] for r in components_by_hand(list(enumerate(texts)))}
+    want = {t: by_place[i] for i, t in enumerate(texts)}
+    for ids in (lambda i: None, lambda i: i % 3):
+        docs = make_docs([(ids(i), t) for i, t in enumerate(texts)])
+        rows = ngram_join._classes(ngram_join.with_row(docs.select("doc_id", "text")))
+        cls = {r["__row"]: r["cls"] for r in rows.collect()}
+        named = {r["__row"]: r["text"] for r in ngram_join.with_row(docs).collect()}
+        pairs = {(cls[k], want[t]) for k, t in named.items()}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_sets_that_share_an_id_go_by_the_second(rng):
+    grams, bounds = ngram_join.shingle_sets([b"a b c d e f", b"a b c d e f", b"u v w x y z", b""])
+    ids, second = ngram_join.set_ids(grams, bounds)
+    assert ids[0] == ids[1] and second[0] == second[1] and ids[0] != ids[2] and second[0] != second[2] and ids[3] == second[3] == 0
+    settled = ngram_join._settled(ids, second, ids[:1])
+    assert settled.tolist() == [second[0], second[0], ids[2], 0]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelens.session import prepare_workers
+from zonelens.operators.order import numbered, stored  # noqa: F401
+from zonelens.session import prepare_workers, work_folder, work_folders
+
+fresh_folder = work_folder
 
 #: The white space that every contract names: [\x20\x09-\x0D].
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -20,58 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where it is unset, a local session (one process, as in tests) gets a folder of its
-    own; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder: its lineage ends there, and
+    it is read again after the loss of an executor."""
+    return stored(df, "cut")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: computed once, read again
-    after the loss of an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read from there."""
-    folder = fresh_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
-    """``rows`` and ``position`` (long): their place from 0 in the order of the columns
-    ``order``, nulls first.  Rows are split by range and sorted within the parts, and
-    only the parts' sizes come to the driver, so no task sees more than a part; rows
-    equal in ``order`` are split too.  Written once to the shared folder: a place does
-    not change when a task is repeated."""
-    spark = rows.sparkSession
-    keys = [*(F.col(c).asc_nulls_first() for c in order), F.col("__row")]
-    within = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(buckets(spark), *keys).sortWithinPartitions(*keys)
-    placed = stored(within.drop("__row").withColumn("__at", F.monotonically_increasing_id()), name)
-    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    starts, total = [], 0
-    for part_no, n in sizes:
-        starts.append((part_no, total))
-        total += n
-    begins = F.broadcast(spark.createDataFrame(starts, "__part long, __start long"))  # a row per part
-    return placed.join(begins, part == F.col("__part")).withColumn("position", F.col("__start") + place).drop("__at", "__part", "__start")
+def folder_of(df: DataFrame) -> str:
+    """The work folder that ``stored`` or ``cut`` has just returned ``df`` from."""
+    return work_folders(df.sparkSession)[-1]
 
 
 def buckets(spark: SparkSession) -> int:

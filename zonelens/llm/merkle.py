@@ -34,7 +34,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import fresh_folder, numbered, stored, table
+from zonelens.llm.common import numbered, stored, table
 
 ARITY = 8
 #: Node rows (of some 300 bytes) that are broadcast to a step of the climb.
@@ -117,12 +117,12 @@ def build(docs: DataFrame, claim: Column | None = None) -> Manifest:
     claim = F.lit(None).cast("string") if claim is None else claim
     hashed = stored(docs.select(fields["doc_id"].alias("doc_id"), fields["lang"].cast("string").alias("lang"),
                                 digest_of(fields).alias("digest"), claim.alias("claim")), "merkle-leaves")
-    placed = numbered(hashed, "merkle-order", "lang", "doc_id", "digest")
+    placed = numbered(hashed, "lang", "doc_id", "digest", name="merkle-order")
     trees = stored(placed.groupBy("lang").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("size")), "merkle-trees")
     leaves = stored(placed.join(trees.withColumnRenamed("lang", "tree"), F.col("lang").eqNullSafe(F.col("tree"))).select(
         "doc_id", "digest", "claim", "first", "size", (F.col("position") - F.col("first")).alias("place")), "merkle-placed")
     lower, tops = _levels(leaves, 0, F.struct("doc_id", "claim"))
-    order = numbered(tops.select(F.col("first").alias("tree"), F.col("digest"), F.col("node").alias("below")), "merkle-subroots", "tree")
+    order = numbered(tops.select(F.col("first").alias("tree"), F.col("digest"), F.col("node").alias("below")), "tree", name="merkle-subroots")
     count = order.count()
     subroots = stored(order.select("tree", "below", "digest", F.lit(0).cast("long").alias("first"), F.lit(count).alias("size"),
                                    F.col("position").alias("place")), "merkle-top")

@@ -7,7 +7,8 @@ Method.  Similar sets are partitioned into groups, each group stores the union o
 members' tokens, a query is compared with the unions first, and only groups whose
 union could hold a partner are opened.
 
-1. Equal sets become one (the set's id is a hash of its content).
+1. Equal sets become one.  A set's id is a 64-bit hash of its content; where sets that
+   differ in a second one share it, the second one is their id.
 2. Token-group matrix, sparse: sets are ordered by token hash, tokens common to many
    sets last.  Two linked sets share one of their first |s| - ceil(0.8 |s|) + 1 tokens,
    so only these are dealt out by token, and tokens of a single set are dropped at once.
@@ -28,7 +29,8 @@ No link is lost: all bounds are upper bounds, and sets that are not compared are
 component already.  No group is compared all with all, and copies are never expanded.
 
 Scale.  Step 2 shuffles about a fifth of the tokens, the only large shuffle of tokens.
-The tokens of sets that have a candidate are fetched from their texts once: the list of
+The tokens of sets that have a candidate are fetched from their texts once, each from one
+row, named by its content and not by its doc_id: the list of
 these sets is broadcast up to ``MOST_WANTED`` (counted first), and joined by a shuffle
 beyond.  Common tokens (more
 than ``COMMON`` sets, counted by tasks that see at least ``REPORT`` of them) are found while
@@ -49,10 +51,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import ROW, buckets, cut, fresh_folder, keep_decided, slices, table, with_row
+from zonelens.llm.common import ROW, buckets, cut, folder_of, keep_decided, slices, stored, table, with_row
 from zonelens.llm.components import components
 from zonelens.llm.words import STEP, Words, mixed, pieces
-from zonelens.session import prepare_workers
+from zonelens.session import prepare_workers, scratch
 
 SHINGLE, PERCENT = 5, 80
 COMMON, MOST_COMMON, LONG, GROUP = 12, 1_000_000, 1000, 64
@@ -83,14 +85,24 @@ def shingle_sets(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(len(raws) + 1))
 
 
-def set_ids(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """An id of each set's content (0: empty)."""
+def set_ids(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two ids of each set's content (0: empty)."""
     upto = np.concatenate([[np.uint64(0)], np.cumsum(mixed(grams ^ np.uint64(0x5BD1E9955BD1E995)))])
     again = np.concatenate([[np.uint64(0)], np.cumsum(mixed(grams * np.uint64(0x9E3779B97F4A7C15)))])
     n = np.diff(bounds)
-    ids = mixed((upto[bounds[1:]] - upto[bounds[:-1]]) + (again[bounds[1:]] - again[bounds[:-1]]) * STEP + n.astype(np.uint64))
-    ids[n == 0] = 0
-    return ids.view(np.int64)
+    one, two = (x[bounds[1:]] - x[bounds[:-1]] for x in (upto, again))
+    ids = mixed(one + two * STEP + n.astype(np.uint64))
+    second = mixed(one * np.uint64(0xFF51AFD7ED558CCD) ^ (two + np.uint64(0xC4CEB9FE1A85EC53)))
+    ids[n == 0] = second[n == 0] = 0
+    return ids.view(np.int64), second.view(np.int64)
+
+
+def _settled(ids: np.ndarray, second: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The id by which a set is known: the second one where several sets share the first."""
+    if not len(shared):
+        return ids
+    at = np.minimum(np.searchsorted(shared, ids), len(shared) - 1)
+    return np.where(shared[at] == ids, second, ids)
 
 
 def _buckets(n: int) -> int:
@@ -136,7 +148,7 @@ def may_link(n1, p1, n2, p2):
 
 
 def _sets(batches, columns):
-    """(other columns of the rows, tokens, bounds, ids) of pieces of whole texts."""
+    """(other columns of the rows, tokens, bounds, both ids) of pieces of whole texts."""
     for batch in slices(batches, 2000):
         others = [batch.column(c) for c in columns]
         for first, raws in pieces(batch.column("text").to_pylist()):
@@ -163,7 +175,7 @@ def _read(batches, also=()):
     that several sets share."""
     import pyarrow as pa
 
-    names = ["doc_id", "sid", "n", "counts", "token", "sets", *also]
+    names = ["doc_id", "sid", "second", "n", "counts", "token", "sets", *also]
     seen, tokens, held = [], [], 0
 
     def shared(kind):
@@ -176,16 +188,16 @@ def _read(batches, also=()):
         edge = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(tok)))
         tok, count = tok[edge][count >= REPORT].view(np.int64), count[count >= REPORT]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(tok), kind), pa.nulls(len(tok), pa.int64()), pa.nulls(len(tok), pa.int32()),
-                                           pa.nulls(len(tok), pa.binary()), pa.array(tok), pa.array(count, pa.int64()),
+        return pa.RecordBatch.from_arrays([pa.nulls(len(tok), kind), pa.nulls(len(tok), pa.int64()), pa.nulls(len(tok), pa.int64()),
+                                           pa.nulls(len(tok), pa.int32()), pa.nulls(len(tok), pa.binary()), pa.array(tok), pa.array(count, pa.int64()),
                                            *[pa.nulls(len(tok), pa.string()) for _ in also]], names)
 
     kind = pa.int64()
-    for (ids, *others), grams, bounds, sids in _sets(batches, ["doc_id", *also]):
+    for (ids, *others), grams, bounds, (sids, second) in _sets(batches, ["doc_id", *also]):
         kind = ids.type
         m = len(sids)
         counts = [sketch(grams[a:b]).tobytes() if b > a else None for a, b in zip(bounds, bounds[1:])]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sids), pa.array(np.diff(bounds), pa.int32()), pa.array(counts, pa.binary()),
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sids), pa.array(second), pa.array(np.diff(bounds), pa.int32()), pa.array(counts, pa.binary()),
                                           pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *others], names)
         seen.append(sids)
         tokens.append((grams, bounds))
@@ -197,14 +209,15 @@ def _read(batches, also=()):
         yield shared(kind)
 
 
-def _deal(common):
+def _deal(common, shared):
     """The matrix, map side: first tokens of each set (once per task)."""
 
     def run(batches):
         import pyarrow as pa
 
         seen: set[int] = set()
-        for _, grams, bounds, sids in _sets(batches, []):
+        for _, grams, bounds, both in _sets(batches, []):
+            sids = _settled(*both, shared)
             new = np.zeros(len(sids), bool)
             for i, s in enumerate(sids.tolist()):
                 if s and s not in seen:
@@ -279,14 +292,18 @@ def _rows_of(batches):
                 + [pa.array(sid[lead[s]][near[s]], mask=~with_lead[s][near[s]])], ["token", "sid", "n", "place", "leader"])
 
 
-def _fetch(batches):
-    """The tokens of the wanted set: other rows of the same doc_id are left out."""
-    import pyarrow as pa
+def _fetch(shared):
+    """The tokens of the wanted sets, from the rows that stand for them."""
+
+    def run(batches):
+        import pyarrow as pa
 
-    for (sids,), grams, bounds, own in _sets(batches, ["sid"]):
-        fits = np.flatnonzero(sids.to_numpy() == own)
-        raw = [grams[bounds[i]:bounds[i + 1]].tobytes() for i in fits]
-        yield pa.RecordBatch.from_arrays([pa.array(own[fits]), pa.array(raw, pa.binary())], ["sid", "tokens"])
+        for (sids,), grams, bounds, both in _sets(batches, ["sid"]):
+            fits = np.flatnonzero(sids.to_numpy() == _settled(*both, shared))
+            raw = [grams[bounds[i]:bounds[i + 1]].tobytes() for i in fits]
+            yield pa.RecordBatch.from_arrays([sids.take(pa.array(fits)), pa.array(raw, pa.binary())], ["sid", "tokens"])
+
+    return run
 
 
 def _bounded(batches):
@@ -317,12 +334,6 @@ def _exact(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    folder = fresh_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
 def _side(sets: DataFrame, p: str, columns: list[str]) -> DataFrame:
     return sets.select(F.col("sid").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in columns])
 
@@ -438,11 +449,11 @@ def _open(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _matrix(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def _matrix(docs: DataFrame, common: np.ndarray, shared: np.ndarray) -> DataFrame:
     """Rows of the token-group matrix that hold several sets, written once."""
     spark, parts = docs.sparkSession, buckets(docs.sparkSession)
     for left in reversed(range(PASSES)):
-        rows = _stored(docs.select("text").mapInArrow(_deal(spark.sparkContext.broadcast(common)), "token long, sid long, n int, place int")
+        rows = stored(docs.select("text").mapInArrow(_deal(spark.sparkContext.broadcast(common), shared), "token long, sid long, n int, place int")
                        .repartition(parts, "token").mapInArrow(_rows_of, "token long, sid long, n int, place int, leader long"), "matrix")
         if not left:
             return rows
@@ -453,21 +464,32 @@ def _matrix(docs: DataFrame, common: np.ndarray) -> DataFrame:
         common = more
 
 
-def _classes(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the text columns ``also`` of ``docs``, n (shingles), sid, cls (component;
-    null for empty sets): one row per row."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, ``ROW``, n (shingles), sid, cls (component;
+    null for empty sets): one row per row.  Nothing else of what it writes stays."""
     prepare_workers(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        found = _found(docs, (ROW,))
+        keep.append(folder_of(found))
+    return found
+
+
+def _found(docs: DataFrame, also: tuple[str, ...]) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
-    read = _stored(docs.select("doc_id", *also, "text").mapInArrow(
-        lambda batches: _read(batches, also), ", ".join([f"doc_id {kind}, sid long, n int, counts binary, token long, sets long",
+    read = stored(docs.select("doc_id", *also, "text").mapInArrow(
+        lambda batches: _read(batches, also), ", ".join([f"doc_id {kind}, sid long, second long, n int, counts binary, token long, sets long",
                                                          *[f"{c} string" for c in also]])), "sets")
-    base = read.where("token IS NULL").select("doc_id", *also, "sid", F.col("n").cast("long").alias("n"), "counts")
+    texts = read.where("token IS NULL")
+    twice = texts.groupBy("sid").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo <> hi")
+    shared = np.sort(np.array([r["sid"] for r in twice.select("sid").collect()], np.int64))  # 1e11 sets: some 300 in all
+    sid = F.when(F.col("sid").isin(shared.tolist()), F.col("second")).otherwise(F.col("sid")) if len(shared) else F.col("sid")
+    base = texts.select("doc_id", *also, sid.alias("sid"), F.col("n").cast("long").alias("n"), "counts")
     often = (read.where("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") > COMMON)
              .orderBy(F.desc("sets"), "token").limit(MOST_COMMON).collect())  # bounded: MOST_COMMON hashes
-    rows = _matrix(docs, np.sort(np.array([r["token"] for r in often], np.int64).view(np.uint64)))
+    rows = _matrix(docs, np.sort(np.array([r["token"] for r in often], np.int64).view(np.uint64)), shared)
 
-    firsts = base.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    sketches = _stored(firsts.join(rows.select("sid").distinct(), "sid").select("sid", "first_id", "n", "counts"), "sketches")
+    firsts = base.where("n > 0").groupBy("sid").agg(F.min(ROW).alias("first_row"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    sketches = stored(firsts.join(rows.select("sid").distinct(), "sid").select("sid", "first_row", "n", "counts"), "sketches")
 
     # groups of similar sets: a set and those that share most with it
     choice = (rows.where("leader IS NOT NULL").groupBy("sid", "leader").count()
@@ -484,11 +506,11 @@ def _classes(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
 
     # the tokens of all sets that are compared, fetched once from one document each
     need = asked.select(F.col("a").alias("sid")).unionByName(asked.select(F.col("b").alias("sid"))).distinct()
-    wanted = cut(sketches.select(F.col("first_id").alias("w_id"), "sid").join(need, "sid"))
-    if wanted.count() <= MOST_WANTED:  # else the texts are dealt out by doc_id
+    wanted = cut(sketches.select(F.col("first_row").alias(ROW), "sid").join(need, "sid"))
+    if wanted.count() <= MOST_WANTED:  # else the texts are dealt out by row
         wanted = F.broadcast(wanted)
-    tokens = _stored(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("sid", "text")
-                     .mapInArrow(_fetch, "sid long, tokens binary").dropDuplicates(["sid"]), "tokens")
+    tokens = stored(docs.select(ROW, "text").join(wanted, ROW).select("sid", "text")
+                    .mapInArrow(_fetch(shared), "sid long, tokens binary").dropDuplicates(["sid"]), "tokens")
     links = cut(_linked(asked, tokens))
 
     # where the bound had joined sets that do not link: the same within that component
@@ -513,7 +535,7 @@ def _classes(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row."""
-    joined = _classes(docs)
+    joined = _classes(with_row(docs.select("doc_id", "text")))
     ids = joined.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("component_id"))
     return joined.join(ids, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -523,7 +545,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component (least doc_id, null last, then least
     ``ROW``) and the rows without words; of rows equal in doc_id and text, one."""
-    rows = _classes(with_row(docs), (ROW,))
+    rows = _classes(with_row(docs))
     best = (rows.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best"))
             .select("cls", F.col(f"best.{ROW}").alias("best")))
     return keep_decided(docs, rows.join(best, "cls", "left").select(ROW, F.coalesce(F.col(ROW) == F.col("best"), F.lit(True)).alias("kept")))
