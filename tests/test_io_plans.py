@@ -282,13 +282,10 @@ def test_cli_jobs_on_files(spark, scratch):
     assert [sum(x.n for x in r.records) for r in got.collect()] == [4]
     out, got = job("convert", *src)
     assert spark.read.json(out).count() == 5 and rejected(out) == malformed
-    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     out, got = job("features", *both, "--day", "20171101")
     assert [(r.domain, r.date, r.alexa_rank, r.TXT, r.SOA) for r in spark.read.parquet(out).collect()] == [("a.com", "20171101", 1, 2, 1)]
     assert rejected(out) == malformed | bad_ranks
-    plan = _plan(got)
-    assert f"GreaterThanOrEqual(timestamp,{day})" in plan and f"LessThan(timestamp,{day + 86400_000})" in plan
-    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert [(r.line, r.reasons) for r in spark.read.json(out + ".quarantine").collect()] == [("{broken", ["malformed line"])]
     out, got = job("correlation", *both)
     assert got.count() == 2 * 105
     out, got = job("rank-stats", "--rankings", ranks)
@@ -307,6 +304,17 @@ def test_cli_jobs_on_files(spark, scratch):
     soa = job("soa", *src)[1].collect()
     assert {(r.in_range_refresh, r.in_range_retry) for r in soa} == {(1, 1), (0, 0)}
     assert {r.query_type for r in job("qtypes", *src, "--day", "20171102")[1].collect()} == {"A"}
+    rules, names = os.path.join(scratch, "rules.dat"), os.path.join(scratch, "names.txt")
+    with open(rules, "w") as f:
+        f.write("// public suffixes\n\ncom\nco.uk  comment\n")
+    with open(names, "w") as f:
+        f.write("b.com\nb.com\nelsewhere.org\n")
+    assert {r.registrable_domain: r.n for r in job("registrable", *src, "--rules", rules)[1].where("line LIKE '% A %'").collect()} == {"b.com": 1}
+    assert sorted(map(tuple, job("trajectories", "--rankings", ranks, "--names", names)[1].collect())) == [("b.com", 1, "20171102"), ("b.com", 2, "20171101")]
+    assert {(r.month, r.TXT, r.A) for r in job("qtype-months", *src)[1].collect()} == {("2017-11", 3, 1)}
+    assert {(r.month, r["mail-security"]) for r in job("txt-months", *src)[1].collect()} == {("2017-11", 2)}
+    assert {(r.label, r.n) for r in job("txt-shares", *src)[1].collect()} == {("mail-security", 2), ("other", 1)}
+    assert job("random-samples", *stats, "--n", "2")[1].count() >= 0
     audit = {str(r.day): (r.files, r.complete) for r in job("audit", "--obs", os.path.dirname(raw), "--rankings", ranks, "--files", "1")[1].collect()}
     assert audit == {"2017-11-01": (1, True), "2017-11-02": (0, False)}
 

@@ -75,9 +75,10 @@ def test_group_records_multiplicity(spark):
             ("a.com", 1704067400000, "NS", "a.com.", 1)]
     df = spark.createDataFrame(rows, "query_name string, timestamp long, response_type string, "
                                      "response_name string, status_code int")
-    out = REC.group_records(df).collect()
+    out = REC.group_records(df, nested=True).collect()
     assert len(out) == 1 and out[0].domain == "a.com" and out[0].date == "20240101"
     recs = {r.record: r.n for r in out[0].records}
+    assert {(r.domain, r.date, r.record): r.n for r in REC.group_records(df).collect()} == {("a.com", "20240101", k): n for k, n in recs.items()}
     assert sum(recs.values()) == 3 and len(recs) == 3  # query names differ
 
 

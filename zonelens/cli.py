@@ -15,6 +15,12 @@
     spark-submit zonelens/cli.py txt          --obs ... --out txt/ [--day 20171101 ...]
     spark-submit zonelens/cli.py soa          --obs ... --out soa/ [--day ...]
     spark-submit zonelens/cli.py qtypes       --obs ... --out qtypes/ [--day ...]
+    spark-submit zonelens/cli.py random-samples --stats stats/ --out samples/ [--n 5]
+    spark-submit zonelens/cli.py registrable  --obs ... --rules public_suffix_list.dat --out reg/
+    spark-submit zonelens/cli.py trajectories --rankings ... --names names.txt --out paths/
+    spark-submit zonelens/cli.py qtype-months --obs ... --out months/
+    spark-submit zonelens/cli.py txt-months   --obs ... --out months/
+    spark-submit zonelens/cli.py txt-shares   --obs ... --out shares/
     spark-submit zonelens/cli.py audit        --obs raw/ --rankings 'ranks/*' --out audit/
 
 ``--day`` (repeatable, ``yyyy[MM[dd]]``) selects days inside one job (the day is a
@@ -26,7 +32,8 @@ the sensitive rows beside its counts (``<out>.sensitive``).
 
 Every job over raw input also writes what it had to leave out, by reason, to
 ``<out>.rejected`` (malformed lines, missing required fields, ranks that are no
-numbers, ...): one more pass over that input.
+numbers, ...).  Observations are read once: accepted rows go to Parquet by day in a work
+folder, which the job reads, and rejected lines to ``<out>.quarantine`` with their reasons.
 """
 
 from __future__ import annotations
@@ -41,32 +48,38 @@ if __package__ in (None, ""):
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from zonelens.functions.names import day_key  # noqa: E402
 from zonelens.operators import querytypes as QT  # noqa: E402
 from zonelens.operators import rankings as R  # noqa: E402
 from zonelens.operators import records as REC  # noqa: E402
+from zonelens.operators import stats as S  # noqa: E402
+from zonelens.operators import suffix as SUF  # noqa: E402
+from zonelens.operators import txt as T  # noqa: E402
 from zonelens.plans import jobs as J  # noqa: E402
+from zonelens.session import remove_work, work_folder, work_folders  # noqa: E402
 from zonelens.sources import readers as RD  # noqa: E402
 from zonelens.sources import sinks as SK  # noqa: E402
 
 JOBS = ("compact", "grouped", "convert", "features", "correlation", "rank-stats", "top", "names", "lengths",
-        "length-rank", "entropy", "random-names", "txt", "soa", "qtypes", "audit")
+        "length-rank", "entropy", "random-names", "random-samples", "txt", "soa", "qtypes", "registrable", "trajectories",
+        "qtype-months", "txt-months", "txt-shares", "audit")
 
 
 class Inputs:
     """The inputs of one job, read when first used, and their reject counts."""
 
     def __init__(self, spark: SparkSession, args) -> None:
-        self.spark, self.args, self.rejects = spark, args, []
-
-    def raw_observations(self) -> DataFrame:
-        raw = RD.read_observations(self.spark, self.args.obs)
-        self.rejects.append(RD.rejected_observations(raw))
-        obs = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-        return RD.filter_timestamps(obs, self.args.day) if self.args.day else obs
+        self.spark, self.args, self.rejects, self.ingested = spark, args, [], None
 
     def observations(self) -> DataFrame:
-        return self.raw_observations().withColumn("day", F.to_date(day_key("timestamp"), "yyyyMMdd"))
+        """The accepted observations: the raw lines are read once, however often this
+        is used, and rejected ones are counted and kept in the same pass."""
+        if self.ingested is None:
+            self.ingested = RD.ingest_observations(self.spark, self.args.obs, work_folder(self.spark, "ingested"), self.args.day)
+            self.rejects.append(self.ingested.counts)
+        return self.ingested.accepted
+
+    def raw_observations(self) -> DataFrame:
+        return self.observations().drop("day")
 
     def rankings(self) -> DataFrame:
         lines = RD.read_rank_lines(self.spark, self.args.rankings)
@@ -91,7 +104,7 @@ def result(job: str, x: Inputs) -> DataFrame:
     if job == "compact":
         return REC.compact_records(x.observations())
     if job == "grouped":
-        return REC.group_records(x.raw_observations())
+        return REC.group_records(x.raw_observations(), nested=True)
     if job == "features":
         return J.day_features(x.rankings(), x.observations())
     if job == "correlation":
@@ -116,6 +129,22 @@ def result(job: str, x: Inputs) -> DataFrame:
         return J.soa_report(x.observations())
     if job == "qtypes":
         return QT.query_type_counts(x.observations())
+    if job == "random-samples":
+        return S.sample_bands(R.domain_entropy(x.stats()), J.ENTROPY_BANDS, a.n)
+    if job == "registrable":
+        rules = x.spark.read.text(a.rules).select(F.split(F.trim("value"), r"\s+")[0].alias("rule"))
+        return SUF.group_by_registrable(x.observations(), rules.where("rule <> '' AND NOT startswith(rule, '//')"))
+    if job == "trajectories":
+        ranks = x.rankings().where("rank IS NOT NULL").select("domain", F.col("rank").alias("alexa_rank"), F.date_format("day", "yyyyMMdd").alias("date"))
+        return R.trajectory(ranks, x.spark.read.text(a.names).select(F.trim("value").alias("domain")).distinct())
+    if job == "qtype-months":
+        counts = QT.query_type_counts(x.observations()).withColumnRenamed("count", "n")
+        return T.month_pivot(counts, QT.PLOTTED_QUERY_TYPES, label_col="query_type")
+    if job == "txt-months":
+        counts = T.txt_label_counts(x.observations()).withColumn("category", T.category_of("label"))
+        return T.month_pivot(counts, dict.fromkeys(label.partition(".")[0] for label in T.label_names()), label_col="category")
+    if job == "txt-shares":
+        return T.txt_shares(x.observations())
     return audit(x)
 
 
@@ -127,6 +156,7 @@ def _write(df: DataFrame, path: str, csv: bool) -> None:
 
 
 def run(spark: SparkSession, argv: list[str]) -> DataFrame:
+    """Runs one job; returns its result as read from what it wrote."""
     p = argparse.ArgumentParser(prog="zonelens")
     sub = p.add_subparsers(dest="cmd", required=True)
     for name in JOBS:
@@ -136,6 +166,8 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
         s.add_argument("--obs", nargs="*")
         s.add_argument("--rankings", nargs="*")
         s.add_argument("--stats")
+        s.add_argument("--rules")
+        s.add_argument("--names")
         s.add_argument("--day", action="append")
         s.add_argument("--limit", type=int)
         s.add_argument("--n", type=int, default=100)
@@ -144,25 +176,30 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
     args = p.parse_args(argv)
     if args.csv and args.cmd in ("compact", "grouped", "convert"):
         raise SystemExit(f"{args.cmd} writes gzip JSON lines; drop --csv")
-    inputs = Inputs(spark, args)
+    inputs, before = Inputs(spark, args), set(work_folders(spark))
     out_path = args.out.rstrip("/")
     if args.cmd == "convert":
-        out = inputs.raw_observations()
-        SK.convert_raw(out, out_path)
+        SK.convert_raw(inputs.raw_observations(), out_path)
+        written = spark.read.text(out_path)
     else:
         out = result(args.cmd, inputs)
         if args.cmd in ("compact", "grouped"):
             SK.write_records(out, out_path)
+            written = spark.read.schema(out.schema).json(out_path)
         else:
             _write(out, out_path, args.csv)
+            written = spark.read.schema(out.schema).csv(out_path) if args.csv else spark.read.parquet(out_path)
         if args.cmd == "txt":
             _write(J.txt_sensitive(inputs.observations()), f"{out_path}.sensitive", args.csv)
     if inputs.rejects:
         table = inputs.rejects[0]
-        for more in {id(x): x for x in inputs.rejects[1:] if args.cmd != "txt"}.values():
+        for more in inputs.rejects[1:]:
             table = table.unionByName(more)
         table.write.mode("overwrite").json(f"{out_path}.rejected")
-    return out
+    if inputs.ingested is not None:
+        inputs.ingested.quarantine.write.mode("overwrite").option("compression", "gzip").json(f"{out_path}.quarantine")
+    remove_work(spark, [f for f in work_folders(spark) if f not in before])
+    return written
 
 
 def main(argv: list[str] | None = None) -> None:

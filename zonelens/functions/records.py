@@ -144,6 +144,19 @@ def type_counts(records: str, mode: str = "strict") -> list[Column]:
     return out
 
 
+def line_counts(line: str, mode: str = "strict") -> list[Column]:
+    """B24 for one record line: what it adds to the count of each type.
+
+    A set's ``text`` count is the sum over its lines: the set's lines are joined by
+    ``;``, which no searched text holds, so no match reaches from one line to the next."""
+    if mode == "strict":
+        return [(line_type(line) == t).cast("int").alias(t) for t in COUNTED_TYPES]
+    if mode != "text":
+        raise ValueError(f"unknown mode {mode!r}")
+    return [F.expr(f"CAST((char_length(`{line}`) - char_length(replace(`{line}`, ' {t} ', ''))) div {len(t) + 2} AS INT)").alias(t)
+            for t in COUNTED_TYPES]
+
+
 def short_line() -> Column:
     """Short display of an observation (type-specific payload for A,
     AAAA and CNAME, the name otherwise); a missing type gives fixed text."""

@@ -1,14 +1,16 @@
 """TXT record expressions.
 
 The taxonomy is a multi-label classification: a text gets every label one
-of whose patterns matches at the start of the text.  Patterns are matched
-with ``rlike`` (Java ``find``), so each is anchored with ``^(?:...)``;
-``(?d)`` (UNIX_LINES) makes ``.`` and ``$`` treat only ``\\n`` as a line end,
-as Python's ``re`` does.
+of whose patterns matches at the start of the text.  Patterns that are a plain
+beginning are compared as text; the others are matched with ``rlike`` (Java ``find``),
+anchored with ``^(?:...)``, on texts of the right size only.  ``(?d)`` (UNIX_LINES)
+makes ``.`` and ``$`` treat only ``\\n`` as a line end, as Python's ``re`` does.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,12 +100,60 @@ def record_labels(rtype="response_type", text="txt_text", compat: bool = False)
     return F.filter(arr, lambda x: x.isNotNull())
 
 
+#: What a text must have for the patterns that are no plain prefix: its
+#: least and greatest size in bytes (a line end may follow), or a part of it.
+SIZES = {"keys.base64_64bytes": (88, 88), "keys.base64_32bytes": (44, 44), "keys.hex_16bytes": (32, 32),
+         "keys.hex_32bytes": (64, 64), "keys.hex_40_42": (40, 42), "keys.hex_8-4-4-4-12": (36, 36),
+         "keys.dec_9_dec_678": (16, 18), "keys.az_09_26": (26, 26)}
+PARTS = {"domain-identifiers.ms": "contains({c}, 'onmicrosoft.com')", "i*m": "startswith({c}, 'i=')",
+         "number_pipe_site": "substr({c}, 2, 1) = '|'"}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def literal_prefixes(pattern: str) -> list[str] | None:
+    """The texts of which one must begin a text that ``pattern`` matches, lower-cased if
+    case does not count; None for a pattern that asks for more than a beginning."""
+    body = pattern.removeprefix("(?i)")
+    if not body.endswith(".*"):
+        return None
+    body = re.sub(r"\[[^]]*\]\?$", "", body[:-2])  # an optional last character says nothing
+    starts = [""]
+    for optional, text in (("_?", "_"), ("\\\\?", "\\")):
+        if body.startswith(optional):
+            starts, body = [text, ""], body[len(optional):]
+    plain = body.replace("\\.", ".")
+    if re.search(r"[\\\[\](){}*+?|^$]", plain):
+        return None
+    return [(s + plain).lower() if pattern.startswith("(?i)") else s + plain for s in starts]
+
+
+def _quoted(text: str) -> str:
+    return "r'" + text + "'"
+
+
+def label_condition_sql(label: str, c: str) -> str:
+    """SQL: the text column ``c`` has ``label``.  Prefixes are compared as they are;
+    regular expressions run only on texts that have what ``SIZES`` or ``PARTS`` ask for."""
+    found, rest = [], []
+    for pattern in TXT_TAXONOMY[label]:
+        starts = literal_prefixes(pattern)
+        if starts is None:
+            rest.append(pattern)
+            continue
+        text = f"translate(substr({c}, 1, {max(map(len, starts))}), '{UPPER}', '{LOWER}')" if pattern.startswith("(?i)") else c
+        found += [f"startswith({text}, {_quoted(s)})" for s in starts]
+    if rest:
+        lo, hi = SIZES.get(label, (0, 0))
+        guard = f"octet_length({c}) BETWEEN {lo} AND {hi + 1}" if label in SIZES else PARTS[label].format(c=c)
+        found.append(f"({guard} AND {c} RLIKE r'(?d)^(?:{'|'.join(_scoped(p) for p in rest)})')")
+    return " OR ".join(found)
+
+
 def txt_labels_sql(c: str) -> str:
-    """B19 as one SQL expression over the text column ``c`` (raw-string
-    regex literals, so the patterns need no escaping)."""
-    items = ", ".join(f"CASE WHEN `{c}` RLIKE r'{label_regex(lbl)}' THEN '{lbl}' END"
-                      for lbl in TXT_TAXONOMY)
-    return f"filter(array({items}), x -> x IS NOT NULL)"
+    """B19 as one SQL expression over the text column ``c``: the labels, in the order of
+    the taxonomy, put together as text by generated code and split only where there are any."""
+    items = ", ".join(f"CASE WHEN {label_condition_sql(lbl, f'`{c}`')} THEN '{lbl}' END" for lbl in TXT_TAXONOMY)
+    return f"(CASE WHEN `{c}` IS NULL THEN NULL ELSE filter(split(concat_ws(',', {items}), ','), x -> x <> '') END)"
 
 
 def txt_labels(c: str) -> Column:

@@ -120,6 +120,10 @@ def first_day_trajectories(rankings: DataFrame, n: int = 100, exclude: str | Non
     return top_n_per_day(rankings, n, exclude, day_col).join(leaders, "domain", "left_semi")
 
 
-def trajectory(top: DataFrame, domains: list[str]) -> DataFrame:
-    """Rows of the named domains (IN-list; a DataFrame list is semi-joined)."""
-    return top.filter(F.col("domain").isin(domains))
+def trajectory(top: DataFrame, domains) -> DataFrame:
+    """Rows of the named domains.  ``domains`` is a list of names (an IN-list), or a
+    DataFrame with a column ``domain``: then an equi-join (semi), which the planner
+    broadcasts below its threshold and shuffles beyond, so the list may be of any length."""
+    if isinstance(domains, DataFrame):
+        return top.join(domains.select("domain"), "domain", "left_semi")
+    return top.filter(F.col("domain").isin(list(domains)))

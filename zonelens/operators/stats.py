@@ -13,7 +13,7 @@ Scale notes
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelens.functions.names import round2
@@ -62,6 +62,22 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str | None = None) -> D
     return df.withColumn("_h", h).orderBy("_h", *([key] if key else [])).limit(n).drop("_h")
 
 
+def sample_bands(df: DataFrame, bands: dict, n: int, seed: int = 42, key: str = "domain", col: str = "entropy") -> DataFrame:
+    """F4 over many bands (name -> (lo, hi, lo_closed, hi_closed), B27) in one pass: the n
+    rows of least seeded hash of each band, as (band, *columns).  A row counts for every
+    band it lies in; each task keeps n rows a band before the shuffle (WindowGroupLimit)."""
+    c, marks = F.col(col), []
+    for name, (lo, hi, lo_closed, hi_closed) in bands.items():
+        cond = (c >= lo) if lo_closed else (c > lo)
+        if hi is not None:
+            cond = cond & ((c <= hi) if hi_closed else (c < hi))
+        marks.append(F.when(cond, F.lit(name)))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    rows = df.select(F.explode(F.array_compact(F.array(*marks))).alias("band"), "*", h.alias("_h"))
+    w = Window.partitionBy("band").orderBy("_h", key)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_h", "_n")
+
+
 def preview(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
     """first n rows after a total order (when given)."""
     return (df.orderBy(*order) if order else df).limit(n)
@@ -136,6 +152,9 @@ def correlation_matrix(df: DataFrame, cols: list[str], by: tuple[str, ...] = ())
     pairs instead of a row per pair.  What comes out has a row per (by, pattern, column);
     patterns are put together by their means, without sums of squares that cancel."""
     k, half = len(cols), len(cols) // 2
+    keys = by
+    by = tuple(f"__by{i}" for i in range(len(keys)))  # apart from the names used here
+    df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keys, by)], *[F.col(f"`{c}`") for c in cols])
     pairs = {(i, j): n for n, (i, j) in enumerate((i, j) for i in range(k) for j in range(i + 1, k))}
     ends = {}  # pair number -> (column, distance)
     for i in range(k):
@@ -150,20 +169,24 @@ def correlation_matrix(df: DataFrame, cols: list[str], by: tuple[str, ...] = ())
                 .select(*by, "__nulls", F.inline("__b")).where("x IS NOT NULL")
                 .groupBy(*by, "__nulls", "i").agg(
                     F.count(F.lit(1)).cast("double").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"),
+                    F.min("x").alias("lo"), F.max("x").alias("hi"),
                     F.array(*[F.covar_pop("x", f"y{d}") for d in range(1, half + 1)]).alias("c")))
-    columns = blocks.groupBy(*by, "__nulls").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("n", "m", "v", "c")))).alias("of"))
+    columns = blocks.groupBy(*by, "__nulls").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("n", "m", "v", "c", "lo", "hi")))).alias("of"))
     each = ", ".join(f"named_struct('p', {p}, 'i', {i}, 'j', {(i + d) % k}, 'd', {d - 1})" for p, (i, d) in ends.items())
     both = columns.select(*by, F.inline(F.expr(
         f"transform(array({each}), q -> named_struct('p', q.p, 'x', of[q.i], 'y', of[q.j], 'c', of[q.i].c[q.d]))"))).where("x IS NOT NULL AND y IS NOT NULL")
     parts = both.groupBy(*by, "p").agg(F.collect_list(F.struct(
         F.col("x.n").alias("n"), F.col("x.m").alias("mx"), F.col("y.m").alias("my"), F.col("x.v").alias("vx"), F.col("y.v").alias("vy"), "c")).alias("g"),
-        F.sum("x.n").alias("n"), F.sum(F.col("x.n") * F.col("x.m")).alias("sx"), F.sum(F.col("x.n") * F.col("y.m")).alias("sy"))
+        F.sum("x.n").alias("n"), F.sum(F.col("x.n") * F.col("x.m")).alias("sx"), F.sum(F.col("x.n") * F.col("y.m")).alias("sy"),
+        *[f(F.col(f"{z}.{e}")).alias(z + e) for z in "xy" for f, e in ((F.min, "lo"), (F.max, "hi"))])
     total = lambda e: F.expr(f"aggregate(g, 0D, (s, t) -> s + t.n * ({e}))")
     r = F.try_divide(total("t.c + (t.mx - sx / n) * (t.my - sy / n)"),
                      F.sqrt(total("t.vx + (t.mx - sx / n) * (t.mx - sx / n)")) * F.sqrt(total("t.vy + (t.my - sy / n) * (t.my - sy / n)")))
     names = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b")) for i, j in pairs])
-    found = parts.select(*by, "p", r.alias("r"))
-    return found.select(*by, F.get(names, F.col("p")).alias("pair"), "r").select(*by, "pair.a", "pair.b", "r")
+    varies = (F.col("xlo") < F.col("xhi")) & (F.col("ylo") < F.col("yhi"))  # means of a constant may differ in their last bit
+    found = parts.select(*by, "p", F.when(varies, r).alias("r"))
+    return found.select(*by, F.get(names, F.col("p")).alias("pair"), "r").select(
+        *[F.col(n).alias(c) for c, n in zip(keys, by)], "pair.a", "pair.b", "r")
 
 
 def _p_values():

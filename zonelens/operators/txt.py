@@ -55,22 +55,27 @@ def sensitive_txt(obs: DataFrame, compat: bool = False) -> DataFrame:
 def txt_report_counts(obs: DataFrame, compat: bool = False, by=("day",)) -> DataFrame:
     """J7 in one scan and one aggregate: per day (section, label, n).
 
-    Every answer is exploded into the pairs it counts for.  Pairs that may count
-    zero in a day (the basic counters) carry a flag that is summed.
+    An answer is one row without a label, which the basic counters and the sensitive
+    texts are counted on, and one more row for each of its labels; the finished counts of
+    a day's unlabelled rows are laid out as rows at the end.
     """
     rt, text = F.col("response_type"), F.col("_text")
     obs = obs.select(*by, "response_type", "txt_text", clean_txt("txt_text", compat).alias("_text"))
+    is_txt = F.coalesce(rt == "TXT", F.lit(False))
     is_row = F.coalesce((rt == "TXT") & (text != ""), F.lit(False))
-    pair = lambda section, label, n: F.struct(F.lit(section).alias("section"), label.alias("label"), n.cast("long").alias("n"))
-    one = F.lit(1)
-    basic = [pair("basic", F.lit(name), F.coalesce(cond, F.lit(False)).cast("int")) for name, cond in (
-        ("dns", F.lit(True)), ("txt", rt == "TXT"), ("correct_txt", is_correct_txt(rt, "txt_text", compat)))]
-    specific = F.when(is_row, F.transform(txt_labels("_text"), lambda x: pair("specific", x, one)))
-    sensitive = F.when(is_row & is_sensitive("_text"), F.array(pair("sensitive", F.lit("sensitive"), one)))
-    none = F.array().cast("array<struct<section:string,label:string,n:bigint>>")
-    pairs = F.concat(F.array(*basic), F.coalesce(specific, none), F.coalesce(sensitive, none))
-    return (obs.select(*by, F.explode(pairs).alias("x")).groupBy(*by, F.col("x.section").alias("section"), F.col("x.label").alias("label"))
-               .agg(F.sum("x.n").alias("n")))
+    none = F.array(F.lit(None).cast("string"))
+    marked = obs.select(
+        *by, is_txt.alias("txt"), F.coalesce(is_correct_txt(rt, "txt_text", compat), F.lit(False)).alias("correct"),
+        (is_row & is_sensitive("_text")).alias("sensitive"),
+        F.explode(F.when(is_row, F.concat(none, txt_labels("_text"))).otherwise(none)).alias("label"))
+    counts = marked.groupBy(*by, "label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("txt").alias("txt"), F.count_if("correct").alias("correct"), F.count_if("sensitive").alias("sensitive"))
+    pair = lambda section, label, n: F.struct(F.lit(section).alias("section"), label.alias("label"), n.alias("n"))
+    basic = F.array(pair("basic", F.lit("dns"), F.col("n")), pair("basic", F.lit("txt"), F.col("txt")),
+                    pair("basic", F.lit("correct_txt"), F.col("correct")), pair("sensitive", F.lit("sensitive"), F.col("sensitive")))
+    rows = F.when(F.col("label").isNull(), F.filter(basic, lambda x: (x["section"] == "basic") | (x["n"] > 0))).otherwise(
+        F.array(pair("specific", F.col("label"), F.col("n"))))
+    return counts.select(*by, F.inline(rows))
 
 
 def txt_shares(obs: DataFrame, name=None, within: str | None = None, compat: bool = False) -> DataFrame:

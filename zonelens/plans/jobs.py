@@ -27,10 +27,10 @@ CORR_NAME_COLUMNS = ("length", "dot_count", "digit_ratio", "vowel_ratio", "entro
 def month_features(rankings: DataFrame, obs: DataFrame, mode: str = "strict") -> DataFrame:
     """Rankings joined with record-set features on (domain, date).
 
-    ``strict`` counts need no record sets; ``text`` counts (K7) read the joined
-    text of each set, as the reference does.
+    No record sets are made: both ``strict`` and ``text`` counts (K7) are sums over
+    distinct lines.
     """
-    feats = REC.record_counts(obs) if mode == "strict" else REC.record_features(REC.compact_records(obs), mode)
+    feats = REC.record_counts(obs, mode)
     return REC.join_rank_records(REC.rankings_by_date(rankings), feats, ("domain", "date"))
 
 

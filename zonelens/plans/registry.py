@@ -439,7 +439,7 @@ def b24_type_counts_strict(spark, sf):
     + " FROM (SELECT *, array_to_string(records, ';') AS s FROM sets)",
     obs_k=OBS_KEYED, obs_l=OBS_LINES, sets=SETS_SQL))
 def b24_type_counts_text(spark, sf):
-    return REC.record_features(REC.compact_records(_fx(spark, sf).observations), "text")
+    return REC.record_counts(_fx(spark, sf).observations, "text")
 
 
 @q("b25_composite_key", oracle(
@@ -614,7 +614,7 @@ D3_LIST_SQL = ("SELECT domain, date, to_json(list({'record': record, 'n': n} ORD
       "GROUP BY domain, date, record"))
 def d3_group_records_nested(spark, sf):
     obs = _fx(spark, sf).observations.drop("event_id", "day")
-    return REC.group_records(obs).select("domain", "date", F.to_json("records").alias("records"))
+    return REC.group_records(obs, nested=True).select("domain", "date", F.to_json("records").alias("records"))
 
 
 @q("d3_group_records", oracle(
@@ -1146,3 +1146,6 @@ def d15_correlation_month_features(spark, sf):
     fx = _fx(spark, sf)
     feats = J.month_features(fx.rankings, fx.observations)
     return S.correlation_matrix(feats, list(J.CORR_MONTH_COLUMNS)).withColumn("r", rnd("r"))
+
+
+from zonelens.plans import registry_files  # noqa: E402, F401  (adds the queries that write and read files)

@@ -7,7 +7,9 @@ an operator that selects three fields reads three fields).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
 
@@ -119,6 +121,54 @@ def rejected_observations(obs: DataFrame, corrupt_col: str = "_corrupt_record")
         f"{c} is missing": ~bad & F.col(c).isNull() for c in REQUIRED_FIELDS}})
 
 
+class Ingested(NamedTuple):
+    """``accepted``: the observations and their ``day``; ``quarantine``: (line, reasons)
+    of every rejected line; ``counts``: (source, reason, n), 0 included, and the number of
+    lines read and accepted."""
+
+    accepted: DataFrame
+    quarantine: DataFrame
+    counts: DataFrame
+    total: int
+    kept: int
+
+
+def ingest_observations(spark: SparkSession, paths, folder: str, days=None, corrupt_col: str = "_corrupt_record") -> Ingested:
+    """A1 and K6 in one pass over the raw lines: accepted rows are written to ``folder`` as
+    Parquet by day, rejected lines beside them with their reasons (a malformed line as it
+    was, a row that lacks a required field as JSON), and both are counted by ``observe``
+    while they are written.  ``days`` (``YYYY[MM[DD]]``) leaves out accepted rows of other
+    days; the counts are over all lines.
+
+    A line with several missing fields counts for each of them and is quarantined once."""
+    raw = read_observations(spark, paths, corrupt_col)
+    payload = [F.col(f"`{c}`") for c in raw.columns if c != corrupt_col]
+    bad = F.col(corrupt_col).isNotNull()
+    checks = {"malformed line": bad, **{f"{c} is missing": ~bad & F.col(c).isNull() for c in REQUIRED_FIELDS}}
+    reasons = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks.items()]))
+    metrics = Observation()
+    seen = raw.observe(metrics, *[F.count_if(cond).alias(name) for name, cond in checks.items()], F.count(F.lit(1)).alias("total"))
+    rows = seen.withColumn("reasons", reasons).withColumn("rejected", F.size("reasons") > 0)
+    if days:
+        kept = F.lit(False)
+        for p in days:
+            lo, hi = _millis(str(p))
+            kept = kept | ((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))
+        rows = rows.where(F.col("rejected") | kept)
+    day = F.when(~F.col("rejected"), F.to_date(F.timestamp_millis("timestamp")))
+    line = F.when(F.col("rejected"), F.coalesce(F.col(corrupt_col), F.to_json(F.struct(*payload))))
+    out = rows.select(*payload, line.alias("line"), F.when(F.col("rejected"), F.col("reasons")).alias("reasons"), "rejected", day.alias("day"))
+    out.write.partitionBy("rejected", "day").parquet(folder)
+    found = metrics.get
+    names = [f.name for f in raw.schema.fields if f.name != corrupt_col]
+    schema = out.schema
+    back = spark.read.schema(schema).parquet(folder)
+    counts = spark.createDataFrame([("observations", name, found[name]) for name in checks], "source string, reason string, n long")
+    accepted = back.where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in names], "day")
+    quarantine = back.where("rejected").select("line", "reasons")
+    return Ingested(accepted, quarantine, counts, found["total"], accepted.count() if days else found["total"] - quarantine.count())
+
+
 def read_rank_aggregate(spark: SparkSession, paths, fmt: str = "csv") -> DataFrame:
     """A4: rank aggregates (headerless CSV by schema, or Parquet)."""
     if fmt == "parquet":
@@ -173,14 +223,18 @@ def filter_days(df: DataFrame, prefixes, col: str = "day") -> DataFrame:
     return df.filter(cond)
 
 
+def _millis(prefix: str) -> tuple[int, int]:
+    """``YYYY[MM[DD]]`` -> [first, first after) in epoch milliseconds."""
+    import datetime as _dt
+    return tuple(int(_dt.datetime(d.year, d.month, d.day, tzinfo=_dt.timezone.utc).timestamp() * 1000) for d in _prefix_range(prefix))
+
+
 def filter_timestamps(df: DataFrame, prefixes, col: str = "timestamp") -> DataFrame:
     """A6 on raw observations: days as ranges of the epoch-millis column, so the
     filter reaches the scan (no text is made of the timestamp)."""
-    import datetime as _dt
     cond = F.lit(False)
     for p in prefixes:
-        lo, hi = (int(_dt.datetime(d.year, d.month, d.day, tzinfo=_dt.timezone.utc).timestamp() * 1000)
-                  for d in _prefix_range(str(p)))
+        lo, hi = _millis(str(p))
         cond = cond | ((F.col(col) >= lo) & (F.col(col) < hi))
     return df.filter(cond)
 
@@ -210,6 +264,12 @@ def missing_days(expected: DataFrame, files: DataFrame, day_col: str = "day") ->
     return expected.select(day_col).distinct().join(files.select(day_col), day_col, "left_anti")
 
 
+def read_days(spark: SparkSession, path: str, schema: str, col: str = "day") -> DataFrame:
+    """The rows of a day layout (``sinks.write_by_day``) with the declared columns;
+    the day is the folder's, so day selections (A6) open the folders they name only."""
+    return spark.read.schema(f"{schema}, `{col}` date").option("basePath", path).parquet(path)
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*.json.gz") -> DataFrame:
     """File listing for A14 without reading contents (``binaryFile`` source,
     only path/length/modificationTime are selected so content is pruned)."""

@@ -51,6 +51,24 @@ def write_by_day(df: DataFrame, path: str, col: str = "date", fmt: str = "parque
        .option("compression", "gzip" if fmt == "json" else "snappy").save(path))
 
 
+def rewrite_days(df: DataFrame, path: str, days=None, col: str = "day", fmt: str = "parquet") -> None:
+    """A12 again: replaces the days that ``df`` holds in a day layout and leaves the
+    others as they are (dynamic partition overwrite), so a day's job can be run once more.
+
+    ``days`` (DATEs) are the days that were run: one of them that has no rows this time
+    is emptied, which the overwrite alone would not do."""
+    spark = df.sparkSession
+    (df.hint("rebalance", col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).format(fmt)
+       .option("compression", "gzip" if fmt == "json" else "snappy").save(path))
+    if days is None:
+        return
+    have = {r[0] for r in df.select(col).distinct().collect()}  # a row per day
+    context = spark.sparkContext
+    for day in set(days) - have:
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{col}={day}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def convert_raw(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Source rows -> falsy fields dropped (B5) -> gzip JSON lines."""
     df.select(prune_falsy(df).alias("value")).write.mode(mode) \
@@ -63,13 +81,14 @@ def to_json_lines(df: DataFrame) -> DataFrame:
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, cols=("domain",),
-                   mode: str = "overwrite") -> None:
+                   mode: str = "overwrite", path: str | None = None) -> None:
     """Store observations bucketed (and sorted) by domain.
 
     A later ``groupBy(domain, date)`` or join on ``domain`` over the table is
     already clustered by domain, so Spark plans it without an Exchange: the
     partition-local compaction the reference aimed for, without its
-    one-file-one-day assumption (K5).
+    one-file-one-day assumption (K5).  ``path`` puts the files there instead of the
+    warehouse.  Rows are dealt out by bucket first, so a bucket is one file, not one per task.
     """
-    (df.write.mode(mode).format("parquet").bucketBy(buckets, *cols)
-       .sortBy(*cols).saveAsTable(table))
+    writer = df.repartition(buckets, *cols).write.mode(mode).format("parquet").bucketBy(buckets, *cols).sortBy(*cols)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
