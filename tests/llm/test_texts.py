@@ -60,11 +60,51 @@ def test_language_rows(make_docs, odd_rows, clashing, rng):
         assert held[i]["lang_pred"] == x and 0 <= held[i]["score"] <= 1
     assert [held[1000 + i]["lang_pred"] for i in (1, 2, 3, 4)] == ["und"] * 4
     kept = language_id.drop_unknown_language(docs)
-    assert kept.columns == docs.columns and kept.count() == len(got) - 5
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(r["lang_pred"] != "und" and r["bits_per_byte"] <= language_id.MOST_BITS for r in got)
     assert language_id.identify(make_docs([])).count() == 0
     assert language_id.identify(make_docs([(2, "no label at all")])).first()["lang_pred"] == "und"
 
 
+def test_all_byte_values_and_many_languages():
+    """Texts with all byte values that UTF-8 has, in more languages than a dense table holds."""
+    blocks = ["".join(chr(c) for c in range(0x20 + 97 * i, 0x20 + 97 * i + 97) if not 0xD800 <= c < 0xE000) for i in range(100)]
+    texts = {f"l{i:03d}": [b, b[::-1]] for i, b in enumerate(blocks)}
+    assert len({x for b in blocks for x in b.encode()}) > 126
+    tables = language_id.Tables(language_id.count_contexts(texts))
+    assert sum(x.nbytes for tree in tables.trees for level in tree for x in level) < 20_000_000
+    for i in (0, 3, 60, 99):
+        (lang, _, bits), = language_id.score_texts(tables, ["a" + blocks[i][10:60]])
+        t = "a" + blocks[i][10:60]
+        hand = ppm_by_hand(texts[f"l{i:03d}"], t, 3)
+        assert lang == f"l{i:03d}" and bits * len(t.lower().encode()) == pytest.approx(hand, rel=1e-4)
+
+
+def test_language_filter_uses_the_model(make_docs, rng):
+    words = "the of and that with from this".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(20)), "en") for i in range(60)]
+    strange = [(1000, "日本語の文章です 漢字仮名交じり文", None), (1001, "12 34", "en"), (1002, "the of and", None)]
+    kept = {r["doc_id"] for r in language_id.drop_unknown_language(make_docs(rows + strange)).collect()}
+    assert kept == set(range(60)) | {1002}
+    without = {r["doc_id"] for r in language_id.drop_unknown_language(make_docs([(i, t) for i, t, *_ in strange])).collect()}
+    assert without == {1000, 1002}  # nothing learned: whatever has a letter stays
+    long = [(i, "the of and " * 3000, "en") for i in range(400)] + [(5000 + i, "der die das", "de") for i in range(9)] + [(6000 + i, "the of and", "en") for i in range(9)]
+    assert {r["lang"] for r in language_id.learning_sample(make_docs(long)).collect()} == {"en", "de"}  # too long ones are out before the pick
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000, 100_000])
+def test_every_feature_is_found(n):
+    keys = np.unique(np.random.RandomState(n).randint(1, 1 << 62, n + n // 10, np.int64).astype(np.uint64) * np.uint64(3))[:n]
+    np.random.RandomState(1).shuffle(keys)
+    table = toxicity.FeatureTable(keys)
+    assert np.array_equal(table.numbers(keys), np.arange(1, len(keys) + 1))
+    strange = np.setdiff1d(np.random.RandomState(7).randint(1, 1 << 62, 50_000, np.int64).astype(np.uint64), keys)
+    assert not table.numbers(strange).any() and not table.numbers(np.zeros((3, 4), np.uint64)).any()
+    crowded = toxicity.FeatureTable(np.arange(1, 200, dtype=np.uint64))  # all in the first slot
+    assert np.array_equal(crowded.numbers(np.arange(0, 210, dtype=np.uint64).reshape(3, 70)).ravel(),
+                          [*range(200), *[0] * 10])
+
+
 def test_smith_waterman_equals_the_plain_recurrence(rng):
     for _ in range(60):
         a = np.array([rng.randint(0, 5) for _ in range(rng.randint(1, 15))], np.uint64)

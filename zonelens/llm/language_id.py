@@ -7,15 +7,19 @@ that has seen it; each longer known context that has not costs its escape,
 A text's code length under a language is the exact sum over all its bytes; the
 shortest code wins, and the score is the posterior 2^-length over the languages.
 
-The trees are laid out as tables in each worker: a context's row holds the cost of
-every next byte for all languages, with the escapes already added, and a dense index
-finds the row of the longest known context of the last three bytes.  Scoring is then
-two array look-ups a byte, on pieces of bounded size.
+A tree is kept sparse, as sorted arrays of the contexts and of the byte strings (context
+and next byte) that its language has, all 256 byte values alike: some 12 bytes for each
+distinct string, so a worker's memory grows with the sum over the languages and not with
+their product.  A piece of text is reduced to its distinct strings of ``ORDER`` + 1 bytes
+first; these are looked up in each tree, from the longest context down.
 
-Training is on a bounded sample: per language ``PER_LANGUAGE`` documents (least hash
-of doc_id) of the learning fold, those of at most ``MOST_BYTES`` characters.  Texts are
-lower-cased.  The 126 most frequent byte values have tables of their own and the rest
-share one, so the tables stay below ~20 MB a language.
+Training is on a bounded sample: of the documents of the learning fold with 1 to
+``MOST_CHARS`` characters, per language the ``PER_LANGUAGE`` of least hash of doc_id.
+Texts are lower-cased.
+
+As a filter (``drop_unknown_language``) a text stays if it has a letter and its best code
+is no longer than the text itself, ``MOST_BITS`` bits a byte; where no language was learned,
+every text with a letter stays.
 
 Defined results: null text, or text with no letter, is ``und`` with score 0; a null
 doc_id is never learned from and not held out; equal code lengths go to the least
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 from zonelens.llm.common import least_by_hash, table, with_ids
 from zonelens.session import prepare_workers
 
-ORDER, PER_LANGUAGE, MOST_BYTES = 3, 300, 20_000
+ORDER, PER_LANGUAGE, MOST_CHARS = 3, 300, 20_000
+#: Bits a byte beyond which no tree explains a text: plain bytes are as short.
+MOST_BITS = 8.0
 #: Bytes of text that are scored at a time.
 PIECE = 1 << 18
 UND = "und"
@@ -47,80 +53,75 @@ def has_letter(text: str) -> bool:
 def learning_sample(docs: DataFrame) -> DataFrame:
     """lang, text of the bounded sample of the learning fold."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    ids = least_by_hash(docs.where(F.col("lang").isNotNull() & (fold != 2)).select("doc_id", "lang"), "lang", PER_LANGUAGE)
-    return with_ids(docs.select("doc_id", "lang", "text"), ids).where(
-        F.col("lang").isNotNull() & F.length("text").between(1, MOST_BYTES)).select("lang", "text")
+    fits = docs.where(F.col("lang").isNotNull() & (fold != 2) & F.length("text").between(1, MOST_CHARS))
+    ids = least_by_hash(fits.select("doc_id", "lang"), "lang", PER_LANGUAGE)
+    return with_ids(fits.select("doc_id", "lang", "text"), ids).select("lang", "text")
 
 
 def count_contexts(texts: dict[str, list[str]], order: int = ORDER) -> dict:
-    """Byte classes and, per language and length n, the n-grams and their counts."""
-    names = sorted(texts)
-    raw = [[b"\0" * order + t.lower().encode("utf-8", "replace") for t in texts[x]] for x in names]
-    seen = np.zeros(256, np.int64)
-    for x in raw:
-        seen += np.bincount(np.frombuffer(b"".join(x), np.uint8), minlength=256)
-    seen[0] = 0
-    common = np.argsort(-seen, kind="stable")[:126]
-    classes = np.full(256, 127, np.uint8)
-    classes[0] = 0
-    kept = common[seen[common] > 0]
-    classes[kept] = np.arange(1, len(kept) + 1)
-    grams = []
-    for x in raw:
-        c = classes[np.frombuffer(b"".join(x), np.uint8)].astype(np.int64)
-        real = c != 0
+    """Per language and length n, the strings of n bytes (as numbers, the last byte
+    lowest) and their counts; zero bytes stand before a text and are not counted."""
+    names, grams = sorted(texts), []
+    for name in names:
+        raw = b"".join(b"\0" * order + t.lower().encode("utf-8", "replace").replace(b"\0", b"\1") for t in texts[name])
+        c = np.frombuffer(raw, np.uint8).astype(np.uint64)
         of_lang, code = [], c.copy()
         for n in range(1, order + 2):
             if n > 1:
-                code = code[1:] | (c[:len(c) - n + 1] << (7 * (n - 1)))
-            of_lang.append(np.unique(code[real[n - 1:]], return_counts=True))
+                code = code[1:] | (c[:len(c) - n + 1] << np.uint64(8 * (n - 1)))
+            of_lang.append(np.unique(code[c[n - 1:] != 0], return_counts=True))
         grams.append(of_lang)
-    return {"names": names, "classes": classes, "grams": grams, "order": order}
+    return {"names": names, "grams": grams, "order": order}
+
+
+def _found(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each sought key in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(sought), np.int64), np.zeros(len(sought), bool)
+    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    return at, keys[at] == sought
 
 
 class Tables:
-    """Row of the longest known context of the last bytes, and costs by row."""
+    """The languages' trees: per language and order the strings with their costs and the
+    contexts with their escapes, each sorted."""
 
     def __init__(self, model: dict) -> None:
-        self.names, self.classes, order = model["names"], model["classes"], model["order"]
-        langs = len(self.names)
-        cost, rows = [np.full((1, 128, langs), 8.0, np.float32)], 0
-        index = np.zeros(1, np.int64)  # by context code: its row
-        parts = []
-        for k in range(order + 1):
-            contexts = np.unique(np.concatenate([g[k][0] >> 7 for g in model["grams"]])) if langs else np.zeros(0, np.int64)
-            under = contexts & ((1 << (7 * max(0, k - 1))) - 1)
-            below = cost[0] if k == 0 else np.concatenate(parts)
-            block = below[np.zeros(len(contexts), np.int64) if k == 0 else index[under]].copy()
-            for j, g in enumerate(model["grams"]):
-                code, count = g[k]
-                ctx, first, distinct = np.unique(code >> 7, return_index=True, return_counts=True)
+        self.names, self.order, self.trees = model["names"], model["order"], []
+        for of_lang in model["grams"]:
+            tree = []
+            for code, count in of_lang:
+                context, first, distinct = np.unique(code >> np.uint64(8), return_index=True, return_counts=True)
                 total = np.add.reduceat(count, first) if len(first) else count
-                at = np.searchsorted(contexts, ctx)
-                block[at, :, j] += np.log2((total + distinct) / distinct).astype(np.float32)[:, None]
-                per = np.repeat(total + distinct, distinct)
-                block[np.repeat(at, distinct), code & 127, j] = np.log2(per / count).astype(np.float32)
-            if k == 0 and not len(contexts):
-                block, contexts = below.copy(), np.zeros(1, np.int64)
-            parts.append(block)
-            index = np.tile(index, 128 if k else 1)
-            index[contexts] = rows + np.arange(len(contexts))
-            rows += len(contexts)
-        table_ = np.concatenate(parts)
-        table_[:, 0, :] = 0  # the padding before a text costs nothing
-        self.cost, self.index, self.order = table_.reshape(len(table_) * 128, langs), index.astype(np.int32), order
+                cost = np.log2(np.repeat(total + distinct, distinct) / count)
+                tree.append((code, cost.astype(np.float32), context, np.log2((total + distinct) / distinct).astype(np.float32)))
+            self.trees.append(tree)
+
+    def costs(self, strings: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string of ``order`` + 1 bytes, by language."""
+        out = np.zeros((len(strings), len(self.names)))
+        real = np.flatnonzero(strings & np.uint64(255))  # the padding before a text costs nothing
+        for j, tree in enumerate(self.trees):
+            open_ = real
+            for k in range(self.order, -1, -1):
+                code, cost, context, escape = tree[k]
+                here = strings[open_] & np.uint64((1 << 8 * (k + 1)) - 1)
+                at, there = _found(code, here)
+                out[open_[there], j] += cost[at[there]]
+                open_, here = open_[~there], here[~there]
+                at, there = _found(context, here >> np.uint64(8))
+                out[open_[there], j] += escape[at[there]]
+            out[open_, j] += 8
+        return out
 
     def lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code length in bits of each padded text, by language."""
-        c = self.classes[data]
-        pad = np.concatenate([np.zeros(self.order, np.uint8), c])
-        code = np.zeros(len(c), np.int32)
-        for k in range(self.order, 0, -1):
-            code = (code << 7) | pad[self.order - k:len(pad) - k]
-        code = self.index[code]
-        code <<= 7
-        code |= c
-        return np.add.reduceat(np.take(self.cost, code, axis=0), starts, axis=0, dtype=np.float64)
+        code = data.astype(np.uint32 if self.order < 4 else np.uint64)
+        for k in range(1, self.order + 1):
+            code[k:] |= data[:-k].astype(code.dtype) << code.dtype.type(8 * k)
+        distinct, at = np.unique(code, return_inverse=True)
+        costs = self.costs(distinct.astype(np.uint64))
+        return np.stack([np.add.reduceat(costs[at, j], starts) for j in range(len(self.names))], axis=1) if len(self.names) else np.zeros((len(starts), 0))
 
 
 _held: dict = {}
@@ -187,15 +188,15 @@ def train(docs: DataFrame) -> dict:
     return count_contexts(texts)
 
 
-def language_of(docs: DataFrame):
+def language_of(docs: DataFrame, model: dict | None = None):
     """A function of a text column: struct of lang_pred, score, bits_per_byte,
-    learned from ``docs``."""
+    learned from ``docs`` (or by a ``model`` trained before)."""
     import uuid
 
     import pandas as pd
 
     prepare_workers(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs) | {"id": uuid.uuid4().hex})
+    shared = docs.sparkSession.sparkContext.broadcast((model or train(docs)) | {"id": uuid.uuid4().hex})
 
     @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -215,8 +216,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown_language(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language cannot be told (``und``)."""
-    return docs.where(language_of(docs)("text")["lang_pred"] != UND)
+    """``docs`` without those whose language cannot be told: texts without a letter, and
+    texts that no learned language's tree explains."""
+    model = train(docs)
+    if not model["names"]:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    rows = docs.withColumn("__p", language_of(docs, model)("text"))
+    return rows.where((F.col("__p.lang_pred") != UND) & (F.col("__p.bits_per_byte") <= MOST_BITS)).drop("__p")
 
 
 def op2_ppm(spark, sf_dir):

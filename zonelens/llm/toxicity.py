@@ -54,23 +54,39 @@ def features(w: Words) -> np.ndarray:
 
 
 class FeatureTable:
-    """Weight of a feature hash by one look-up; unknown features weigh 0."""
+    """Number of a feature hash (0: unknown).  The table is at least four times as long as
+    the features are many; a feature whose slot is taken has the next free one."""
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys, bits = keys, 14
-        while True:
-            slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            if bits >= 22 or len(np.unique(slot)) == len(slot):
-                break
+        while 1 << bits < 4 * len(keys):
             bits += 1
-        self.shift, self.held = np.uint64(64 - bits), np.zeros(1 << bits, np.uint64)
-        self.number = np.zeros(1 << bits, np.int32)  # 0: none
-        self.held[slot] = keys
-        self.number[slot] = np.arange(1, len(keys) + 1)
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.held, self.number = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        left = np.flatnonzero(keys)
+        slot = (keys[left] >> self.shift).astype(np.int64)
+        while len(left):
+            place, first = np.unique(slot, return_index=True)
+            first = first[self.held[place] == 0]
+            self.held[slot[first]], self.number[slot[first]] = keys[left[first]], left[first] + 1
+            again = np.ones(len(left), bool)
+            again[first] = False
+            left, slot = left[again], (slot[again] + 1) & self.last
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         slot = (hashes >> self.shift).astype(np.int64)
-        return np.where((self.held[slot] == hashes) & (hashes != 0), self.number[slot], 0)
+        held = self.held[slot]
+        out = np.where(held == hashes, self.number[slot], 0)
+        open_ = np.nonzero((held != hashes) & (held != 0))
+        slot = slot[open_]
+        while len(slot):
+            slot = (slot + 1) & self.last
+            held, sought = self.held[slot], hashes[open_]
+            hit = held == sought
+            out[tuple(x[hit] for x in open_)] = self.number[slot[hit]]
+            more = ~hit & (held != 0)
+            open_, slot = tuple(x[more] for x in open_), slot[more]
+        return out
 
 
 def marginals(emit: np.ndarray, first: np.ndarray, move: np.ndarray, begin: np.ndarray):
@@ -296,7 +312,8 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     by_doc = labels.where((fold != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = least_by_hash(by_doc, "toxic", F.when(F.col("toxic") == 1, MOST_TOXIC).otherwise(MOST_CLEAN)).select("doc_id", "toxic")
+    fits = docs.where(F.length("text").between(1, MOST_CHARS)).select("doc_id")
+    ids = least_by_hash(by_doc.join(fits, "doc_id", "left_semi"), "toxic", F.when(F.col("toxic") == 1, MOST_TOXIC).otherwise(MOST_CLEAN)).select("doc_id", "toxic")
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, MOST_CHARS))
     rows = sample.select("doc_id", "text", "toxic").collect()  # bounded: MOST_TOXIC + MOST_CLEAN texts
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
