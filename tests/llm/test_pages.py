@@ -41,6 +41,73 @@ def test_deep_and_broken_markup():
     assert html_extract.extract("<p title='<a \"> unclosed" + "<" * 2000 + "x" * 50) is not None
 
 
+BODY = "<p>" + "Long body text, with commas, and more of it. " * 4 + "</p>"
+BODY_TEXT = ("Long body text, with commas, and more of it. " * 4).strip()
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<article><h1>The Title</h1><div class=body>{BODY}</div></article>", f"The Title {BODY_TEXT}"),
+    (f"<article><ul><li>one</li><li>two</li></ul><div class=body>{BODY}</div><table><tr><td>a</td><td>b</td></tr></table>"
+     f"<blockquote>Quoted</blockquote></article>", f"one two {BODY_TEXT} a b Quoted"),
+    (f"<article>Before it <div>{BODY}</div> and after</article>", f"Before it {BODY_TEXT} and after"),
+    (f"<body><div class=wrap>Before it <div>{BODY}</div><div>plain block</div><div><a href=x>only a link</a></div> and after</div></body>",
+     f"Before it {BODY_TEXT} plain block and after"),
+    (f"<body><h2>Head line</h2><div id=content>{BODY}</div><ul><li><a href=x>Menu</a></li></ul></body>", f"Head line {BODY_TEXT}"),
+    (f"<article><div class='related-work'>{BODY}</div><p id='share-price'>The share price rose.</p></article>", f"{BODY_TEXT} The share price rose."),
+    (f"<article>{BODY}<div class='share-buttons'>Tell all</div><section class='comment-list'><p>First, a comment.</p></section>"
+     f"<div class='postComments x'>Me, too, of course.</div></article>", BODY_TEXT),
+    (f"<body><div class='cookie-banner'>We use cookies, all of them.</div><main><header><h1>In main</h1></header>{BODY}</main>"
+     "<header><h1>Site</h1></header></body>", f"In main {BODY_TEXT}"),
+])
+def test_nothing_of_an_article_is_lost(page, text):
+    assert html_extract.extract(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>{}", "<div>t<span>{}", "<span></i>{}", "<p>a{}", "<ul><li>a{}", "<table><tr><td>a{}", "<b><p>{}",
+                                  "<header>{}", "<i><div>{}", "</div><td>{}"])
+def test_time_grows_with_the_page_alone(page):
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        t = time.process_time()
+        html_extract.extract(page.replace("{}", "") * n + "text, here.")
+        took.append(time.process_time() - t)
+    assert took[1] < 25 and took[1] < 40 * max(took[0], 0.05)  # a hundred times, were it quadratic
+
+
+def test_scores_by_definition(rng):
+    """Every container's score as a plain sum over all paragraphs below it."""
+    def below(node):
+        for k in node.kids:
+            if not isinstance(k, str):
+                yield k
+                yield from below(k)
+
+    for _ in range(150):
+        parts, words = [], "lorem, ipsum dolor sit, amet".split()
+        for _ in range(rng.randint(3, 25)):
+            tag = rng.choice(["div", "p", "section", "ul", "li", "a href=x", "h2", "b", "td", "blockquote", "div class=content", "/div", "/p", "/section"])
+            parts.append(f"<{tag}>" + " ".join(rng.choices(words, k=rng.randint(0, 30))))
+        order = html_extract._prune_and_order(html_extract.parse("".join(parts)))
+        html_extract._measure(order)
+        best, scores = html_extract.best_container(order), {}
+        for node in order:
+            total, some = html_extract.START.get(node.tag, 0) + (25 if node.names & html_extract.GOOD else 0), False
+            for p in [node] * (node.parent is None) + list(below(node)):
+                points = html_extract.paragraph_points(p)
+                depth, up = 1, p.parent or p
+                while up is not None and up is not node:
+                    depth, up = depth + 1, up.parent
+                if points is not None and up is node and depth <= 5:
+                    some, total = True, total + points * [1, 1 / 2, 1 / 6, 1 / 12, 1 / 18][depth - 1]
+            if some:
+                scores[id(node)] = total * (1 - (node.linked / node.chars if node.chars else 0))
+                assert node.score == pytest.approx(scores[id(node)])
+        if scores and max(scores.values()) > 0:
+            assert scores[id(best)] == pytest.approx(max(scores.values()))
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", f"<article>{ARTICLE}</article>"), (1, "u", f"<article>{ARTICLE}</article>"), (None, None, None)]
     got = html_extract.extract_main_text(pages_of(spark, rows)).collect()
