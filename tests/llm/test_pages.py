@@ -174,3 +174,23 @@ def test_url_rules(spark, rng):
         got = {r["page_id"]: tuple(r)[1:] for r in url_filter.filter_urls(pages_of(spark, rows), chosen).collect()}
         assert got == {i: judged_by_hand(chosen, u) for i, u, _ in rows}
     assert url_filter.filter_urls(pages_of(spark, [])).count() == 0
+
+
+def test_many_rules_under_one_host(rng):
+    """A hundred thousand rules that share host and folders: by plain search, and in time."""
+    import time
+
+    names = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(100_000)]
+    rules = [(rng.choice(["allow", "block"]), "example.com", f"/x/{n}") for n in names]
+    t = time.process_time()
+    trie = url_filter.build_trie(rules)
+    paths = ["/x/" + "".join(rng.choice("abcd/") for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    got = [url_filter.judge(trie, "www.example.com", p) for p in paths]
+    assert time.process_time() - t < 10
+    best = {}
+    for verdict, _, path in rules:
+        if best.get(path) != "allow":
+            best[path] = verdict
+    for p, found in list(zip(paths, got))[:2000]:
+        fits = [p[:k] for k in range(len(p), 0, -1) if p[:k] in best]
+        assert found == (("example.com" + fits[0], best[fits[0]]) if fits else None)

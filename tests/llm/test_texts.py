@@ -147,6 +147,38 @@ def test_leaks_found_and_clean_documents_left(spark, make_docs, rng, clashing):
     assert decontaminate.find_leaks(make_docs([]), bench).count() == 0
 
 
+def test_leaks_against_aligning_every_item_with_every_document(spark, make_docs, rng):
+    """Recall of the seeds: the same rule on the whole document, for items of all lengths."""
+    vocabulary = [f"w{i}" for i in range(900)] + ["the", "of"] * 40
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {i: text(n) for i, n in enumerate([1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 16, 20, 30, 45, 60] * 2)}
+    docs = []
+    for d in range(260):
+        item = list(items[rng.randrange(len(items))])
+        for _ in range(rng.randint(0, max(1, len(item) // 5))):
+            j = rng.randrange(len(item))
+            item[j:j + 1] = rng.choice([["edit"], [], [item[j], "more"]]) if len(item) > 1 else item
+        before, after = (text(rng.randint(0, 60)), text(rng.randint(0, 60))) if d % 5 else ([], [])
+        docs.append((d, [*before, *item, *after]))
+    hashes = lambda words: Words([" ".join(words).encode()], LETTERS).hash
+    want = set()
+    for d, words in docs:
+        for i, item in items.items():
+            m, there = len(item), hashes(words)
+            if m < decontaminate.SEED:
+                if words == item:
+                    want.add((d, i))
+                continue
+            score, s, e = decontaminate.align(hashes(item), there)
+            matched = sum((Counter(words[s:e]) & Counter(item)).values())
+            if score >= decontaminate.LEAST * 2 * m and matched >= decontaminate.needed(m):
+                want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(make_docs([(d, " ".join(t)) for d, t in docs]), bench).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 150
+    assert [decontaminate.needed(m) for m in (3, 5, 6, 8, 9, 12, 15, 20)] == [3, 5, 5, 7, 8, 8, 8, 10]
+
+
 def test_leaks_in_blocks_of_items(spark, make_docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 12)
     bench = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i} j{i}") for i in range(4)], "item_id long, text string")

@@ -17,9 +17,12 @@ The test items are the query set.  They are handled in blocks of at most
 ``BLOCK_WORDS`` words, so what is broadcast has a fixed bound, and each block reads the
 documents twice without any shuffle of texts.
 
-Defined results: null or empty texts match nothing; items of fewer than ``SEED`` words
-cannot be told from chance and match nothing; items of fewer than ``SURE`` matching
-words need all their words in one alignment; equal items are reported each; a null
+Of an item's m words, ``needed(m)`` must match in one alignment: all of up to five; all but
+one of six to nine (one edit leaves a seed whole); ``SURE`` of ten to fifteen; half of longer ones.
+
+Defined results: null or empty texts match nothing; an item of fewer than ``SEED`` words is
+found only in a document that has no other words, as within a text it cannot be told from
+chance; equal items are reported each; a null
 item_id or doc_id is carried; repeated documents are reported each; empty tables give
 no rows; other columns are ignored.
 """
@@ -39,6 +42,11 @@ BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 
 
+def needed(m: int) -> float:
+    """Words of an item of m words that must match."""
+    return max(LEAST * m, min(m if m <= 2 * SEED - 1 else m - 1, SURE))
+
+
 class Items:
     """A block of test items: word hashes, n-grams and where they stand."""
 
@@ -46,6 +54,10 @@ class Items:
         self.ids = ids
         w = Words([(t or "").encode("utf-8", "replace") for t in texts], LETTERS)
         self.words = [w.hash[a:a + n] for a, n in zip(w.first, w.count)]
+        self.whole: dict[bytes, list[int]] = {}  # items without a seed
+        for i, words in enumerate(self.words):
+            if 0 < len(words) < SEED:
+                self.whole.setdefault(words.tobytes(), []).append(i)
         grams, at = w.grams(SEED)
         self.keys, self.gram = np.unique(grams, return_inverse=True)
         self.item = w.doc[at].astype(np.int64)
@@ -127,8 +139,14 @@ def match_piece(items: Items, raws: list[bytes]) -> list[tuple]:
     w = Words(raws, LETTERS)
     grams, at = w.grams(SEED)
     pos, key = items.hits(grams)
+    out = []
+    if items.whole:
+        for d in np.flatnonzero((w.count > 0) & (w.count < SEED)):
+            m = int(w.count[d])
+            for i in items.whole.get(w.hash[w.first[d]:w.first[d] + m].tobytes(), ()):
+                out.append((int(d), i, 1.0, m, m, 0, m))
     if not len(pos):
-        return []
+        return out
     n = items.upto[key + 1] - items.upto[key]
     rows = np.repeat(np.arange(len(pos)), n)
     slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(items.upto[key], n)
@@ -139,12 +157,11 @@ def match_piece(items: Items, raws: list[bytes]) -> list[tuple]:
     order = np.lexsort((place, item, doc))
     doc, item, place, diagonal = doc[order], item[order], place[order], (place - items.place[entry])[order]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0)]))
-    out = []
     for a, b in zip(first, np.append(first[1:], len(doc))):
         d, i = int(doc[a]), int(item[a])
         text, test = w.hash[w.first[d]:w.first[d] + w.count[d]], items.words[i]
         m, best = len(test), (0.0, 0, 0, 0)
-        need = max(LEAST * m, min(m, SURE))
+        need = needed(m)
         ordered = np.sort(test)
         for lo, hi in _passages(place[a:b], diagonal[a:b], m, len(text)):
             passage = text[lo:hi]

@@ -2,7 +2,8 @@
 
 Method: each rule's host is split into labels, taken from the right, and its path
 into segments; the rules form one trie whose nodes after the host continue with
-path segments.  The trie is broadcast and every url walks it once; the rule of
+path segments.  The rules that end within a segment are looked up by its beginnings, one
+look-up for each length that they have, however many they are.  The trie is broadcast and every url walks it once; the rule of
 the deepest host, then of the longest path, wins.  Of an allow and a block entry
 for the same host and path, allow wins.  Urls that no rule fits are allowed.
 
@@ -50,18 +51,26 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 class _Node:
     """Of the host trie: next labels, and the path trie of the rules that end
     here.  Of the path trie: next whole segments, and the rules that end in this
-    segment by its beginning (longest first)."""
+    segment by its beginning, with the lengths that these have (longest first)."""
 
-    __slots__ = ("next", "paths", "ends")
+    __slots__ = ("next", "paths", "ends", "sizes")
 
     def __init__(self) -> None:
         self.next: dict[str, _Node] = {}
         self.paths: _Node | None = None
-        self.ends: list[tuple[str, str, str]] = []
+        self.ends: dict[str, tuple[str, str]] = {}
+        self.sizes: list[int] = []
+
+    def longest(self, segment: str) -> tuple[str, str] | None:
+        """The rule with the longest beginning of ``segment``: a look-up per length."""
+        for size in self.sizes:
+            if size <= len(segment) and (found := self.ends.get(segment[:size])):
+                return found
+        return None
 
 
 def build_trie(rules: Iterable[tuple[str, str, str]]) -> _Node:
-    root = _Node()
+    root, ending = _Node(), {}
     for verdict, host, path in rules:
         node = root
         for label in reversed(host.translate(_UPPER).split(".")) if host else ():
@@ -71,8 +80,11 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> _Node:
         *whole, last = path.split("/")
         for segment in whole:
             node = node.next.setdefault(segment, _Node())
-        node.ends.append((last, verdict, host + path))
-        node.ends.sort(key=lambda e: (-len(e[0]), e[1]))
+        if last not in node.ends or verdict == "allow":
+            node.ends[last] = host + path, verdict
+        ending[id(node)] = node
+    for node in ending.values():
+        node.sizes = sorted({len(x) for x in node.ends}, reverse=True)
     return root
 
 
@@ -80,9 +92,7 @@ def _longest_path(node: _Node, path: str) -> tuple[str, str] | None:
     found = None
     segments = path.split("/")
     for i, segment in enumerate(segments):
-        end = next((e for e in node.ends if segment.startswith(e[0])), None)
-        if end:
-            found = end[2], end[1]
+        found = node.longest(segment) or found
         if i == len(segments) - 1 or (node := node.next.get(segment)) is None:
             return found
     return found
