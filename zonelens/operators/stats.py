@@ -182,7 +182,8 @@ def correlation_matrix(df: DataFrame, cols: list[str], by: tuple[str, ...] = ())
     total = lambda e: F.expr(f"aggregate(g, 0D, (s, t) -> s + t.n * ({e}))")
     r = F.try_divide(total("t.c + (t.mx - sx / n) * (t.my - sy / n)"),
                      F.sqrt(total("t.vx + (t.mx - sx / n) * (t.mx - sx / n)")) * F.sqrt(total("t.vy + (t.my - sy / n) * (t.my - sy / n)")))
-    names = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b")) for i, j in pairs])
+    quoted = ["'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'" for c in cols]
+    names = F.expr("array(" + ", ".join(f"named_struct('a', {quoted[i]}, 'b', {quoted[j]})" for i, j in pairs) + ")")
     varies = (F.col("xlo") < F.col("xhi")) & (F.col("ylo") < F.col("yhi"))  # means of a constant may differ in their last bit
     found = parts.select(*by, "p", F.when(varies, r).alias("r"))
     return found.select(*by, F.get(names, F.col("p")).alias("pair"), "r").select(
