@@ -58,14 +58,11 @@ def exact_groups(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
         .select("doc_id", *also, "salt", "chars", "split", "first_id", "place", "n",
                 F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"),
                 F.when(F.col("split") & (F.col("place") == 1), F.col("norm")).alias("norm")))
-    part = Window.partitionBy("norm")
-    best = part.orderBy(F.desc("chars"), F.asc_nulls_last("doc_id"), "salt")
-    parts = rows.where(F.col("split") & (F.col("place") == 1)).select(
-        F.col("sha").alias("part_sha"), F.col("salt").alias("part_salt"),
-        F.first("doc_id").over(best).alias("part_keep"), F.first("salt").over(best).alias("best_salt"),
-        F.sum("n").over(part).alias("part_n"))
-    joined = rows.drop("norm").join(
-        parts, (rows["sha"] == parts["part_sha"]) & (rows["salt"] == parts["part_salt"]), "left")
+    best = F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("none"), "doc_id", "salt")
+    parts = F.broadcast(rows.where(F.col("split") & (F.col("place") == 1)).groupBy("norm").agg(
+        F.first("sha").alias("part_sha"), F.min(best).alias("best"), F.sum("n").alias("part_n")).select(
+        "part_sha", F.col("best.doc_id").alias("part_keep"), F.col("best.salt").alias("best_salt"), "part_n"))  # MOST_SPLIT rows
+    joined = rows.drop("norm").join(parts, F.col("split") & (F.col("sha") == F.col("part_sha")), "left")
     return joined.select(
         "doc_id", *also,
         F.when(F.col("split"), F.col("part_keep")).otherwise(F.col("first_id")).alias("keep_id"),
