@@ -240,3 +240,16 @@ def test_sets_that_share_an_id_go_by_the_second(rng):
     assert ids[0] == ids[1] and second[0] == second[1] and ids[0] != ids[2] and second[0] != second[2] and ids[3] == second[3] == 0
     settled = ngram_join._settled(ids, second, ids[:1])
     assert settled.tolist() == [second[0], second[0], ids[2], 0]
+
+
+def test_suffix_ranks_are_the_order_of_the_bytes(rng):
+    """The dictionary's ranks against sorting the strings themselves."""
+    for alphabet in (b"ab", b"a", bytes(range(256))):
+        parts = [bytes(rng.choice(alphabet) for _ in range(rng.randint(100, 260))) for _ in range(6)]
+        data = b"".join([*parts, parts[0], parts[2][7:180]]) + b"\xff" * 120
+        ranks = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8))
+        strings = [data[i:i + suffix_dedup.LENGTH] for i in range(len(data) - suffix_dedup.LENGTH + 1)]
+        place = {x: i for i, x in enumerate(sorted(set(strings)))}
+        order = np.unique(ranks[:len(strings)], return_inverse=True)[1]
+        assert order.tolist() == [place[x] for x in strings]
+    assert len(suffix_dedup.suffix_ranks(np.zeros(0, np.uint8))) == 0

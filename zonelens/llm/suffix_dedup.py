@@ -7,15 +7,16 @@ documents, overlaps count, and everything is judged on the input.
 Method.  Rolling-hash triggers cut every text into overlapping phrases (see
 ``phrases.py``): each phrase stands for the strings that elect one trigger, and equal
 strings sit at equal offsets from equal triggers.  So all strings are decided on
-two levels, grouped by hash in place of the two suffix arrays, and only the parse, about one row per 30 bytes, is ever
-shuffled:
+two levels, and only the parse, about one row per 30 bytes, is ever shuffled:
 
-1. Parse: phrases grouped by the hashes of trigger and phrase, by position within.  A phrase that occurred
+1. Parse: phrases grouped by the hashes of trigger and phrase, by position within; no suffix
+   array of the parse is built, as a string never reaches beyond its phrase.  A phrase that occurred
    before is repeated as a whole.  A phrase whose trigger no other phrase has cannot hold
    a repeated string.  What is left are the dictionary phrases whose trigger has several
    surroundings: the edges of repeats.
-2. Dictionary: the suffixes of these phrases that are whole strings are sorted by their
-   first 8 bytes and a 64-bit fingerprint; neighbours that agree in both are compared byte by byte, and all but the earliest are
+2. Dictionary: the suffixes of these phrases are ranked by their bytes (a suffix array to the
+   depth of a string, for the phrases of whole triggers together).  Rank, then place in the
+   parse, is the order of the corpus's strings; of equal neighbours all but the earliest are
    repeated.
 
 Scale.  Hot passages: a map task keeps the first of each phrase and settles the rest
@@ -27,7 +28,7 @@ use that one exchange.  Level 1 is written to the shared folder, so a lost execu
 does not repeat the parse.
 
 Equality in level 1 is that of independent hashes of trigger (64 bits) and phrase (54
-bits); level 2 compares bytes.
+bits); level 2 is exact.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` keep all bytes; a
 null doc_id comes last; rows that share a doc_id are ordered by a hash of their text,
@@ -201,31 +202,37 @@ def _settle(batches):
         yield from _emit(settle_triggers(*cols), ["repeated", "k", "doc", "at", "n"])
 
 
-def sorted_strings(doc, at, n, phrase: list[bytes]):
-    """The strings of these phrases, equal ones side by side: the bytes, and of each string where
-    it lies in them, doc, at, and whether it occurred before.
+def suffix_ranks(data: np.ndarray) -> np.ndarray:
+    """Rank, in byte order, of the ``LENGTH`` bytes that begin at each place of ``data``:
+    the dictionary's suffix array to that depth, by doubling (places less than ``LENGTH``
+    bytes before the end have no meaning).  Equal bytes, and only these, have equal ranks."""
+    whole = np.concatenate([data, np.zeros(8, np.uint8)])
+    head = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        head = (head << np.uint64(8)) | whole[i:len(data) + i]
+    rank, known = np.unique(head, return_inverse=True)[1], 8
+    while known < LENGTH:
+        step = min(known, LENGTH - known)
+        later = np.concatenate([rank[step:], np.zeros(min(step, len(rank)), rank.dtype)])[:len(rank)]
+        rank, known = np.unique((rank << 32) | later, return_inverse=True)[1], known + step
+    return rank
+
 
-    Strings are sorted by their first bytes and a fingerprint of all; neighbours with
-    equal fingerprints are compared byte by byte."""
+def sorted_strings(doc, at, n, phrase: list[bytes]):
+    """The strings of these phrases in the order of the corpus's suffixes: by their bytes
+    (the dictionary's order), equal ones by where they stand (the order of the parse).
+    Gives the bytes, and of each string where it lies in them, doc, at, and whether it
+    occurred before: its neighbour is equal."""
     lens = np.array([len(p) for p in phrase], np.int64)
     base = np.cumsum(lens) - lens
     data = np.frombuffer(b"".join(phrase), np.uint8)
     row = np.repeat(np.arange(len(n)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     left, where, d = base[row] + j, at[row] + j, doc[row]
-    head = np.zeros(len(row), np.uint64)
-    for i in range(8):
-        head = (head << np.uint64(8)) | data[left + i]
-    mark = Fingerprints(data).first(left, left + LENGTH)
-    o = np.lexsort((where, d, mark, head))
-    left, where, d, mark, head = left[o], where[o], d[o], mark[o], head[o]
-    new = np.ones(len(o), bool)
-    close = np.flatnonzero((mark[1:] == mark[:-1]) & (head[1:] == head[:-1])) + 1
-    span = np.arange(LENGTH)
-    for i in range(0, len(close), 20_000):
-        c = close[i:i + 20_000]
-        same = (data[left[c][:, None] + span] == data[left[c - 1][:, None] + span]).all(1)
-        new[c[same]] = False
+    rank = suffix_ranks(data)[left]
+    o = np.lexsort((where, d, rank))
+    left, where, d, rank = left[o], where[o], d[o], rank[o]
+    new = np.append(True, rank[1:] != rank[:-1])[:len(o)]
     lead = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0)) if len(o) else np.zeros(0, np.int64)
     return data, left, d, where, (d != d[lead]) | (where != where[lead])
 
