@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from zonelens.functions.names import round2
 from zonelens.operators.order import radix_select, stored
+from zonelens.session import scratch
 
 
 def entropy_histogram(df: DataFrame, col: str = "entropy", key: str = "domain") -> DataFrame:
@@ -109,8 +110,9 @@ def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> DataFra
     ``order.radix_select`` finds the wanted places in it: at most four passes of a
     grouped count, the same at every size.  The result is one row of plain numbers per
     probability."""
-    v = stored(df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL"), "quantiles")
-    return _quantile_rows(v, probs)
+    with scratch(df.sparkSession):
+        v = stored(df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL"), "quantiles")
+        return _quantile_rows(v, probs)
 
 
 def _quantile_rows(values: DataFrame, probs) -> DataFrame:
@@ -126,18 +128,14 @@ def describe_numeric(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max of one column.
 
     The column is computed once and written alone; the moments are one ordinary
-    aggregate over it, the quartiles numbers from ``radix_select``."""
-    v = stored(df.select(F.col(col).cast("double").alias("v")), "describe")
-    _, ends = radix_select(v, (0.25, 0.5, 0.75))
-    c = F.col("v")
-    n = F.count(c)
-    quart = []
-    for p, at, name in zip((0.25, 0.5, 0.75), ends, ("q25", "q50", "q75")):
-        lo, hi = at or (None, None)
-        h = F.lit(p) * (n - 1)
-        value = F.lit(lo).cast("double") + (F.lit(hi).cast("double") - F.lit(lo).cast("double")) * (h - F.floor(h))
-        quart.append((F.lit(lo).cast("double") if lo == hi else value).alias(name))
-    return v.agg(n.alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *quart, F.max(c).alias("max"))
+    aggregate over it, the quartiles come from ``radix_select``, and the copy is removed."""
+    with scratch(df.sparkSession):
+        v = stored(df.select(F.col(col).cast("double").alias("v")), "describe")
+        c = F.col("v")
+        n, mean, std, least, most = v.agg(F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)).first()
+        quartiles = [r["value"] for r in _quantile_rows(v, (0.25, 0.5, 0.75)).collect()]
+    return df.sparkSession.createDataFrame([(n, mean, std, least, *quartiles, most)], "count long, mean double, std double, "
+                                           "min double, q25 double, q50 double, q75 double, max double")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], by: tuple[str, ...] = ()) -> DataFrame:
