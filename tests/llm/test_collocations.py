@@ -104,3 +104,17 @@ def test_scores_beyond_64_bits(spark):
     langs = spark.createDataFrame([("en", 10**14)], "lang string, n long")
     got = co._scored(found, vocabulary.select(F.array("id").alias("w"), "f"), langs, vocabulary).first()
     assert got["score"] == 1000 * 3_000_000_000 * 10**14 // (4_000_000_000 * 5_000_000_000)
+
+
+def test_plans_do_not_grow_with_rounds(make_docs, texts, monkeypatch):
+    """The phrases of all rounds are read from one table."""
+    read = []
+    plain = co._scored
+
+    def scored(found, *others):
+        read.append(len({f.rsplit("/", 1)[0] for f in found.inputFiles()}))
+        return plain(found, *others)
+
+    monkeypatch.setattr(co, "_scored", scored)
+    check(make_docs(texts), texts, 5, 2000, shares=(0.05, 0.3, 1))
+    assert len(read) > 1 and len(set(read)) == 1

@@ -22,6 +22,8 @@ occur only inside one longer candidate are dropped; the best ``TOP`` of a langua
 * **Dropping** needs no longer phrase: with each count go the least and greatest word
   before and after the phrase; if they are equal, every occurrence has that neighbour.
 * **Rests** that begin with a word not yet expanded are counted by themselves.
+* The phrases of all rounds are one table, written anew each round: the plans that score
+  them, which the driver holds, are no longer in a later round.
 * A language is settled when no word outside has a bound as high as its ``TOP``-th score
   (so ties are found too), or when all its words are expanded.
 
@@ -344,19 +346,20 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     width = "<i4" if max(x.end for x in open_.values()) < 1 << 31 else "<i8"
     corpus = _recoded(blocks, vocabulary, width)
     single = vocabulary.select(F.array("id").alias("w"), "f")
-    found: dict[int, list[DataFrame]] = {m: [] for m in range(2, most_words + 1)}
-    results = []
+    found, results = None, []  # found: the phrases of all rounds, one table
     for turn in range(1000):
         share = shares[min(turn, len(shares) - 1)]
         ranges = {x.lang: (*x.grow(share), x.end) for x in open_.values()}
         here = corpus.where(F.col("lang").isin(list(ranges)))
         bits: dict[int, np.ndarray] = {}
+        levels = []
         for length in range(2, most_words + 1):
             new = stored(_count(here, width, [length], _Extensions(ranges, bits)).where(F.col("f") >= least), f"phrases-{length}")
-            found[length].append(new)
+            levels.append(new)
             if new.isEmpty() or length == most_words:
                 break
-            bits[length] = _bit_array(reduce(DataFrame.unionByName, found[length]))
+            bits[length] = _bit_array(new if found is None else new.unionByName(found.where(F.size("w") == length)))
+        found = stored(reduce(DataFrame.unionByName, [*levels, *([found] if found is not None else [])]), "phrases")
         settled = _settle(open_, found, single, langs, vocabulary, here, width, ranges, most_words, top)
         if settled is not None:
             results.append(settled)
@@ -398,15 +401,15 @@ class _Listed:
 def _settle(open_, found, single, langs, vocabulary, corpus, width, ranges, most_words, top) -> DataFrame | None:
     """Scores all that the open languages have so far, notes each one's least good score,
     and returns the results of those that it settles."""
-    every = [x for m in found for x in found[m]]
-    known = reduce(DataFrame.unionByName, [single, *(x.select("w", "f") for x in every)])
+    known = single.unionByName(found.select("w", "f"))
     mine = vocabulary.where(F.col("lang").isin(list(open_))).select(F.col("id").alias("__id"))
-    kept = [x.where(~F.col("inside") if m < most_words else F.lit(True)).select("w", "f") for m in found for x in found[m]]
-    candidates = reduce(DataFrame.unionByName, kept).withColumn("__id", F.col("w")[0]).join(mine, "__id").drop("__id")
+    kept = found.where(~F.col("inside") | (F.size("w") == most_words)).select("w", "f")
+    candidates = kept.withColumn("__id", F.col("w")[0]).join(mine, "__id").drop("__id")
     if any(x.cut > x.first for x in open_.values()):  # rests may begin with a word outside
         rests = candidates.select(F.explode(F.expr("transform(sequence(1, size(w) - 1), k -> slice(w, k + 1, size(w) - k))")).alias("w")).where("size(w) > 1").distinct()
         wanted = stored(rests.join(known, "w", "left_anti"), "phrase-rests")
-        bits = {m: _bit_array(of) for m in range(2, most_words) if not (of := wanted.where(F.size("w") == m)).isEmpty()}
+        lengths = [r["m"] for r in wanted.select(F.size("w").alias("m")).distinct().collect()]  # at most ``most_words``
+        bits = {m: _bit_array(wanted.where(F.size("w") == m)) for m in sorted(lengths)}
         if bits:
             more = _count(corpus, width, sorted(bits), _Listed(ranges, bits)).select("w", "f").join(wanted, "w", "left_semi")
             known = known.unionByName(stored(more, "phrase-counts"))
