@@ -118,3 +118,14 @@ def test_plans_do_not_grow_with_rounds(make_docs, texts, monkeypatch):
     monkeypatch.setattr(co, "_scored", scored)
     check(make_docs(texts), texts, 5, 2000, shares=(0.05, 0.3, 1))
     assert len(read) > 1 and len(set(read)) == 1
+
+
+def test_few_false_hits(spark):
+    """Hardly any place that holds none of the phrases is counted."""
+    import numpy as np
+    phrases = spark.range(4000).selectExpr("array(id, id + 1, id + 2) AS w")
+    bits = co._bit_array(phrases)
+    inside = [np.arange(4000) + k for k in range(3)]
+    outside = [np.arange(200_000) + 10_000 + 7 * k for k in range(3)]
+    assert co._in_bits(inside, bits).all()
+    assert co._in_bits(outside, bits).mean() < 0.01

@@ -55,8 +55,9 @@ ENDS = r"[.,;:!?\n\x0b\x0c\r]+"
 BLOCK_WORDS, COUNT_WORDS, BATCH = 1 << 18, 1 << 21, 100_000
 #: Of a language's frequent words, the share expanded up to each round.
 SHARES = (1 / 16, 1 / 4, 1)
-#: Bits per surviving prefix, and of the whole array.
-BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
+#: Bits per frequent word and per phrase, and of the whole array.  Every place of the corpus
+#: is looked up among the phrases: of those that miss, one in ``PHRASE_BITS`` is a false hit.
+BITS, PHRASE_BITS, LEAST_BITS, MOST_BITS = 16, 256, 1 << 16, 1 << 27
 
 
 # ---------------------------------------------------------------- corpus
@@ -166,11 +167,11 @@ def _in_bits(columns: list[np.ndarray], bits: np.ndarray) -> np.ndarray:
     return _set(_hash(columns), bits)
 
 
-def _bits(hashes: DataFrame) -> np.ndarray:
+def _bits(hashes: DataFrame, each: int = BITS) -> np.ndarray:
     """The bit array of ``hashes`` (h long), put together by Spark."""
     count = hashes.count()
     size = LEAST_BITS
-    while size < min(MOST_BITS, BITS * count):
+    while size < min(MOST_BITS, each * count):
         size *= 2
     spot = F.col("h").bitwiseAND(size - 1)
     rows = hashes.groupBy(F.shiftright(spot, 6).alias("at")).agg(
@@ -191,7 +192,7 @@ def _bit_array(phrases: DataFrame) -> np.ndarray:
                 w = batch["w"].flatten().to_numpy().reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(_hash(list(w.T)).view(np.int64))], names=["h"])
 
-    return _bits(phrases.select("w").mapInArrow(hashed, "h long"))
+    return _bits(phrases.select("w").mapInArrow(hashed, "h long"), PHRASE_BITS)
 
 
 def _grouped(x: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
