@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -65,6 +66,60 @@ def test_repeats_equal_brute_force(make_docs, rng, monkeypatch, hot):
     assert op1_rows(make_docs(rows)) == sorted(expected)
 
 
+@pytest.mark.parametrize("hot", [200, 2])
+def test_repeats_in_several_rounds(make_docs, rng, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "ROUND", 1)
+    rounds, found = [], suffix_dedup._rounds
+    monkeypatch.setattr(suffix_dedup, "_rounds", lambda *a: rounds.extend(found(*a)) or rounds)
+    rows = texts_with_repeats(rng, 20)
+    passages = [rng.choice(rows)[1] for _ in range(3)]
+    rows += [(500 + i, p[rng.randint(0, 9):] + str(i)) for i in range(40) for p in passages]
+    assert op1_rows(make_docs(rows)) == sorted(removed_by_hand(rows))
+    assert len(rounds) > (1 if hot == 2 else 0)
+
+
+def test_repeats_leave_no_exchange_behind(spark, make_docs, rng):
+    docs = make_docs(texts_with_repeats(rng, 40)).cache()
+    docs.count()
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = lambda: {b for b in str(manager.getAllBlocks().mkString(" ")).split() if b.startswith("shuffle_")}
+    before = blocks()
+    found = suffix_dedup.remove_repeats(docs)
+    deadline = time.time() + 20
+    while blocks() - before and time.time() < deadline:  # files go in the background
+        time.sleep(0.2)
+    assert not blocks() - before
+    assert found.count() == 40
+
+
+def test_runs_are_packed_by_bucket(spark):
+    rng = np.random.default_rng(1)
+    doc = np.concatenate([rng.integers(-50, 4000, 5000), [suffix_dedup.LAST, -(1 << 62)]])
+    at = rng.integers(0, 30_000, len(doc)) | (rng.integers(0, 2, len(doc)) << suffix_dedup.START_BITS)
+    n = rng.integers(1, suffix_dedup.MOST_RUN + 1, len(doc))
+    bucket, packed = suffix_dedup.by_bucket(doc, at, n, 7)
+    assert sorted(bucket) == list(range(7))
+    got = [(b, *r) for b, p in zip(bucket, packed) for r in zip(*suffix_dedup.unpack_runs(p))]
+    assert sorted(r[1:] for r in got) == sorted(zip(doc, at, n))
+    assert [r[1:3] for r in got if r[0] == 3] == sorted(r[1:3] for r in got if r[0] == 3)
+    rows = [(int(b), int(d), int(a) >> suffix_dedup.START_BITS) for b, d, a, _ in got]
+    frame = spark.createDataFrame(rows, "b int, doc long, sub long")
+    assert frame.where("b != pmod(xxhash64(doc, sub), 7)").count() == 0
+    few = suffix_dedup.by_bucket(np.repeat(np.arange(1000), 110), np.tile(np.arange(110) * 30, 1000), np.full(110_000, 33), 7)[1]
+    assert sum(map(len, few)) < 6 * 110_000
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_single_strings_are_compared_by_bytes(times):
+    strings = [bytes([i % 3]) * 99 + bytes([j]) for i in range(6) for j in (0, 1)] * times
+    doc, at = np.arange(len(strings))[::-1].copy(), np.arange(len(strings)) % 2
+    first = {s: (d, a) for s, d, a in sorted(zip(strings, doc, at), key=lambda r: r[1:], reverse=True)}
+    d, a, n = suffix_dedup.repeated_whole(doc, at, strings)
+    assert sorted(zip(d, a)) == sorted((x, y) for s, x, y in zip(strings, doc, at) if (x, y) != first[s])
+    assert (n == 1).all()
+
+
 def test_parse_does_not_depend_on_segments(rng, monkeypatch):
     raws = [t.encode() for _, t in texts_with_repeats(rng, 30)]
     key = lambda: sorted(zip(*[x.tolist() for x in suffix_dedup.parse_texts(raws)]))

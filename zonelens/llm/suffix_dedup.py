@@ -23,9 +23,15 @@ Scale.  Hot passages: a map task keeps the first of each phrase and settles the
 itself; of several phrases with one trigger, only the task's first goes to the trigger's
 partition, the others go by phrase, so a trigger never gathers more than a row per task.
 In level 2, the phrases of a trigger with more than ``HOT`` phrases are compared within
-each task first, and only strings that a task has not seen are dealt out, by the string.  The texts are shuffled once, by document, and both joins with them
-use that one exchange.  Level 1 is written to the shared folder, so a lost executor
-does not repeat the parse.
+each task first, and only strings that a task has not seen are dealt out, by the string.
+
+Disk.  The parse, each round of level 2 and the removal are jobs of their own: what they
+find is written to the shared folder, so a lost executor does not repeat the parse, and the
+files of a job's exchanges go before the next one begins.  Repeated runs are packed by
+bucket of documents, some six bytes each, and dealt out to the texts as they are.  The
+bytes of undecided phrases go out in as many rounds, by trigger, as keep a round's
+bytes within those of the texts (or ``ROUND``): however many phrases of a large corpus are
+undecided, the disk stays in proportion to it.  Every round and the removal shuffle the texts once.
 
 Equality in level 1 is that of independent hashes of trigger (64 bits) and phrase (54
 bits); level 2 is exact.
@@ -38,6 +44,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +53,7 @@ from pyspark.sql import functions as F
 from zonelens.llm.common import buckets, fresh_folder, slices, table
 from zonelens.llm.phrases import Fingerprints, phrases
 from zonelens.llm.words import pieces
-from zonelens.session import prepare_workers
+from zonelens.session import prepare_workers, shuffles_removed
 
 LENGTH, GRAIN = 100, 36
 #: Phrases with one trigger that level 2 compares in one group (under a megabyte).
@@ -54,6 +62,8 @@ HOT = 5000
 HELD, SEGMENT = 300_000, 1 << 20
 LAST = (1 << 63) - 1
 MOST_RUN = 200
+#: Bytes of undecided phrases that a round of level 2 may deal out, however small the texts.
+ROUND = 1 << 28
 START_BITS = 40  # `at` is the document's sub-number, then the byte where a string starts
 
 
@@ -196,10 +206,77 @@ def _parse(batches):
         yield from _emit(settle_locally(*(np.concatenate(x) for x in zip(*held))), names)
 
 
-def _settle(batches):
+def spark_hash(*longs: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of columns of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                                 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.full(len(longs[0]), 42, np.uint64)
+    for v in longs:
+        h += p5 + np.uint64(8)
+        h ^= turned(v.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = turned(h, 27) * p1 + p4
+        for shift, factor in ((33, p2), (29, p3)):
+            h ^= h >> np.uint64(shift)
+            h *= factor
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def pack_runs(doc, at, n) -> bytes:
+    """Runs in the order of doc: by column the bytes that any row needs."""
+    out = [len(doc).to_bytes(4, "little")]
+    for v in (np.diff(doc, prepend=np.int64(0)), at, n.astype(np.int64)):
+        v = np.ascontiguousarray(v)
+        width = (int(np.bitwise_or.reduce(v.view(np.uint64))).bit_length() + 7) // 8
+        out += [bytes([width]), v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return b"".join(out)
+
+
+def unpack_runs(packed: bytes):
+    """doc, at, n."""
+    size, at, out = int.from_bytes(packed[:4], "little"), 4, []
+    for _ in range(3):
+        width = packed[at]
+        v = np.zeros((size, 8), np.uint8)
+        v[:, :width] = np.frombuffer(packed, np.uint8, size * width, at + 1).reshape(width, size).T
+        at += 1 + size * width
+        out.append(v.view(np.int64).ravel())
+    return np.cumsum(out[0]), out[1], out[2]
+
+
+def by_bucket(doc, at, n, parts: int):
+    """These runs packed, a row (bucket, runs) for each bucket of documents."""
+    bucket = (spark_hash(doc, at >> START_BITS) % parts).astype(np.int32)
+    o = np.lexsort((at, doc, bucket))
+    bucket, doc, at, n = bucket[o], doc[o], at[o], n[o]
+    begin = np.flatnonzero(_groups(bucket))
+    return bucket[begin], [pack_runs(doc[b:e], at[b:e], n[b:e]) for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(o)])]
+
+
+def _settle(batches, parts: int):
+    """Of a partition of the parse: how many strings it has (bucket -1), its repeated
+    runs by bucket, and the phrases that level 2 must look into (no bucket)."""
+    import pyarrow as pa
+
     cols = _columns(batches, ["k", "mark", "doc", "at"])
-    if cols is not None:
-        yield from _emit(settle_triggers(*cols), ["repeated", "k", "doc", "at", "n"])
+    if cols is None:
+        return
+    names = ["bucket", "runs", "k", "doc", "at", "n"]
+    nulls = lambda size, kind=pa.int64(): pa.nulls(size, kind)
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), nulls(1, pa.binary()), nulls(1), nulls(1), nulls(1),
+                                      pa.array([unpack(cols[1])[1].sum()], pa.int64())], names)
+    repeated, k, doc, at, n = settle_triggers(*cols)
+    bucket, runs = by_bucket(doc[repeated], at[repeated], n[repeated], parts)
+    for i in range(0, len(runs), 1000):
+        size = len(runs[i:i + 1000])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[i:i + 1000]), pa.array(runs[i:i + 1000], pa.binary()),
+                                          nulls(size), nulls(size), nulls(size), nulls(size)], names)
+    k, doc, at, n = (x[~repeated] for x in (k, doc, at, n.astype(np.int64)))
+    for i in range(0, len(k), 200_000):
+        j = slice(i, i + 200_000)
+        size = len(k[j])
+        yield pa.RecordBatch.from_arrays([nulls(size, pa.int32()), nulls(size, pa.binary()), *(pa.array(x[j]) for x in (k, doc, at, n))], names)
 
 
 def suffix_ranks(data: np.ndarray) -> np.ndarray:
@@ -249,6 +326,18 @@ def runs_of(d, where):
     return d[begin], where[begin], runs.astype(np.int32)
 
 
+def repeated_whole(doc, at, strings: list[bytes]):
+    """``repeated_strings`` of single strings, ordered by eight bytes at a time."""
+    block = np.zeros((len(strings), -(-LENGTH // 8) * 8), np.uint8)
+    block[:, :LENGTH] = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, LENGTH)
+    keys = block.view(">u8").astype(np.uint64).T
+    o = np.lexsort((at, doc, *keys[::-1]))
+    doc, at, new = doc[o], at[o], _groups(*(k[o] for k in keys))
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
+    again = (doc != doc[lead]) | (at != at[lead])
+    return runs_of(doc[again], at[again])
+
+
 def repeated_strings(doc, at, n, phrase: list[bytes]):
     """Of the strings of these phrases: doc, at, n of the runs that occurred before."""
     _, _, d, where, again = sorted_strings(doc, at, n, phrase)
@@ -258,7 +347,7 @@ def repeated_strings(doc, at, n, phrase: list[bytes]):
 def _strings(batches):
     """Level 2, map side: the bytes of open phrases, by trigger.  Those of hot triggers
     are settled within the task, and only the strings that it sees first go on, by
-    string; the others are sent to the documents as repeated (no phrase)."""
+    string (n is 0); the others are sent to the documents as repeated (no phrase)."""
     import pyarrow as pa
 
     names = ["route", "doc", "at", "n", "phrase"]
@@ -275,7 +364,7 @@ def _strings(batches):
             route = Fingerprints(block.ravel()).first(np.arange(len(f)) * LENGTH, np.arange(1, len(f) + 1) * LENGTH).view(np.int64)
             text = pa.Array.from_buffers(pa.binary(LENGTH), len(f), [None, pa.py_buffer(block)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(d[f]), pa.array(where[f]),
-                                              pa.array(np.ones(len(f), np.int32)), text], names)
+                                              pa.array(np.zeros(len(f), np.int32)), text], names)
         d, where, runs = runs_of(d[again], where[again])
         for i in range(0, len(d), 200_000):
             k = slice(i, i + 200_000)
@@ -306,8 +395,14 @@ def _strings(batches):
         yield from of_hot()
 
 
-def _compare(batches):
-    """Level 2, reduce side."""
+def _compare(batches, parts: int):
+    """Level 2, reduce side: repeated runs, packed by bucket."""
+    found = [x for x in _repeated(batches) if len(x[0])]
+    if found:
+        yield from _emit(by_bucket(*(np.concatenate(x) for x in zip(*found)), parts), ["bucket", "runs"], 1000)
+
+
+def _repeated(batches):
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -317,54 +412,70 @@ def _compare(batches):
     whole = pa.Table.from_batches(got)
     done = whole.filter(pc.is_null(whole.column("phrase")))
     if done.num_rows:
-        yield from _emit([done.column(c).combine_chunks().to_numpy() for c in ("doc", "at", "n")], ["doc", "at", "n"])
+        yield [done.column(c).combine_chunks().to_numpy() for c in ("doc", "at", "n")]
     whole = whole.filter(pc.is_valid(whole.column("phrase")))
-    col = lambda c: whole.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-    route, doc, at, n = (col(c) for c in ("route", "doc", "at", "n"))
-    texts = whole.column("phrase").to_pylist()
-    o = np.argsort(route, kind="stable")
-    edges = np.flatnonzero(_groups(route[o]))
-    # whole groups, some hundred thousand strings at a time
-    upto = np.append(edges[1:], len(o))
-    size, begin = 0, 0
-    for i, e in enumerate(upto):
-        size += int(n[o[edges[i]:e]].sum())
-        if size >= 300_000 or i == len(upto) - 1:
-            pick = o[begin:e]
-            d, w, r = repeated_strings(doc[pick], at[pick], n[pick].astype(np.int64), [texts[x] for x in pick])
-            yield from _emit([d, w, r], ["doc", "at", "n"])
-            size, begin = 0, e
+    single = pc.equal(whole.column("n"), 0)  # of hot triggers, dealt out by string
+    for part, compare in ((whole.filter(single), lambda doc, at, n, phrase: repeated_whole(doc, at, phrase)),
+                          (whole.filter(pc.invert(single)), repeated_strings)):
+        if not part.num_rows:
+            continue
+        route, doc, at, n = (part.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("route", "doc", "at", "n"))
+        texts = part.column("phrase").to_pylist()
+        o = np.argsort(route, kind="stable")
+        edges = np.flatnonzero(_groups(route[o]))
+        # whole groups, some hundred thousand strings at a time
+        upto = np.append(edges[1:], len(o))
+        size, begin = 0, 0
+        for i, e in enumerate(upto):
+            size += int(np.maximum(n[o[edges[i]:e]], 1).sum())
+            if size >= 300_000 or i == len(edges) - 1:
+                pick = o[begin:e]
+                yield compare(doc[pick], at[pick], n[pick].astype(np.int64), [texts[x] for x in pick])
+                size, begin = 0, e
 
 
 def _remove(batches):
+    """Of a bucket of documents: first the packed runs, then the texts."""
     import pyarrow as pa
 
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    held, spans_of, s, e = [], None, None, None
     for part in slices(batches):
+        known = part.column("runs").is_valid()
+        held += [unpack_runs(x) for x in part.column("runs").filter(known).to_pylist()]
+        part = part.filter(part.column("runs").is_null())
+        if not part.num_rows:
+            continue
+        if spans_of is None:
+            doc, at, n = (np.concatenate(x) for x in zip(*held)) if held else [np.zeros(0, np.int64)] * 3
+            o = np.lexsort((at, doc))
+            doc, at, n = doc[o], at[o], n[o]
+            sub, s = at >> START_BITS, at & ((1 << START_BITS) - 1)
+            e = s + n + LENGTH - 1
+            begin = np.flatnonzero(_groups(doc, sub)).tolist()
+            spans_of = dict(zip(zip(doc[begin].tolist(), sub[begin].tolist()), zip(begin, [*begin[1:], len(o)])))
+            held = []
         sizes, removed, spans, kept = [], [], [], []
-        for text, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist()):
+        for doc, sub, text in zip(*(part.column(c).to_pylist() for c in ("doc", "sub", "text"))):
             raw = text.encode("utf-8", "replace")
             sizes.append(len(raw))
-            if not runs:
+            if (doc, sub) not in spans_of:
                 removed.append(0)
                 spans.append([])
                 kept.append(raw)
                 continue
-            runs = np.array(runs, np.int64)
-            s = runs >> 8
-            e = s + (runs & 0xFF) + LENGTH - 1
-            o = np.argsort(s, kind="stable")
-            s, e = s[o], np.maximum.accumulate(e[o])
-            begin = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
-            s, e = s[begin], e[np.append(begin[1:], len(e)) - 1]
+            x, y = spans_of[doc, sub]
+            starts, ends = s[x:y], np.maximum.accumulate(e[x:y])
+            begin = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
+            starts, ends = starts[begin], ends[np.append(begin[1:], len(ends)) - 1]
             at, left = 0, []
-            for x, y in zip(s.tolist(), e.tolist()):
+            for x, y in zip(starts.tolist(), ends.tolist()):
                 left.append(raw[at:x])
                 at = y
             left.append(raw[at:])
             kept.append(b"".join(left))
             removed.append(len(raw) - len(kept[-1]))
-            spans.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist())])
+            spans.append([{"start": x, "end": y} for x, y in zip(starts.tolist(), ends.tolist())])
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kinds),
              pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
@@ -375,7 +486,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     texts = docs.select("doc_id", doc.alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     shared = texts.groupBy("doc").count().where("count > 1").select("doc")
-    if shared.isEmpty():
+    with shuffles_removed(docs.sparkSession):
+        none = shared.isEmpty()
+    if none:
         return texts.withColumn("sub", F.lit(0))
     hashed = texts.withColumn("h", F.xxhash64("text"))
     subs = (hashed.select("doc", "h").join(shared, "doc", "left_semi").distinct()
@@ -388,30 +501,53 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare_workers(spark)
     parts = buckets(spark)
-    texts = _numbered(docs)
+    texts = _numbered(docs).select("doc_id", "doc", F.col("sub").cast("long").alias("sub"), "text")
     parsed = texts.select("doc", "sub", "text").mapInArrow(_parse, "k long, mark long, doc long, at long")
     kind = F.col("mark").bitwiseAND(3)
     route = (F.when(kind == BY_PHRASE, F.xxhash64("k", F.shiftright("mark", 10)))
              .when(kind == REPEATED, F.xxhash64("doc", "at")).otherwise(F.col("k")))
     folder = fresh_folder(spark, "parse")
-    parsed.repartition(parts, route).mapInArrow(_settle, "repeated boolean, k long, doc long, at long, n int").write.parquet(folder)
-    settled = spark.read.parquet(folder)
-    open_ = settled.where("NOT repeated").select("k", "doc", "at", "n")
+    with shuffles_removed(spark):
+        parsed.repartition(parts, route).mapInArrow(
+            lambda batches: _settle(batches, parts), "bucket int, runs binary, k long, doc long, at long, n long").write.parquet(folder)
+    settled = spark.read.schema("bucket int, runs binary, k long, doc long, at long, n long").parquet(folder)
+    open_ = settled.where("bucket IS NULL").select("k", "doc", "at", "n")
+    runs = [settled.where("bucket >= 0").select("bucket", "runs")]
+    runs += [_edges(texts, of_round, parts) for of_round in _rounds(settled, open_)]
+    packed = reduce(DataFrame.unionByName, runs)
+    bucket = F.pmod(F.xxhash64("doc", "sub"), F.lit(parts)).cast("int").alias("bucket")
+    dealt = texts.select(bucket, "*").unionByName(packed, allowMissingColumns=True).repartitionById(parts, "bucket")
+    return dealt.sortWithinPartitions(F.col("runs").isNull()).mapInArrow(
+        _remove, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, "
+                 "spans array<struct<start:bigint,end:bigint>>, kept binary")
+
+
+def _rounds(settled: DataFrame, open_: DataFrame) -> list[DataFrame]:
+    """The phrases of level 2 in parts of whole triggers, each of about as many bytes to
+    deal out as the texts have strings (or ``ROUND``)."""
+    spark = open_.sparkSession
+    most = LENGTH + 64  # bytes of a phrase beside its strings: place and trigger count as 64
+    groups = open_.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    with shuffles_removed(spark):
+        strings = settled.where("bucket = -1").agg(F.sum("n")).first()[0] or 0
+        dealt = groups.agg(F.sum(F.when(F.col("size") > HOT, F.col("n") * most).otherwise(F.col("n") + F.col("size") * most))).first()[0] or 0
+    rounds = -(-dealt // max(strings, ROUND))
+    return [open_.where(F.pmod(F.xxhash64("k"), F.lit(rounds)) == i) for i in range(rounds)]
+
+
+def _edges(texts: DataFrame, open_: DataFrame, parts: int) -> DataFrame:
+    """bucket, runs: a round of level 2, written to the shared folder."""
+    spark = texts.sparkSession
     hot = open_.groupBy("k").count().where(F.col("count") > HOT).select("k", F.lit(True).alias("hot"))
-    sub = F.shiftright("at", START_BITS).cast("int").alias("sub")
-    todo = (open_.join(hot, "k", "left").select("doc", sub, F.struct(
+    todo = (open_.join(hot, "k", "left").select("doc", F.shiftright("at", START_BITS).alias("sub"), F.struct(
         "k", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("todo"))
         .groupBy("doc", "sub").agg(F.collect_list("todo").alias("todo")))
-    # both joins take the same columns and keys, so that one exchange of the texts serves both
-    dealt = texts.select("doc_id", "doc", "sub", "text")
-    strings = (dealt.join(todo, ["doc", "sub"]).select("doc_id", "doc", "text", "todo").mapInArrow(_strings, "route long, doc long, at long, n int, phrase binary"))
-    edges = strings.repartition(parts, "route").mapInArrow(_compare, "doc long, at long, n int")
-    run = F.shiftleft(F.col("at").bitwiseAND((1 << START_BITS) - 1), 8).bitwiseOR(F.col("n").cast("long")).alias("run")
-    runs = (settled.where("repeated").select("doc", "at", "n").unionByName(edges)
-            .select("doc", sub, run).groupBy("doc", "sub").agg(F.collect_list("run").alias("runs")))
-    return (dealt.join(runs, ["doc", "sub"], "left").select("doc_id", "text", "runs")
-            .mapInArrow(_remove, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, "
-                                 "spans array<struct<start:bigint,end:bigint>>, kept binary"))
+    strings = (texts.select("doc", "sub", "text").join(todo, ["doc", "sub"]).select("doc", "text", "todo")
+               .mapInArrow(_strings, "route long, doc long, at long, n int, phrase binary"))
+    folder = fresh_folder(spark, "edges")
+    with shuffles_removed(spark):
+        strings.repartition(parts, "route").mapInArrow(lambda batches: _compare(batches, parts), "bucket int, runs binary").write.parquet(folder)
+    return spark.read.schema("bucket int, runs binary").parquet(folder)
 
 
 def op1_prefix_free_parsing(spark, sf_dir):

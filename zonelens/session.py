@@ -100,6 +100,19 @@ def scratch(spark: SparkSession):
         remove_work(spark, [f for f in work_folders(spark) if f not in before and f not in keep])
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Jobs that run within it remove the files of their exchanges at their end; others'
+    stay on disk until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 #: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole
 #: texts and pages go through these batches, on both sides of the worker's pipe.
 BATCH_ROWS = 2000
